@@ -25,6 +25,8 @@ MAX_EPOCHS = 3
 WEIGHTS = (5.0, 2.0, 1.0)
 SEED = "mix-1"
 BUCKETS = 4096
+#: Parts that each source's rows are dealt in when they meet its target.
+SALTS = 128
 #: Signs that prose has few of; their density lowers the quality weight.
 SIGNS = "!#$%&*|@{}<>=~^_+/0123456789"
 
@@ -75,7 +77,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: float
     cut = ends.filter((F.col("words_before") < F.col("rest")) & (F.col("words_before") + F.col("words") >= F.col("rest")))
     cut = cut.groupBy("source").agg(F.min("bucket").alias("cut"), F.min_by("words_before", "bucket").alias("words_before")).withColumnRenamed("source", "c")
     plan = goal.join(cut, F.col("source").eqNullSafe(F.col("c")), "left").select(F.col("source").alias("p"), "source_size", "target", "epochs", "rest", "cut", "words_before")
-    rows = keyed.join(plan, F.col("source").eqNullSafe(F.col("p"))).drop("p")
+    plan = plan.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    rows = keyed.join(plan, F.col("source").eqNullSafe(F.col("p")) & (F.col("salt") == F.col("part"))).drop("p", "salt", "part")
     edge = rows.filter(F.col("bucket") == F.col("cut"))
     order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     edge = edge.withColumn("at", F.col("words_before") + F.coalesce(F.sum("size").over(order), F.lit(0)))

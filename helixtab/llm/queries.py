@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_extract, mixing, url_filter
+from . import chat, embed_dedup, html_extract, jaccard_join, mixing, quality, url_filter
 from .common import table
 
 
@@ -13,11 +13,23 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_documents(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(table(spark, sf_dir, "conversations"))
 
@@ -26,8 +38,10 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op5_source_mixing, op9_chat_format, op10_html_extract)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_embedding_dedup, op3_jaccard_join, op5_source_mixing, op6_quality_classifier, op9_chat_format, op10_html_extract)}
 ORACLES = {
+    "op2_embedding_dedup": embed_dedup.ORACLE,
+    "op3_jaccard_join": jaccard_join.ORACLE,
     "op5_source_mixing": mixing.ORACLE.replace("source_size, target,", "source_size, round(target, 6) as target,"),
     "op9_chat_format": chat.ORACLE,
 }
