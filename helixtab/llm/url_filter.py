@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, only
+from .common import Scratch, lower_ascii, only
 
 #: (verdict, host, path): fixed by the contract of the query.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -53,7 +53,12 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 def word_counts(texts: DataFrame, vocabulary: int = VOCABULARY) -> dict[str, int]:
     """Counts of the `vocabulary` most frequent words of a-z over all texts(text)."""
     words = texts.select(F.explode(F.split(lower_ascii(F.coalesce("text", F.lit(""))), r"[\x00-`{-\x7f]+")).alias("w")).filter(F.col("w").rlike(f"^[a-z]{{1,{LONGEST}}}$"))
-    return {r["w"]: r["n"] for r in words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(vocabulary).collect()}
+    scratch = Scratch(texts.sparkSession)
+    # written before it is collected, so that the driver gets the words of the whole and not those of every task
+    top = scratch.write(words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(vocabulary), "words")
+    out = {r["w"]: r["n"] for r in top.collect()}
+    scratch.drop(top)
+    return out
 
 
 class Segmenter:
