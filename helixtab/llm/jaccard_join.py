@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,65 +63,74 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def _sets(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(0)
-            for first, end, buf, offsets in chunks(b.column(1)):
-                starts, ends, rows = words(buf, offsets)
-                h, r = shingles(spans_hash(buf, starts, ends), rows, width)
-                cuts = np.searchsorted(r, np.arange(end - first + 1))
-                each = [np.unique(h[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-                n = np.array([len(x) for x in each], np.int64)
-                cid = np.array([mix(np.array([mix(x).sum(dtype=np.uint64) + np.uint64(len(x))], np.uint64))[0] for x in each], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([ids[first:end], pa.array(n), pa.array(cid), _lists([_signature(x) if len(x) else x for x in each]), _lists(each)], ["doc_id", "n", "cid", "sig", "tokens"])
-
-    return run
+def _sets_of(texts: pa.Array, width: int) -> Iterator[tuple[int, int, list[np.ndarray], np.ndarray]]:
+    """(first row, end row, sorted distinct shingles of each row, class ids) of each chunk."""
+    for first, end, buf, offsets in chunks(texts):
+        starts, ends, rows = words(buf, offsets)
+        h, r = shingles(spans_hash(buf, starts, ends), rows, width)
+        cuts = np.searchsorted(r, np.arange(end - first + 1))
+        each = [np.unique(h[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        sums = np.array([mix(x).sum(dtype=np.uint64) + np.uint64(len(x)) for x in each], np.uint64)
+        yield first, end, each, mix(sums).view(np.int64)
 
 
-def _sketch(sets: DataFrame) -> np.ndarray:
-    """Counts of tokens by their leading bits, where they stand out in a task; a fixed number of counters, used to order tokens only."""
+def _sketch(docs: DataFrame, width: int) -> np.ndarray:
+    """Counts of shingles by their leading bits, where they stand out in a task; a fixed number of counters, used to order tokens only."""
     size, shift = 1 << SKETCH_BITS, np.uint64(64 - SKETCH_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int64)
         for b in batches:
-            flat = np.asarray(b.column(0).flatten(), np.int64).view(np.uint64)
-            counts += np.bincount((flat >> shift).astype(np.int64), minlength=size)
+            for _, _, buf, offsets in chunks(b.column(0)):
+                starts, ends, rows = words(buf, offsets)
+                h, _ = shingles(spans_hash(buf, starts, ends), rows, width)
+                counts += np.bincount((h >> shift).astype(np.int64), minlength=size)
         at = np.flatnonzero(counts >= max(6, 6 * counts.mean()))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], ["bucket", "n"])
 
     out = np.zeros(size, np.int64)
-    for r in sets.select("tokens").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("text").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r["bucket"]] = r["n"]
     return out
 
 
-def _prefixes(shared, num: int, den: int):
-    """Rows (token, salt, cid, n) of each set's first tokens; a token that the sketch counts often is salted."""
+def _sets(width: int, shared, num: int, den: int):
+    """Size, class, signature and first tokens of each document's set; tokens that the sketch counts often come last, then by hash."""
     shift = np.uint64(64 - SKETCH_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for b in batches:
-            cid, n = np.asarray(b.column(0)), np.asarray(b.column(1))
-            flat, cuts = np.asarray(b.column(2).flatten(), np.int64).view(np.uint64), np.r_[0, np.cumsum(n)]
-            weight = counts[(flat >> shift).astype(np.int64)]
-            picked = []
-            for k in range(len(b)):
-                first, keep = cuts[k], n[k] - -(-num * n[k] // den) + 1
-                w = weight[first : cuts[k + 1]]
-                # sorted by hash already
-                picked.append(first + (np.argsort(w, kind="stable")[:keep] if w.any() else np.arange(keep)))
-            if not picked:
+            for first, end, each, cid in _sets_of(b.column(1), width):
+                firsts = []
+                for x in each:
+                    w = counts[(x >> shift).astype(np.int64)]
+                    keep = len(x) - -(-num * len(x) // den) + 1 if len(x) else 0
+                    firsts.append(x[np.argsort(w, kind="stable")[:keep]] if w.any() else x[:keep])
+                n = pa.array([len(x) for x in each], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0)[first:end], n, pa.array(cid), _lists([_signature(x) if len(x) else x for x in each]), _lists(firsts)], ["doc_id", "n", "cid", "sig", "prefix"])
+
+    return run
+
+
+def _prefixes(shared):
+    """A row of each first token; rest: shingles of the set from this one on. A token that the sketch counts often is salted."""
+    shift = np.uint64(64 - SKETCH_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for b in batches:
+            if not len(b):
                 continue
-            own = np.repeat(np.arange(len(b)), [len(p) for p in picked])
-            at = np.concatenate(picked)
-            salts = weight[at] // HOT
+            cid, n, col = np.asarray(b.column(0)), np.asarray(b.column(1)), b.column(2)
+            tokens, sizes = np.asarray(col.flatten(), np.int64).view(np.uint64), np.asarray(pa.compute.list_value_length(col), np.int64)
+            own = np.repeat(np.arange(len(b)), sizes)
+            pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            salts = counts[(tokens >> shift).astype(np.int64)] // HOT
             mixed = mix(cid[own].view(np.uint64))
             salt = np.where(salts > 0, 1 + (mixed % np.maximum(1, salts).astype(np.uint64)).astype(np.int64), 0)
-            order = mix(mixed + (flat[at] % np.uint64(CENTRES))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat[at].view(np.int64)), pa.array(salt, pa.int32()), pa.array(order), pa.array(cid[own]), pa.array(n[own], pa.int64())], ["token", "salt", "k", "cid", "n"])
+            order = mix(mixed + (tokens % np.uint64(CENTRES))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(salt, pa.int32()), pa.array(order), pa.array(cid[own]), pa.array(n[own], pa.int32()), pa.array(n[own] - pos, pa.int32())], ["token", "salt", "k", "cid", "n", "rest"])
 
     return run
 
@@ -128,41 +138,36 @@ def _prefixes(shared, num: int, den: int):
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows sorted by (token, salt, k, cid): those whose token occurs in another set as well, each once, with the first set of
     the run as its centre. Only one row is held back, however long a run is."""
-    names = ["token", "salt", "cid", "n", "centre", "centre_n"]
-    key, centre, centre_n, last, waiting = None, 0, 0, 0, None
+    names = ["token", "salt", "cid", "n", "rest", "centre", "centre_n", "centre_rest"]
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+    key, last, centre, waiting = None, None, (0, 0, 0), None
 
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    def batch(columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names)
 
     for b in batches:
-        t, s, cid, n = (np.asarray(b.column(k)) for k in (0, 1, 3, 4))
+        t, s, cid, n, rest = (np.asarray(b.column(k)) for k in (0, 1, 3, 4, 5))
         if not len(t):
             continue
         new = np.r_[True, (t[1:] != t[:-1]) | (s[1:] != s[:-1])]
         again = np.r_[False, (cid[1:] == cid[:-1]) & ~new[1:]]
         if key == (t[0], s[0]):
             new[0], again[0] = False, cid[0] == last
-        t, s, cid, n, new = t[~again], s[~again], cid[~again], n[~again], new[~again]
+        t, s, cid, n, rest, new = (x[~again] for x in (t, s, cid, n, rest, new))
         if not len(t):
             continue
-        out = []
         if waiting is not None and not new[0]:
-            out.append(waiting)
-        if waiting is not None:
-            waiting = None
+            yield batch([[x] for x in waiting])
+        waiting = None
         run = np.cumsum(new)  # 0: goes on from the batch before
         firsts = np.flatnonzero(new)
-        c = np.r_[centre, cid[firsts]][run]
-        cn = np.r_[centre_n, n[firsts]][run]
+        c, cn, cr = (np.r_[x, y[firsts]][run] for x, y in zip(centre, (cid, n, rest), strict=True))
         size = np.bincount(run, minlength=len(firsts) + 1)
         keep = (size[run] > 1) | (run == 0) | (s > 0)
-        if run[-1] > 0 and size[run[-1]] == 1 and s[-1] == 0:
-            waiting = (t[-1], s[-1], cid[-1], n[-1], c[-1], cn[-1])
-        key, last, centre, centre_n = (t[-1], s[-1]), cid[-1], c[-1], cn[-1]
-        if out:
-            yield batch(out)
-        yield pa.RecordBatch.from_arrays([pa.array(t[keep]), pa.array(s[keep]), pa.array(cid[keep]), pa.array(n[keep]), pa.array(c[keep]), pa.array(cn[keep])], names)
+        if not keep[-1]:
+            waiting = (t[-1], s[-1], cid[-1], n[-1], rest[-1], c[-1], cn[-1], cr[-1])
+        key, last, centre = (t[-1], s[-1]), cid[-1], (c[-1], cn[-1], cr[-1])
+        yield batch([x[keep] for x in (t, s, cid, n, rest, c, cn, cr)])
 
 
 def _lacking(a: Column, b: Column) -> Column:
@@ -172,19 +177,23 @@ def _lacking(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(fa, fb, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
+def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch, width: int, num: int, den: int) -> DataFrame:
     """Those of pairs(a, b, na, nb) that link."""
     sig = classes.select("cid", "sig")
     fit = pairs.join(sig.withColumnsRenamed({"cid": "a", "sig": "sa"}), "a").join(sig.withColumnsRenamed({"cid": "b", "sig": "sb"}), "b")
     most = F.least(F.col("na") - _lacking(F.col("sa"), F.col("sb")), F.col("nb") - _lacking(F.col("sb"), F.col("sa")))
     fit = scratch.write(fit.filter((den + num) * most >= num * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb"), "candidates")
-    ids = fit.select(F.explode(F.array("a", "b")).alias("cid"))
-    # A bitmap of fixed size says which sets may be wanted, so that the others aren't shuffled.
-    word, bit = F.pmod(F.shiftright("cid", 6), F.lit(MEMBER_WORDS)), F.pmod(F.col("cid"), F.lit(64)).cast("int")
-    member = ids.groupBy(word.alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(cid, 64) as int))")).alias("bits"))
-    wanted = sets.select("cid", "tokens").withColumn("w", word).join(F.broadcast(member), "w").filter(F.expr("(shiftright(bits, cast(pmod(cid, 64) as int)) & 1L) = 1L"))
-    wanted = wanted.groupBy("cid").agg(F.first("tokens").alias("tokens"))
-    wanted = scratch.write(wanted, "wanted")
+    reps = fit.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "rep"), "cid")
+    # A bitmap of fixed size says which documents may be wanted: only these are read as sets again.
+    member = reps.groupBy(F.expr(f"pmod(shiftright(rep, 6), {MEMBER_WORDS})").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(rep, 64) as int))")).alias("bits"))
+    wanted = docs.withColumn("w", F.expr(f"pmod(shiftright(doc_id, 6), {MEMBER_WORDS})")).join(F.broadcast(member), "w").filter(F.expr("(shiftright(bits, cast(pmod(doc_id, 64) as int)) & 1L) = 1L"))
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, each, cid in _sets_of(b.column(0), width):
+                yield pa.RecordBatch.from_arrays([pa.array(cid), _lists(each)], ["cid", "tokens"])
+
+    wanted = scratch.write(wanted.select("text").mapInArrow(again, "cid bigint, tokens array<bigint>").groupBy("cid").agg(F.first("tokens").alias("tokens")), "wanted")
     both = fit.join(wanted.withColumnsRenamed({"cid": "a", "tokens": "ta"}), "a").join(wanted.withColumnsRenamed({"cid": "b", "tokens": "tb"}), "b")
     shared = F.size(F.array_intersect("ta", "tb"))
     out = scratch.write(both.filter((den + num) * shared >= num * (F.col("na") + F.col("nb"))).select("a", "b"), "linked")
@@ -239,7 +248,7 @@ class Tree:
         return (self.den + self.num) * (common + excess) < self.num * (x.lo + y.lo)
 
 
-def _pairs_of(n: np.ndarray, comp: np.ndarray, sigs: list[np.ndarray], num: int, den: int, left: np.ndarray, right: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs_of(n: np.ndarray, rest: np.ndarray, comp: np.ndarray, sigs: list[np.ndarray], num: int, den: int, left: np.ndarray, right: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Dual traversal of the tree of `left` with itself, or with that of `right`: rows of pairs that may link, in different components."""
     a = Tree(n, comp, sigs, left, num, den)
     b = a if right is None else Tree(n, comp, sigs, right, num, den)
@@ -252,7 +261,8 @@ def _pairs_of(n: np.ndarray, comp: np.ndarray, sigs: list[np.ndarray], num: int,
             i, j = np.repeat(x.rows, len(y.rows)), np.tile(y.rows, len(x.rows))
             if x is y:
                 i, j = i[(up := np.repeat(np.arange(len(x.rows)), len(y.rows)) < np.tile(np.arange(len(y.rows)), len(x.rows)))], j[up]
-            ok = (comp[i] != comp[j]) & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))
+            # at the first token that two sets share, what is left of either must hold the overlap
+            ok = (comp[i] != comp[j]) & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])) & ((den + num) * np.minimum(rest[i], rest[j]) >= num * (n[i] + n[j]))
             i, j = i[ok], j[ok]
             if len(i):
                 size = min(min(len(sigs[k]) for k in x.rows), min(len(sigs[k]) for k in y.rows))
@@ -275,7 +285,7 @@ def _traverse(num: int, den: int):
 
     def one(parts: list[pa.RecordBatch], seen: set) -> list[tuple[int, int, int, int]]:
         t = pa.Table.from_batches(parts).combine_chunks()
-        i, block, cid, n, comp = (np.asarray(t[c]) for c in ("i", "block", "cid", "n", "comp"))
+        i, block, cid, n, rest, comp = (np.asarray(t[c]).astype(np.int64) for c in ("i", "block", "cid", "n", "rest", "comp"))
         col = t["sig"].combine_chunks()
         flat, off = np.asarray(col.values, np.int64).view(np.uint64), np.asarray(col.offsets)
         sigs = [flat[x:y] for x, y in zip(off[:-1], off[1:], strict=True)]
@@ -283,7 +293,7 @@ def _traverse(num: int, den: int):
         left, right = np.flatnonzero(block == i), np.flatnonzero(block != i) if two else None
         out = []
         if len(left) and (right is None or len(right)):
-            for p, q in _pairs_of(n, comp, sigs, num, den, left, right):
+            for p, q in _pairs_of(n, rest, comp, sigs, num, den, left, right):
                 for x, y in zip(p.tolist(), q.tolist(), strict=True):
                     a, b = (x, y) if cid[x] < cid[y] else (y, x)
                     key = (int(cid[a]), int(cid[b]))
@@ -318,39 +328,51 @@ def _traverse(num: int, den: int):
     return run
 
 
+def _few(known: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs that may link at tokens of at most LEAF sets, known(token, cid, n, rest, comp): such a token is a single leaf."""
+    lists = known.groupBy("token").agg(F.collect_list(F.struct("cid", "n", "rest", "comp")).alias("l"))
+    may = lambda x, y: (x["comp"] != y["comp"]) & (den * F.least(x["n"], y["n"]) >= num * F.greatest(x["n"], y["n"])) & ((den + num) * F.least(x["rest"], y["rest"]) >= num * (x["n"] + y["n"]))
+    pair = lambda x, y: F.when(x["cid"] < y["cid"], F.struct(x["cid"].alias("a"), y["cid"].alias("b"), x["n"].alias("na"), y["n"].alias("nb"))).otherwise(F.struct(y["cid"].alias("a"), x["cid"].alias("b"), y["n"].alias("na"), x["n"].alias("nb")))
+    pairs = F.flatten(F.transform("l", lambda x, i: F.transform(F.filter(F.slice("l", i + 2, LEAF), lambda y: may(x, y)), lambda y: pair(x, y))))
+    return lists.select(F.explode(pairs).alias("p")).select("p.*")
+
+
 def similar(docs: DataFrame, width: int = WIDTH, num: int = T_NUM, den: int = T_DEN) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = only(docs, doc_id="bigint", text="string")
-    sets = scratch.write(rows.mapInArrow(_sets(width), "doc_id bigint, n bigint, cid bigint, sig array<bigint>, tokens array<bigint>"), "sets")
+    known_ids = rows.filter("doc_id is not null")
+    sketch = spark.sparkContext.broadcast(_sketch(known_ids, width))
+    sets = scratch.write(rows.mapInArrow(_sets(width, sketch, num, den), "doc_id bigint, n bigint, cid bigint, sig array<bigint>, prefix array<bigint>"), "sets")
     linkable = sets.filter("n > 0 and doc_id is not null")
     classes = scratch.write(linkable.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
-    sketch = spark.sparkContext.broadcast(_sketch(linkable))
-    prefix = linkable.select("cid", "n", "tokens").mapInArrow(_prefixes(sketch, num, den), "token bigint, salt int, k bigint, cid bigint, n bigint")
-    runs = prefix.repartition("token", "salt").sortWithinPartitions("token", "salt", "k", "cid").mapInArrow(_runs, "token bigint, salt int, cid bigint, n bigint, centre bigint, centre_n bigint")
-    shared = scratch.write(runs, "shared")
-    near = (F.col("cid") != F.col("centre")) & (den * F.least("n", "centre_n") >= num * F.greatest("n", "centre_n"))
+    prefix = linkable.select("cid", "n", "prefix").mapInArrow(_prefixes(sketch), "token bigint, salt int, k bigint, cid bigint, n int, rest int")
+    kind = "token bigint, salt int, cid bigint, n int, rest int, centre bigint, centre_n int, centre_rest int"
+    shared = scratch.write(prefix.repartition("token", "salt").sortWithinPartitions("token", "salt", "k", "cid").mapInArrow(_runs, kind), "shared")
+    near = (F.col("cid") != F.col("centre")) & (den * F.least("n", "centre_n") >= num * F.greatest("n", "centre_n")) & ((den + num) * F.least("rest", "centre_rest") >= num * (F.col("n") + F.col("centre_n")))
     stars = shared.filter(near).select(F.col("cid").alias("a"), F.col("centre").alias("b"), F.col("n").alias("na"), F.col("centre_n").alias("nb")).distinct()
-    linked = _verify(stars, classes, linkable, scratch, num, den)
+    linked = _verify(stars, classes, known_ids, scratch, width, num, den)
     first = components(linked, scratch)
     # the trees: tokens whose sets are in different components still
-    known = shared.select("token", "cid", "n").join(first.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
+    known = shared.select("token", "cid", "n", "rest").join(first.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
     known = scratch.write(known, "known")
-    open_ = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("df")).filter("lo != hi").select("token", F.ceil(F.col("df") / BLOCK).cast("int").alias("blocks"))
-    # a set's row at a token is needed once, and only with those of a size that can link
-    rows2 = known.join(open_, "token").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).join(classes.select("cid", "sig"), "cid")
+    open_ = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("df")).filter("lo != hi").select("token", "df")
+    open_ = scratch.write(open_, "open")
+    few = _few(known.join(open_.filter(F.col("df") <= LEAF).select("token"), "token"), num, den)
+    many = open_.filter(F.col("df") > LEAF).select("token", F.ceil(F.col("df") / BLOCK).cast("int").alias("blocks"))
+    rows2 = known.join(many, "token").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).join(classes.select("cid", "sig"), "cid")
     rows2 = rows2.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows2 = rows2.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "n", "comp", "sig")
-    cand = rows2.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "block").mapInArrow(_traverse(num, den), "a bigint, b bigint, na bigint, nb bigint")
-    more = _verify(cand.distinct(), classes, linkable, scratch, num, den)
+    rows2 = rows2.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "n", "rest", "comp", "sig")
+    trees = rows2.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "block").mapInArrow(_traverse(num, den), "a bigint, b bigint, na bigint, nb bigint")
+    more = _verify(few.unionByName(trees).distinct(), classes, known_ids, scratch, width, num, den)
     comp = components(linked.unionByName(more), scratch).withColumnRenamed("node", "cid")
     named = classes.select("cid", "rep").join(comp, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     of = scratch.write(named.select("cid", "component").join(least, "component").select("cid", "component_id"), "components")
     out = sets.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(of, "cid", "left")
     out = scratch.write(out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col("doc_id"))).alias("component_id")), "result")
-    scratch.drop(sets, classes, shared, known, linked, more, of)
+    scratch.drop(sets, classes, shared, known, open_, linked, more, of)
     return out
 
 

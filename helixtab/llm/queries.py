@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed_dedup, html_extract, jaccard_join, mixing, quality, url_filter
+from . import chat, decontam, embed_dedup, html_extract, jaccard_join, mixing, pii, quality, url_filter
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_documents(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
@@ -30,6 +34,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(table(spark, sf_dir, "conversations"))
 
@@ -38,7 +46,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_embedding_dedup, op3_jaccard_join, op5_source_mixing, op6_quality_classifier, op9_chat_format, op10_html_extract)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_embedding_dedup, op3_jaccard_join, op4_decontaminate, op5_source_mixing, op6_quality_classifier, op7_pii, op9_chat_format, op10_html_extract)}
 ORACLES = {
     "op2_embedding_dedup": embed_dedup.ORACLE,
     "op3_jaccard_join": jaccard_join.ORACLE,
