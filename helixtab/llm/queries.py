@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embed_dedup, html_extract, jaccard_join, mixing, pii, quality, url_filter
+from . import chat, decontam, embed_dedup, html_extract, jaccard_join, lm_score, mixing, pii, quality, url_filter
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(table(spark, sf_dir, "conversations"))
 
@@ -46,7 +50,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_embedding_dedup, op3_jaccard_join, op4_decontaminate, op5_source_mixing, op6_quality_classifier, op7_pii, op9_chat_format, op10_html_extract)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_embedding_dedup, op3_jaccard_join, op4_decontaminate, op5_source_mixing, op6_quality_classifier, op7_pii, op8_lm_score, op9_chat_format, op10_html_extract)}
 ORACLES = {
     "op2_embedding_dedup": embed_dedup.ORACLE,
     "op3_jaccard_join": jaccard_join.ORACLE,
