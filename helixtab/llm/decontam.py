@@ -93,3 +93,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, mo
     found = scratch.write(found, "passages").withColumnRenamed("doc_id", "d")
     out = only(docs, doc_id="bigint").join(found, F.col("doc_id") == F.col("d"), "left")
     return out.select("doc_id", F.col("d").isNotNull().alias("contaminated"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_windows"), F.coalesce("items", F.array().cast("array<bigint>")).alias("item_ids"))
+
+
+def contaminated_ids(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most_slots: int = MOST_SLOTS) -> DataFrame:
+    """doc_id of the documents with a consistent passage, each once."""
+    return Scratch(docs.sparkSession).write(passages(docs, benchmark, width, most_slots).filter("consistent").select("doc_id").distinct(), "passages")
