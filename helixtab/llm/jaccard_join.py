@@ -42,6 +42,8 @@ SKETCH_BITS = 20
 HOT = 2000
 BLOCK, LEAF, FAN = 512, 8, 4
 CENTRES = 4
+#: Signatures in the trees are folded this often; pairs that pass are compared by the whole ones.
+FOLDS = 4
 MEMBER_WORDS = 1 << 17
 
 
@@ -108,7 +110,9 @@ def _sets(width: int, shared, num: int, den: int):
                     keep = len(x) - -(-num * len(x) // den) + 1 if len(x) else 0
                     firsts.append(x[np.argsort(w, kind="stable")[:keep]] if w.any() else x[:keep])
                 n = pa.array([len(x) for x in each], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0)[first:end], n, pa.array(cid), _lists([_signature(x) if len(x) else x for x in each]), _lists(firsts)], ["doc_id", "n", "cid", "sig", "prefix"])
+                sigs = [_signature(x) if len(x) else x for x in each]
+                small = [_fold(x, max(1, len(x) // FOLDS)) for x in sigs]
+                yield pa.RecordBatch.from_arrays([b.column(0)[first:end], n, pa.array(cid), _lists(sigs), _lists(small), _lists(firsts)], ["doc_id", "n", "cid", "sig", "small", "prefix"])
 
     return run
 
@@ -129,14 +133,14 @@ def _prefixes(shared):
             salts = counts[(tokens >> shift).astype(np.int64)] // HOT
             mixed = mix(cid[own].view(np.uint64))
             salt = np.where(salts > 0, 1 + (mixed % np.maximum(1, salts).astype(np.uint64)).astype(np.int64), 0)
-            order = mix(mixed + (tokens % np.uint64(CENTRES))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(salt, pa.int32()), pa.array(order), pa.array(cid[own]), pa.array(n[own], pa.int32()), pa.array(n[own] - pos, pa.int32())], ["token", "salt", "k", "cid", "n", "rest"])
+            # size and rest in one number: rows are many and short
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(salt, pa.int32()), pa.array(cid[own]), pa.array((n[own].astype(np.int64) << 32) | (n[own] - pos))], ["token", "salt", "cid", "sizes"])
 
     return run
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by (token, salt, k, cid): those whose token occurs in another set as well, each once, with the first set of
+    """Over rows sorted by (token, salt, hash of cid, cid): those whose token occurs in another set as well, each once, with the first set of
     the run as its centre. Only one row is held back, however long a run is."""
     names = ["token", "salt", "cid", "n", "rest", "centre", "centre_n", "centre_rest"]
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
@@ -146,9 +150,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names)
 
     for b in batches:
-        t, s, cid, n, rest = (np.asarray(b.column(k)) for k in (0, 1, 3, 4, 5))
+        t, s, cid, sizes = (np.asarray(b.column(k)) for k in range(4))
         if not len(t):
             continue
+        n, rest = sizes >> 32, sizes & 0xFFFFFFFF
         new = np.r_[True, (t[1:] != t[:-1]) | (s[1:] != s[:-1])]
         again = np.r_[False, (cid[1:] == cid[:-1]) & ~new[1:]]
         if key == (t[0], s[0]):
@@ -344,12 +349,12 @@ def similar(docs: DataFrame, width: int = WIDTH, num: int = T_NUM, den: int = T_
     rows = only(docs, doc_id="bigint", text="string")
     known_ids = rows.filter("doc_id is not null")
     sketch = spark.sparkContext.broadcast(_sketch(known_ids, width))
-    sets = scratch.write(rows.mapInArrow(_sets(width, sketch, num, den), "doc_id bigint, n bigint, cid bigint, sig array<bigint>, prefix array<bigint>"), "sets")
+    sets = scratch.write(rows.mapInArrow(_sets(width, sketch, num, den), "doc_id bigint, n bigint, cid bigint, sig array<bigint>, small array<bigint>, prefix array<bigint>"), "sets")
     linkable = sets.filter("n > 0 and doc_id is not null")
-    classes = scratch.write(linkable.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
-    prefix = linkable.select("cid", "n", "prefix").mapInArrow(_prefixes(sketch), "token bigint, salt int, k bigint, cid bigint, n int, rest int")
+    classes = scratch.write(linkable.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("small").alias("small")), "classes")
+    prefix = linkable.select("cid", "n", "prefix").mapInArrow(_prefixes(sketch), "token bigint, salt int, cid bigint, sizes bigint")
     kind = "token bigint, salt int, cid bigint, n int, rest int, centre bigint, centre_n int, centre_rest int"
-    shared = scratch.write(prefix.repartition("token", "salt").sortWithinPartitions("token", "salt", "k", "cid").mapInArrow(_runs, kind), "shared")
+    shared = scratch.write(prefix.repartition("token", "salt").sortWithinPartitions("token", "salt", F.xxhash64("cid", F.pmod("token", F.lit(CENTRES))), "cid").mapInArrow(_runs, kind), "shared")
     near = (F.col("cid") != F.col("centre")) & (den * F.least("n", "centre_n") >= num * F.greatest("n", "centre_n")) & ((den + num) * F.least("rest", "centre_rest") >= num * (F.col("n") + F.col("centre_n")))
     stars = shared.filter(near).select(F.col("cid").alias("a"), F.col("centre").alias("b"), F.col("n").alias("na"), F.col("centre_n").alias("nb")).distinct()
     linked = _verify(stars, classes, known_ids, scratch, width, num, den)
@@ -361,9 +366,9 @@ def similar(docs: DataFrame, width: int = WIDTH, num: int = T_NUM, den: int = T_
     open_ = scratch.write(open_, "open")
     few = _few(known.join(open_.filter(F.col("df") <= LEAF).select("token"), "token"), num, den)
     many = open_.filter(F.col("df") > LEAF).select("token", F.ceil(F.col("df") / BLOCK).cast("int").alias("blocks"))
-    rows2 = known.join(many, "token").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).join(classes.select("cid", "sig"), "cid")
+    rows2 = known.join(many, "token").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).join(classes.select("cid", "small"), "cid")
     rows2 = rows2.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows2 = rows2.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "n", "rest", "comp", "sig")
+    rows2 = rows2.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "n", "rest", "comp", F.col("small").alias("sig"))
     trees = rows2.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "block").mapInArrow(_traverse(num, den), "a bigint, b bigint, na bigint, nb bigint")
     more = _verify(few.unionByName(trees).distinct(), classes, known_ids, scratch, width, num, den)
     comp = components(linked.unionByName(more), scratch).withColumnRenamed("node", "cid")
