@@ -43,7 +43,7 @@ HOT = 2000
 BLOCK, LEAF, FAN = 512, 8, 4
 CENTRES = 4
 #: Signatures in the trees are folded this often; pairs that pass are compared by the whole ones.
-FOLDS = 4
+FOLDS = 2
 MEMBER_WORDS = 1 << 17
 
 
