@@ -74,38 +74,29 @@ def normalize_headers(seqs: DataFrame) -> DataFrame:
     return seqs.withColumn("header", F.concat(blank(F.substring_index(h, "#", 1)), F.lit("#"), blank(F.coalesce(F.substring_index(rest, "/", 1), F.lit(""))), F.lit("/"), blank(family)))
 
 
-def header_id(header: Column) -> Column:
-    """struct<tok,name,class,superfamily> of the first token of a header; missing parts are null."""
-    tok = F.element_at(F.split(F.trim(header), r"\s+"), 1)
-    rest = _after(tok, "#")
-    return F.struct(tok.alias("tok"), F.substring_index(tok, "#", 1).alias("name"), F.substring_index(rest, "/", 1).alias("class"), _after(rest, "/").alias("superfamily"))
-
-
-def part_type(name: Column) -> Column:
-    """struct<part,base>: ltr (holds LTR), internal (holds INT, _I or an I inside a word) or unknown; base is the name without the first
-    such mark, repeated underscores squeezed and outer ones trimmed."""
-    tidy = lambda c: F.regexp_replace(F.regexp_replace(c, "__+", "_"), "^_+|_+$", "")
-    without = lambda mark: tidy(F.concat(F.substring_index(name, mark, 1), F.substr(name, F.instr(name, mark) + len(mark))))
-    at = F.regexp_instr(name, F.lit(r"(?<=\w)I(?=\w)"))
-    return (
-        F.when(F.contains(name, F.lit("LTR")), F.struct(F.lit("ltr").alias("part"), without("LTR").alias("base")))
-        .when(F.contains(name, F.lit("INT")), F.struct(F.lit("internal").alias("part"), without("INT").alias("base")))
-        .when(F.contains(name, F.lit("_I")), F.struct(F.lit("internal").alias("part"), without("_I").alias("base")))
-        .when(at > 0, F.struct(F.lit("internal").alias("part"), tidy(F.concat(F.substr(name, F.lit(1), at - 1), F.substr(name, at + 1))).alias("base")))
-        .otherwise(F.struct(F.lit("unknown").alias("part"), name.alias("base")))
-    )
-
-
-def part_type_simple(name: Column) -> Column:
-    """struct<part,base> by the first LTR or I in the name."""
-    mark = F.regexp_extract(name, "^(.*?)(LTR|I)(.*)$", 2)
-    base = F.concat(F.regexp_extract(name, "^(.*?)(LTR|I)(.*)$", 1), F.regexp_extract(name, "^(.*?)(LTR|I)(.*)$", 3))
-    return F.when(mark == "LTR", F.struct(F.lit("ltr").alias("part"), base.alias("base"))).when(mark == "I", F.struct(F.lit("internal").alias("part"), base.alias("base"))).otherwise(F.struct(F.lit("unknown").alias("part"), name.alias("base")))
+def with_header_id(seqs: DataFrame) -> DataFrame:
+    """Adds tok, name, class, superfamily of the first token of a header; missing parts are null."""
+    out = seqs.withColumn("tok", F.element_at(F.split(F.trim("header"), r"\s+"), 1)).withColumn("_rest", _after(F.col("tok"), "#"))
+    return out.withColumns({"name": F.substring_index("tok", "#", 1), "class": F.substring_index("_rest", "/", 1), "superfamily": _after(F.col("_rest"), "/")}).drop("_rest")
 
 
 def with_part_type(seqs: DataFrame, simple: bool = False) -> DataFrame:
-    out = seqs.withColumn("_h", header_id(F.col("header"))).select("*", "_h.*").drop("_h")
-    return out.withColumn("_p", (part_type_simple if simple else part_type)(F.col("name"))).select("*", "_p.*").drop("_p")
+    """Adds with_header_id()'s columns, part and base. part is ltr (the name holds LTR), internal (INT, _I or an I inside a word) or unknown; base is the name without the first
+    such mark, repeated underscores squeezed and outer ones trimmed. simple: the first LTR or I in the name, which goes."""
+    out = with_header_id(seqs)
+    n = F.col("name")
+    if simple:
+        out = out.withColumn("_mark", F.nullif(F.regexp_extract(n, "^.*?(LTR|I)", 1), F.lit("")))
+        out = out.withColumn("_at", F.when(F.col("_mark").isNotNull(), F.regexp_instr(n, F.lit("LTR|I"))))
+    else:
+        out = out.withColumn("_inner", F.regexp_instr(n, F.lit(r"(?<=\w)I(?=\w)")))
+        out = out.withColumn("_mark", F.when(F.contains(n, F.lit("LTR")), "LTR").when(F.contains(n, F.lit("INT")), "INT").when(F.contains(n, F.lit("_I")), "_I").when(F.col("_inner") > 0, "I"))
+        out = out.withColumn("_at", F.when(F.col("_mark") == "I", F.col("_inner")).otherwise(F.instr(n, F.col("_mark")))).drop("_inner")
+    without = F.concat(F.substr(n, F.lit(1), F.col("_at") - 1), F.substr(n, F.col("_at") + F.length("_mark")))
+    if not simple:
+        without = F.regexp_replace(F.regexp_replace(without, "__+", "_"), "^_+|_+$", "")
+    out = out.withColumn("base", F.when(F.col("_mark").isNotNull(), without).otherwise(n))
+    return out.withColumn("part", F.when(F.col("_mark") == "LTR", "ltr").when(F.col("_mark").isNotNull(), "internal").otherwise("unknown")).drop("_mark", "_at")
 
 
 def add_frag_tag(name: Column) -> Column:
