@@ -30,45 +30,67 @@ NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
 UNITS = "mm cm m km in ft yd mi mg g kg t lb lbs oz ml l s sec min h hr hrs ms day days week weeks month months year years hour hours minute minutes second seconds mph kmh kph hz khz mhz ghz w kw mw v kv a ma j kj cal kcal pa kpa bar k c f usd eur gbp dollar dollars cent cents euro euros pound pounds percent meter meters metre metres kilometer kilometers kilometre kilometres mile miles inch inches foot feet gram grams kilogram kilograms liter liters litre litres ton tons".split()
 
 
+#: Signs and punctuation: those of ASCII, and ranges of others.
+SIGNS = r"[!-/:-@\[-`{-~]+"
+OTHER_SIGNS = r"[\u00a1-\u00bf\u00d7\u00f7\u2010-\u2bff\u3001-\u303f\uff01-\uff0f\uff1a-\uff20]+"
+BLANKS = " \t\n\x0b\x0c\r"
+
+
 def marked(text: Column) -> Column:
-    """Lower-cased text without punctuation, names marked by \\x01 and numbers by \\x02 at their start; white space stays."""
-    t = F.coalesce(F.translate(text, NAME + NUMBER + UNIT, ""), F.lit(""))
-    t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},;] )(?=\p{Lu}\p{Ll})", NAME)
-    t = F.when(t.rlike("[0-9]"), F.regexp_replace(t, r"(?<![\p{L}\p{N}\p{Sc}.,:/])(?=\p{Sc}?[0-9])", NUMBER)).otherwise(t)
-    return F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}\s\x01\x02]+", "")
+    """Lower-cased text without punctuation, names marked by \\x01 and numbers by \\x02 at their start; white space stays inside. A column to be named before
+    it is used, as are those below: Spark evaluates a named column once."""
+    t = F.coalesce(text, F.lit(""))
+    own = [F.contains(t, F.lit(c)) for c in (NAME, NUMBER, UNIT)]
+    t = F.when(own[0] | own[1] | own[2], F.translate(t, NAME + NUMBER + UNIT, "")).otherwise(t)
+    t = F.regexp_replace(t, r" (?=\p{Lu}\p{Ll})(?<=[\p{L}\p{N},;] )", " " + NAME)
+    t = F.when(t.rlike("[0-9]"), F.regexp_replace(t, r"(?=\p{Sc}?[0-9])(?<![\p{L}\p{N}\p{Sc}.,:/])", NUMBER)).otherwise(t)
+    t = F.regexp_replace(F.lower(t), SIGNS, "")
+    t = F.when(F.octet_length(text) > F.length(text), F.regexp_replace(t, OTHER_SIGNS, "")).otherwise(t)
+    return F.btrim(t, F.lit(BLANKS))
 
 
 def template(marked_text: Column) -> Column:
     """Placeholders for marked values; word for word in line with the marked text."""
-    t = F.regexp_replace(marked_text, r"\x01[^\s\x01\x02]+", NAME)
+    t = F.when(F.contains(marked_text, F.lit(NAME)), F.regexp_replace(marked_text, r"\x01[^\s\x01\x02]+", NAME)).otherwise(marked_text)
     units = "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))
     with_numbers = F.regexp_replace(F.regexp_replace(t, r"\x02[0-9]+", NUMBER), rf"(?<=\x02\s?)(?:{units})(?!\S)", UNIT)
     return F.when(F.contains(t, F.lit(NUMBER)), with_numbers).otherwise(t)
 
 
 def tokens(c: Column) -> Column:
-    return F.filter(F.split(c, r"\s+", -1), lambda w: w != "")
+    """Words of a trimmed text."""
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, "[ \\t-\\r]+", -1))
+
+
+def with_words(df: DataFrame, values: str, words: str) -> DataFrame:
+    """Adds the marked words and the template words of `text`, each step a column of its own."""
+    return df.withColumn("_m", marked(F.col("text"))).withColumn("_t", template(F.col("_m"))).withColumns({values: tokens(F.col("_m")), words: tokens(F.col("_t"))}).drop("_m", "_t")
+
+
+def windows(hashes: Column, width: int) -> Column:
+    """array<bigint>: hash of each window, in order of position, from a named column of word hashes."""
+    n = F.size(hashes)
+    each = lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(width)))
+    return F.when(n >= width, F.transform(F.sequence(F.lit(0), n - width), each)).when(n > 0, F.array(F.xxhash64(hashes, F.lit("short")))).otherwise(F.array().cast("array<bigint>"))
 
 
-def windows(words: Column, width: int) -> Column:
-    """array<bigint>: hash of each window, in order of position."""
-    n = F.size(words)
-    each = lambda i: F.xxhash64(F.slice(words, i, width))
-    return F.when(n >= width, F.transform(F.sequence(F.lit(1), n - width + 1), each)).when(n > 0, F.array(F.xxhash64(words, F.lit("short")))).otherwise(F.array().cast("array<bigint>"))
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def passages(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most_slots: int = MOST_SLOTS) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) -> doc_id, item_id, diagonal, first, last, n_windows, slots, consistent."""
     scratch = Scratch(docs.sparkSession)
     rows = only(docs, doc_id="bigint", text="string").filter("doc_id is not null")
-    items = only(benchmark, item_id="bigint", text="string").filter("item_id is not null").select("item_id", tokens(marked(F.col("text"))).alias("values"), tokens(template(marked(F.col("text")))).alias("words"))
+    items = only(benchmark, item_id="bigint", text="string").filter("item_id is not null")
+    items = with_words(items, "values", "words").select("item_id", "values", "words")
     items = scratch.write(items, "items")
     slots_in = lambda ws: F.size(F.filter(ws, lambda w: w.rlike(r"[\x01\x02\x03]")))
-    at = items.select("item_id", "words", F.posexplode(windows(F.col("words"), width)).alias("item_pos", "h"))
+    at = items.withColumn("hashes", word_hashes(F.col("words"))).select("item_id", "words", F.posexplode(windows(F.col("hashes"), width)).alias("item_pos", "h"))
     at = scratch.write(at.filter(slots_in(F.slice("words", F.col("item_pos") + 1, width)) <= most_slots).select("h", "item_id", "item_pos"), "windows")
     small = at.count() <= BROADCAST_WINDOWS
     # a column of its own: the windows refer to the words many times
-    own = rows.select("doc_id", tokens(template(marked(F.col("text")))).alias("words")).select("doc_id", F.posexplode(windows(F.col("words"), width)).alias("pos", "h"))
+    own = with_words(rows, "values", "words").select("doc_id", word_hashes(F.col("words")).alias("hashes")).select("doc_id", F.posexplode(windows(F.col("hashes"), width)).alias("pos", "h"))
     hits = own.join(F.broadcast(at) if small else at, "h")
     found = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count_distinct("pos").alias("n_windows"))
     found = scratch.write(found, "found")
@@ -76,7 +98,7 @@ def passages(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most_sl
     member = found.groupBy(F.expr(f"pmod(shiftright(doc_id, 6), {MEMBER_WORDS})").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(doc_id, 64) as int))")).alias("bits"))
     wanted = rows.withColumn("w", F.expr(f"pmod(shiftright(doc_id, 6), {MEMBER_WORDS})")).join(F.broadcast(member), "w").filter(F.expr("(shiftright(bits, cast(pmod(doc_id, 64) as int)) & 1L) = 1L")).select("doc_id", "text")
     both = found.join(wanted, "doc_id").join(F.broadcast(items) if small else items, "item_id")
-    both = both.withColumn("m", marked(F.col("text"))).withColumns({"dv": tokens(F.col("m")), "dw": tokens(template(F.col("m")))})
+    both = with_words(both, "dv", "dw")
     span = lambda c, start: F.slice(c, F.greatest(F.lit(1), start + 1), F.col("last") - F.col("first") + width)
     aligned = F.arrays_zip(span(F.col("dv"), F.col("first")).alias("d"), span(F.col("dw"), F.col("first")).alias("dt"), span(F.col("values"), F.col("first") - F.col("diagonal")).alias("b"), span(F.col("words"), F.col("first") - F.col("diagonal")).alias("bt"))
     kind = lambda w: F.regexp_replace(w, r"[^\x01\x02\x03]", "")
