@@ -23,9 +23,9 @@ def merge_intervals(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return df.groupBy(*keys, island.alias("_island")).agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
 
-def complement_intervals(df: DataFrame, lengths: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Gaps of the merged intervals within [0, length) of each chromosome; lengths(keys, length)."""
-    merged = merge_intervals(df, keys).join(lengths.select(*keys, "length"), keys)
+def complement_intervals(df: DataFrame, lengths: DataFrame, keys: list[str] = KEYS, merged_before: bool = False) -> DataFrame:
+    """Gaps of the merged intervals within [0, length) of each chromosome; lengths(keys, length). merged_before: df is merged already."""
+    merged = (df if merged_before else merge_intervals(df, keys)).join(lengths.select(*keys, "length"), keys)
     before = with_prefix(merged, keys, [part_of("start")], ["start"], F.col("end"), "_from", F.max)
     gaps = before.select(*keys, F.least(F.coalesce("_from", F.lit(0)), F.col("length")).alias("start"), F.least("start", "length").alias("end"))
     tails = lengths.select(*keys, "length").join(merged.groupBy(*keys).agg(F.max("end").alias("_last")), keys, "left")
@@ -44,7 +44,7 @@ def gene_neighbourhoods(df: DataFrame, buffer: int, lengths: DataFrame | None =
 def weighted_intervals(df: DataFrame, lengths: DataFrame, buffer: int, bias: float, keys: list[str] = KEYS) -> DataFrame:
     """Each chromosome cut into open intervals (gene neighbourhoods; weight length * bias) and closed ones (the rest; weight length)."""
     near = gene_neighbourhoods(df, buffer, lengths, keys)
-    rest = complement_intervals(near, lengths, keys)
+    rest = complement_intervals(near, lengths, keys, merged_before=True)
     weigh = lambda d, kind, factor: d.withColumns({"kind": F.lit(kind), "weight": (F.col("end") - F.col("start")) * F.lit(float(factor))})
     return weigh(near, "open", bias).unionByName(weigh(rest, "closed", 1.0))
 

@@ -87,13 +87,17 @@ def intact_distribution(spark, d):
     return C.intact_distribution(features(spark, d)).withColumn("share", F.round("share", 9))
 
 
+def unnumbered(spark, d) -> DataFrame:
+    return view(spark, d, "raw_features").withColumn("sample_id", F.concat(F.lit("gen"), F.col("generation").cast("string")))
+
+
 def lengths(spark, d) -> DataFrame:
     """(sample_id, genome_length): five chromosomes a generation."""
-    return features(spark, d).groupBy("sample_id").agg((F.count_distinct("chrom") * CHROM_LENGTH).alias("genome_length"))
+    return unnumbered(spark, d).groupBy("sample_id").agg((F.count_distinct("chrom") * CHROM_LENGTH).alias("genome_length"))
 
 
 def chrom_lengths(spark, d) -> DataFrame:
-    return features(spark, d).select("sample_id", "chrom").distinct().withColumn("length", F.lit(CHROM_LENGTH).cast("bigint"))
+    return unnumbered(spark, d).select("sample_id", "chrom").distinct().withColumn("length", F.lit(CHROM_LENGTH).cast("bigint"))
 
 
 @query(f"""with p as ({PARTS}), c as (select *, {BASE_CATEGORY} as category, end_pos - start_pos as n from p)
