@@ -31,7 +31,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINER = frozenset("html body main article section div td blockquote".split())
 #: Words of a class, id or role that mark boilerplate.
-MARK = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|side-?bar|widget|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|social|comments?|commentlist|disqus|replies|respond|related|recommend\w*|pagination|pager|complementary|contentinfo|search|login|signup|toolbar|tags?)(?:$|[\s_-])", re.I)
+MARK = re.compile(r"(?:^|[\s_-])(?:ads?|ad(?:slot|box|unit|banner)s?|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|side-?bar|widget|cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscribe|share|social|comments?|commentlist|comment(?:s|section|thread)|discussion|disqus|replies|respond|related|recommend\w*|pagination|pager|complementary|contentinfo|search|login|signup|toolbar|tags?)(?:$|[\s_-])", re.I)
 CUT = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 #: Tags whose end may be left out, and those that end them.
 IMPLIED = {"p": BLOCK, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr",)), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr"))}
