@@ -41,9 +41,9 @@ SKETCH_BITS = 20
 #: A token that the sketch counts this often is split over several tasks.
 HOT = 2000
 BLOCK, LEAF, FAN = 512, 8, 4
-CENTRES = 4
+CENTRES = 8
 #: Signatures in the trees are folded this often; pairs that pass are compared by the whole ones.
-FOLDS = 2
+FOLDS = 4
 MEMBER_WORDS = 1 << 17
 
 
@@ -355,6 +355,8 @@ def similar(docs: DataFrame, width: int = WIDTH, num: int = T_NUM, den: int = T_
     prefix = linkable.select("cid", "n", "prefix").mapInArrow(_prefixes(sketch), "token bigint, salt int, cid bigint, sizes bigint")
     kind = "token bigint, salt int, cid bigint, n int, rest int, centre bigint, centre_n int, centre_rest int"
     shared = scratch.write(prefix.repartition("token", "salt").sortWithinPartitions("token", "salt", F.xxhash64("cid", F.pmod("token", F.lit(CENTRES))), "cid").mapInArrow(_runs, kind), "shared")
+    ids = scratch.write(sets.select("doc_id", "n", "cid"), "ids")
+    scratch.drop(sets)
     near = (F.col("cid") != F.col("centre")) & (den * F.least("n", "centre_n") >= num * F.greatest("n", "centre_n")) & ((den + num) * F.least("rest", "centre_rest") >= num * (F.col("n") + F.col("centre_n")))
     stars = shared.filter(near).select(F.col("cid").alias("a"), F.col("centre").alias("b"), F.col("n").alias("na"), F.col("centre_n").alias("nb")).distinct()
     linked = _verify(stars, classes, known_ids, scratch, width, num, den)
@@ -375,9 +377,9 @@ def similar(docs: DataFrame, width: int = WIDTH, num: int = T_NUM, den: int = T_
     named = classes.select("cid", "rep").join(comp, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     of = scratch.write(named.select("cid", "component").join(least, "component").select("cid", "component_id"), "components")
-    out = sets.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(of, "cid", "left")
+    out = ids.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(of, "cid", "left")
     out = scratch.write(out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col("doc_id"))).alias("component_id")), "result")
-    scratch.drop(sets, classes, shared, known, open_, linked, more, of)
+    scratch.drop(ids, classes, shared, known, open_, linked, more, of)
     return out
 
 
