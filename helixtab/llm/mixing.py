@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, Scratch
 
 MAX_EPOCHS = 3
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -66,7 +66,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: float
     keyed = docs.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("bigint").alias("size"), (-F.log(uniform(F.col("doc_id"), seed)) / F.greatest(F.coalesce("quality", F.lit(0.05)), F.lit(1e-6))).alias("key"))
     # 1 - exp(-key) spreads keys of weight 1 evenly and lower weights towards 1; finer ranges near 1 follow from the second term.
     spread = F.greatest(F.lit(0), F.least(F.lit(buckets - 1), F.floor((F.lit(1.0) - F.exp(-F.col("key") / 8.0)) * buckets))).cast("int")
-    keyed = keyed.withColumn("bucket", F.when(F.col("key") > 0, spread).otherwise(0))
+    # a short row a document; three branches read it, and none the texts again
+    keyed = Scratch(docs.sparkSession).write(keyed.withColumn("bucket", F.when(F.col("key") > 0, spread).otherwise(0)), "keyed")
     sums = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     goal = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
     goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint"))
