@@ -71,7 +71,7 @@ def bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         f, cuts = f[order], np.searchsorted(r[order], np.arange(len(offsets)))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             ids, n = np.unique(f[a:b], return_counts=True)
-            out.append((ids, n / max(1, b - a)))
+            out.append((ids.astype(np.int32), (n / max(1, b - a)).astype(np.float32)))  # the sample's features are held in memory
     return out
 
 
