@@ -3,8 +3,9 @@
 Texts are reduced to templates: numbers, names (capitalised words inside a sentence) and units after numbers become typed
 placeholders, other words are lower-cased without punctuation. Windows of WINDOW template words of every document are
 hash-joined with those of the benchmark. Matches of a document and an item on one diagonal (document position minus item
-position) are one passage; it counts if its slots are consistent: on the passage each value of the item stands for one value of the
-document and the other way round, for numbers, names and units alike. So a question with other numbers or names is caught, and a
+position) form passages, one for each maximal run of adjacent windows; a passage counts if its slots are consistent: on it each value of the item
+stands for one value of the document and the other way round, for numbers, names and units alike. Windows without placeholders are equal
+word for word and count in any passage. So a question with other numbers or names is caught, and a
 different table of numbers is not.
 
 Windows with more placeholders than MOST_SLOTS are not used. A text of fewer words than a window is one window of its own, so a short
@@ -87,12 +88,16 @@ def passages(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most_sl
     items = scratch.write(items, "items")
     slots_in = lambda ws: F.size(F.filter(ws, lambda w: w.rlike(r"[\x01\x02\x03]")))
     at = items.withColumn("hashes", word_hashes(F.col("words"))).select("item_id", "words", F.posexplode(windows(F.col("hashes"), width)).alias("item_pos", "h"))
-    at = scratch.write(at.filter(slots_in(F.slice("words", F.col("item_pos") + 1, width)) <= most_slots).select("h", "item_id", "item_pos"), "windows")
+    at = at.withColumn("slots", slots_in(F.slice("words", F.col("item_pos") + 1, width)))
+    at = scratch.write(at.filter(F.col("slots") <= most_slots).select("h", "item_id", "item_pos", (F.col("slots") == 0).alias("exact")), "windows")
     small = at.count() <= BROADCAST_WINDOWS
     # a column of its own: the windows refer to the words many times
     own = with_words(rows, "values", "words").select("doc_id", word_hashes(F.col("words")).alias("hashes")).select("doc_id", F.posexplode(windows(F.col("hashes"), width)).alias("pos", "h"))
     hits = own.join(F.broadcast(at) if small else at, "h")
-    found = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count_distinct("pos").alias("n_windows"))
+    found = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.sort_array(F.collect_set("pos")).alias("at"), F.collect_set(F.when(F.col("exact"), F.col("pos"))).alias("exact"))
+    begins, ends = F.filter("at", lambda p, i: (i == 0) | (F.get("at", i - 1) != p - 1)), F.filter("at", lambda p, i: (i == F.size("at") - 1) | (F.get("at", i + 1) != p + 1))
+    found = found.select("doc_id", "item_id", "diagonal", "exact", F.explode(F.arrays_zip(begins.alias("first"), ends.alias("last"))).alias("run"))
+    found = found.select("doc_id", "item_id", "diagonal", "run.first", "run.last", F.size(F.filter("exact", lambda p: p.between(F.col("run.first"), F.col("run.last")))).alias("n_exact"))
     found = scratch.write(found, "found")
     # texts of the documents with hits alone are read again: a bitmap of fixed size says which they may be
     member = found.groupBy(F.expr(f"pmod(shiftright(doc_id, 6), {MEMBER_WORDS})").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(doc_id, 64) as int))")).alias("bits"))
@@ -105,7 +110,8 @@ def passages(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most_sl
     pairs = F.array_distinct(F.transform(F.filter(aligned, lambda x: (x["dt"] == x["bt"]) & (kind(x["bt"]) != "")), lambda x: F.struct(x["d"].alias("d"), x["b"].alias("b"))))
     out = both.withColumn("slots", pairs)
     one_to_one = (F.size(F.array_distinct(F.transform("slots", lambda s: s["d"]))) == F.size("slots")) & (F.size(F.array_distinct(F.transform("slots", lambda s: s["b"]))) == F.size("slots"))
-    return out.select("doc_id", "item_id", "diagonal", "first", "last", "n_windows", "slots", one_to_one.alias("consistent")).distinct()
+    n_windows = F.when(one_to_one, F.col("last") - F.col("first") + 1).otherwise(F.col("n_exact"))
+    return out.select("doc_id", "item_id", "diagonal", "first", "last", n_windows.cast("bigint").alias("n_windows"), "slots", (one_to_one | (F.col("n_exact") > 0)).alias("consistent")).distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most_slots: int = MOST_SLOTS) -> DataFrame:

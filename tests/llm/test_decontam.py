@@ -69,3 +69,19 @@ def test_table_equals_brute_force(spark, sf):
             continue  # names are placeholders there
         g = grams(r["text"])
         assert {k for k, w in items.items() if w & g} == got[r["doc_id"]] & set(items), r["doc_id"]
+
+
+def test_one_inconsistent_value_leaves_other_windows(spark):
+    plain = "these nine plain words follow without any values inside"
+    item = f"from 10 apples to 10 pears it was told {plain}"
+    far = f"{plain} then 5 were sold and later on the way home"
+    got = run(spark, [item.replace("to 10", "to 11"), far.replace("plain", "simple") + " 7 " + item.replace("to 10", "to 11")], [item])
+    assert got[0]["contaminated"] and got[0]["n_windows"] == len(f"pears it was told {plain}".split()) - 7
+    assert got[1]["contaminated"]
+
+
+def test_runs_are_checked_apart(spark):
+    item = "we counted 10 birds near the lake before noon and then someone else counted 10 birds near the river after dusk"
+    doc = item.replace("counted 10 birds near the lake", "counted 12 birds near the lake").replace("noon and then someone else", "dawn but when somebody new")
+    got = run(spark, [doc.replace("counted 10", "counted 15")], [item])
+    assert got[0]["contaminated"]
