@@ -8,7 +8,7 @@ stands for one value of the document and the other way round, for numbers, names
 word for word and count in any passage. So a question with other numbers or names is caught, and a
 different table of numbers is not.
 
-Windows with more placeholders than MOST_SLOTS are not used. A text of fewer words than a window is one window of its own, so a short
+Windows with more placeholders than MOST_SLOTS are joined on their marked words, so they are found as exact copies and count in any passage. A text of fewer words than a window is one window of its own, so a short
 item is found where it is the whole of a document. Null texts are empty and match nothing. Rows with a null id are
 returned with no match; rows that repeat an id share the passages found in any of them. Empty documents or an empty benchmark: no matches.
 Extra columns are ignored.
@@ -79,6 +79,25 @@ def word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def slot_places(words: Column) -> Column:
+    return F.array_compact(F.transform(words, lambda w, i: F.when(w.rlike(r"[\x01\x02\x03]"), i)))
+
+
+def dense(values: Column, places: Column, width: int, most_slots: int) -> Column:
+    """array<struct<pos, h>>: hash of the marked words of each window with more than most_slots placeholders, from named columns."""
+    n, key = F.size(values), lambda ws: F.xxhash64(ws, F.lit("dense"))
+
+    def starts(p, j):
+        q = F.get(places, j + most_slots)
+        low, high = F.greatest(F.lit(0), q - width + 1), F.least(p, n - width)
+        return F.when((q - p < width) & (low <= high), F.sequence(low, high))
+
+    at = lambda p: F.struct(p.alias("pos"), key(F.slice(values, p + 1, width)).alias("h"))
+    whole = F.array(F.struct(F.lit(0).alias("pos"), key(values).alias("h")))
+    each = F.transform(F.array_distinct(F.flatten(F.array_compact(F.transform(places, starts)))), at)
+    return F.when(F.size(places) <= most_slots, F.slice(whole, 1, 0)).when(n < width, whole).otherwise(each)
+
+
 def passages(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most_slots: int = MOST_SLOTS) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) -> doc_id, item_id, diagonal, first, last, n_windows, slots, consistent."""
     scratch = Scratch(docs.sparkSession)
@@ -89,10 +108,14 @@ def passages(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most_sl
     slots_in = lambda ws: F.size(F.filter(ws, lambda w: w.rlike(r"[\x01\x02\x03]")))
     at = items.withColumn("hashes", word_hashes(F.col("words"))).select("item_id", "words", F.posexplode(windows(F.col("hashes"), width)).alias("item_pos", "h"))
     at = at.withColumn("slots", slots_in(F.slice("words", F.col("item_pos") + 1, width)))
-    at = scratch.write(at.filter(F.col("slots") <= most_slots).select("h", "item_id", "item_pos", (F.col("slots") == 0).alias("exact")), "windows")
+    at = at.filter(F.col("slots") <= most_slots).select("h", "item_id", "item_pos", (F.col("slots") == 0).alias("exact"))
+    more = items.withColumn("places", slot_places(F.col("words"))).select("item_id", F.inline(dense(F.col("values"), F.col("places"), width, most_slots)))
+    at = scratch.write(at.unionByName(more.select("h", "item_id", F.col("pos").alias("item_pos"), F.lit(True).alias("exact"))), "windows")
     small = at.count() <= BROADCAST_WINDOWS
     # a column of its own: the windows refer to the words many times
-    own = with_words(rows, "values", "words").select("doc_id", word_hashes(F.col("words")).alias("hashes")).select("doc_id", F.posexplode(windows(F.col("hashes"), width)).alias("pos", "h"))
+    own = with_words(rows, "values", "words").select("doc_id", "values", word_hashes(F.col("words")).alias("hashes"), slot_places(F.col("words")).alias("places"))
+    by_template = F.transform(windows(F.col("hashes"), width), lambda h, i: F.struct(i.alias("pos"), h.alias("h")))
+    own = own.select("doc_id", F.inline(F.concat(by_template, dense(F.col("values"), F.col("places"), width, most_slots))))
     hits = own.join(F.broadcast(at) if small else at, "h")
     found = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.sort_array(F.collect_set("pos")).alias("at"), F.collect_set(F.when(F.col("exact"), F.col("pos"))).alias("exact"))
     begins, ends = F.filter("at", lambda p, i: (i == 0) | (F.get("at", i - 1) != p - 1)), F.filter("at", lambda p, i: (i == F.size("at") - 1) | (F.get("at", i + 1) != p + 1))

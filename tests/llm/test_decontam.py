@@ -85,3 +85,10 @@ def test_runs_are_checked_apart(spark):
     doc = item.replace("counted 10 birds near the lake", "counted 12 birds near the lake").replace("noon and then someone else", "dawn but when somebody new")
     got = run(spark, [doc.replace("counted 10", "counted 15")], [item])
     assert got[0]["contaminated"]
+
+
+def test_dense_items_are_found_as_copies(spark):
+    item = "add 3 and 4 then 5 and 6 then 7 and 8 then 9 and 10"
+    short = "3 km 5 kg 7"
+    got = run(spark, [f"some text before {item} and after", item.replace("3", "13").replace("5", "15").replace("7", "17").replace("9", "19"), short, "4 km 6 kg 8"], [item, short])
+    assert [got[k]["item_ids"] for k in range(4)] == [[0], [], [1], []]
