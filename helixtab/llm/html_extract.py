@@ -2,10 +2,10 @@
 smoothing and threshold clustering.
 
 A line is one block of the page (a paragraph, heading, list item, table row ...) with the text and the number of tags that its
-events bring. Its ratio is text length / tags. The smoothed ratios are split by a threshold in two clusters; the content region
-is the container that holds most text of the upper cluster. Boilerplate elements (menus, headers, footers, side bars, notices,
-adverts, forms, scripts, styles, reader comments) are told by tag, role, class or id and bring no lines. Every line of the region is
-then returned, however short: nothing else is dropped or capped.
+events bring. Its ratio is text length / tags. The smoothed ratios are split by a threshold in two clusters; the content
+is every line of every article and main, and lines of the upper cluster outside; on a page without those it is every line. Boilerplate elements (menus, headers, footers, side bars, notices,
+adverts, forms, scripts, styles, reader comments) are told by tag, role, class or id and bring no lines. Content lines are
+returned, however short: nothing else is dropped or capped.
 
 Null html is the empty text; a page without content gives the empty text; a null page_id is kept; repeated rows are pages of
 their own; an empty table gives an empty result; extra columns are ignored. An unfinished tag at the end of a page cut short is
@@ -165,24 +165,8 @@ def main_text(html: str | None) -> str:
         return ""
     ratios = smooth([len(text) / max(1, tags) for _, text, tags in lines])
     cut = threshold(ratios)
-    weight: dict[tuple[int, ...], int] = {}
-    for (path, text, _), ratio in zip(lines, ratios, strict=True):
-        if ratio > cut:
-            for k in range(1, len(path) + 1):
-                weight[path[:k]] = weight.get(path[:k], 0) + len(text)
-    named = [p for p in weight if parser.names[p] in ("article", "main")]
-    if named:  # the outermost of those that hold most
-        most = max(weight[p] for p in named)
-        region = min((p for p in named if weight[p] == most), key=len)
-        if parser.names[region] == "main":  # an article within, if it holds the text
-            inner = [p for p in named if p[: len(region)] == region and parser.names[p] == "article" and weight[p] >= 0.5 * most]
-            region = min(inner, key=len) if len(inner) == 1 else region
-    elif weight:  # the deepest container that still holds nearly all of it
-        total = max(weight.values())
-        region = max((p for p in weight if weight[p] >= 0.8 * total), key=len)
-    else:
-        region = ()
-    return "\n".join(text for path, text, _ in lines if path[: len(region)] == region)
+    named = {p for p, name in parser.names.items() if name in ("article", "main")}
+    return "\n".join(text for (path, text, _), ratio in zip(lines, ratios, strict=True) if not named or ratio > cut or any(path[: len(p)] == p for p in named))
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

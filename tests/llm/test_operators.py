@@ -244,6 +244,16 @@ def test_main_text(html, text):
     assert html_extract.main_text(html) == text
 
 
+@pytest.mark.parametrize("html,text", [
+    (f"<body><div><p>{'long text ' * 85}</p></div><div><p>{'more text ' * 15}</p></div></body>", f"{('long text ' * 85).strip()}\n{('more text ' * 15).strip()}"),
+    (f"<body><p>one</p><div><p>{'very long ' * 500}</p></div><p>two</p></body>", f"one\n{('very long ' * 500).strip()}\ntwo"),
+    ("<main><p>Before it all.</p><article><p>An article with some words.</p></article><p>After.</p></main>", "Before it all.\nAn article with some words.\nAfter."),
+    ("<article><p>The first of two.</p></article><article><p>Two.</p></article>", "The first of two.\nTwo."),
+])
+def test_no_region_is_dropped(html, text):
+    assert html_extract.main_text(html) == text
+
+
 def test_pages_are_articles(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r["page_id"]: r for r in queries.op10_html_extract(spark, sf).collect()}
