@@ -4,8 +4,9 @@ smoothing and threshold clustering.
 A line is one block of the page (a paragraph, heading, list item, table row ...) with the text and the number of tags that its
 events bring. Its ratio is text length / tags. The smoothed ratios are split by a threshold in two clusters; the content
 is every line of every article and main, and lines of the upper cluster outside; on a page without those it is every line. Boilerplate elements (menus, headers, footers, side bars, notices,
-adverts, forms, scripts, styles, reader comments) are told by tag, role, class or id and bring no lines. Content lines are
-returned, however short: nothing else is dropped or capped.
+adverts, forms, scripts, styles, reader comments) are told by tag, role, class or id and bring no lines. A mark counts
+only as the head word of a class, and not on an element that holds an article, main or most of the text of a page without those.
+Content lines are returned, however short: nothing else is dropped or capped.
 
 Null html is the empty text; a page without content gives the empty text; a null page_id is kept; repeated rows are pages of
 their own; an empty table gives an empty result; extra columns are ignored. An unfinished tag at the end of a page cut short is
@@ -32,22 +33,43 @@ BLOCK = frozenset("address article blockquote body caption center dd details div
 CONTAINER = frozenset("html body main article section div td blockquote".split())
 #: Words of a class, id or role that mark boilerplate.
 MARK = re.compile(r"(?:^|[\s_-])(?:ads?|ad(?:slot|box|unit|banner)s?|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|side-?bar|widget|cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscribe|share|social|comments?|commentlist|comment(?:s|section|thread)|discussion|disqus|replies|respond|related|recommend\w*|pagination|pager|complementary|contentinfo|search|login|signup|toolbar|tags?)(?:$|[\s_-])", re.I)
+#: Last words of a class that name its shape, and words that say that it is of something else.
+SHAPE = frozenset("area bar block box buttons container inner items links list panel section wrap wrapper".split())
+OTHER = frozenset("has no not with without".split())
 CUT = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 #: Tags whose end may be left out, and those that end them.
 IMPLIED = {"p": BLOCK, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr",)), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr"))}
 SIGMA = 1.0
 
 
+def marked(value: str) -> bool:
+    """Whether the head word of one of the classes marks boilerplate; the whole class may be a mark too."""
+    for token in value.lower().split():
+        if not MARK.search(token):
+            continue
+        words = [w for w in re.split(r"[_-]+", token) if w]
+        while len(words) > 1 and words[-1] in SHAPE:
+            words.pop()
+        if MARK.fullmatch(token) or words and not OTHER & set(words) and (MARK.fullmatch(words[-1]) or MARK.fullmatch("-".join(words[-2:]))):
+            return True
+    return False
+
+
 class Lines(HTMLParser):
     """Collects lines as [container path, text, tags]."""
 
-    def __init__(self) -> None:
+    def __init__(self, keep: set[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[str] = []
         self.path: tuple[int, ...] = ()
         self.paths: list[tuple[int, ...]] = []
         self.names: dict[tuple[int, ...], str] = {}
         self.skip = 0  # depth of the stack at which a skipped element began, and 0 outside
+        self.keep = keep  # marked elements, by number of start tag, that are content all the same
+        self.begun = 0
+        self.mark = 0  # number of the marked element that is skipped, and 0 outside
+        self.lost: dict[int, int] = {}  # text length in marked elements
+        self.holds: set[int] = set()  # marked elements with an article or main
         self.n = 0
         self.lines: list[tuple[tuple[int, ...], str, int]] = []
         self.text: list[str] = []
@@ -65,9 +87,10 @@ class Lines(HTMLParser):
             self.stack.pop()
             self.path = self.paths.pop()
         if self.skip and len(self.stack) < self.skip:
-            self.skip = 0
+            self.skip = self.mark = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.begun += 1
         if tag in VOID:
             if not self.skip:
                 self.tags += 1
@@ -92,9 +115,13 @@ class Lines(HTMLParser):
         self.stack.append(tag)
         self.paths.append(self.path)
         if self.skip:
+            if self.mark and tag in ("article", "main"):
+                self.holds.add(self.mark)
             return
-        if tag in SKIP or tag not in ("html", "body", "article", "main") and any(v and (k in ("class", "id", "role") and MARK.search(v) or k == "hidden") for k, v in attrs) or any(k == "hidden" for k, _ in attrs):
+        if tag in SKIP or any(k == "hidden" for k, _ in attrs):
             self.skip = len(self.stack)
+        elif tag not in ("html", "body", "article", "main") and self.begun not in self.keep and any(v and k in ("class", "id", "role") and marked(v) for k, v in attrs):
+            self.skip, self.mark = len(self.stack), self.begun
         elif tag in CONTAINER:
             self.n += 1
             self.path = (*self.path, self.n)
@@ -121,6 +148,8 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.skip:
             self.text.append(data)
+        elif self.mark and not SKIP & set(self.stack):
+            self.lost[self.mark] = self.lost.get(self.mark, 0) + len(" ".join(data.split()))
 
 
 def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
@@ -156,10 +185,18 @@ def threshold(values: list[float]) -> float:
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    parser = Lines()
-    parser.feed(CUT.sub("", html))
-    parser.close()
-    parser.flush()
+    keep: set[int] = set()
+    while True:
+        parser = Lines(keep)
+        parser.feed(CUT.sub("", html))
+        parser.close()
+        parser.flush()
+        if not parser.holds and not any(name in ("article", "main") for name in parser.names.values()):
+            total = sum(len(text) for _, text, _ in parser.lines) + sum(parser.lost.values())
+            parser.holds = {k for k, n in parser.lost.items() if 2 * n > total}
+        if not parser.holds:
+            break
+        keep |= parser.holds
     lines = parser.lines
     if not lines:
         return ""

@@ -254,6 +254,16 @@ def test_no_region_is_dropped(html, text):
     assert html_extract.main_text(html) == text
 
 
+@pytest.mark.parametrize("name", ["content no-sidebar", "has-sidebar", "post tag-news", "page-with-nav", "search-result-body"])
+def test_marks_within_other_names(name):
+    assert html_extract.main_text(f"<div class='{name}'><p>Some text.</p></div><div><p>{'Other text. ' * 9}</p></div>").startswith("Some text.")
+
+
+def test_marked_elements_with_content():
+    assert html_extract.main_text("<div class=widget><article><p>Some text.</p></article></div>") == "Some text."
+    assert html_extract.main_text("<div class=widget><p>Most of the text of the page.</p></div><p>x</p>") == "Most of the text of the page.\nx"
+
+
 def test_pages_are_articles(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r["page_id"]: r for r in queries.op10_html_extract(spark, sf).collect()}
