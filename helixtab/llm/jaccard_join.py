@@ -1,19 +1,22 @@
 """N-gram Jaccard self-join with signature trees.
 
-Every document is its set of distinct word shingles; sets link at a Jaccard similarity of at least t. A set's signature is a
-bitmap of its hashed shingles, its size a number; a tree node holds the OR of its signatures and the range of its sizes. A pair
-of nodes is skipped when the sizes cannot reach t or when the largest overlap that the bitmaps allow is below what t needs: bits of a
-signature that the other node lacks are shingles that no set below it shares.
+Every document is its set of distinct word shingles; sets link at a Jaccard similarity of at least t. The trees of sigtree.py find
+the links: their nodes hold OR-combined bitmaps and size ranges, and a dual traversal prunes pairs of nodes by the largest overlap that is possible.
 
 The root level is spread over the cluster by tokens, which bounds the overlap too: in any total order of tokens, two linked sets share
 one among the first n - ceil(t n) + 1 of each. The order puts tokens that a fixed-size count sketch found frequent last, then goes by
-hash, so a passage that many documents share is rarely a key. Each token's sets are one tree, or blocks of trees where they are more
-than BLOCK, with all pairs of blocks traversed in tasks of their own. Before that, each set is compared with a few centres of its
-tokens, which links large groups of near copies by stars; the traversal then skips pairs that are in one component already.
+hash, so a passage that many documents share is rarely a key. Sets of one token whose sizes and places leave room for a link are one tree,
+which is traversed twice. First with short signatures, to mark the sets that still have a partner: at most a row a set, however many
+partners it has. Then with the shingles of the marked sets alone: what the bitmaps let pass is decided there exactly, sets that are
+linked already are skipped, and only edges of a spanning forest come out. So no step writes pairs, and no more rows than it reads.
+A pair is looked at where its first common token is, as far as the first EARLY tokens of its sets tell.
 
-Sets that are equal are one class from the start, told by a 64-bit hash of the set and its size. Candidates that the bitmaps let pass are
-decided on the shingles themselves (64-bit hashes). No link between different texts is left out: filters only drop pairs that cannot
-reach t.
+A token of more sets than BLOCK, or of very long ones, is cut into blocks by classes of size and by hash. Each block is joined with itself in
+the first round; in a second round, which knows the components of the first, blocks of equal or neighbouring classes are
+joined with one another, and sets that are one component already are neither marked nor sent.
+
+Sets that are equal are one class from the start, told by a 64-bit hash of the set and its size. Shingles are 64-bit hashes. No link
+between different texts is left out: filters only drop pairs that cannot reach t.
 
 Null and empty texts have no shingles and link with nothing. Rows with a null id get a null component and link with nothing; rows that
 repeat an id are documents of their own, of which the component has the smallest id. Empty table: empty result. Extra columns are
@@ -26,36 +29,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, only
 from .components import components
+from .sigtree import LEAF, Signatures, Tree, Union, crossed, dual, signature
 from .textnum import chunks, mix, shingles, spans_hash, words
 
 WIDTH = 5
 #: Similarity as a fraction of whole numbers: 100 * intersection >= 80 * union.
 T_NUM, T_DEN = 80, 100
 SKETCH_BITS = 20
-#: A token that the sketch counts this often is split over several tasks.
+#: A token that the sketch counts this often is split over several tasks when its sets are gathered.
 HOT = 2000
-BLOCK, LEAF, FAN = 512, 8, 4
-CENTRES = 8
-#: Signatures in the trees are folded this often; pairs that pass are compared by the whole ones.
-FOLDS = 4
+#: Sets of a token in a block, and shingles of these sets: what a task holds at once is twice that.
+BLOCK, BLOCK_SHINGLES = 4096, 1 << 21
+#: First tokens of a set that travel with it, to tell whether two sets meet at an earlier token too.
+EARLY = 8
+#: Bits a shingle of the signatures that are sent, and of those made of the shingles themselves.
+SENT_BITS, FULL_BITS = 2, 8
+#: Sets that all others of a tree are compared with before it is traversed.
+CENTRES = 3
 MEMBER_WORDS = 1 << 17
-
-
-def _signature(h: np.ndarray) -> np.ndarray:
-    """Bitmap of at least 8 bits a shingle, a power of two long, as 64-bit words; longer ones fold onto shorter by OR of halves."""
-    bits = 64
-    while bits < 8 * len(h):
-        bits *= 2
-    out = np.zeros(bits // 64, np.uint64)
-    at = h & np.uint64(bits - 1)
-    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    return out
+#: Tokens of more than a block are broadcast up to this many.
+BROADCAST_TOKENS = 100_000
 
 
 def _lists(values: list[np.ndarray]) -> pa.Array:
@@ -65,6 +64,11 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column as unsigned numbers, and the sizes of the lists."""
+    return np.asarray(column.flatten(), np.int64).view(np.uint64), np.asarray(pc.list_value_length(column), np.int64)
+
+
 def _sets_of(texts: pa.Array, width: int) -> Iterator[tuple[int, int, list[np.ndarray], np.ndarray]]:
     """(first row, end row, sorted distinct shingles of each row, class ids) of each chunk."""
     for first, end, buf, offsets in chunks(texts):
@@ -110,9 +114,8 @@ def _sets(width: int, shared, num: int, den: int):
                     keep = len(x) - -(-num * len(x) // den) + 1 if len(x) else 0
                     firsts.append(x[np.argsort(w, kind="stable")[:keep]] if w.any() else x[:keep])
                 n = pa.array([len(x) for x in each], pa.int64())
-                sigs = [_signature(x) if len(x) else x for x in each]
-                small = [_fold(x, max(1, len(x) // FOLDS)) for x in sigs]
-                yield pa.RecordBatch.from_arrays([b.column(0)[first:end], n, pa.array(cid), _lists(sigs), _lists(small), _lists(firsts)], ["doc_id", "n", "cid", "sig", "small", "prefix"])
+                sigs = [signature(x, SENT_BITS) if len(x) else x for x in each]
+                yield pa.RecordBatch.from_arrays([b.column(0)[first:end], n, pa.array(cid), _lists(sigs), _lists(firsts)], ["doc_id", "n", "cid", "sig", "prefix"])
 
     return run
 
@@ -126,8 +129,8 @@ def _prefixes(shared):
         for b in batches:
             if not len(b):
                 continue
-            cid, n, col = np.asarray(b.column(0)), np.asarray(b.column(1)), b.column(2)
-            tokens, sizes = np.asarray(col.flatten(), np.int64).view(np.uint64), np.asarray(pa.compute.list_value_length(col), np.int64)
+            cid, n = np.asarray(b.column(0)), np.asarray(b.column(1))
+            tokens, sizes = _flat(b.column(2))
             own = np.repeat(np.arange(len(b)), sizes)
             pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             salts = counts[(tokens >> shift).astype(np.int64)] // HOT
@@ -139,207 +142,251 @@ def _prefixes(shared):
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by (token, salt, hash of cid, cid): those whose token occurs in another set as well, each once, with the first set of
-    the run as its centre. Only one row is held back, however long a run is."""
-    names = ["token", "salt", "cid", "n", "rest", "centre", "centre_n", "centre_rest"]
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
-    key, last, centre, waiting = None, None, (0, 0, 0), None
+def _may(n: np.ndarray, rest: np.ndarray, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sizes leave room for a link; at the first token that two sets share, what is left of either must hold the overlap."""
+    return (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])) & ((den + num) * np.minimum(rest[i], rest[j]) >= num * (n[i] + n[j]))
+
+
+def _near(starts: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of the same group, of groups of at most `most` rows."""
+    starts, sizes = starts[(few := (sizes > 1) & (sizes <= most))], sizes[few]
+    rows = np.repeat(starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    end = np.repeat(starts + sizes, sizes)
+    parts = [(rows[ok], rows[ok] + d) for d in range(1, most) if (ok := rows + d < end).any()]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64),) * 2
+
+
+def _shared(num: int, den: int):
+    """Over rows sorted by (token, salt, cid): each set once a token, where another set has the token too. Of at most LEAF sets only those are
+    left whose size and place allow a link with another. No more than LEAF rows are held back, however long a run is."""
+    names, kinds = ["token", "cid", "n", "rest"], (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+
+    def settle(t, s, cid, n, rest, begun: bool, goes_on: bool) -> pa.RecordBatch:
+        """begun: rows of the first run went before; goes_on: rows of the last run will follow."""
+        keep = np.zeros(len(t), bool)
+        if len(t):
+            starts = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (s[1:] != s[:-1])])
+            sizes = np.diff(np.r_[starts, len(t)])
+            whole = (sizes > LEAF) | (s[starts] > 0)
+            whole[0] |= begun
+            whole[-1] |= goes_on
+            keep |= np.repeat(whole, sizes)
+            i, j = _near(starts[~whole], sizes[~whole], LEAF)
+            ok = _may(n, rest, i, j, num, den)
+            keep[i[ok]] = keep[j[ok]] = True
+        return pa.RecordBatch.from_arrays([pa.array(x[keep], kind) for x, kind in zip((t, cid, n, rest), kinds, strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, begun, last = None, False, None  # rows of the last run, whether others of it went out, the last row
+        for b in batches:
+            if not len(b):
+                continue
+            t, s, cid, sizes = (np.asarray(b.column(k)) for k in range(4))
+            fresh = np.r_[last != (t[0], s[0], cid[0]), (t[1:] != t[:-1]) | (s[1:] != s[:-1]) | (cid[1:] != cid[:-1])]
+            if begun and last[:2] != (t[0], s[0]):
+                begun = False
+            last = (t[-1], s[-1], cid[-1])
+            rows = [x[fresh] for x in (t, s, cid, sizes >> 32, sizes & 0xFFFFFFFF)]
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            t, s = rows[:2]
+            if not len(t):
+                held = None
+                continue
+            at = len(t) - int(np.argmax(((t != t[-1]) | (s != s[-1]))[::-1])) if ((t != t[-1]) | (s != s[-1])).any() else 0
+            same = at == 0 and begun  # the whole batch goes on with a run of which rows went out
+            if same or len(t) - at > LEAF:
+                yield settle(*rows, begun, True)
+                held, begun = None, True
+            else:
+                yield settle(*(x[:at] for x in rows), begun, False)
+                held, begun = [x[at:] for x in rows], False
+        if held is not None:
+            yield settle(*held, begun, False)
+
+    return run
 
-    def batch(columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names)
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: int = 3) -> Iterator[pa.Table]:
+    """Tables of whole groups by the first columns: a batch and a group at most."""
+    held, key = [], None
     for b in batches:
-        t, s, cid, sizes = (np.asarray(b.column(k)) for k in range(4))
-        if not len(t):
-            continue
-        n, rest = sizes >> 32, sizes & 0xFFFFFFFF
-        new = np.r_[True, (t[1:] != t[:-1]) | (s[1:] != s[:-1])]
-        again = np.r_[False, (cid[1:] == cid[:-1]) & ~new[1:]]
-        if key == (t[0], s[0]):
-            new[0], again[0] = False, cid[0] == last
-        t, s, cid, n, rest, new = (x[~again] for x in (t, s, cid, n, rest, new))
-        if not len(t):
+        if not len(b):
             continue
-        if waiting is not None and not new[0]:
-            yield batch([[x] for x in waiting])
-        waiting = None
-        run = np.cumsum(new)  # 0: goes on from the batch before
-        firsts = np.flatnonzero(new)
-        c, cn, cr = (np.r_[x, y[firsts]][run] for x, y in zip(centre, (cid, n, rest), strict=True))
-        size = np.bincount(run, minlength=len(firsts) + 1)
-        keep = (size[run] > 1) | (run == 0) | (s > 0)
-        if not keep[-1]:
-            waiting = (t[-1], s[-1], cid[-1], n[-1], rest[-1], c[-1], cn[-1], cr[-1])
-        key, last, centre = (t[-1], s[-1]), cid[-1], (c[-1], cn[-1], cr[-1])
-        yield batch([x[keep] for x in (t, s, cid, n, rest, c, cn, cr)])
-
-
-def _lacking(a: Column, b: Column) -> Column:
-    """Bits of signature a that b lacks, with the longer folded."""
-    half = lambda x: F.zip_with(F.slice(x, 1, (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, (F.size(x) / 2).cast("int")), lambda p, q: p.bitwiseOR(q))
-    fa, fb = F.when(F.size(a) > F.size(b), half(a)).otherwise(a), F.when(F.size(b) > F.size(a), half(b)).otherwise(b)
-    return F.aggregate(F.zip_with(fa, fb, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
-
-
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch, width: int, num: int, den: int) -> DataFrame:
-    """Those of pairs(a, b, na, nb) that link."""
-    sig = classes.select("cid", "sig")
-    fit = pairs.join(sig.withColumnsRenamed({"cid": "a", "sig": "sa"}), "a").join(sig.withColumnsRenamed({"cid": "b", "sig": "sb"}), "b")
-    most = F.least(F.col("na") - _lacking(F.col("sa"), F.col("sb")), F.col("nb") - _lacking(F.col("sb"), F.col("sa")))
-    fit = scratch.write(fit.filter((den + num) * most >= num * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb"), "candidates")
-    reps = fit.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "rep"), "cid")
-    # A bitmap of fixed size says which documents may be wanted: only these are read as sets again.
-    member = reps.groupBy(F.expr(f"pmod(shiftright(rep, 6), {MEMBER_WORDS})").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(rep, 64) as int))")).alias("bits"))
-    wanted = docs.withColumn("w", F.expr(f"pmod(shiftright(doc_id, 6), {MEMBER_WORDS})")).join(F.broadcast(member), "w").filter(F.expr("(shiftright(bits, cast(pmod(doc_id, 64) as int)) & 1L) = 1L"))
+        k = np.stack([np.asarray(b.column(c)) for c in range(keys)], axis=1)
+        new = np.r_[key is None or tuple(k[0]) != key, (k[1:] != k[:-1]).any(1)]
+        starts = np.flatnonzero(new)
+        if len(starts):
+            held.append(b.slice(0, starts[-1]))
+            if sum(map(len, held)):
+                yield pa.Table.from_batches(held).combine_chunks()
+            held = [b.slice(starts[-1])]
+        else:
+            held.append(b)
+        key = tuple(k[-1])
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for _, _, each, cid in _sets_of(b.column(0), width):
-                yield pa.RecordBatch.from_arrays([pa.array(cid), _lists(each)], ["cid", "tokens"])
 
-    wanted = scratch.write(wanted.select("text").mapInArrow(again, "cid bigint, tokens array<bigint>").groupBy("cid").agg(F.first("tokens").alias("tokens")), "wanted")
-    both = fit.join(wanted.withColumnsRenamed({"cid": "a", "tokens": "ta"}), "a").join(wanted.withColumnsRenamed({"cid": "b", "tokens": "tb"}), "b")
-    shared = F.size(F.array_intersect("ta", "tb"))
-    out = scratch.write(both.filter((den + num) * shared >= num * (F.col("na") + F.col("nb"))).select("a", "b"), "linked")
-    scratch.drop(fit, wanted)
-    return out
+def _column(t: pa.Table, name: str) -> pa.Array:
+    c = t[name]
+    return c.chunk(0) if c.num_chunks == 1 else c.combine_chunks()
 
 
-def _fold(sig: np.ndarray, size: int) -> np.ndarray:
-    while len(sig) > size:
-        sig = sig[: len(sig) // 2] | sig[len(sig) // 2 :]
-    return sig
-
-
-class Node:
-    """rows, children, OR of the signatures, range of sizes and components; excess: the most shingles that a set below has beyond its bits."""
-
-    __slots__ = ("children", "comp_hi", "comp_lo", "excess", "hi", "lo", "rows", "sig")
-
-    def __init__(self, rows: np.ndarray, children: list["Node"], sig: np.ndarray, excess: int, n: np.ndarray, comp: np.ndarray):
-        self.rows, self.children, self.sig, self.excess = rows, children, sig, excess
-        self.lo, self.hi, self.comp_lo, self.comp_hi = int(n[rows].min()), int(n[rows].max()), int(comp[rows].min()), int(comp[rows].max())
-
-
-class Tree:
-    """Signature tree of one block: leaves of LEAF sets in order of size and component, FAN children a node."""
-
-    def __init__(self, n: np.ndarray, comp: np.ndarray, sigs: list[np.ndarray], rows: np.ndarray, num: int, den: int):
-        self.n, self.comp, self.sigs, self.num, self.den = n, comp, sigs, num, den
-        rows = rows[np.lexsort((comp[rows], n[rows]))]
-        level = [self.node(rows[k : k + LEAF], []) for k in range(0, len(rows), LEAF)]
-        while len(level) > 1:
-            level = [self.node(np.concatenate([c.rows for c in level[k : k + FAN]]), level[k : k + FAN]) for k in range(0, len(level), FAN)]
-        self.root = level[0]
-
-    def node(self, rows: np.ndarray, children: list[Node]) -> Node:
-        parts = [c.sig for c in children] if children else [self.sigs[k] for k in rows]
-        size = min(len(p) for p in parts)
-        sig = np.bitwise_or.reduce([_fold(p, size) for p in parts])
-        excess = max(int(self.n[k]) - int(np.bitwise_count(_fold(self.sigs[k], size)).sum()) for k in rows)
-        return Node(rows, children, sig, excess, self.n, self.comp)
-
-    def apart(self, x: Node, y: Node) -> bool:
-        """True if no set below x can link with one below y, or all are in one component."""
-        if x.comp_lo == x.comp_hi == y.comp_lo == y.comp_hi:
-            return True
-        if self.den * x.hi < self.num * y.lo or self.den * y.hi < self.num * x.lo:
-            return True
-        size = min(len(x.sig), len(y.sig))
-        common = int(np.bitwise_count(_fold(x.sig, size) & _fold(y.sig, size)).sum())
-        # shared shingles lie on common bits, and beyond one a bit there are no more of them than either side has in excess
-        excess = min(z.excess for z in (x, y) if len(z.sig) == size)
-        return (self.den + self.num) * (common + excess) < self.num * (x.lo + y.lo)
-
-
-def _pairs_of(n: np.ndarray, rest: np.ndarray, comp: np.ndarray, sigs: list[np.ndarray], num: int, den: int, left: np.ndarray, right: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Dual traversal of the tree of `left` with itself, or with that of `right`: rows of pairs that may link, in different components."""
-    a = Tree(n, comp, sigs, left, num, den)
-    b = a if right is None else Tree(n, comp, sigs, right, num, den)
-    stack = [(a.root, b.root)]
-    while stack:
-        x, y = stack.pop()
-        if x is not y and a.apart(x, y) or x is y and x.comp_lo == x.comp_hi:
-            continue
-        if not x.children and not y.children:
-            i, j = np.repeat(x.rows, len(y.rows)), np.tile(y.rows, len(x.rows))
-            if x is y:
-                i, j = i[(up := np.repeat(np.arange(len(x.rows)), len(y.rows)) < np.tile(np.arange(len(y.rows)), len(x.rows)))], j[up]
-            # at the first token that two sets share, what is left of either must hold the overlap
-            ok = (comp[i] != comp[j]) & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])) & ((den + num) * np.minimum(rest[i], rest[j]) >= num * (n[i] + n[j]))
-            i, j = i[ok], j[ok]
-            if len(i):
-                size = min(min(len(sigs[k]) for k in x.rows), min(len(sigs[k]) for k in y.rows))
-                sa = {k: _fold(sigs[k], size) for k in np.unique(np.r_[i, j]).tolist()}
-                p, q = np.stack([sa[k] for k in i.tolist()]), np.stack([sa[k] for k in j.tolist()])
-                most = np.minimum(n[i] - np.bitwise_count(p & ~q).sum(1), n[j] - np.bitwise_count(q & ~p).sum(1))
-                ok = (den + num) * most >= num * (n[i] + n[j])
-                yield i[ok], j[ok]
-        elif x is y:
-            kids = x.children
-            stack += [(kids[u], kids[v]) for u in range(len(kids)) for v in range(u, len(kids))]
-        elif x.children and (not y.children or len(x.rows) >= len(y.rows)):
-            stack += [(c, y) for c in x.children]
-        else:
-            stack += [(x, c) for c in y.children]
-
-
-def _traverse(num: int, den: int):
-    """Over rows sorted by (token, i, j, block): one group is one block with itself, or two blocks."""
-
-    def one(parts: list[pa.RecordBatch], seen: set) -> list[tuple[int, int, int, int]]:
-        t = pa.Table.from_batches(parts).combine_chunks()
-        i, block, cid, n, rest, comp = (np.asarray(t[c]).astype(np.int64) for c in ("i", "block", "cid", "n", "rest", "comp"))
-        col = t["sig"].combine_chunks()
-        flat, off = np.asarray(col.values, np.int64).view(np.uint64), np.asarray(col.offsets)
-        sigs = [flat[x:y] for x, y in zip(off[:-1], off[1:], strict=True)]
-        two = t["i"][0].as_py() != t["j"][0].as_py()
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block != i) if two else None
-        out = []
-        if len(left) and (right is None or len(right)):
-            for p, q in _pairs_of(n, rest, comp, sigs, num, den, left, right):
-                for x, y in zip(p.tolist(), q.tolist(), strict=True):
-                    a, b = (x, y) if cid[x] < cid[y] else (y, x)
-                    key = (int(cid[a]), int(cid[b]))
-                    if key not in seen:
-                        if len(seen) > 200_000:
-                            seen.clear()
-                        seen.add(key)
-                        out.append((*key, int(n[a]), int(n[b])))
-        return out
-
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else ([],) * 4)], ["a", "b", "na", "nb"])
+def _bounds(t: pa.Table, keys: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    k = np.stack([np.asarray(_column(t, t.column_names[c])) for c in range(keys)], axis=1)
+    starts = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]).any(1)])
+    return starts, np.diff(np.r_[starts, len(k)])
+
+
+def _sides(rows: np.ndarray, block: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """Rows of the two blocks of a group, the second None where it is one block with itself."""
+    return (rows, None) if one[rows[0]] == two[rows[0]] else (rows[block[rows] == one[rows]], rows[block[rows] != one[rows]])
+
+
+def _leaf(rows: int) -> int:
+    """Sets in a leaf: more in large groups, where whole leaves are compared at once."""
+    return LEAF if rows <= 32 * LEAF else 4 * LEAF
+
+
+def _mark(num: int, den: int):
+    """Over whole groups (token, one, two): the sets that have a partner which sizes, places and signatures do not rule out."""
+    names = ["token", "one", "two", "block", "cid", "comp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, seen = None, [], set()
-        for b in batches:
-            keys = np.c_[np.asarray(b.column(0)), np.asarray(b.column(1)), np.asarray(b.column(2))]
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-            out = []
-            for s, e in zip(np.r_[0, cuts], np.r_[cuts, len(b)], strict=True):
-                if e <= s:
+        for t in _groups(batches):
+            one, two, block, cid, n, rest, comp = (np.asarray(_column(t, c), np.int64) for c in ("one", "two", "block", "cid", "n", "rest", "comp"))
+            sigs = Signatures(*_flat(_column(t, "sig")))
+            flat, sizes = _flat(_column(t, "early"))
+            early, at = np.zeros((len(n), EARLY), np.uint64), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            own = np.repeat(np.arange(len(n)), sizes)
+            before = at < (n - rest)[own]  # those that come before the token of the row
+            early[own[before], at[before]] = flat[before]
+            marked = np.zeros(len(n), bool)
+
+            def judge(i: np.ndarray, j: np.ndarray, one=one, two=two, block=block, n=n, rest=rest, comp=comp, sigs=sigs, early=early, marked=marked) -> None:
+                ok = _may(n, rest, i, j, num, den) & (comp[i] != comp[j]) & ((one[i] == two[i]) | (block[i] != block[j]))
+                i, j = i[ok], j[ok]
+                met = ((early[i][:, :, None] == early[j][:, None, :]) & (early[i] != 0)[:, :, None]).any((1, 2)) if len(i) else np.zeros(0, bool)
+                i, j = i[~met], j[~met]
+                ok = (den + num) * sigs.most(n, i, j) >= num * (n[i] + n[j])
+                marked[i[ok]] = marked[j[ok]] = True
+
+            starts, lengths = _bounds(t)
+            i, j = _near(starts, lengths, LEAF)
+            for a in range(0, len(i), 1 << 17):
+                judge(i[a : a + (1 << 17)], j[a : a + (1 << 17)])
+            for start, length in zip(starts[lengths > LEAF].tolist(), lengths[lengths > LEAF].tolist(), strict=True):
+                left, right = _sides(np.arange(start, start + length), block, one, two)
+                if right is not None and not (len(left) and len(right)):
                     continue
-                if key is not None and tuple(keys[s]) != key:
-                    out += one(held, seen)
-                    held = []
-                key = tuple(keys[s])
-                held.append(b.slice(s, e - s))
-            yield batch(out)
-        if held:
-            yield batch(one(held, seen))
+                a = Tree(n, sigs, left, num, den, _leaf(length))
+                b = a if right is None else Tree(n, sigs, right, num, den, _leaf(length))
+                for x, y in dual(a, b, lambda x, y, marked=marked: bool(marked[x].all() and marked[y].all())):
+                    judge(*crossed(x, y))
+            yield from t.select(names).filter(pa.array(marked)).to_batches()
+
+    return run
+
+
+def _decide(num: int, den: int):
+    """Over whole groups (token, one, two) of marked sets with their shingles: edges (a, b) of a spanning forest of the links that join
+    different components."""
+
+    def group(rows: np.ndarray, one, two, block, cid, n, union: Union, tokens: list[np.ndarray], out: list[tuple[int, int]]) -> None:
+        left, right = _sides(rows, block, one, two)
+        if right is not None and not (len(left) and len(right)):
+            return
+
+        def exact(x: int, ys: np.ndarray) -> None:
+            ys = ys[(den * np.minimum(n[ys], n[x]) >= num * np.maximum(n[ys], n[x])) & (union.find(ys) != union.root(x))]
+            if not len(ys):
+                return
+            flat, tx = np.concatenate([tokens[y] for y in ys.tolist()]), tokens[x]
+            hit = tx[np.minimum(np.searchsorted(tx, flat), len(tx) - 1)] == flat
+            shared = np.add.reduceat(hit, np.cumsum(n[ys]) - n[ys], dtype=np.int64)
+            for y in ys[(den + num) * shared >= num * (n[ys] + n[x])].tolist():
+                if union.unite(x, y):
+                    out.append((int(cid[x]), int(cid[y])))
+
+        if len(rows) <= LEAF:
+            for k, x in enumerate(left.tolist()):
+                exact(x, left[k + 1 :] if right is None else right)
+            return
+        each = [signature(tokens[k], FULL_BITS) for k in rows.tolist()]
+        sizes = np.zeros(len(n), np.int64)
+        sizes[rows] = [len(x) for x in each]
+        sigs = Signatures(np.concatenate(each), sizes)
+        for x in left[:: -(-len(left) // CENTRES)].tolist():
+            exact(x, left if right is None else right)
+        a = Tree(n, sigs, left, num, den, _leaf(len(rows)))
+        b = a if right is None else Tree(n, sigs, right, num, den, _leaf(len(rows)))
+
+        def joined(x: np.ndarray, y: np.ndarray) -> bool:
+            r = union.find(x)
+            return bool((r == r[0]).all() and (y is x or (union.find(y) == r[0]).all()))
+
+        for x, y in dual(a, b, joined):
+            i, j = crossed(x, y)
+            ok = (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])) & (union.find(i) != union.find(j))
+            i, j = i[ok], j[ok]
+            ok = (den + num) * sigs.most(n, i, j) >= num * (n[i] + n[j])
+            i, j = i[ok], j[ok]
+            for k in np.unique(i).tolist():
+                exact(k, j[i == k])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches):
+            one, two, block, cid, comp = (np.asarray(_column(t, c), np.int64) for c in ("one", "two", "block", "cid", "comp"))
+            flat, n = _flat(_column(t, "tokens"))
+            tokens = np.split(flat, np.cumsum(n)[:-1])
+            out: list[tuple[int, int]] = []
+            for start, length in zip(*_bounds(t), strict=True):
+                rows = np.arange(start, start + length)
+                # the same two sets may be in another group of the batch: each has its own union
+                part = slice(start, start + length)
+                group(rows - start, one[part], two[part], block[part], cid[part], n[part], Union(comp[part]), tokens[start : start + length], out)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else ([], []))], ["a", "b"])
 
     return run
 
 
-def _few(known: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs that may link at tokens of at most LEAF sets, known(token, cid, n, rest, comp): such a token is a single leaf."""
-    lists = known.groupBy("token").agg(F.collect_list(F.struct("cid", "n", "rest", "comp")).alias("l"))
-    may = lambda x, y: (x["comp"] != y["comp"]) & (den * F.least(x["n"], y["n"]) >= num * F.greatest(x["n"], y["n"])) & ((den + num) * F.least(x["rest"], y["rest"]) >= num * (x["n"] + y["n"]))
-    pair = lambda x, y: F.when(x["cid"] < y["cid"], F.struct(x["cid"].alias("a"), y["cid"].alias("b"), x["n"].alias("na"), y["n"].alias("nb"))).otherwise(F.struct(y["cid"].alias("a"), x["cid"].alias("b"), y["n"].alias("na"), x["n"].alias("nb")))
-    pairs = F.flatten(F.transform("l", lambda x, i: F.transform(F.filter(F.slice("l", i + 2, LEAF), lambda y: may(x, y)), lambda y: pair(x, y))))
-    return lists.select(F.explode(pairs).alias("p")).select("p.*")
+def _links(rows: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch, width: int, num: int, den: int) -> DataFrame:
+    """rows(token, one, two, block, cid, n, rest, comp) -> edges (a, b) of links between different components."""
+    sent = rows.join(classes.select("cid", "sig", "early"), "cid").select("token", "one", "two", "block", "cid", "n", "rest", "comp", "sig", "early")
+    marks = sent.repartition("token", "one", "two").sortWithinPartitions("token", "one", "two", "block").mapInArrow(_mark(num, den), "token bigint, one bigint, two bigint, block bigint, cid bigint, comp bigint")
+    marks = scratch.write(marks, "marks")
+    # a bitmap of fixed size says which documents may be wanted: only these are read as sets again
+    reps = marks.select("cid").distinct().join(classes.select("cid", "rep"), "cid")
+    member = reps.groupBy(F.expr(f"pmod(shiftright(rep, 6), {MEMBER_WORDS})").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(rep, 64) as int))")).alias("bits"))
+    wanted = docs.withColumn("w", F.expr(f"pmod(shiftright(doc_id, 6), {MEMBER_WORDS})")).join(F.broadcast(member), "w").filter(F.expr("(shiftright(bits, cast(pmod(doc_id, 64) as int)) & 1L) = 1L"))
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, each, cid in _sets_of(b.column(0), width):
+                yield pa.RecordBatch.from_arrays([pa.array(cid), _lists(each)], ["cid", "tokens"])
+
+    sets = wanted.select("text").mapInArrow(again, "cid bigint, tokens array<bigint>").groupBy("cid").agg(F.first("tokens").alias("tokens"))
+    both = marks.join(sets, "cid").select("token", "one", "two", "block", "cid", "comp", "tokens")
+    links = both.repartition("token", "one", "two").sortWithinPartitions("token", "one", "two", "block").mapInArrow(_decide(num, den), "a bigint, b bigint")
+    out = scratch.write(links, "links")
+    scratch.drop(marks)
+    return out
+
+
+def _blocks(shared: DataFrame, hot: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows of the tokens hot(token) with their block, for each pair of blocks (one, two) that they are in. Blocks are of one class of sizes: only
+    equal and neighbouring classes can link."""
+    rows = shared.join(hot, "token").withColumn("s", F.floor(F.log(F.col("n")) / float(np.log(den / num) + 1e-9)).cast("bigint"))
+    per = rows.groupBy("token", "s").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("bigint").alias("blocks"))
+    beside = lambda d, name: per.select("token", (F.col("s") + d).alias("s"), F.col("blocks").alias(name))
+    per = per.join(beside(1, "below"), ["token", "s"], "left").join(beside(-1, "above"), ["token", "s"], "left")
+    # one row a hot token and class of sizes: no more than rows / BLOCK tokens
+    rows = rows.join(F.broadcast(per), ["token", "s"]).withColumn("block", F.col("s") * (1 << 20) + F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    others = lambda d, n: F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda k: (F.col("s") + d) * (1 << 20) + k)).otherwise(F.array().cast("array<bigint>"))
+    every = F.concat(others(-1, F.coalesce("below", F.lit(0))), others(0, F.col("blocks")), others(1, F.coalesce("above", F.lit(0))))
+    rows = rows.withColumn("other", F.explode(every))
+    return rows.select("token", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "cid", "n", "rest")
 
 
 def similar(docs: DataFrame, width: int = WIDTH, num: int = T_NUM, den: int = T_DEN) -> DataFrame:
@@ -349,37 +396,40 @@ def similar(docs: DataFrame, width: int = WIDTH, num: int = T_NUM, den: int = T_
     rows = only(docs, doc_id="bigint", text="string")
     known_ids = rows.filter("doc_id is not null")
     sketch = spark.sparkContext.broadcast(_sketch(known_ids, width))
-    sets = scratch.write(rows.mapInArrow(_sets(width, sketch, num, den), "doc_id bigint, n bigint, cid bigint, sig array<bigint>, small array<bigint>, prefix array<bigint>"), "sets")
+    sets = scratch.write(rows.mapInArrow(_sets(width, sketch, num, den), "doc_id bigint, n bigint, cid bigint, sig array<bigint>, prefix array<bigint>"), "sets")
     linkable = sets.filter("n > 0 and doc_id is not null")
-    classes = scratch.write(linkable.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("small").alias("small")), "classes")
+    classes = linkable.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first(F.slice("prefix", 1, EARLY)).alias("early"))
+    classes = scratch.write(classes, "classes")
     prefix = linkable.select("cid", "n", "prefix").mapInArrow(_prefixes(sketch), "token bigint, salt int, cid bigint, sizes bigint")
-    kind = "token bigint, salt int, cid bigint, n int, rest int, centre bigint, centre_n int, centre_rest int"
-    shared = scratch.write(prefix.repartition("token", "salt").sortWithinPartitions("token", "salt", F.xxhash64("cid", F.pmod("token", F.lit(CENTRES))), "cid").mapInArrow(_runs, kind), "shared")
+    shared = prefix.repartition("token", "salt").sortWithinPartitions("token", "salt", "cid").mapInArrow(_shared(num, den), "token bigint, cid bigint, n int, rest int")
+    shared = scratch.write(shared, "shared")
     ids = scratch.write(sets.select("doc_id", "n", "cid"), "ids")
     scratch.drop(sets)
-    near = (F.col("cid") != F.col("centre")) & (den * F.least("n", "centre_n") >= num * F.greatest("n", "centre_n")) & ((den + num) * F.least("rest", "centre_rest") >= num * (F.col("n") + F.col("centre_n")))
-    stars = shared.filter(near).select(F.col("cid").alias("a"), F.col("centre").alias("b"), F.col("n").alias("na"), F.col("centre_n").alias("nb")).distinct()
-    linked = _verify(stars, classes, known_ids, scratch, width, num, den)
-    first = components(linked, scratch)
-    # the trees: tokens whose sets are in different components still
-    known = shared.select("token", "cid", "n", "rest").join(first.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
-    known = scratch.write(known, "known")
-    open_ = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("df")).filter("lo != hi").select("token", "df")
-    open_ = scratch.write(open_, "open")
-    few = _few(known.join(open_.filter(F.col("df") <= LEAF).select("token"), "token"), num, den)
-    many = open_.filter(F.col("df") > LEAF).select("token", F.ceil(F.col("df") / BLOCK).cast("int").alias("blocks"))
-    rows2 = known.join(many, "token").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).join(classes.select("cid", "small"), "cid")
-    rows2 = rows2.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows2 = rows2.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "n", "rest", "comp", F.col("small").alias("sig"))
-    trees = rows2.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "block").mapInArrow(_traverse(num, den), "a bigint, b bigint, na bigint, nb bigint")
-    more = _verify(few.unionByName(trees).distinct(), classes, known_ids, scratch, width, num, den)
-    comp = components(linked.unionByName(more), scratch).withColumnRenamed("node", "cid")
-    named = classes.select("cid", "rep").join(comp, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    hot = shared.groupBy("token").agg(F.count("*").alias("df"), F.sum("n").alias("sizes")).filter((F.col("df") > BLOCK) | (F.col("sizes") > BLOCK_SHINGLES)).select("token")
+    hot = scratch.write(hot, "hot")
+    n_hot = hot.count()
+    small = lambda df: F.broadcast(df) if n_hot <= BROADCAST_TOKENS else df
+    none = F.lit(0).cast("bigint")
+    plain = (shared.join(small(hot), "token", "left_anti") if n_hot else shared).select("token", none.alias("one"), none.alias("two"), none.alias("block"), "cid", "n", "rest")
+    used = [ids, classes, shared, hot]
+    if n_hot:
+        cut = _blocks(shared, small(hot), num, den)
+        plain = plain.unionByName(cut.filter("one = two"))
+    links = _links(plain.withColumn("comp", F.col("cid")), classes, known_ids, scratch, width, num, den)
+    used.append(links)
+    if n_hot:
+        first = components(links, scratch)
+        wide = cut.filter("one != two").join(first.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
+        more = _links(wide, classes, known_ids, scratch, width, num, den)
+        used += [first, more]
+        links = links.unionByName(more)
+    comp = components(links, scratch)
+    named = classes.select("cid", "rep").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     of = scratch.write(named.select("cid", "component").join(least, "component").select("cid", "component_id"), "components")
     out = ids.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(of, "cid", "left")
     out = scratch.write(out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col("doc_id"))).alias("component_id")), "result")
-    scratch.drop(ids, classes, shared, known, open_, linked, more, of)
+    scratch.drop(*used, comp, of)
     return out
 
 
