@@ -6,7 +6,8 @@ Scoring reads every whole text once. Since the score of a document is linear in
 vector is reduced to its one logit beforehand, so that scoring adds one number a feature.
 
 Null text is the empty text; it has no features and its score is that of the bias. Rows with a null id count as held out of
-training. Repeated rows are scored alike; a document labelled twice is trained on with each label. Without labels every score is 1.
+training. Repeated rows are scored alike; a document labelled twice is trained on with each label, and of rows that repeat an id the
+least text. Without labels every score is 1.
 Empty table: empty result. Extra columns are ignored.
 """
 
@@ -29,6 +30,8 @@ DIM = 8
 EPOCHS = 5
 RATE = 0.5
 NGRAMS = (2, 3, 4)
+#: Bytes of text of which features are held at once (a longer text's words are held whole, its n-grams in pieces of this size).
+PIECE = 1 << 17
 #: Bound on the labelled documents that the model is fitted on.
 SAMPLE = 3000
 THRESHOLD = 0.7
@@ -36,43 +39,45 @@ _RAW = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, dtype=np.
 _SHIFT = np.uint64(64 - 17)
 
 
-def features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and row of every feature of a chunk: words, pairs of words (a word and itself is one feature whatever the word), and
-    character n-grams (bytes, case kept)."""
+def features(buf: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bucket and row of every feature of a chunk, one kind after another: words, pairs of words (a word and itself is one feature whatever
+    the word, since repetition tells more than what is repeated), and character n-grams (bytes, case kept). One kind is held at a time."""
     starts, ends, rows = words(buf, offsets)
-    out, at = [], []
     if len(starts):
-        h = spans_hash(buf, starts, ends)
+        h, rows = spans_hash(buf, starts, ends), rows.astype(np.int32)
+        yield (h >> _SHIFT).astype(np.int32), rows
         pair = rows[1:] == rows[:-1]
         both = np.where(h[1:] == h[:-1], PLACE[2], mix(h[:-1] * PLACE[0] + h[1:] * PLACE[1]))[pair]
-        out += [h >> _SHIFT, both >> _SHIFT]
-        at += [rows, rows[1:][pair]]
-    raw, owner = _RAW[buf], np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    for n in NGRAMS:
-        m = len(buf) - n + 1
-        if m > 0:
-            h = raw[:m] * PLACE[n]
-            for j in range(1, n):
-                h = h + raw[j : m + j] * PLACE[n - j]
-            inside = owner[:m] == owner[n - 1 :]
-            out.append((h * np.uint64(0x9E3779B97F4A7C15))[inside] >> _SHIFT)
-            at.append(owner[:m][inside])
-    if not out:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(out).astype(np.int64), np.concatenate(at)
-
-
-def bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        yield (both >> _SHIFT).astype(np.int32), rows[1:][pair]
+        del h, both, pair
+    owner = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
+    for a in range(0, len(buf), PIECE):
+        raw = _RAW[buf[a : a + PIECE + max(NGRAMS) - 1]]  # n-grams that begin in the piece
+        for n in NGRAMS:
+            m = min(PIECE, len(buf) - a - n + 1)
+            if m > 0:
+                h = raw[:m] * PLACE[n]
+                for j in range(1, n):
+                    h += raw[j : m + j] * PLACE[n - j]
+                h *= np.uint64(0x9E3779B97F4A7C15)
+                h >>= _SHIFT
+                inside = owner[a : a + m] == owner[a + n - 1 : a + n - 1 + m]
+                yield h[inside].astype(np.int32), owner[a : a + m][inside]
+
+
+def bags(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Distinct features and their shares for each text."""
-    out = []
-    for _, _, buf, offsets in chunks(texts):
-        f, r = features(buf, offsets)
-        order = np.argsort(r, kind="stable")
-        f, cuts = f[order], np.searchsorted(r[order], np.arange(len(offsets)))
+    for _, _, buf, offsets in chunks(texts, PIECE):
+        rows = len(offsets) - 1
+        keys, n = np.empty(0, np.int64), np.empty(0, np.int32)
+        for f, r in features(buf, offsets):
+            k, c = np.unique(r.astype(np.int64) * BUCKETS + f, return_counts=True)
+            keys, n = np.concatenate((keys, k)), np.concatenate((n, c.astype(np.int32)))
+        keys, back = np.unique(keys, return_inverse=True)
+        n = np.bincount(back, n, minlength=len(keys)) if len(keys) else np.empty(0)
+        cuts = np.searchsorted(keys, np.arange(rows + 1, dtype=np.int64) * BUCKETS)
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            ids, n = np.unique(f[a:b], return_counts=True)
-            out.append((ids.astype(np.int32), (n / max(1, b - a)).astype(np.float32)))  # the sample's features are held in memory
-    return out
+            yield (keys[a:b] % BUCKETS).astype(np.int32), (n[a:b] / max(1.0, n[a:b].sum())).astype(np.float32)
 
 
 def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 1) -> tuple[np.ndarray, float]:
@@ -105,12 +110,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out_of: i
     known = only(labels, doc_id="bigint", quality="int").filter("quality in (0, 1) and doc_id is not null").distinct()
     known = known.filter(F.crc32(F.col("doc_id").cast("string")) % held_out_of != held_out)
     chosen = known.orderBy(F.xxhash64("doc_id"), "quality").limit(sample)
-    rows = only(docs, doc_id="bigint", text="string").join(F.broadcast(chosen), "doc_id").select("text", "quality").repartition(1).sortWithinPartitions(F.xxhash64("text"), "quality")
+    rows = only(docs, doc_id="bigint", text="string").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = rows.select("text", "quality").repartition(1).sortWithinPartitions(F.xxhash64("text"), "quality")
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, ys = [], []
         for f in frames:
-            seen += bags(pa.array(f["text"], pa.string(), from_pandas=True))
+            seen += list(bags(pa.array(f["text"], pa.string(), from_pandas=True)))
             ys.append(f["quality"].to_numpy(np.int64))
         if seen:
             weights, bias = train(seen, np.concatenate(ys))
@@ -131,10 +137,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None) -> DataFrame:
         w, b0 = shared.value
         for b in batches:
             z = np.full(len(b), b0)
-            for first, end, buf, offsets in chunks(b.column(k).cast(pa.string())):
-                f, r = features(buf, offsets)
-                n = np.bincount(r, minlength=end - first)
-                z[first:end] += np.bincount(r, w[f], minlength=end - first) / np.maximum(1, n)
+            for first, end, buf, offsets in chunks(b.column(k), PIECE):
+                total, n = np.zeros(end - first), np.zeros(end - first)
+                for f, r in features(buf, offsets):
+                    n += np.bincount(r, minlength=end - first)
+                    total += np.bincount(r, w[f], minlength=end - first)
+                z[first:end] += total / np.maximum(1, n)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], [*names, "quality_score"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]))

@@ -1,5 +1,6 @@
 """Edge cases and brute force for the operators without a test module of their own."""
 
+import math
 import random
 import re
 import zlib
@@ -275,3 +276,40 @@ def test_pages_are_articles(spark, sf):
         blocks = [" ".join(h.unescape(re.sub(r"<br\s*/?>", " ", b).replace("<b>", "").replace("</b>", "")).split()) for b in re.split(r"</?(?:p|h1)>", body)]
         assert got[r["page_id"]]["text"] == "\n".join(b for b in blocks if b)
         assert got[r["page_id"]]["n_chars"] == len(got[r["page_id"]]["text"])
+
+
+def test_quality_features_equal_plain_python(spark, monkeypatch):
+    """Logits recomputed word by word and byte by byte from the fitted weights, with texts longer than a piece."""
+    import pyarrow as pa
+
+    from helixtab.llm import textnum
+
+    monkeypatch.setattr(quality, "PIECE", 64)
+    texts = ["One two two three", "", "x", "ab " * 100, "é😀 " * 30 + "End", "a b  c\nd"]
+    w = np.random.default_rng(4).standard_normal(quality.BUCKETS)
+    got = {r["doc_id"]: r["quality_score"] for r in quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), (w, 0.25)).collect()}
+    mask, shift = (1 << 64) - 1, 64 - 17
+
+    def plain(text):
+        raw, out = text.encode(), []
+        at = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+        buf = np.frombuffer(raw, np.uint8)
+        h = [int(textnum.spans_hash(buf, np.array([a]), np.array([b]))[0]) for a, b in at]
+        out += [x >> shift for x in h]
+        for x, y in zip(h[:-1], h[1:], strict=True):
+            both = int(textnum.PLACE[2]) if x == y else int(textnum.mix(np.array([(x * int(textnum.PLACE[0]) + y * int(textnum.PLACE[1])) & mask], np.uint64))[0])
+            out.append(both >> shift)
+        for n in quality.NGRAMS:
+            for k in range(len(raw) - n + 1):
+                total = sum(int(quality._RAW[raw[k + j]]) * int(textnum.PLACE[n - j]) for j in range(n))
+                out.append((total * 0x9E3779B97F4A7C15 & mask) >> shift)
+        return out
+
+    for k, t in enumerate(texts):
+        f = plain(t)
+        z = 0.25 + (w[f].sum() / len(f) if f else 0)
+        assert abs(got[k] - 1 / (1 + math.exp(-z))) < 1e-9, t
+    both = list(quality.bags(pa.array(texts)))
+    for t, (ids, share) in zip(texts, both, strict=True):
+        f = plain(t)
+        assert sorted(set(f)) == ids.tolist() and all(abs(f.count(i) / len(f) - s) < 1e-6 for i, s in zip(ids.tolist(), share.tolist(), strict=True))
