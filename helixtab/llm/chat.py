@@ -3,9 +3,9 @@
 A conversation is rendered as `<|im_start|>role\\ntext<|im_end|>\\n` per turn. The rendered string is then read
 back by a deterministic parser made of the same expressions; where the turns recovered differ from the source, the
 conversation is rendered again in the escaped form (`<|im_start:esc|>`), in which `\\` is `\\\\` and `<|` is `<\\|`
-inside roles and texts, so that no control string is left in them, and parsed again.
+inside roles and texts, and a line break in a role is `\\` and an n, so that no control string is left in them, and parsed again.
 
-Nulls: a null role or text is empty; rows with a null conv_id form one conversation with a null id; a null turn sorts
+Nulls: a null role or text is empty; rows with a null conv_id are conversations of one turn each, with a null id; a null turn sorts
 first. Ties on turn are put in order of role, then text; repeated rows are turns of their own. An empty table gives an
 empty result. Extra columns are ignored.
 """
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import cut, only, pieces_of, running
 
 START, ESCAPED, END = "<|im_start|>", "<|im_start:esc|>", "<|im_end|>"
 #: Turn boundary for the parser: the opening marks, whichever form.
@@ -30,9 +30,18 @@ def unescape(c: Column) -> Column:
     return F.regexp_replace(c, r"\\([\\|])", "$1")
 
 
+def escape_role(c: Column) -> Column:
+    return F.replace(escape(c), F.lit("\n"), F.lit("\\n"))
+
+
+def unescape_role(c: Column) -> Column:
+    """A line break is a backslash and an n after an even number of backslashes."""
+    return unescape(F.regexp_replace(c, r"(?<!\\)((?:\\\\)*)\\n", "$1\n"))
+
+
 def _render(turns: Column, escaped: bool) -> Column:
-    start, put = (ESCAPED, escape) if escaped else (START, lambda c: c)
-    return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(start), put(t["role"]), F.lit("\n"), put(t["text"]), F.lit(END + "\n"))), "")
+    start, role, text = (ESCAPED, escape_role, escape) if escaped else (START, lambda c: c, lambda c: c)
+    return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(start), role(t["role"]), F.lit("\n"), text(t["text"]), F.lit(END + "\n"))), "")
 
 
 def parse(formatted: Column) -> Column:
@@ -41,18 +50,18 @@ def parse(formatted: Column) -> Column:
     pieces = F.filter(F.split(formatted, OPENING, -1), lambda p, i: i > 0)
     body = lambda p: F.substring_index(p, END, 1)
     raw = F.transform(pieces, lambda p: F.struct(F.substring_index(body(p), "\n", 1).alias("role"), F.when(F.instr(body(p), "\n") > 0, F.substr(body(p), F.instr(body(p), "\n") + 1)).otherwise("").alias("text")))
-    plain = F.transform(raw, lambda t: F.struct(unescape(t["role"]).alias("role"), unescape(t["text"]).alias("text")))
+    plain = F.transform(raw, lambda t: F.struct(unescape_role(t["role"]).alias("role"), unescape(t["text"]).alias("text")))
     return F.when(F.startswith(formatted, F.lit(ESCAPED)), plain).otherwise(raw)
 
 
 def format_chat(conversations: DataFrame) -> DataFrame:
     """conversations(conv_id, turn, role, text) -> conv_id, formatted, escaped, turns, parsed.
 
-    `turns` is the source and `parsed` what the parser recovers from `formatted`; they are equal in every row. A role with a
-    line break is escaped as `\\n` being part of the text would be ambiguous: line breaks in roles are taken as blanks."""
+    `turns` is the source and `parsed` what the parser recovers from `formatted`; they are equal in every row."""
     rows = only(conversations, conv_id="bigint", turn="bigint", role="string", text="string")
-    rows = rows.select("conv_id", "turn", F.translate(F.coalesce("role", F.lit("")), "\n", " ").alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    rows = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    whole = rows.filter("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    whole = whole.unionByName(rows.filter("conv_id is null").select("conv_id", F.array(F.struct("turn", "role", "text")).alias("t")))
     whole = whole.select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
     plain = whole.withColumn("plain", _render(F.col("turns"), False))
     tried = plain.withColumn("escaped", ~(parse(F.col("plain")) == F.col("turns")))
@@ -65,38 +74,31 @@ def with_loss_mask(formatted: DataFrame, trained_role: str = "assistant") -> Dat
     trained role, found from the rendered string itself."""
     pieces = F.split("formatted", OPENING, -1)
     marks = F.regexp_extract_all("formatted", F.lit(f"({OPENING})"), F.lit(1))
-    spans = F.aggregate(
-        F.zip_with(marks, F.filter(pieces, lambda p, i: i > 0), lambda m, p: F.struct(m.alias("m"), p.alias("p"))),
-        F.struct(F.length(pieces[0]).cast("int").alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["m"]) + F.length(x["p"])).alias("at"),
-            F.when(
-                F.substring_index(x["p"], "\n", 1) == trained_role,
-                F.concat(acc["spans"], F.array(F.struct(
-                    (acc["at"] + F.length(x["m"]) + F.instr(x["p"], "\n")).alias("start"),
-                    (acc["at"] + F.length(x["m"]) + F.length(F.substring_index(x["p"], END, 1))).alias("end"))))
-            ).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return formatted.withColumn("loss_spans", spans)
+    pairs = F.zip_with(marks, F.filter(pieces, lambda p, i: i > 0), lambda m, p: F.struct(F.length(m).alias("m"), F.length(p).alias("p"), F.instr(p, "\n").alias("r"), F.length(F.substring_index(p, END, 1)).alias("t"), (F.substring_index(p, "\n", 1) == trained_role).alias("own")))
+    # named columns, each evaluated once
+    steps = formatted.withColumn("_x", pairs).withColumn("_at", running(F.transform("_x", lambda x: x["m"] + x["p"]), F.length(pieces[0]), lambda a, n: a + n))
+    each = F.transform("_x", lambda x, i: F.when(x["own"], F.struct((F.get("_at", i) + x["m"] + x["r"]).alias("start"), (F.get("_at", i) + x["m"] + x["t"]).alias("end"))))
+    return steps.withColumn("loss_spans", F.array_compact(each)).drop("_x", "_at")
 
 
 def loss_text(c_formatted: Column, spans: Column) -> Column:
-    """The unescaped text under the mask."""
-    cut = F.array_join(F.transform(spans, lambda s: F.substr(c_formatted, s["start"] + 1, s["end"] - s["start"])), "")
-    return F.when(F.startswith(c_formatted, F.lit(ESCAPED)), unescape(cut)).otherwise(cut)
+    """The unescaped text under the mask; the column of the rendered string is to be a named one."""
+    whole = F.array_join(F.transform(spans, lambda s: F.substr(c_formatted, s["start"] + 1, s["end"] - s["start"])), "")
+    parts = pieces_of(c_formatted)
+    many = F.get(F.transform(F.array(parts), lambda p: F.array_join(F.transform(spans, lambda s: cut(p, s["start"], s["end"])), "")), F.lit(0))
+    text = F.when(F.size(spans) <= 8, whole).otherwise(many)
+    return F.when(F.startswith(c_formatted, F.lit(ESCAPED)), unescape(text)).otherwise(text)
 
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
 def digests(conversations: DataFrame) -> DataFrame:
-    """The digest columns of op9, over all conversations and the probe conversation -1."""
+    """The digest columns of op9, over all conversations and the probe conversation -1; a given one of this id stays apart from it."""
     spark = conversations.sparkSession
     probe = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
-    rows = only(conversations, conv_id="bigint", turn="bigint", role="string", text="string").unionByName(probe)
-    out = with_loss_mask(format_chat(rows)).withColumn("loss", loss_text(F.col("formatted"), F.col("loss_spans")))
+    both = format_chat(conversations).unionByName(format_chat(probe))
+    out = with_loss_mask(both).withColumn("loss", loss_text(F.col("formatted"), F.col("loss_spans")))
     return out.select(
         "conv_id",
         F.size("parsed").cast("bigint").alias("n_turns"),
@@ -107,19 +109,19 @@ def digests(conversations: DataFrame) -> DataFrame:
     )
 
 
-#: The probe is the one text that holds control strings in the given tables, so that the escaped form is told by a mark in it.
+#: The escaped form is told by a control string in a text or a line break in a role.
 ORACLE = r"""
 with r as (
-  select conv_id, turn, replace(coalesce(role, ''), chr(10), ' ') as role, coalesce(text, '') as text from conversations
-  union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
-  union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
-m as (select *, bool_or(contains(text, '<|im_') or contains(role, '<|im_')) over (partition by conv_id) as esc from r),
-e as (select *, case when esc then replace(replace(role, '\', '\\'), '<|', '<\|') else role end as er,
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text, false as probe, case when conv_id is null then row_number() over () end as alone from conversations
+  union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok', true, null
+  union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok', true, null),
+m as (select *, bool_or(contains(text, '<|im_') or contains(role, '<|im_') or contains(role, chr(10))) over (partition by conv_id, probe, alone) as esc from r),
+e as (select *, case when esc then replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n') else role end as er,
         case when esc then replace(replace(text, '\', '\\'), '<|', '<\|') else text end as et from m)
 select conv_id, count(*) as n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
   coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
-  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
   sum(length(er) + length(et) + 1 + 10 + 1 + case when esc then 16 else 12 end)::bigint as formatted_chars
-from e group by conv_id
+from e group by conv_id, probe, alone
 """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,3 +64,38 @@ class Scratch:
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns alone, so that extra columns with clashing names never meet ours: only(df, doc_id="bigint", text="string")."""
     return df.select(*(F.col(f"`{c}`").cast(kind).alias(c) for c, kind in columns.items()))
+
+
+#: Elements that a running fold takes at once, and code points of the pieces that a text is cut in.
+STEP, PIECE = 64, 1024
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value evaluated once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, first: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """first and the fold after each of `values`, size(values) + 1 elements. A fold that appends to one array copies it at each step; this one
+    folds STEP elements at a time from where the steps before have come to, so its time is about linear."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / STEP).cast("int")), lambda k: F.slice(values, k * STEP + 1, F.lit(STEP)))
+
+    def of(blocks: Column) -> Column:
+        grow = lambda acc, x: F.array_append(acc, step(F.element_at(acc, -1), x))
+        begins = F.aggregate(blocks, F.array(first), lambda acc, b: F.array_append(acc, F.aggregate(b, F.element_at(acc, -1), step)))
+        inner = let(begins, lambda s: F.transform(blocks, lambda b, k: F.slice(F.aggregate(b, F.array(F.get(s, k)), grow), F.lit(2), F.lit(STEP))))
+        return F.concat(F.array(first), F.flatten(inner))
+
+    return F.when(F.size(values) > 0, let(blocks, of)).otherwise(F.array(first))
+
+
+def pieces_of(text: Column) -> Column:
+    """The text in pieces of PIECE code points, for cut()."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def cut(pieces: Column, start: Column, end: Column) -> Column:
+    """Code points [start, end) of a text in pieces; a substring of the whole text would count from its beginning each time."""
+    at = F.floor(start / PIECE).cast("int")
+    part = F.array_join(F.slice(pieces, at + 1, F.greatest(F.lit(1), F.floor((end - 1) / PIECE).cast("int") - at + 1)), "")
+    return F.when(end > start, F.substr(part, start - at * PIECE + 1, end - start)).otherwise("")

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import STEP, Scratch, cut, let, pieces_of, running
 
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("contact", "local", "national_id", "account", "secret", "name")
@@ -48,16 +48,23 @@ REACH = 40
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start,end,value>> of all matches, left to right."""
-    pieces, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = F.zip_with(F.slice(pieces, 1, F.size(values)), values, lambda p, v: F.struct(F.length(p).alias("p"), v.alias("v")))
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    return F.aggregate(
-        steps, F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["p"] + F.length(x["v"])).alias("at"),
-            F.array_append(acc["out"], F.struct((acc["at"] + x["p"]).alias("start"), (acc["at"] + x["p"] + F.length(x["v"])).alias("end"), x["v"].alias("value"))).alias("out")),
-        lambda acc: acc["out"])
+    """array<struct<start,end,value,before,after>> of all matches, left to right; before: up to REACH characters from the match before
+    on, after: one. All come from the pieces between matches, never from counting through the text, so the time is about linear."""
+
+    def of(s: Column) -> Column:
+        pieces, values = s["pieces"], s["values"]
+        ends = running(F.zip_with(F.slice(pieces, F.lit(1), F.size(values)), values, lambda p, v: F.length(p) + F.length(v)), F.lit(0), lambda at, n: at + n)
+
+        def one(v: Column, i: Column, e: Column) -> Column:
+            piece, following = F.get(pieces, i), F.get(pieces, i + 1)
+            before = F.when(F.length(piece) >= REACH, piece).otherwise(F.concat(F.coalesce(F.get(values, i - 1), F.lit("")), piece))
+            return F.struct(
+                (F.get(e, i) + F.length(piece)).alias("start"), F.get(e, i + 1).alias("end"), v.alias("value"), F.right(before, F.lit(REACH)).alias("before"),
+                F.left(F.when(following != "", following).otherwise(F.coalesce(F.get(values, i + 1), F.lit(""))), F.lit(1)).alias("after"))
+
+        return let(ends, lambda e: F.transform(values, lambda v, i: one(v, i, e)))
+
+    return let(F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values")), of)
 
 
 def digits(value: Column) -> Column:
@@ -108,9 +115,8 @@ def _candidates(text: Column, kind: str) -> Column:
     base = kind in BASE
 
     def judge(m: Column) -> Column:
-        before = F.substr(text, F.greatest(F.lit(1), m["start"] + 1 - REACH), F.least(m["start"], F.lit(REACH)))
-        word = F.lower(F.regexp_extract(before, r"([\p{L}-]+)[^\p{L}]{0,3}$", 1))
-        left, right = F.substr(text, m["start"], F.when(m["start"] > 0, 1).otherwise(0)), F.substr(text, m["end"] + 1, F.lit(1))
+        word = F.lower(F.regexp_extract(m["before"], r"([\p{L}-]+)[^\p{L}]{0,3}$", 1))
+        left, right = F.right(m["before"], F.lit(1)), m["after"]
         ok = valid(kind, m["value"])
         odd = left.rlike(r"[\p{L}\p{N}_.=/-]") | right.rlike(r"[\p{L}\p{N}_=/-]")
         votes = F.array(
@@ -209,6 +215,16 @@ def classifier(counts: dict[tuple[str, tuple[int, ...], int], int]) -> dict[tupl
     return out
 
 
+def _ranges(spans: Column) -> Column:
+    """Spans by start in lists of STEP with the range that each list covers, so that most lists are passed over at once."""
+    def of(each: Column) -> Column:
+        lists = F.transform(F.sequence(F.lit(0), F.floor((F.size(each) - 1) / STEP).cast("int")), lambda k: F.slice(each, k * STEP + 1, F.lit(STEP)))
+        return F.when(F.size(each) > 0, F.transform(lists, lambda x: F.struct(F.array_min(F.transform(x, lambda b: b["start"])).alias("lo"), F.array_max(F.transform(x, lambda b: b["end"])).alias("hi"), x.alias("each"))))
+
+    ranges = let(F.sort_array(F.transform(spans, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end")))), of)
+    return F.coalesce(ranges, F.array().cast("array<struct<lo:int,hi:int,each:array<struct<start:int,end:int>>>>"))
+
+
 def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """docs(doc_id, text) -> the kept columns and `spans`, array<struct<kind,start,end,base>> by kind and start."""
     scratch = Scratch(docs.sparkSession)
@@ -220,7 +236,7 @@ def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     name = lambda f: F.concat_ws("/", f["kind"], F.array_join(f["votes"].cast("array<string>"), ","), f["shape"].cast("string"))
     base = F.filter("found", lambda f: f["base"])
     more = F.filter("found", lambda f: name(f).isin(*accepted)) if accepted else F.array().cast(SPAN)
-    clear = F.filter(more, lambda f: ~F.exists(base, lambda b: (b["start"] < f["end"]) & (f["start"] < b["end"])))
+    clear = F.when(F.size(more) > 0, let(_ranges(base), lambda r: F.filter(more, lambda f: ~F.exists(r, lambda x: (x["lo"] < f["end"]) & (f["start"] < x["hi"]) & F.exists(x["each"], lambda b: (b["start"] < f["end"]) & (f["start"] < b["end"])))))).otherwise(F.array().cast(SPAN))
     slim = lambda c: F.transform(c, lambda f: F.struct(f["kind"].alias("kind"), f["start"].alias("start"), f["end"].alias("end"), f["base"].alias("base")))
     return found.select(*(F.col(f"`{c}`") for c in keep), F.when(F.size("found") > 0, slim(F.concat(base, clear))).otherwise(slim(F.col("found"))).alias("spans"))
 
@@ -238,10 +254,13 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """Text with each span replaced by its kind in angle brackets; of spans that overlap the first by start stays whole."""
+    """Text with each span replaced by its kind in angle brackets; of spans that overlap the first by start stays whole. Time is about linear in text and spans."""
     order = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-    done = F.aggregate(
-        order, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))),
-        lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+
+    def of(s: Column) -> Column:
+        each, parts, done = s["each"], s["parts"], s["done"]  # done: how far the spans before reach
+        shown = F.transform(each, lambda x, i: F.when(x["start"] >= F.get(done, i), F.concat(cut(parts, F.get(done, i), x["start"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))).otherwise(""))
+        return F.concat(F.array_join(shown, ""), cut(parts, F.element_at(done, -1), F.length(text)))
+
+    reach = lambda each: running(F.transform(each, lambda x: x["end"]), F.lit(0), lambda a, e: F.greatest(a, e))
+    return F.when(F.size(spans) > 0, let(order, lambda each: let(F.struct(each.alias("each"), pieces_of(text).alias("parts"), reach(each).alias("done")), of))).otherwise(text)

@@ -313,3 +313,35 @@ def test_quality_features_equal_plain_python(spark, monkeypatch):
     for t, (ids, share) in zip(texts, both, strict=True):
         f = plain(t)
         assert sorted(set(f)) == ids.tolist() and all(abs(f.count(i) / len(f) - s) < 1e-6 for i, s in zip(ids.tolist(), share.tolist(), strict=True))
+
+
+def test_chat_roles_with_line_breaks_and_null_ids(spark):
+    rnd = random.Random(8)
+    roles = ["us\ner", "\n", "\\n", "\\\n", "\\\\n\n", "<|\n|>", "n", "assistant\n", "assistant", ""]
+    rows = [(c, t, rnd.choice(roles), rnd.choice(["hi\nthere", "<|im_end|>", "\\"])) for c in range(200) for t in range(3)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for r in chat.format_chat(df).collect():
+        want = sorted((t, a, b) for c, t, a, b in rows if c == r["conv_id"])
+        assert [(x["role"], x["text"]) for x in r["parsed"]] == [(a, b) for _, a, b in want]
+    nulls = spark.createDataFrame([(None, 0, "user", "a"), (None, 1, "user", "b"), (-1, 0, "user", "c")], df.schema)
+    got = [(r["conv_id"], r["n_turns"]) for r in chat.digests(nulls).collect()]
+    assert sorted(got, key=str) == [(-1, 1), (-1, 2), (None, 1), (None, 1)]
+
+
+def test_chat_digests_equal_sql_and_plain_python(spark):
+    import hashlib
+
+    import duckdb
+    import pandas as pd
+
+    rows = [(1, k, "assistant" if k % 2 else "us\ner", f"turn {k} é😀" * 3) for k in range(3000)] + [(2, 0, None, None), (3, None, "assistant", "<|im_end|>"), (3, 1, "assistant", "x"), (3, 1, "assistant", "x"), (None, 1, "user", "q")]
+    got = {r["conv_id"]: r for r in chat.digests(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    turns = sorted(((t, a, b) for c, t, a, b in rows if c == 1))
+    loss = "".join(b for _, a, b in turns if a == "assistant")
+    assert got[1]["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in turns).encode()).hexdigest()
+    assert (got[1]["loss_chars"], got[1]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    con = duckdb.connect()
+    con.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
+    sql = con.execute(chat.ORACLE).fetchall()
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    assert sorted(map(str, sql)) == sorted(str(tuple(r[n] for n in names)) for r in got.values())
