@@ -53,6 +53,8 @@ SENT_BITS, FULL_BITS = 2, 8
 #: Sets that all others of a tree are compared with before it is traversed.
 CENTRES = 3
 MEMBER_WORDS = 1 << 17
+#: Bytes of text that are hashed at once, or one longer text.
+PIECE = 1 << 18
 #: Tokens of more than a block are broadcast up to this many.
 BROADCAST_TOKENS = 100_000
 
@@ -71,7 +73,7 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _sets_of(texts: pa.Array, width: int) -> Iterator[tuple[int, int, list[np.ndarray], np.ndarray]]:
     """(first row, end row, sorted distinct shingles of each row, class ids) of each chunk."""
-    for first, end, buf, offsets in chunks(texts):
+    for first, end, buf, offsets in chunks(texts, PIECE):
         starts, ends, rows = words(buf, offsets)
         h, r = shingles(spans_hash(buf, starts, ends), rows, width)
         cuts = np.searchsorted(r, np.arange(end - first + 1))
@@ -87,7 +89,7 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int64)
         for b in batches:
-            for _, _, buf, offsets in chunks(b.column(0)):
+            for _, _, buf, offsets in chunks(b.column(0), PIECE):
                 starts, ends, rows = words(buf, offsets)
                 h, _ = shingles(spans_hash(buf, starts, ends), rows, width)
                 counts += np.bincount((h >> shift).astype(np.int64), minlength=size)
