@@ -1,6 +1,6 @@
 """URL filter: host and path rules first, then a naive Bayes verdict over segmented tokens.
 
-Host labels and long path tokens are concatenated words; a unigram Viterbi search splits them by word probabilities counted over
+Host labels and path tokens of any length may be concatenated words; a unigram Viterbi search splits them by word probabilities counted over
 a whole corpus. The segmented host words and path tokens are features of a multinomial naive Bayes model, hashed to FEATURES
 buckets so that the model has a fixed size; it learns from the urls that a rule decides.
 
@@ -28,8 +28,9 @@ from .common import Scratch, lower_ascii, only
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 FEATURES = 1 << 16
 #: Size of the word model: this many most frequent words have probabilities of their own, others one by length.
-VOCABULARY = 50_000
-LONGEST = 20
+VOCABULARY = 1 << 17
+#: Cost of a letter in a run that is no word.
+LETTER = 2.3
 
 
 def host_of(url: Column) -> Column:
@@ -51,8 +52,8 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def word_counts(texts: DataFrame, vocabulary: int = VOCABULARY) -> dict[str, int]:
-    """Counts of the `vocabulary` most frequent words of a-z over all texts(text)."""
-    words = texts.select(F.explode(F.split(lower_ascii(F.coalesce("text", F.lit(""))), r"[\x00-`{-\x7f]+")).alias("w")).filter(F.col("w").rlike(f"^[a-z]{{1,{LONGEST}}}$"))
+    """Counts of the `vocabulary` most frequent words, runs of letters in lower case, over all texts(text)."""
+    words = texts.select(F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+")).alias("w")).filter("w != ''")
     scratch = Scratch(texts.sparkSession)
     # written before it is collected, so that the driver gets the words of the whole and not those of every task
     top = scratch.write(words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(vocabulary), "words")
@@ -62,22 +63,34 @@ def word_counts(texts: DataFrame, vocabulary: int = VOCABULARY) -> dict[str, int
 
 
 class Segmenter:
-    """Unigram Viterbi: the split of a name whose words have the highest product of probabilities."""
+    """Unigram Viterbi: the split of a name whose words have the highest product of probabilities. A run of letters that is no word has
+    a probability by its length, however long it is. Of equal splits the one with the longer last word is taken, and a word before a run."""
 
     def __init__(self, counts: dict[str, int]):
         total = sum(counts.values()) or 1
         # a single letter is hardly ever a word of its own in a name
         self.cost = {w: -math.log(n / total) + (8.0 if len(w) == 1 else 0.0) for w, n in counts.items()}
+        self.lengths = sorted({len(w) for w in counts}, reverse=True)
         self.unknown = math.log(total) + math.log(10)
         self.split = lru_cache(1 << 16)(self._split)
 
     def _split(self, name: str) -> tuple[str, ...]:
-        best, back = [0.0] + [math.inf] * len(name), [0] * (len(name) + 1)
+        best, back = [0.0], [0]
+        run, begun = math.inf, 0  # cost of the best split that ends in a run, and where the run begins
         for end in range(1, len(name) + 1):
-            for start in range(max(0, end - LONGEST), end):
-                cost = best[start] + self.cost.get(name[start:end], self.unknown + 2.3 * (end - start))
-                if cost < best[end]:
-                    best[end], back[end] = cost, start
+            if best[-1] + self.unknown < run:
+                run, begun = best[-1] + self.unknown, end - 1
+            run += LETTER
+            least, start = math.inf, 0
+            for n in self.lengths:
+                if n <= end:
+                    cost = best[end - n] + self.cost.get(name[end - n : end], math.inf)
+                    if cost < least:
+                        least, start = cost, end - n
+            if run < least:
+                least, start = run, begun
+            best.append(least)
+            back.append(start)
         out, end = [], len(name)
         while end:
             out.append(name[back[end] : end])
@@ -89,12 +102,12 @@ def tokens(host: str, path: str, segmenter: Segmenter) -> list[str]:
     out = []
     for label in re.split(r"[^a-z0-9\u0080-\U0010ffff]+", host):
         if label:
-            out += ["h:" + w for w in (segmenter.split(label) if len(label) <= 256 else (label,))]
+            out += ["h:" + w for w in segmenter.split(label)]
     for part in re.split(r"[\W_]+", path.lower()):
         if part.isdigit():
             out.append(f"p:#{len(part)}")
         elif part:
-            out += ["p:" + w for w in (segmenter.split(part) if len(part) <= 256 else (part,))]
+            out += ["p:" + w for w in segmenter.split(part)]
     return out
 
 

@@ -345,3 +345,61 @@ def test_chat_digests_equal_sql_and_plain_python(spark):
     sql = con.execute(chat.ORACLE).fetchall()
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     assert sorted(map(str, sql)) == sorted(str(tuple(r[n] for n in names)) for r in got.values())
+
+
+def test_segmentation_equals_all_splits():
+    rnd = random.Random(2)
+    counts = {w: rnd.randint(1, 60) for w in ("a", "b", "ab", "ba", "abc", "cab", "é", "éa", "abcabcabcabcabcabcabcabc")}
+    s = url_filter.Segmenter(counts)
+
+    def cost(parts):
+        return sum(s.cost[w] if w in s.cost else s.unknown + url_filter.LETTER * len(w) for w in parts)
+
+    def splits(name):
+        return [[]] if not name else [[name[:k], *rest] for k in range(1, len(name) + 1) for rest in splits(name[k:])]
+
+    for name in ["", *("".join(rnd.choices("abcé7", k=rnd.randint(1, 10))) for _ in range(200))]:
+        got = s.split(name)
+        assert "".join(got) == name and abs(cost(got) - min(cost(p) for p in splits(name))) < 1e-9, name
+    assert s.split("abcabcabcabcabcabcabcabc" * 40) == ("abcabcabcabcabcabcabcabc",) * 40
+    assert url_filter.Segmenter({"ab": 1, "a": 1, "b": 1, "aab": 1}).split("") == () and url_filter.Segmenter({}).split("xyz") == ("xyz",)
+    tie = url_filter.Segmenter({"aab": 4, "c": 4, "aa": 4, "bc": 4})
+    tie.cost = {"aab": 1.0, "c": 1.0, "aa": 1.0, "bc": 1.0}
+    assert tie.split("aabc") == ("aa", "bc")
+
+
+def test_bayes_scores_equal_plain_counts(spark):
+    rnd = random.Random(6)
+    rules = (("block", "bad.com", "/"), ("allow", "good.com", "/"))
+    names = ["cheapnews", "gardencasino", "newsnewsé", "tools7", "z" * 700]
+    rows = [(k, f"http://{rnd.choice(names)}.{rnd.choice(['bad.com', 'good.com', 'else.org'])}/{rnd.choice(names)}/{k}-x_{rnd.choice(names).upper()}") for k in range(120)]
+    text = "cheap news garden casino tools é newsé " * 5
+    got = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([(text,), ("Casino",)], "text string"), rules).collect()}
+    counts = {}
+    for w in (text + "casino").split():
+        counts[w] = counts.get(w, 0) + 1
+    seg = url_filter.Segmenter(counts)
+
+    def features(url):
+        host, _, path = url.split("://")[1].partition("/")
+        out = ["h:" + w for label in host.split(".") for w in seg.split(label)]
+        for part in re.split(r"[\W_]+", path.lower()):
+            out += [f"p:#{len(part)}"] if part.isdigit() else ["p:" + w for w in seg.split(part)] if part else []
+        return [zlib.crc32(t.encode()) % url_filter.FEATURES for t in out]
+
+    seen, docs = {True: [1.0] * url_filter.FEATURES, False: [1.0] * url_filter.FEATURES}, {True: 1, False: 1}
+    for _, u in rows:
+        if "else.org" not in u:
+            docs["bad.com" in u] += 1
+            for f in features(u):
+                seen["bad.com" in u][f] += 1
+    total = {k: sum(v) for k, v in seen.items()}
+    for k, u in rows:
+        odds = math.log(docs[True] / docs[False]) + sum(math.log(seen[True][f] / total[True]) - math.log(seen[False][f] / total[False]) for f in features(u))
+        assert abs(got[k]["block_score"] - 1 / (1 + math.exp(-odds))) < 1e-9, u
+
+
+def test_url_filter_without_corpus(spark):
+    pages = spark.createDataFrame([(1, "http://abc.org/x"), (2, None)], "page_id long, url string")
+    got = url_filter.judge(pages, spark.createDataFrame([], "text string")).collect()
+    assert len(got) == 2 and {r["verdict"] for r in got} == {"allow"}
