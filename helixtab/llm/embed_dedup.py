@@ -9,8 +9,8 @@ What is left is compared in blocks of LEAF x LEAF, with the cosine in double pre
 Equal vectors are one class with a count, so a group of copies costs one comparison; near copies meet in blocks, which emit a
 count per vector and a spanning forest, never all pairs.
 
-Vectors that are null, zero, or hold null or non-finite components, and vectors of another dimension than the most
-frequent one, link with nothing: no links, a component of their own. Rows with a null id are returned with a null component and linked
+Vectors of each dimension are joined apart, one dimension after another. Vectors that are null, zero, or hold null or non-finite components, and a
+vector that is alone in its dimension, link with nothing: no links, a component of their own. Rows with a null id are returned with a null component and linked
 with nothing. Rows that repeat an id are vectors of their own. Empty table: empty result. Extra columns are ignored.
 """
 
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, only
 from .components import components
@@ -32,6 +33,9 @@ INTERVAL = 8192
 LEAF = 512
 #: Slack of single-precision products and coordinates.
 SLACK = 1e-4
+#: Intervals that one meets in a task, partitions of these tasks at most, and marks of rows of the interval itself.
+PARTNERS, MOST_PARTS = 64, 20_000
+OWN, WITH_ITSELF = -1, -2
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -131,31 +135,62 @@ class Join:
             self.run(a, slice(mid, b.stop))
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple[int, ...], list[pa.RecordBatch]]]:
+    """Groups of rows that are equal in the first columns, one at a time."""
+    key, held = None, []
+    for b in batches:
+        g = np.stack([np.asarray(b.column(k), np.int64) for k in range(keys)], axis=1)
+        cuts = np.flatnonzero((g[1:] != g[:-1]).any(1)) + 1
+        for s, e in zip(np.r_[0, cuts], np.r_[cuts, len(b)], strict=True):
+            if e > s:
+                now = tuple(g[s].tolist())
+                if key is not None and now != key:
+                    yield key, held
+                    held = []
+                key = now
+                held.append(b.slice(s, e - s))
+    if held:
+        yield key, held
+
+
 def near_duplicates(embeddings: DataFrame, t: float = 0.9, lead: int = LEAD, interval: int = INTERVAL) -> DataFrame:
     """embeddings(vec_id, embedding) -> vec_id, n_links, component_id, kept."""
-    spark = embeddings.sparkSession
-    scratch = Scratch(spark)
-    rows = only(embeddings, vec_id="bigint", embedding="array<double>")
+    scratch = Scratch(embeddings.sparkSession)
+    given = embeddings.schema["embedding"].dataType
+    single = isinstance(given, T.ArrayType) and isinstance(given.elementType, T.FloatType)  # sent as they are, half as long
+    rows = only(embeddings, vec_id="bigint", embedding="array<float>" if single else "array<double>")
     sound = F.col("vec_id").isNotNull() & F.coalesce(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False)) & F.coalesce(F.exists("embedding", lambda v: v != 0), F.lit(False))
-    sizes = rows.filter(sound).groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    if not sizes:
-        return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    dim = sizes[0]["d"]
-    lead = min(lead, dim)
-    good = rows.filter(sound & (F.size("embedding") == dim))
+    found = rows.filter(sound).groupBy(F.size("embedding").alias("d")).count().filter("count > 1").collect()  # one row a dimension
+    dims = sorted(r["d"] for r in found)
+    out = rows.filter(~(sound & F.size("embedding").isin(dims)) if dims else F.lit(True)).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
+    for dim in dims:
+        out = out.unionByName(_of_dimension(rows.filter(sound & (F.size("embedding") == dim)), dim, t, min(lead, dim), interval, scratch))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def _of_dimension(good: DataFrame, dim: int, t: float, lead: int, interval: int, scratch: Scratch) -> DataFrame:
+    """good(vec_id, embedding) of one dimension -> vec_id, n_links, component_id."""
+    spark, kind = good.sparkSession, dict(good.dtypes)["embedding"]
     classes = scratch.write(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
     axes, n = principal(classes, dim, lead)
     eps = float(np.sqrt(max(0.0, 2 - 2 * t))) + SLACK
     where = [f"y{k}" for k in range(lead + 1)]
 
+    def placed(x: np.ndarray) -> np.ndarray:
+        """Coordinates of unit vectors: the leading principal ones, and the norm that is left outside."""
+        y = x @ axes
+        return np.c_[y, np.sqrt(np.maximum(0.0, 1 - (y * y).sum(1)))]
+
+    def order(y: np.ndarray, rep: np.ndarray) -> np.ndarray:
+        cells = np.floor(y[:, :lead] / eps)
+        return np.lexsort((rep, y[:, 0], *(cells[:, k] for k in range(lead - 1, -1, -1))))
+
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                x = _unit(_matrix(b.column(0), dim))
-                y = x @ axes
-                rest = np.sqrt(np.maximum(0.0, 1 - (y * y).sum(1)))
-                cells = np.floor(y / eps).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(y[:, k]) for k in range(lead)), pa.array(rest), *(pa.array(cells[:, k]) for k in range(lead))], ["embedding", "rep", "copies", *where, *(f"c{k}" for k in range(lead))])
+                y = placed(_unit(_matrix(b.column(0), dim)))
+                cells = np.floor(y[:, :lead] / eps).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(y[:, k]) for k in range(lead + 1)), *(pa.array(cells[:, k]) for k in range(lead))], ["embedding", "rep", "copies", *where, *(f"c{k}" for k in range(lead))])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, part = 0, TaskContext.get().partitionId()
@@ -163,11 +198,11 @@ def near_duplicates(embeddings: DataFrame, t: float = 0.9, lead: int = LEAD, int
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(b), part, np.int32)), pa.array(np.arange(at, at + len(b)))], [*b.schema.names, "part", "at"])
             at += len(b)
 
-    shape = "embedding array<double>, rep bigint, copies bigint, " + ", ".join(f"{y} double" for y in where)
+    shape = f"embedding {kind}, rep bigint, copies bigint, " + ", ".join(f"{y} double" for y in where)
     cells = [f"c{k}" for k in range(lead)]
     ordered = classes.select("embedding", "rep", "copies").mapInArrow(project, shape + "".join(f", {c} int" for c in cells))
     ordered = ordered.repartitionByRange(max(1, -(-n // interval)), *cells, "y0", "rep").sortWithinPartitions(*cells, "y0", "rep").drop(*cells[1:])
-    ordered = scratch.write(ordered.mapInArrow(number, f"{shape}, c0 int, part int, at bigint"), "ordered")
+    ordered_table = ordered = scratch.write(ordered.mapInArrow(number, f"{shape}, c0 int, part int, at bigint"), "ordered")
     # position in the whole order: rows before the partition (one number a partition) + position within
     ends, offset, starts = ordered.groupBy("part").count().orderBy("part").collect(), 0, []
     for r in ends:
@@ -180,47 +215,54 @@ def near_duplicates(embeddings: DataFrame, t: float = 0.9, lead: int = LEAD, int
     b = boxes.select(F.col("g").alias("g2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.explode(F.sequence(F.col("c_lo") - 1, F.col("c_hi") + 1)).alias("cell"))
     gap = lambda k: F.pow(F.greatest(F.lit(0.0), F.col("lo2")[k] - F.col("hi1")[k], F.col("lo1")[k] - F.col("hi2")[k]), 2)
     pairs = a.join(b, "cell").filter((F.col("g1") <= F.col("g2")) & (sum((gap(k) for k in range(lead + 1)), F.lit(0.0)) <= eps * eps)).select("g1", "g2").distinct()
-    pairs = scratch.write(pairs, "pairs")
-    data = ordered.select("g", "at", "rep", "copies", "embedding", F.array(*where).alias("y"))
-    left = data.join(pairs.withColumnRenamed("g1", "g"), "g").select(F.col("g").alias("g1"), "g2", F.lit(0).alias("side"), "y", "rep", "copies", "embedding")
-    right = data.join(pairs.filter("g1 != g2").withColumnRenamed("g2", "g"), "g").select("g1", F.col("g").alias("g2"), F.lit(1).alias("side"), "y", "rep", "copies", "embedding")
-    n_pairs = pairs.count()
-    sent = left.unionByName(right).repartition(max(1, n_pairs), "g1", "g2").sortWithinPartitions("g1", "g2", "side", *(F.floor(F.col("y")[k] / eps) for k in range(lead)), F.col("y")[0], "rep")
+    # an interval meets up to PARTNERS others in one task, to which it is sent once; of two intervals either is the one in half of the cases
+    swap = (F.col("g1") + F.col("g2")) % 2 == 1
+    pairs = pairs.select(F.when(swap, F.col("g2")).otherwise(F.col("g1")).alias("own"), F.when(swap, F.col("g1")).otherwise(F.col("g2")).alias("other"))
+    pairs = scratch.write(pairs.withColumn("part", F.floor(F.col("other") / PARTNERS)), "pairs")
+    data = ordered.select("g", "rep", "copies", "embedding")
+    tasks = pairs.select("own", "part").distinct()
+    first = data.join(tasks.withColumn("g", F.col("own")), "g").select("own", "part", F.lit(OWN).cast("bigint").alias("other"), "rep", "copies", "embedding")
+    others = data.join(pairs.withColumn("g", F.col("other")), "g").select("own", "part", F.when(F.col("own") != F.col("other"), F.col("other")).otherwise(F.lit(WITH_ITSELF)).alias("other"), "rep", "copies", "embedding")
+    # an interval with itself needs no second copy of its rows: one row tells that the pair is wanted
+    alone = others.filter(F.col("other") == WITH_ITSELF).groupBy("own", "part", "other").agg(F.min("rep").alias("rep")).select("own", "part", "other", "rep", F.lit(0).cast("bigint").alias("copies"), F.array().cast(kind).alias("embedding"))
+    sent = first.unionByName(others.filter("other >= 0")).unionByName(alone)
+    sent = sent.repartition(max(1, min(MOST_PARTS, tasks.count())), "own", "part").sortWithinPartitions("own", "part", "other")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        def block(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
             t_ = pa.Table.from_batches(parts).combine_chunks()
-            side = np.asarray(t_["side"])
-            x, y = _unit(_matrix(t_["embedding"].combine_chunks(), dim)), _matrix(t_["y"].combine_chunks(), lead + 1)
-            rep, n1 = np.asarray(t_["rep"]), int((side == 0).sum())
-            join = Join(x, y, np.asarray(t_["copies"]), t)
-            same = t_["g1"][0].as_py() == t_["g2"][0].as_py()
-            join.run(slice(0, n1), slice(0, n1) if same else slice(n1, len(x)))
+            x, rep = _unit(_matrix(t_["embedding"].combine_chunks(), dim)), np.asarray(t_["rep"])
+            y = placed(x)
+            at = order(y, rep)
+            return x[at], y[at], np.asarray(t_["copies"])[at], rep[at]
+
+        def one(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...] | None) -> pa.RecordBatch:
+            x, y, copies, rep = left if right is None else (np.concatenate(p) for p in zip(left, right, strict=True))
+            n1 = len(left[0])
+            join = Join(x, y, copies, t)
+            join.run(slice(0, n1), slice(0, n1) if right is None else slice(n1, len(x)))
             hit = np.flatnonzero(join.links)
             return pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(join.links[hit]), pa.array(rep[join.find(hit)])], ["rep", "links", "root"])
 
-        key, held = None, []
-        for b in batches:
-            g = np.c_[np.asarray(b.column(0)), np.asarray(b.column(1))]
-            cuts = np.flatnonzero((g[1:] != g[:-1]).any(1)) + 1
-            for s, e in zip(np.r_[0, cuts], np.r_[cuts, len(b)], strict=True):
-                if e > s:
-                    if key is not None and tuple(g[s]) != key:
-                        yield one(held)
-                        held = []
-                    key = tuple(g[s])
-                    held.append(b.slice(s, e - s))
-        if held:
-            yield one(held)
+        left, wanted = None, None
+        for key, parts in _groups(batches, 3):
+            if key[2] == WITH_ITSELF:  # comes first
+                wanted = key[:2]
+            elif key[2] == OWN:
+                left = block(parts)
+                if wanted == key[:2]:
+                    yield one(left, None)
+            else:
+                yield one(left, block(parts))
 
     found = scratch.write(sent.mapInArrow(joined, "rep bigint, links bigint, root bigint"), "links")
     comp = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     known = classes.join(links, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.select(F.col("embedding").alias("e"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
-    linked = good.join(known, F.col("embedding") == F.col("e")).select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
-    alone = rows.filter(~sound | (F.size("embedding") != dim)).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    out = scratch.write(good.join(known, F.col("embedding") == F.col("e")).select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id")), "result")
+    scratch.drop(classes, ordered_table, pairs, found, comp)
+    return out
 
 
 #: Brute force over all pairs; the links of the components by a recursive query.

@@ -108,6 +108,18 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
     assert embed_dedup.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_embeddings_of_several_dimensions(spark):
+    rng = np.random.default_rng(3)
+    vectors = {}
+    for dim, n in ((16, 60), (2, 40), (1, 5), (7, 1)):
+        base = rng.standard_normal((6, dim))
+        vectors |= {1000 * dim + k: (base[k % 6] + 0.1 * (k % 4) * rng.standard_normal(dim)).astype(np.float32).tolist() for k in range(n)}
+    want = brute_links(vectors)
+    for kind in ("float", "double"):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(spark.createDataFrame(list(vectors.items()), f"vec_id long, embedding array<{kind}>"), interval=16).collect()}
+        assert got == want
+
+
 # op3
 
 
