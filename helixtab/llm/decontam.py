@@ -1,17 +1,22 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame expressions only.
 
-Texts are reduced to templates: numbers, names (capitalised words inside a sentence) and units after numbers become typed
-placeholders, other words are lower-cased without punctuation. Windows of WINDOW template words of every document are
-hash-joined with those of the benchmark. Matches of a document and an item on one diagonal (document position minus item
-position) form passages, one for each maximal run of adjacent windows; a passage counts if its slots are consistent: on it each value of the item
-stands for one value of the document and the other way round, for numbers, names and units alike. Windows without placeholders are equal
-word for word and count in any passage. So a question with other numbers or names is caught, and a
-different table of numbers is not.
-
-Windows with more placeholders than MOST_SLOTS are joined on their marked words, so they are found as exact copies and count in any passage. A text of fewer words than a window is one window of its own, so a short
-item is found where it is the whole of a document. Null texts are empty and match nothing. Rows with a null id are
-returned with no match; rows that repeat an id share the passages found in any of them. Empty documents or an empty benchmark: no matches.
-Extra columns are ignored.
+Texts are reduced to templates: numbers, names (capitalised words inside a sentence, whatever white space or quotation marks stand
+before them) and units after numbers become typed placeholders, other words are lower-cased without punctuation. Windows of WINDOW
+template words of every document are hash-joined with those of the benchmark. Matches of a document and an item on one diagonal
+(document position minus item position) form passages, one for each maximal run of adjacent windows; a passage counts if its slots are
+consistent: on it each value of the item stands for one value of the document and the other way round, for numbers, names and units
+alike. So a question with other numbers or names is caught, and a different table of numbers is not.
+
+* Windows without placeholders are equal word for word and count in any passage.
+* Windows with placeholders are joined word for word too. Where one is found that way alone (a name at the start of an item is no
+  name inside a sentence), it counts in any passage.
+* Windows with more than MOST_SLOTS placeholders say little: word for word they count in any passage; by template their runs count if
+  they are consistent and hold LITERALS different plain words at least.
+* Items of fewer words than a window count where all their words stand in a row in a document (ITEM_WORDS words at least) or are a whole line or
+  sentence of it (fewer words), and by template where they are the whole document.
+
+Null texts are empty and match nothing. Rows with a null id are returned with no match; of rows that repeat an id each text is searched
+by itself, and all of them have what is found in any. Empty documents or an empty benchmark: no matches. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +28,10 @@ from .common import Scratch, only
 
 WINDOW = 8
 MOST_SLOTS = 3
-#: The benchmark is broadcast up to this many windows, and joined by shuffle beyond.
-BROADCAST_WINDOWS = 500_000
+#: Different plain words that a run of windows full of placeholders must hold, and words of an item that is found inside a sentence.
+LITERALS, ITEM_WORDS = 5, 5
+#: The benchmark is broadcast up to this many windows and bytes of text, and joined by shuffle beyond.
+BROADCAST_WINDOWS, BROADCAST_BYTES = 500_000, 1 << 25
 MEMBER_WORDS = 1 << 17
 NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
 #: Units that count as one after a number.
@@ -35,6 +42,10 @@ UNITS = "mm cm m km in ft yd mi mg g kg t lb lbs oz ml l s sec min h hr hrs ms d
 SIGNS = r"[!-/:-@\[-`{-~]+"
 OTHER_SIGNS = r"[\u00a1-\u00bf\u00d7\u00f7\u2010-\u2bff\u3001-\u303f\uff01-\uff0f\uff1a-\uff20]+"
 BLANKS = " \t\n\x0b\x0c\r"
+OPENS = "[\"'(\\[\u201c\u201e\u2018\u201a\u00ab]"
+CLOSES = "[\"')\\]\u201d\u2019\u00bb]"
+#: Ends of lines and sentences.
+ENDS = r"[\r\n]+|[.!?\u2026]+(?=\s|$)"
 
 
 def marked(text: Column) -> Column:
@@ -43,7 +54,7 @@ def marked(text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
     own = [F.contains(t, F.lit(c)) for c in (NAME, NUMBER, UNIT)]
     t = F.when(own[0] | own[1] | own[2], F.translate(t, NAME + NUMBER + UNIT, "")).otherwise(t)
-    t = F.regexp_replace(t, r" (?=\p{Lu}\p{Ll})(?<=[\p{L}\p{N},;] )", " " + NAME)
+    t = F.regexp_replace(t, rf"([ \t-\r]{OPENS}?)(?=\p{{Lu}}\p{{Ll}})(?<=[\p{{L}}\p{{N}},;]{CLOSES}?[ \t-\r]{{1,2}}{OPENS}?)", "$1" + NAME)
     t = F.when(t.rlike("[0-9]"), F.regexp_replace(t, r"(?=\p{Sc}?[0-9])(?<![\p{L}\p{N}\p{Sc}.,:/])", NUMBER)).otherwise(t)
     t = F.regexp_replace(F.lower(t), SIGNS, "")
     t = F.when(F.octet_length(text) > F.length(text), F.regexp_replace(t, OTHER_SIGNS, "")).otherwise(t)
@@ -68,6 +79,10 @@ def with_words(df: DataFrame, values: str, words: str) -> DataFrame:
     return df.withColumn("_m", marked(F.col("text"))).withColumn("_t", template(F.col("_m"))).withColumns({values: tokens(F.col("_m")), words: tokens(F.col("_t"))}).drop("_m", "_t")
 
 
+def unmarked(marked_text: Column) -> Column:
+    return F.translate(marked_text, NAME + NUMBER, "")
+
+
 def windows(hashes: Column, width: int) -> Column:
     """array<bigint>: hash of each window, in order of position, from a named column of word hashes."""
     n = F.size(hashes)
@@ -79,62 +94,94 @@ def word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def slot_places(words: Column) -> Column:
-    return F.array_compact(F.transform(words, lambda w, i: F.when(w.rlike(r"[\x01\x02\x03]"), i)))
-
-
-def dense(values: Column, places: Column, width: int, most_slots: int) -> Column:
-    """array<struct<pos, h>>: hash of the marked words of each window with more than most_slots placeholders, from named columns."""
-    n, key = F.size(values), lambda ws: F.xxhash64(ws, F.lit("dense"))
-
-    def starts(p, j):
-        q = F.get(places, j + most_slots)
-        low, high = F.greatest(F.lit(0), q - width + 1), F.least(p, n - width)
-        return F.when((q - p < width) & (low <= high), F.sequence(low, high))
-
-    at = lambda p: F.struct(p.alias("pos"), key(F.slice(values, p + 1, width)).alias("h"))
-    whole = F.array(F.struct(F.lit(0).alias("pos"), key(values).alias("h")))
-    each = F.transform(F.array_distinct(F.flatten(F.array_compact(F.transform(places, starts)))), at)
-    return F.when(F.size(places) <= most_slots, F.slice(whole, 1, 0)).when(n < width, whole).otherwise(each)
+SLOT = r"[\x01\x02\x03]"
+
+
+def _benchmark(items: DataFrame, width: int, most_slots: int) -> DataFrame:
+    """items(item_id, values, words) -> h, item_id, item_pos, kind of each window: plain, few (slots), many, or literal."""
+    hashed = items.withColumn("plain", F.transform("values", lambda w: unmarked(w))).withColumns({"wh": word_hashes(F.col("words")), "ph": word_hashes(F.col("plain"))})
+    each = F.arrays_zip(windows(F.col("wh"), width).alias("t"), windows(F.col("ph"), width).alias("l"))
+    at = hashed.select("item_id", "words", F.posexplode(each).alias("item_pos", "h")).withColumn("own", F.slice("words", F.col("item_pos") + 1, F.lit(width)))
+    at = at.select("item_id", "item_pos", "h", F.size(F.filter("own", lambda w: w.rlike(SLOT))).alias("slots"), F.size(F.array_distinct(F.filter("own", lambda w: ~w.rlike(SLOT)))).alias("literals"))
+    kind = F.when(F.col("slots") == 0, "plain").when(F.col("slots") <= most_slots, "few").when(F.col("literals") > 1, "many")
+    by_template = at.select(F.col("h.t").alias("h"), "item_id", "item_pos", kind.alias("kind")).filter("kind is not null")
+    return by_template.unionByName(at.filter("slots > 0").select(F.col("h.l").alias("h"), "item_id", "item_pos", F.lit("literal").alias("kind")))
+
+
+def _document_windows(rows: DataFrame, width: int) -> DataFrame:
+    """rows(doc_id, th, text) -> doc_id, th, pos, h: windows by template, and word for word where that differs. Each step is a column of
+    its own, so that nothing is evaluated for each use."""
+    own = rows.withColumn("_m", marked(F.col("text"))).withColumn("_t", template(F.col("_m")))
+    own = own.select("doc_id", "th", word_hashes(tokens(F.col("_t"))).alias("wh"), F.when(F.col("_t").rlike(SLOT), word_hashes(tokens(unmarked(F.col("_m"))))).alias("ph"))
+    own = own.select("doc_id", "th", windows(F.col("wh"), width).alias("t"), F.when(F.col("ph").isNotNull(), windows(F.col("ph"), width)).alias("l"))
+    place = lambda c: F.transform(c, lambda h, i: F.struct(i.alias("pos"), h.alias("h")))
+    literal = F.filter(place("l"), lambda x: x["h"] != F.get("t", x["pos"]))
+    return own.select("doc_id", "th", F.inline(F.when(F.col("l").isNull(), place("t")).otherwise(F.concat(place("t"), literal))))
+
+
+def _short(rows: DataFrame, items: DataFrame, width: int) -> DataFrame | None:
+    """doc_id and item_id where an item of fewer words than a window stands in a document; None if there is no such item."""
+    short = items.select("item_id", F.transform("values", lambda w: unmarked(w)).alias("ws")).filter(F.size("ws").between(1, width - 1)).select("item_id", F.size("ws").alias("n"), F.xxhash64("ws").alias("h"))
+    lengths = sorted(r["n"] for r in short.select("n").distinct().collect())  # below the width of a window
+    if not lengths:
+        return None
+    words = lambda text: tokens(unmarked(marked(text)))
+    named = rows.select("doc_id", words(F.col("text")).alias("ws"), F.transform(F.split(F.coalesce("text", F.lit("")), ENDS, -1), lambda x: words(x)).alias("lines"))
+    long = [n for n in lengths if n >= ITEM_WORDS]
+    rows_of = lambda n: F.when(F.size("ws") >= n, F.transform(F.sequence(F.lit(1), F.size("ws") - n + 1), lambda i: F.xxhash64(F.slice("ws", i, F.lit(n))))).otherwise(F.array().cast("array<bigint>"))
+    each = [rows_of(n) for n in long]
+    if len(long) < len(lengths):
+        each.append(F.transform(F.filter("lines", lambda x: F.size(x).isin([n for n in lengths if n < ITEM_WORDS])), lambda x: F.xxhash64(x)))
+    found = named.select("doc_id", F.explode(F.array_distinct(F.concat(*each))).alias("h")).join(short, "h")
+    return found.select("doc_id", "item_id").distinct()
 
 
 def passages(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most_slots: int = MOST_SLOTS) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) -> doc_id, item_id, diagonal, first, last, n_windows, slots, consistent."""
     scratch = Scratch(docs.sparkSession)
-    rows = only(docs, doc_id="bigint", text="string").filter("doc_id is not null")
-    items = only(benchmark, item_id="bigint", text="string").filter("item_id is not null")
-    items = with_words(items, "values", "words").select("item_id", "values", "words")
-    items = scratch.write(items, "items")
-    slots_in = lambda ws: F.size(F.filter(ws, lambda w: w.rlike(r"[\x01\x02\x03]")))
-    at = items.withColumn("hashes", word_hashes(F.col("words"))).select("item_id", "words", F.posexplode(windows(F.col("hashes"), width)).alias("item_pos", "h"))
-    at = at.withColumn("slots", slots_in(F.slice("words", F.col("item_pos") + 1, width)))
-    at = at.filter(F.col("slots") <= most_slots).select("h", "item_id", "item_pos", (F.col("slots") == 0).alias("exact"))
-    more = items.withColumn("places", slot_places(F.col("words"))).select("item_id", F.inline(dense(F.col("values"), F.col("places"), width, most_slots)))
-    at = scratch.write(at.unionByName(more.select("h", "item_id", F.col("pos").alias("item_pos"), F.lit(True).alias("exact"))), "windows")
-    small = at.count() <= BROADCAST_WINDOWS
-    # a column of its own: the windows refer to the words many times
-    own = with_words(rows, "values", "words").select("doc_id", "values", word_hashes(F.col("words")).alias("hashes"), slot_places(F.col("words")).alias("places"))
-    by_template = F.transform(windows(F.col("hashes"), width), lambda h, i: F.struct(i.alias("pos"), h.alias("h")))
-    own = own.select("doc_id", F.inline(F.concat(by_template, dense(F.col("values"), F.col("places"), width, most_slots))))
-    hits = own.join(F.broadcast(at) if small else at, "h")
-    found = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.sort_array(F.collect_set("pos")).alias("at"), F.collect_set(F.when(F.col("exact"), F.col("pos"))).alias("exact"))
+    rows = only(docs, doc_id="bigint", text="string").filter("doc_id is not null").withColumn("th", F.xxhash64("text"))
+    given = only(benchmark, item_id="bigint", text="string").filter("item_id is not null")
+    items = scratch.write(with_words(given, "values", "words").select("item_id", "values", "words"), "items")
+    at = scratch.write(_benchmark(items, width, most_slots), "windows")
+    n_bytes = given.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    small = at.count() <= BROADCAST_WINDOWS and n_bytes <= BROADCAST_BYTES
+    hits = _document_windows(rows, width).join(F.broadcast(at) if small else at, "h")
+    of = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.col("pos"))).alias(kind)
+    found = hits.groupBy("doc_id", "th", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(*map(of, ("plain", "few", "many", "literal")))
+    # word for word alone, or too full of placeholders to tell by template
+    found = found.withColumn("exact", F.array_union("plain", F.array_except("literal", "few")))
+    sure = found.withColumn("at", F.sort_array(F.array_union("exact", "few")))
+    full = found.filter(F.size(F.array_except("many", "exact")) > 0).withColumn("at", F.sort_array(F.array_union(F.array_union("exact", "few"), "many")))
     begins, ends = F.filter("at", lambda p, i: (i == 0) | (F.get("at", i - 1) != p - 1)), F.filter("at", lambda p, i: (i == F.size("at") - 1) | (F.get("at", i + 1) != p + 1))
-    found = found.select("doc_id", "item_id", "diagonal", "exact", F.explode(F.arrays_zip(begins.alias("first"), ends.alias("last"))).alias("run"))
-    found = found.select("doc_id", "item_id", "diagonal", "run.first", "run.last", F.size(F.filter("exact", lambda p: p.between(F.col("run.first"), F.col("run.last")))).alias("n_exact"))
+
+    def runs(df: DataFrame, counted: Column, own: Column) -> DataFrame:
+        """counted: positions that count where the run is consistent, own: those that count in any."""
+        out = df.select("doc_id", "th", "item_id", "diagonal", counted.alias("counted"), own.alias("own"), F.explode(F.arrays_zip(begins.alias("first"), ends.alias("last"))).alias("run"))
+        inside = lambda c: F.size(F.filter(c, lambda p: p.between(F.col("run.first"), F.col("run.last"))))
+        return out.select("doc_id", "th", "item_id", "diagonal", "run.first", "run.last", inside("counted").alias("n"), inside("own").alias("n_exact"))
+
+    none = F.array().cast("array<int>")
+    found = runs(sure, F.col("at"), F.col("exact")).withColumn("full", F.lit(False)).unionByName(runs(full, F.array_except("many", "exact"), none).filter("n > 0").withColumn("full", F.lit(True)))
     found = scratch.write(found, "found")
-    # texts of the documents with hits alone are read again: a bitmap of fixed size says which they may be
-    member = found.groupBy(F.expr(f"pmod(shiftright(doc_id, 6), {MEMBER_WORDS})").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(doc_id, 64) as int))")).alias("bits"))
-    wanted = rows.withColumn("w", F.expr(f"pmod(shiftright(doc_id, 6), {MEMBER_WORDS})")).join(F.broadcast(member), "w").filter(F.expr("(shiftright(bits, cast(pmod(doc_id, 64) as int)) & 1L) = 1L")).select("doc_id", "text")
-    both = found.join(wanted, "doc_id").join(F.broadcast(items) if small else items, "item_id")
-    both = with_words(both, "dv", "dw")
+    # texts of the documents with hits alone are read again, and their words written once: a bitmap of fixed size says which they may be
+    member = found.groupBy(F.expr(f"pmod(shiftright(th, 6), {MEMBER_WORDS})").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(th, 64) as int))")).alias("bits"))
+    wanted = rows.withColumn("w", F.expr(f"pmod(shiftright(th, 6), {MEMBER_WORDS})")).join(F.broadcast(member), "w").filter(F.expr("(shiftright(bits, cast(pmod(th, 64) as int)) & 1L) = 1L"))
+    wanted = scratch.write(with_words(wanted.select("doc_id", "th", "text"), "dv", "dw").select("doc_id", "th", "dv", "dw"), "wanted").dropDuplicates(["doc_id", "th"])
+    both = found.join(wanted, ["doc_id", "th"]).join(F.broadcast(items) if small else items, "item_id")
     span = lambda c, start: F.slice(c, F.greatest(F.lit(1), start + 1), F.col("last") - F.col("first") + width)
     aligned = F.arrays_zip(span(F.col("dv"), F.col("first")).alias("d"), span(F.col("dw"), F.col("first")).alias("dt"), span(F.col("values"), F.col("first") - F.col("diagonal")).alias("b"), span(F.col("words"), F.col("first") - F.col("diagonal")).alias("bt"))
-    kind = lambda w: F.regexp_replace(w, r"[^\x01\x02\x03]", "")
-    pairs = F.array_distinct(F.transform(F.filter(aligned, lambda x: (x["dt"] == x["bt"]) & (kind(x["bt"]) != "")), lambda x: F.struct(x["d"].alias("d"), x["b"].alias("b"))))
-    out = both.withColumn("slots", pairs)
+    both = scratch.write(both.select("doc_id", "item_id", "diagonal", "first", "last", "n", "n_exact", "full", aligned.alias("aligned")), "aligned")
+    pairs = F.array_distinct(F.transform(F.filter("aligned", lambda x: (x["dt"] == x["bt"]) & x["bt"].rlike(SLOT)), lambda x: F.struct(x["d"].alias("d"), x["b"].alias("b"))))
+    literals = F.size(F.array_distinct(F.transform(F.filter("aligned", lambda x: (x["dt"] == x["bt"]) & ~x["bt"].rlike(SLOT)), lambda x: x["bt"])))
+    out = both.withColumns({"slots": pairs, "literals": literals})
     one_to_one = (F.size(F.array_distinct(F.transform("slots", lambda s: s["d"]))) == F.size("slots")) & (F.size(F.array_distinct(F.transform("slots", lambda s: s["b"]))) == F.size("slots"))
-    n_windows = F.when(one_to_one, F.col("last") - F.col("first") + 1).otherwise(F.col("n_exact"))
-    return out.select("doc_id", "item_id", "diagonal", "first", "last", n_windows.cast("bigint").alias("n_windows"), "slots", (one_to_one | (F.col("n_exact") > 0)).alias("consistent")).distinct()
+    told = one_to_one & (~F.col("full") | (F.col("literals") >= LITERALS))
+    out = out.select("doc_id", "item_id", "diagonal", "first", "last", F.when(told, F.col("n")).otherwise(F.col("n_exact")).cast("bigint").alias("n_windows"), "slots", (told | (F.col("n_exact") > 0)).alias("consistent"))
+    if (short := _short(rows, items, width)) is not None:
+        zero = F.lit(0)
+        short = short.join(out.filter("consistent").select("doc_id", "item_id"), ["doc_id", "item_id"], "left_anti")
+        out = out.unionByName(short.select("doc_id", "item_id", zero.alias("diagonal"), zero.alias("first"), zero.alias("last"), F.lit(1).cast("bigint").alias("n_windows"), F.array().cast("array<struct<d:string,b:string>>").alias("slots"), F.lit(True).alias("consistent")))
+    return out.distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most_slots: int = MOST_SLOTS) -> DataFrame:

@@ -92,3 +92,114 @@ def test_dense_items_are_found_as_copies(spark):
     short = "3 km 5 kg 7"
     got = run(spark, [f"some text before {item} and after", item.replace("3", "13").replace("5", "15").replace("7", "17").replace("9", "19"), short, "4 km 6 kg 8"], [item, short])
     assert [got[k]["item_ids"] for k in range(4)] == [[0], [], [1], []]
+
+
+RICH = "At 9 Anna paid 3 euros plus 14 cents to Boris and 5 euros plus 20 cents to Clara for 2 kg of flour"
+
+
+def test_rich_in_placeholders(spark):
+    """More placeholders than a window may have: as a copy, and with other values that are consistent."""
+    other = RICH.replace("Anna", "Petra").replace(" 3 ", " 8 ").replace("14", "41").replace("Boris", "Igor")
+    mixed = RICH.replace("5 euros", "3 euros")  # two different numbers become one
+    got = run(spark, [f"before it {RICH} after it", f"before it {other} after it", mixed, "there were 3 and 14 and 5 and 20 of 9 and 2"], [RICH])
+    assert [got[k]["contaminated"] for k in (0, 1, 3)] == [True, True, False]
+
+
+def test_short_items_inside_texts(spark):
+    items = ["What is Rome?", "which river runs through Paris", "two words"]
+    texts = ["Some text. What is Rome? More text.", "I ask what is rome now", "tell me which river runs through Paris and why", "first line\nTwo words\nlast line", "not two words here", ""]
+    got = run(spark, texts, items)
+    assert [got[k]["item_ids"] for k in range(6)] == [[0], [], [1], [2], [], []]
+
+
+def test_names_after_line_breaks_and_quotes(spark):
+    for mark in ("\n", ' "', " (", "  "):
+        got = run(spark, [ITEM.replace(" Anna", mark + "Petra")], [ITEM])
+        assert got[0]["item_ids"] == [0], repr(mark)
+    start = "Lisbon lies on the wide mouth of the old river"
+    assert run(spark, [f"they say Lisbon {start[7:]}"], [start])[0]["contaminated"]
+
+
+def test_repeated_ids_are_searched_apart(spark):
+    docs = spark.createDataFrame([(1, ITEM.replace("12", "5")), (1, "padding words come first here " + ITEM.replace("12", "6")), (2, "nothing of it at all in here")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(5, ITEM)], "item_id bigint, text string")
+    found = decontam.passages(docs, bench).collect()
+    assert {(r["doc_id"], r["diagonal"], r["consistent"]) for r in found} == {(1, 0, True), (1, 5, True)}
+
+
+def plain_words(text):
+    """Marked and template words of a text, by one pass over its words."""
+    import re
+
+    text = re.sub("[\x01\x02\x03]", "", text or "")
+    words, templates = [], []
+    signs = r"[!-/:-@\[-`{-~¡-¿×÷‐-⯿]+"
+    for m in re.finditer(r"[^ \t-\r]+", text):
+        raw = m[0]
+        before = text[: m.start()]
+        opened = raw[:1] if raw[:1] in "\"'([“„‘‚«" and len(raw) > 1 else ""
+        rest = raw[len(opened) :]
+        name = len(rest) > 1 and rest[0].isupper() and rest[1].islower() and re.search(r"[^\W_][\"')\]”’»]?[ \t-\r]{1,2}\Z|[,;][\"')\]”’»]?[ \t-\r]{1,2}\Z", before)
+        marked = re.sub(r"(?<![^\W_$€.,:/])(?<![.,:/])(?=[$€]?[0-9])", "\x02", raw) if not name else raw
+        word = re.sub(signs, "", marked.lower())
+        if not word:
+            continue
+        words.append(("\x01" if name else "") + word)
+        t = "\x01" if name else re.sub(r"\x02[0-9]+", "\x02", word)
+        if templates and templates[-1] == "\x02" and t in decontam.UNITS:
+            t = "\x03"
+        templates.append(t)
+    return words, templates
+
+
+def test_templates_and_slots_equal_plain_python(spark):
+    """Sentences from a small grammar with numbers, names and units; windows, runs and slots found by plain loops."""
+    import random
+
+    rnd = random.Random(11)
+    names, verbs = ["Anna", "Boris", "Clara", "Dmitri"], ["bought", "sold", "carried", "weighed"]
+
+    def sentence():
+        return " ".join(f"then {rnd.choice(names)} {rnd.choice(verbs)} {rnd.randint(1, 4)} {rnd.choice(['kg', 'm', 'boxes'])} of {rnd.choice(['flour', 'rope'])} near the {rnd.choice(['old', 'new'])} harbour" for _ in range(rnd.randint(1, 3)))
+
+    items = [sentence() for _ in range(8)]
+    texts = [rnd.choice(["", "quite another start of it "]) + sentence() for _ in range(60)]
+    width, most = decontam.WINDOW, decontam.MOST_SLOTS
+    slot = lambda w: any(c in w for c in "\x01\x02\x03")
+
+    def hit(doc, item):
+        (dv, dt), (iv, it) = plain_words(doc), plain_words(item)
+        lit = lambda ws: [w.strip("\x01\x02") for w in ws]
+        for diagonal in range(-len(it), len(dt)):
+            kinds = {}
+            for q in range(len(it) - width + 1):
+                p = q + diagonal
+                if 0 <= p <= len(dt) - width:
+                    own, n = it[q : q + width], sum(map(slot, it[q : q + width]))
+                    literal = lit(dv[p : p + width]) == lit(iv[q : q + width])
+                    template = dt[p : p + width] == own
+                    if n == 0 and template or literal and (n > most or not template):
+                        return True
+                    if template:
+                        kinds[p] = n
+            for full in (False, True):
+                ps = sorted(p for p, n in kinds.items() if full or n <= most)
+                run_ = []
+                for p in [*ps, None]:
+                    if run_ and p != run_[-1] + 1:
+                        a, b = run_[0], run_[-1] + width
+                        pairs = {(dv[k], iv[k - diagonal]) for k in range(a, b) if slot(it[k - diagonal])}
+                        words = {it[k - diagonal] for k in range(a, b) if not slot(it[k - diagonal])}
+                        if len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs}) and (len(words) >= decontam.LITERALS or not full or all(kinds[k] <= most for k in run_)):
+                            return True
+                        run_ = []
+                    run_.append(p)
+        return False
+
+    got = run(spark, texts, items)
+    seen = 0
+    for k, t in enumerate(texts):
+        want = [i for i, item in enumerate(items) if hit(t, item)]
+        seen += bool(want)
+        assert got[k]["item_ids"] == want, (t, [items[i] for i in set(want) ^ set(got[k]["item_ids"])])
+    assert 5 < seen
