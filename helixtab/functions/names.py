@@ -66,6 +66,20 @@ def ltr_domains(seqs: DataFrame) -> DataFrame:
     return seqs.filter(n != "").select("header", n.cast("int").alias("ltr_len"))
 
 
+def filter_ltr(df: DataFrame, mode: str = "header") -> DataFrame:
+    """LTR elements alone. header: `LTR` anywhere in the header; class: category Intact TE and class LTR by name; length: everything but
+    elements of class LTR without an LTR length."""
+    if mode == "header":
+        return df.filter(F.contains("header", F.lit("LTR")))
+    te = te_info(F.col("feature_id"))
+    ltr = F.coalesce(te["class"] == "LTR", F.lit(False))
+    if mode == "class":
+        return df.filter((F.col("category") == "Intact TE") & ltr)
+    if mode == "length":
+        return df.filter(~ltr | te["ltr_len"].isNotNull())
+    raise ValueError(f"unknown mode {mode!r}")
+
+
 def normalize_headers(seqs: DataFrame) -> DataFrame:
     """header := name#class/superfamily; blank parts are `Unknown`, the superfamily ends at white space."""
     h, blank = F.col("header"), lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("Unknown"))

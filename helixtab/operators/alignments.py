@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let, running
+
 
 def filter_hsps(hsps: DataFrame, min_align: int = 100, max_off: int = 20) -> DataFrame:
     """HSPs long enough that begin or end within 100 of the subject's ends; of self hits, not the perfect one, and only those whose ends lie within max_off of opposite ends."""
@@ -52,14 +54,16 @@ def element_divergence(hsps: DataFrame, miu: float, min_align: int = 100, max_of
 
 def indel_events(paf: DataFrame, cigar: str = "cigar", start: str = "aln_start") -> DataFrame:
     """One row per insertion or deletion: kind, position on the reference (start of the alignment + what M, =, X and D before it cover) and size."""
-    pairs = F.zip_with(F.regexp_extract_all(cigar, F.lit("([0-9]+)([MIDNSHP=X])"), F.lit(1)), F.regexp_extract_all(cigar, F.lit("([0-9]+)([MIDNSHP=X])"), F.lit(2)), lambda n, op: F.struct(n.cast("bigint").alias("n"), op.alias("op")))
-    none = F.array().cast("array<struct<kind:string,pos:bigint,size:bigint>>")
-    events = F.aggregate(
-        pairs, F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.when(x["op"].isin("M", "=", "X", "D"), x["n"]).otherwise(0)).alias("at"),
-            F.when(x["op"].isin("I", "D"), F.array_append(acc["out"], F.struct(x["op"].alias("kind"), acc["at"].alias("pos"), x["n"].alias("size")))).otherwise(acc["out"]).alias("out")),
-        lambda acc: acc["out"])
+    pieces = F.regexp_extract_all(cigar, F.lit("[0-9]+[MIDNSHP=X]"), F.lit(0))
+    pairs = F.transform(pieces, lambda x: F.struct(F.substr(x, F.lit(1), F.length(x) - 1).cast("bigint").alias("n"), F.right(x, F.lit(1)).alias("op")))
+    covered = lambda x: F.when(x["op"].isin("M", "=", "X", "D"), x["n"]).otherwise(0)
+
+    def of(ops: Column) -> Column:
+        starts = running(F.transform(ops, covered), F.lit(0).cast("bigint"), lambda at, n: at + n)
+        each = let(starts, lambda at: F.transform(ops, lambda x, i: F.struct(x["op"].alias("kind"), F.get(at, i).alias("pos"), x["n"].alias("size"))))
+        return F.filter(each, lambda e: e["kind"].isin("I", "D"))
+
+    events = let(pairs, of)
     held = [c for c in paf.columns if c != cigar]
     return paf.select(*held, F.explode(events).alias("_e")).select(*held, F.col("_e.kind").alias("kind"), (F.col(start) + F.col("_e.pos")).alias("position"), F.col("_e.size").alias("size"))
 

@@ -88,9 +88,11 @@ def nest_groups(df: DataFrame) -> DataFrame:
     first = F.when(F.size("attrs") > 0, F.startswith(F.get("attrs", F.lit(0)), F.lit("NESTED_IN:"))).otherwise(False)
     seen = seen.withColumns({"_cand": F.coalesce(first & same, F.lit(False)), "_gene": is_gene(F.lag("feature_id").over(w))})
     cand = seen.filter(F.col("_cand") & (F.col("_part") == part)).select("sample_id", "line_no", "_gene")
-    w = Window.partitionBy("sample_id").orderBy("line_no")
-    far = F.col("line_no") - F.lag("line_no").over(w) >= 3
-    cand = cand.withColumn("_run", F.sum(F.when(F.coalesce(far, F.lit(True)), 1).otherwise(0)).over(w))
+    place = (["sample_id"], [part_of("line_no")], ["line_no"])
+    cand = with_prefix(cand, *place, F.col("line_no"), "_last", F.max)
+    begins = F.when(F.coalesce(F.col("line_no") - F.col("_last") >= 3, F.lit(True)), 1).otherwise(0)
+    cand = with_prefix(cand.withColumn("_new", begins), *place, F.col("_new"), "_sum")
+    cand = cand.select("sample_id", "line_no", "_gene", (F.coalesce("_sum", F.lit(0)) + F.col("_new")).alias("_run"))
     runs = cand.groupBy("sample_id", "_run").agg(F.sort_array(F.collect_list(F.struct("line_no", "_gene"))).alias("r"))
     taken = F.aggregate("r", F.array().cast("array<struct<line_no:bigint,_gene:boolean>>"), lambda acc, x: F.when((F.size(acc) == 0) | (x["line_no"] - F.element_at(acc, -1)["line_no"] >= 3), F.array_append(acc, x)).otherwise(acc))
     picked = runs.select("sample_id", F.explode(taken).alias("g")).select("sample_id", F.col("g.line_no").alias("nest_group"), F.col("g._gene").alias("_g"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import is_gene
@@ -64,8 +64,7 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, position: str =
 def sample_positions(intervals: DataFrame, n: int, seed: int, keys: list[str] = ["sample_id"]) -> DataFrame:  # noqa: B006
     """n positions per group, drawn with replacement over weighted intervals (chrom, start, end, weight): an interval by its weight, a position in it evenly.
     Draws are integers from a linear congruence of their number, so that they are the same anywhere. Adds draw, position."""
-    order = Window.partitionBy(*keys).orderBy("chrom", "start").rowsBetween(Window.unboundedPreceding, -1)
-    edges = intervals.withColumns({"_from": F.coalesce(F.sum("weight").over(order), F.lit(0.0)), "_total": F.sum("weight").over(Window.partitionBy(*keys))})
+    edges = with_prefix(intervals, keys, [F.col("chrom"), part_of("start")], ["start"], F.col("weight"), "_from", total="_total").withColumn("_from", F.coalesce("_from", F.lit(0.0)))
     spark = intervals.sparkSession
     draws = spark.range(n).select(F.col("id").alias("draw"), uniform(F.col("id"), seed).alias("u"), uniform(F.col("id"), seed + 1).alias("v"))
     # a grid of 64 cells over (0, 1) is the join key; an interval is in the cells that it covers

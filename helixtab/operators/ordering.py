@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 PART = 65_536
 
 
-def with_prefix(df: DataFrame, by: list[str], coarse: list[Column], fine: list, value: Column, out: str, agg=F.sum) -> DataFrame:
+def with_prefix(df: DataFrame, by: list[str], coarse: list[Column], fine: list, value: Column, out: str, agg=F.sum, total: str | None = None) -> DataFrame:
     """Adds `out`: agg of `value` over the rows of the group that come before, in the order of the coarse keys and then `fine`; null for the first
-    row. With agg=F.max and a struct that begins with the order, this is the row before."""
+    row. With agg=F.max and a struct that begins with the order, this is the row before. total: a column with agg of the whole group."""
     keys = [f"_k{i}" for i in range(len(coarse))]
     df = df.withColumns({k: c for k, c in zip(keys, coarse, strict=True)} | {"_v": value})
     parts = df.groupBy(*by, *keys).agg(agg("_v").alias("_s"))
     w = Window.partitionBy(*by).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(*(F.col(c).alias(f"_b_{c}") for c in (*by, *keys)), agg("_s").over(w).alias("_first"))
+    parts = parts.select(*(F.col(c).alias(f"_b_{c}") for c in (*by, *keys)), agg("_s").over(w).alias("_first"), *([agg("_s").over(Window.partitionBy(*by)).alias(total)] if total else []))
     on = [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in (*by, *keys)]
     inner = Window.partitionBy(*by, *keys).orderBy(*fine).rowsBetween(Window.unboundedPreceding, -1)
     own = agg("_v").over(inner)

@@ -16,20 +16,23 @@ CLOSED = r"Updated FASTA written to .*?gen(\d+)_"
 
 def log_sessions(lines: DataFrame, source: str = "source") -> DataFrame:
     """Records of a log (source, line_no, value). A line with the total of insertions opens one; the calculated deletions are the last given; actual ones add up; the line that names
-    the generation closes it. Records without calculated deletions and unfinished ones are dropped. Session numbers are prefix counts over parts of the log."""
+    the generation closes it. Records without calculated deletions and unfinished ones are dropped. Opening and closing lines before a line are counted by one prefix sum over parts of the log,
+    of lines that hold one of the four phrases; the lines of a record have as many closing lines before them as the one that opens it."""
     got = lambda p, k=1: F.regexp_extract("value", p, k).try_cast("bigint")
-    e = lines.select(source, "line_no", got(TOTAL).alias("inserts"), got(TOTAL, 2).alias("nested"), got(TOTAL, 3).alias("nonnested"), got(CALCULATED).alias("calc"), got(SELECTED).alias("removed"), got(CLOSED).alias("gen"))
+    phrases = ("Total TE insertions performed: ", "Calculated number of TE excisions: ", "Selected ", "Updated FASTA written to ")
+    some = F.contains("value", F.lit(phrases[0]))
+    for p in phrases[1:]:
+        some |= F.contains("value", F.lit(p))
+    e = lines.filter(some).select(source, "line_no", got(TOTAL).alias("inserts"), got(TOTAL, 2).alias("nested"), got(TOTAL, 3).alias("nonnested"), got(CALCULATED).alias("calc"), got(SELECTED).alias("removed"), got(CLOSED).alias("gen"))
     e = e.filter("inserts is not null or calc is not null or removed is not null or gen is not null")
-    args = ([source], [part_of("line_no")], ["line_no"])
-    e = with_prefix(e, *args, F.when(F.col("inserts").isNotNull(), 1).otherwise(0), "_o")
-    e = e.withColumn("session", F.coalesce("_o", F.lit(0)) + F.when(F.col("inserts").isNotNull(), 1).otherwise(0)).filter("session > 0")
-    # the first closing line of the session ends it
-    closes = e.filter("gen is not null").groupBy(source, "session").agg(F.min("line_no").alias("_end"), F.min_by("gen", "line_no").alias("generation"))
-    e = e.join(closes, [source, "session"]).filter("line_no <= _end")
-    out = e.groupBy(source, "session").agg(
-        F.max("generation").alias("generation"), F.max("inserts").alias("inserts"), F.max("nested").alias("nested"), F.max("nonnested").alias("nonnested"),
+    opens, closes = F.when(F.col("inserts").isNotNull(), F.lit(1 << 32)).otherwise(0), F.when(F.col("gen").isNotNull(), 1).otherwise(0)
+    e = with_prefix(e, [source], [part_of("line_no")], ["line_no"], opens + closes, "_c").withColumn("_c", F.coalesce("_c", F.lit(0)))
+    e = e.withColumns({"session": F.shiftright("_c", 32) + F.when(F.col("inserts").isNotNull(), 1).otherwise(0), "_closed": F.col("_c").bitwiseAND(F.lit((1 << 32) - 1))}).filter("session > 0")
+    out = e.groupBy(source, "session", "_closed").agg(
+        F.max("gen").alias("generation"), F.max("inserts").alias("inserts"), F.max("nested").alias("nested"), F.max("nonnested").alias("nonnested"),
         F.max_by("calc", F.when(F.col("calc").isNotNull(), F.col("line_no"))).alias("deletions_calc"), F.coalesce(F.sum("removed"), F.lit(0)).alias("deletions_actual"))
-    return out.filter("deletions_calc is not null")
+    # what follows the closing line belongs to no record, and has no opening line
+    return out.filter("inserts is not null and generation is not null and deletions_calc is not null").drop("_closed")
 
 
 LABELS = {"calculated": "Calculated deletions", "actual": "Actual deletions", "nested": "Nest TE insertions", "nonnested": "Non-nest TE insertions", "total": "TE insertions"}

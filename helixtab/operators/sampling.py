@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .density import density_at, histogram
 from .intervals import uniform
-from .ordering import with_prefix
+from .ordering import number_rows, part_of, with_prefix
 
 #: Parts of (0, 1) in which keys are prefix-summed.
 CELLS = 1024
@@ -55,8 +55,9 @@ def event_counts(weights: DataFrame, n: int) -> DataFrame:
 
 def pick_members(draws: DataFrame, library: DataFrame, seed: int) -> DataFrame:
     """A member of the drawn category for each draw, or of the whole library where the category has none. draws(draw, category), library(member, category).
-    Members are numbered per category and over all; a draw's uniform picks the number."""
-    lib = library.withColumns({"_k": F.row_number().over(Window.partitionBy("category").orderBy("member")) - 1, "_g": F.row_number().over(Window.orderBy("member")) - 1})
+    Members are whole numbers; they are numbered per category and over all, in parts of their range; a draw's uniform picks the number."""
+    lib = number_rows(library.withColumn("_one", F.lit(0)), ["_one"], [part_of("member")], ["member"], "_g")
+    lib = number_rows(lib, ["category"], [part_of("member")], ["member"], "_k")
     sizes = library.groupBy("category").agg(F.count("*").alias("_n"))
     total = library.agg(F.count("*").alias("_all"))
     d = draws.withColumn("_u", uniform(F.col("draw"), seed)).join(sizes, "category", "left").join(F.broadcast(total))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import te_info, with_part_type
+from .ordering import number_rows, part_of
 
 TILE = 65_536
 
@@ -34,14 +35,17 @@ def length_by_superfamily(seqs: DataFrame) -> DataFrame:
 
 
 def uniquify_names(seqs: DataFrame, order: str = "line_no") -> DataFrame:
-    """Adds unique_name: the k-th repeat of a name, in file order, gets `_k`; the first stays."""
-    k = F.row_number().over(Window.partitionBy("header").orderBy(order)) - 1
-    return seqs.withColumn("unique_name", F.when(k > 0, F.concat_ws("_", "header", k.cast("string"))).otherwise(F.col("header")))
+    """Adds unique_name: the k-th repeat of a name, in file order, gets `_k`; the first stays. `order` names a row. Names are numbered without their sequences, in parts of the
+    order, and come back by it, so a common name is no task's work."""
+    k = number_rows(seqs.select("header", order), ["header"], [part_of(order)], [order], "_k").select(F.col(order).alias("_o"), "_k")
+    out = seqs.join(k, F.col(order) == F.col("_o")).drop("_o")
+    return out.withColumn("unique_name", F.when(F.col("_k") > 0, F.concat_ws("_", "header", F.col("_k").cast("string"))).otherwise(F.col("header"))).drop("_k")
 
 
 def dedupe_sequences(seqs: DataFrame) -> DataFrame:
-    """One row of each header and sequence, the first in file order."""
-    return seqs.groupBy("header", "seq").agg(F.min("line_no").alias("line_no"))
+    """One row of each header and sequence, the first in file order. Sequences are told by a SHA-256 of theirs, so that short rows are shuffled; those of the first rows alone follow."""
+    first = seqs.select("header", F.unhex(F.sha2("seq", 256)).alias("_h"), "line_no").groupBy("header", "_h").agg(F.min("line_no").alias("line_no"))
+    return seqs.select("header", "seq", "line_no").join(first.select("header", "line_no"), ["header", "line_no"], "left_semi").dropDuplicates(["header", "line_no"])
 
 
 def tiles(seqs: DataFrame, size: int = TILE, keys: tuple[str, ...] = ("sample_id", "chrom")) -> DataFrame:
@@ -75,13 +79,13 @@ def append_ltr(seqs: DataFrame, domains: DataFrame, div_type: str | None = None,
 def stitch_parts(seqs: DataFrame, drop_unmatched_internal: bool = False, simple: bool = False) -> DataFrame:
     """seqs(line_no, header, seq): internal and LTR parts of class LTR with equal base, class and superfamily are joined as LTR + internal + LTR, every internal with
     every LTR, numbered internal by internal when there is more than one pair; parts without a partner and everything else pass through (unmatched internals are dropped on
-    demand). A missing superfamily prints as None. Numbering counts parts per key beforehand, so nothing is collected."""
+    demand). A missing superfamily prints as None. Parts are numbered without their sequences; line_no names a row."""
     typed = with_part_type(seqs, simple)
     key = ["base", "class", "family"]
     typed = typed.withColumn("family", F.coalesce("superfamily", F.lit("None")))
     parts = typed.filter((F.col("class") == "LTR") & F.col("part").isin("ltr", "internal"))
-    place = F.row_number().over(Window.partitionBy(*key, "part").orderBy("line_no"))
-    parts = parts.withColumn("_place", place)
+    place = number_rows(parts.select(*key, "part", "line_no"), [*key, "part"], [part_of("line_no")], ["line_no"], "_k").select(F.col("line_no").alias("_o"), (F.col("_k") + 1).alias("_place"))
+    parts = parts.join(place, F.col("line_no") == F.col("_o")).drop("_o")
     n = parts.groupBy(*key).agg(F.count(F.when(F.col("part") == "ltr", 1)).alias("_ltrs"), F.count(F.when(F.col("part") == "internal", 1)).alias("_ints"))
     paired = n.filter("_ltrs > 0 and _ints > 0")
     ltr = parts.filter("part = 'ltr'").select(*key, F.col("seq").alias("_l"), F.col("_place").alias("_lp"))
@@ -98,29 +102,27 @@ def stitch_parts(seqs: DataFrame, drop_unmatched_internal: bool = False, simple:
     return stitched.unionByName(rest.filter(keep).select("line_no", "header", "seq", F.lit(False).alias("stitched")))
 
 
-#: TSD lengths by lower-case class and superfamily: fixed values (class, superfamily, least, most); others have 5.
+#: TSD lengths by lower-case class and superfamily (class, superfamily, least, most); others have 5.
 TSD_RULES = (
-    ("ltr", "copia", 5, 5), ("ltr", "gypsy", 5, 5), ("ltr", "solo", 5, 5), ("ltr", "ty3", 5, 5), ("ltr", "unknown", 5, 5), ("ltr", "crm", 5, 5), ("ltr", "trim", 5, 5),
-    ("dna", "harbinger", 3, 3), ("dna", "mariner", 2, 2),
-    ("dnaauto", "helitron", 0, 0), ("dna", "helitron", 0, 0), ("dnanona", "helitron", 0, 0),
-    ("mite", "stow", 2, 10), ("mite", "tourist", 2, 10),
-    ("sine", "trna", 5, 20), ("sine", "unknown", 5, 20), ("line", "l1", 5, 20), ("line", "unknown", 5, 20), ("line", "rte", 5, 20),
-    ("dnaauto", "cacta", 2, 4), ("dna", "cacta", 2, 4), ("dnanona", "cacta", 2, 4),
-    ("dna", "hat", 5, 8), ("dnanona", "hat", 5, 8), ("dnaauto", "hat", 5, 8),
-    ("dnaauto", "mudr", 8, 9), ("dnanona", "mule", 8, 9), ("dna", "mudr", 8, 9), ("dnaauto", "mule", 8, 9),
-    ("dna", "dta", 5, 8), ("mite", "dta", 5, 8), ("dna", "dtc", 2, 4), ("mite", "dtc", 2, 4), ("dna", "dth", 2, 10), ("mite", "dth", 2, 10),
-    ("dna", "dtm", 8, 9), ("mite", "dtm", 8, 9), ("dna", "dtt", 2, 10), ("mite", "dtt", 2, 10),
-    ("dnaauto", "cactg", 2, 4), ("dnaauto", "mle", 2, 10), ("dnaauto", "pile", 2, 10), ("dnaauto", "pole", 2, 10),
-    ("dnanona", "cactg", 2, 4), ("dnanona", "mle", 2, 10), ("dnanona", "muletir", 8, 9), ("dnanona", "pile", 2, 10), ("dnanona", "pole", 2, 10), ("dnanona", "tourist", 2, 10), ("dnanona", "unknown", 2, 10),
-    ("dna", "mutator", 8, 9), ("dna", "tc1_mariner", 2, 10), ("dna", "unknown", 2, 10),
+    ("dna", "cacta", 2, 4), ("dna", "dta", 5, 8), ("dna", "dtc", 2, 4), ("dna", "dth", 2, 10), ("dna", "dtm", 8, 9), ("dna", "dtt", 2, 10),
+    ("dna", "harbinger", 3, 3), ("dna", "hat", 5, 8), ("dna", "helitron", 0, 0), ("dna", "mariner", 2, 2), ("dna", "mudr", 8, 9), ("dna", "mutator", 8, 9), ("dna", "tc1_mariner", 2, 10), ("dna", "unknown", 2, 10),
+    ("dnaauto", "cacta", 2, 4), ("dnaauto", "cactg", 2, 4), ("dnaauto", "hat", 5, 8), ("dnaauto", "helitron", 0, 0), ("dnaauto", "mle", 2, 10), ("dnaauto", "mudr", 8, 9), ("dnaauto", "mule", 8, 9), ("dnaauto", "pile", 2, 10), ("dnaauto", "pole", 2, 10),
+    ("dnanona", "cacta", 2, 4), ("dnanona", "cactg", 2, 4), ("dnanona", "hat", 5, 8), ("dnanona", "helitron", 0, 0), ("dnanona", "mle", 2, 10), ("dnanona", "mule", 8, 9), ("dnanona", "muletir", 8, 9), ("dnanona", "pile", 2, 10), ("dnanona", "pole", 2, 10), ("dnanona", "tourist", 2, 10), ("dnanona", "unknown", 2, 10),
+    ("line", "l1", 5, 20), ("line", "rte", 5, 20), ("line", "unknown", 5, 20),
+    ("ltr", "copia", 5, 5), ("ltr", "crm", 5, 5), ("ltr", "gypsy", 5, 5), ("ltr", "solo", 5, 5), ("ltr", "trim", 5, 5), ("ltr", "ty3", 5, 5), ("ltr", "unknown", 5, 5),
+    ("mite", "dta", 5, 8), ("mite", "dtc", 2, 4), ("mite", "dth", 2, 10), ("mite", "dtm", 8, 9), ("mite", "dtt", 2, 10), ("mite", "stow", 2, 10), ("mite", "tourist", 2, 10),
+    ("sine", "trna", 5, 20), ("sine", "unknown", 5, 20),
 )
+#: Of these only the least and the most are lengths, none between.
+TSD_EITHER = (("dna", "unknown"), ("dnaauto", "pile"), ("dnaauto", "pole"), ("dnanona", "pile"), ("dnanona", "pole"), ("dnanona", "unknown"))
 
 
 def with_tsd_rule(df: DataFrame) -> DataFrame:
-    """Adds tsd_min, tsd_max for (class, superfamily), 5 and 5 by default, and tsd_ok: whether the TSD's length (NA: 0) is in range."""
-    rules = df.sparkSession.createDataFrame(TSD_RULES, "_c string, _s string, tsd_min int, tsd_max int")
+    """Adds tsd_min, tsd_max for (class, superfamily), 5 and 5 by default, and tsd_ok: whether the TSD's length (NA: 0) is in range, or one of the two where there are only two."""
+    rules = df.sparkSession.createDataFrame([(*r, r[:2] in TSD_EITHER) for r in TSD_RULES], "_c string, _s string, tsd_min int, tsd_max int, _two boolean")
     low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
     out = df.join(F.broadcast(rules), (low(F.col("class")) == F.col("_c")) & (low(F.col("superfamily")) == F.col("_s")), "left").drop("_c", "_s")
     out = out.withColumns({"tsd_min": F.coalesce("tsd_min", F.lit(5)), "tsd_max": F.coalesce("tsd_max", F.lit(5))})
     size = F.when(F.col("tsd") == "NA", 0).otherwise(F.length("tsd"))
-    return out.withColumn("tsd_ok", size.between(F.col("tsd_min"), F.col("tsd_max")))
+    inside = F.when(F.coalesce("_two", F.lit(False)), (size == F.col("tsd_min")) | (size == F.col("tsd_max"))).otherwise(size.between(F.col("tsd_min"), F.col("tsd_max")))
+    return out.withColumn("tsd_ok", inside).drop("_two")

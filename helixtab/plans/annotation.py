@@ -373,7 +373,7 @@ def apportion(spark, d):
     return overlap.apportion(g, 777).select("sample_id", "chrom", "allotted")
 
 
-@query("""with recursive g as (select chrom || sample_id as c, count(*) as w from features where event_id % 3 > 0 or chrom = 'chr1' group by all), r as (select *, row_number() over (order by c) - 1 as k, count(*) over () as n, 13 * w::double / sum(w) over () as e from g),
+@query("""with recursive g as (select chrom || sample_id as c, count(*) as w from features group by all), r as (select *, row_number() over (order by c) - 1 as k, count(*) over () as n, 13 * w::double / sum(w) over () as e from g),
 a as (select *, case when round_even(e, 0) = 0 then 1 else round_even(e, 0)::bigint end as q from r),
 s as (select 0 as i, list(q order by k) as l, (sum(q) - 13)::bigint as drift from a
   union all select i + 1, case when drift > 0 and l[i % len(l) + 1] > 0 then list_transform(l, lambda x, j: case when j = i % len(l) + 1 then x - 1 else x end) when drift < 0 then list_transform(l, lambda x, j: case when j = i % len(l) + 1 then x + 1 else x end) else l end,
@@ -383,7 +383,7 @@ select c, l[k + 1] as allotted from a, z""")
 def apportion_min1(spark, d):
     from pyspark.sql import Window
 
-    g = features(spark, d).filter("event_id % 3 > 0 or chrom = 'chr1'").groupBy(F.concat("chrom", "sample_id").alias("c")).agg(F.count("*").alias("weight")).withColumn("rank", F.row_number().over(Window.orderBy("c")))
+    g = features(spark, d).groupBy(F.concat("chrom", "sample_id").alias("c")).agg(F.count("*").alias("weight")).withColumn("rank", F.row_number().over(Window.orderBy("c")))
     return overlap.apportion(g, 13, method="min1").select("c", "allotted")
 
 

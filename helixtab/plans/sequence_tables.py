@@ -93,7 +93,8 @@ def append_ltr(spark, d):
     return S.append_ltr(s, dom).select("doc_id", "header")
 
 
-STITCH = """with p as (select doc_id, header, seq, split_part(split_part(header, '#', 1), '_', 1) as base, doc_id % 4 as t from seqs where doc_id < 4000),
+#: Eight documents a base, so that groups stay small as the table grows, and every document is stitched or passed on.
+STITCH = """with p as (select doc_id, regexp_replace(header, '^TE[0-9]+', 'TE' || (doc_id // 8)) as header, seq, 'TE' || (doc_id // 8) as base, doc_id % 4 as t from seqs),
 n as (select base, count(*) filter (t = 0) as l, count(*) filter (t = 1) as i from p where t < 2 group by base),
 a as (select *, row_number() over (partition by base, t order by doc_id) as k from p where t < 2),
 s as (select i.doc_id as line_no, i.base || case when n.l * n.i = 1 then '' else '_' || ((i.k - 1) * n.l + l.k) end || '#LTR/Gypsy' as header, md5(l.seq || i.seq || l.seq) as bases, true as stitched from a i join a l on i.base = l.base and i.t = 1 and l.t = 0 join n on n.base = i.base),
@@ -103,7 +104,8 @@ select * from s union all select * from r"""
 
 @query(STITCH)
 def stitch_parts(spark, d):
-    return S.stitch_parts(seqs(spark, d).filter("doc_id < 4000")).select("line_no", "header", F.md5("seq").alias("bases"), "stitched")
+    s = seqs(spark, d).withColumn("header", F.regexp_replace("header", F.lit("^TE[0-9]+"), F.concat(F.lit("TE"), F.expr("doc_id div 8").cast("string"))))
+    return S.stitch_parts(s).select("line_no", "header", F.md5("seq").alias("bases"), "stitched")
 
 
 @query("""with p as (select sample_id, line_no, split_part(split_part(split_part(name, ';', 1), '#', 2), '/', 1) as c, split_part(split_part(split_part(split_part(name, ';', 1), '#', 2), '/', 2), '~', 1) as s, tsd from features where name not like 'gene%'),

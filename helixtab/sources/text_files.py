@@ -14,15 +14,31 @@ def sample_of(file_name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(file_name, r"\.(gz|bz2)$", ""), r"\.[^.]+$", "")
 
 
+def _raw(spark: SparkSession, path, style: str, **options) -> DataFrame:
+    """value, sample_id, generation, file_name, _file and _block of each line. Folders `sample_id=x`, as the writers make them, name the sample; else the file does."""
+    raw = spark.read.options(**options).text(path)
+    name, meta = F.col("_metadata.file_name"), {"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start")}
+    if "sample_id" in raw.columns:
+        raw = raw.select("value", F.col("sample_id").cast("string").alias("sample_id"), name.alias("file_name"), *(c.alias(k) for k, c in meta.items()))
+        return raw.withColumns({"generation": generation_of(F.concat("sample_id", F.lit("_")), style), "_whole": F.col("sample_id")})
+    raw = raw.select("value", sample_of(name).alias("sample_id"), name.alias("file_name"), *(c.alias(k) for k, c in meta.items()))
+    return raw.withColumns({"generation": generation_of(F.col("file_name"), style), "_whole": F.col("_file")})
+
+
+def _numbered(raw: DataFrame, out: str) -> DataFrame:
+    """Adds the number of each row in its file, or in the files of its folder, in order. A task gives rows of a split ids in a row, so the number is the distance from the split's first
+    plus the rows of the splits before: a table of one row a split, which is broadcast, and no shuffle of the lines."""
+    raw = raw.withColumn("_id", F.monotonically_increasing_id())
+    splits = raw.groupBy("_whole", "_file", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_start"))
+    before = F.sum("_n").over(Window.partitionBy("_whole").orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select(F.col("_file").alias("_f2"), F.col("_block").alias("_b2"), (F.coalesce(before, F.lit(0)) - F.col("_start")).alias("_shift"))
+    out_ = raw.join(F.broadcast(splits), (F.col("_file") == F.col("_f2")) & (F.col("_block") == F.col("_b2")))
+    return out_.withColumn(out, F.col("_id") + F.col("_shift")).drop("_f2", "_b2", "_shift", "_id", "_whole", "_file", "_block")
+
+
 def read_lines(spark: SparkSession, path, style: str = "loose") -> DataFrame:
-    """sample_id, generation, line_no, value of each line. Lines are numbered within their split, whose rows come in file order, and the splits' counts are added up: a
-    small table of one row a split, so a file of many splits is numbered by many tasks."""
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_name").alias("_name"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
-    splits = raw.groupBy("_file", "_block").agg(F.count("*").alias("_n"))
-    before = splits.withColumn("_first", F.coalesce(F.sum("_n").over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    rank = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_id")) - 1
-    out = raw.withColumn("_rank", rank).join(before, ["_file", "_block"])
-    return out.select(sample_of(F.col("_name")).alias("sample_id"), generation_of(F.col("_name"), style).alias("generation"), F.col("_name").alias("file_name"), (F.col("_first") + F.col("_rank")).alias("line_no"), "value")
+    """sample_id, generation, file_name, line_no, value of each line."""
+    return _numbered(_raw(spark, path, style), "line_no").select("sample_id", "generation", "file_name", "line_no", "value")
 
 
 def _content(lines: DataFrame) -> DataFrame:
@@ -51,15 +67,14 @@ def read_features(spark: SparkSession, path, cols: int = 6, strict: bool = False
 
 def read_sequences(spark: SparkSession, path, header: str = "token", upper: bool = False) -> DataFrame:
     """FASTA: sample_id, record_no, header (first token, or the full line), description, seq. One record must fit in a row."""
-    raw = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_name").alias("_name"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
-    raw = raw.withColumn("value", F.regexp_replace("value", "^>", "")).filter(F.trim("value") != "")
+    raw = _raw(spark, path, "loose", lineSep="\n>")
+    raw = _numbered(raw.withColumn("value", F.regexp_replace("value", "^>", "")).filter(F.trim("value") != ""), "record_no")
     line = F.regexp_replace(F.substring_index("value", "\n", 1), r"\r$", "")
     body = F.when(F.instr("value", "\n") > 0, F.substr("value", F.instr("value", "\n") + 1)).otherwise("")
     seq = F.regexp_replace(body, r"\s", "")
-    out = raw.select(sample_of(F.col("_name")).alias("sample_id"), generation_of(F.col("_name")).alias("generation"), "_block", "_id", line.alias("description"), (F.upper(seq) if upper else seq).alias("seq"))
+    out = raw.select("sample_id", "generation", "record_no", line.alias("description"), (F.upper(seq) if upper else seq).alias("seq"))
     out = out.withColumn("header", F.element_at(F.split(F.trim("description"), r"\s+"), 1) if header == "token" else F.col("description"))
-    no = F.row_number().over(Window.partitionBy("sample_id").orderBy("_block", "_id")) - 1
-    return out.withColumn("record_no", no).select("sample_id", "generation", F.col("record_no").cast("bigint").alias("record_no"), "header", "description", "seq")
+    return out.select("sample_id", "generation", F.col("record_no").cast("bigint").alias("record_no"), "header", "description", "seq")
 
 
 def attribute_map(c: Column) -> Column:
@@ -196,9 +211,12 @@ def read_mutation_reports(spark: SparkSession, path) -> DataFrame:
 def read_stat_blocks(spark: SparkSession, path) -> DataFrame:
     """`SAMPLE: n` blocks: (file, sample, category, n) of the `category: count` lines up to the next block."""
     lines = _content(read_lines(spark, path))
+    from ..operators.ordering import part_of, with_prefix
+
     sample = F.when(F.startswith("value", F.lit("SAMPLE:")), F.trim(F.substr("value", F.lit(8))))
-    w = Window.partitionBy("sample_id").orderBy("line_no")
-    lines = lines.withColumn("sample", F.last(sample, True).over(w))
+    # the last title before a line: of titles by line the greatest
+    title = F.when(sample.isNotNull(), F.struct("line_no", sample.alias("s")))
+    lines = with_prefix(lines, ["sample_id"], [part_of("line_no")], ["line_no"], title, "_title", F.max).withColumn("sample", F.col("_title.s"))
     n = F.regexp_extract("value", r":\s*(\d+)", 1).try_cast("bigint")
     out = lines.filter(F.col("sample").isNotNull() & ~F.startswith("value", F.lit("SAMPLE:")) & n.isNotNull())
     return out.select("sample_id", "sample", F.trim(F.substring_index("value", ":", 1)).alias("category"), n.alias("n"))

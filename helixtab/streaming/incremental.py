@@ -26,7 +26,8 @@ def statistics(spark: SparkSession, folder: str, out: str, checkpoint: str, file
     """Starts a query over the files now in `folder`: `out/categories` (sample_id, category, n, bases) and `out/superfamilies` (sample_id, category, class,
     superfamily, n), partitioned by sample_id."""
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder)
-    lines = lines.select("value", sample_of(F.col("_metadata.file_name")).alias("sample_id"), F.col("_metadata.file_block_start").alias("_block"))
+    sample = F.col("sample_id").cast("string") if "sample_id" in lines.columns else sample_of(F.col("_metadata.file_name"))
+    lines = lines.select("value", sample.alias("sample_id"), F.col("_metadata.file_block_start").alias("_block"))
 
     def put(df: DataFrame, name: str) -> None:
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sample_id").parquet(f"{out}/{name}")
