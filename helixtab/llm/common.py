@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import STEP, let, running  # noqa: F401
+from ..scratch import scratch_root
+
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -26,15 +27,6 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='helixtab-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 class Scratch:
     """Tables written in the shared folder to cut lineage; drop() deletes those that nothing reads any more."""
 
@@ -66,27 +58,31 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`").cast(kind).alias(c) for c, kind in columns.items()))
 
 
-#: Elements that a running fold takes at once, and code points of the pieces that a text is cut in.
-STEP, PIECE = 64, 1024
+#: Code points of the pieces that a text is cut in.
+PIECE = 1024
+#: Words of the bitmap of a set of ids.
+MEMBER_WORDS = 1 << 17
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value evaluated once however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def bitmap(ids: DataFrame, name: str) -> DataFrame:
+    """A set of whole numbers as a bitmap of fixed size: w, bits. For may_be_in()."""
+    c = f"`{name}`"
+    return ids.groupBy(F.expr(f"pmod(shiftright({c}, 6), {MEMBER_WORDS})").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({c}, 64) as int))")).alias("bits"))
 
 
-def running(values: Column, first: Column, step: Callable[[Column, Column], Column]) -> Column:
-    """first and the fold after each of `values`, size(values) + 1 elements. A fold that appends to one array copies it at each step; this one
-    folds STEP elements at a time from where the steps before have come to, so its time is about linear."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / STEP).cast("int")), lambda k: F.slice(values, k * STEP + 1, F.lit(STEP)))
+def with_bit(df: DataFrame, name: str, member: DataFrame) -> DataFrame:
+    """Adds `may`: false only for rows whose id isn't in the set of the bitmap."""
+    c = f"`{name}`"
+    own = df.withColumn("_w", F.expr(f"pmod(shiftright({c}, 6), {MEMBER_WORDS})")).join(F.broadcast(member.withColumnsRenamed({"w": "_w", "bits": "_bits"})), "_w", "left")
+    return own.withColumn("may", F.expr(f"coalesce((shiftright(_bits, cast(pmod({c}, 64) as int)) & 1L) = 1L, false)")).drop("_w", "_bits")
 
-    def of(blocks: Column) -> Column:
-        grow = lambda acc, x: F.array_append(acc, step(F.element_at(acc, -1), x))
-        begins = F.aggregate(blocks, F.array(first), lambda acc, b: F.array_append(acc, F.aggregate(b, F.element_at(acc, -1), step)))
-        inner = let(begins, lambda s: F.transform(blocks, lambda b, k: F.slice(F.aggregate(b, F.array(F.get(s, k)), grow), F.lit(2), F.lit(STEP))))
-        return F.concat(F.array(first), F.flatten(inner))
 
-    return F.when(F.size(values) > 0, let(blocks, of)).otherwise(F.array(first))
+def without(df: DataFrame, name: str, ids: DataFrame) -> DataFrame:
+    """Rows whose id isn't among ids (a table with one column, ids not null); rows with a null id stay. Rows that the bitmap rules out don't move; only the others, which are about
+    as many as are found, are joined."""
+    told = with_bit(df, name, bitmap(ids, ids.columns[0]))
+    rest = told.filter("may").drop("may").join(ids.withColumnRenamed(ids.columns[0], "_gone"), F.col(f"`{name}`") == F.col("_gone"), "left_anti")
+    return told.filter("not may").drop("may").unionByName(rest)
 
 
 def pieces_of(text: Column) -> Column:

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, only
+from .common import Scratch, bitmap, only, with_bit
 
 WINDOW = 8
 MOST_SLOTS = 3
@@ -32,7 +32,6 @@ MOST_SLOTS = 3
 LITERALS, ITEM_WORDS = 5, 5
 #: The benchmark is broadcast up to this many windows and bytes of text, and joined by shuffle beyond.
 BROADCAST_WINDOWS, BROADCAST_BYTES = 500_000, 1 << 25
-MEMBER_WORDS = 1 << 17
 NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
 #: Units that count as one after a number.
 UNITS = "mm cm m km in ft yd mi mg g kg t lb lbs oz ml l s sec min h hr hrs ms day days week weeks month months year years hour hours minute minutes second seconds mph kmh kph hz khz mhz ghz w kw mw v kv a ma j kj cal kcal pa kpa bar k c f usd eur gbp dollar dollars cent cents euro euros pound pounds percent meter meters metre metres kilometer kilometers kilometre kilometres mile miles inch inches foot feet gram grams kilogram kilograms liter liters litre litres ton tons".split()
@@ -164,8 +163,7 @@ def passages(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most_sl
     found = runs(sure, F.col("at"), F.col("exact")).withColumn("full", F.lit(False)).unionByName(runs(full, F.array_except("many", "exact"), none).filter("n > 0").withColumn("full", F.lit(True)))
     found = scratch.write(found, "found")
     # texts of the documents with hits alone are read again, and their words written once: a bitmap of fixed size says which they may be
-    member = found.groupBy(F.expr(f"pmod(shiftright(th, 6), {MEMBER_WORDS})").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(th, 64) as int))")).alias("bits"))
-    wanted = rows.withColumn("w", F.expr(f"pmod(shiftright(th, 6), {MEMBER_WORDS})")).join(F.broadcast(member), "w").filter(F.expr("(shiftright(bits, cast(pmod(th, 64) as int)) & 1L) = 1L"))
+    wanted = with_bit(rows, "th", bitmap(found, "th")).filter("may")
     wanted = scratch.write(with_words(wanted.select("doc_id", "th", "text"), "dv", "dw").select("doc_id", "th", "dv", "dw"), "wanted").dropDuplicates(["doc_id", "th"])
     both = found.join(wanted, ["doc_id", "th"]).join(F.broadcast(items) if small else items, "item_id")
     span = lambda c, start: F.slice(c, F.greatest(F.lit(1), start + 1), F.col("last") - F.col("first") + width)

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, only
+from .common import Scratch, bitmap, only, with_bit
 from .components import components
 from .sigtree import LEAF, Signatures, Tree, Union, crossed, dual, signature
 from .textnum import chunks, mix, shingles, spans_hash, words
@@ -52,7 +52,6 @@ EARLY = 8
 SENT_BITS, FULL_BITS = 2, 8
 #: Sets that all others of a tree are compared with before it is traversed.
 CENTRES = 3
-MEMBER_WORDS = 1 << 17
 #: Bytes of text that are hashed at once, or one longer text.
 PIECE = 1 << 18
 #: Tokens of more than a block are broadcast up to this many.
@@ -355,13 +354,12 @@ def _decide(num: int, den: int):
 
 def _links(rows: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch, width: int, num: int, den: int) -> DataFrame:
     """rows(token, one, two, block, cid, n, rest, comp) -> edges (a, b) of links between different components."""
-    sent = rows.join(classes.select("cid", "sig", "early"), "cid").select("token", "one", "two", "block", "cid", "n", "rest", "comp", "sig", "early")
+    sent = rows.join(classes.select("cid", "sig", "early"), "cid").select("token", "one", "two", "block", "cid", "n", "rest", "comp", "sig", F.slice("early", F.lit(1), (F.col("n") - F.col("rest")).cast("int")).alias("early"))
     marks = sent.repartition("token", "one", "two").sortWithinPartitions("token", "one", "two", "block").mapInArrow(_mark(num, den), "token bigint, one bigint, two bigint, block bigint, cid bigint, comp bigint")
     marks = scratch.write(marks, "marks")
     # a bitmap of fixed size says which documents may be wanted: only these are read as sets again
-    reps = marks.select("cid").distinct().join(classes.select("cid", "rep"), "cid")
-    member = reps.groupBy(F.expr(f"pmod(shiftright(rep, 6), {MEMBER_WORDS})").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(rep, 64) as int))")).alias("bits"))
-    wanted = docs.withColumn("w", F.expr(f"pmod(shiftright(doc_id, 6), {MEMBER_WORDS})")).join(F.broadcast(member), "w").filter(F.expr("(shiftright(bits, cast(pmod(doc_id, 64) as int)) & 1L) = 1L"))
+    reps = marks.select("cid").distinct().join(classes.select("cid", "rep"), "cid").select("rep")
+    wanted = with_bit(docs, "doc_id", bitmap(reps, "rep")).filter("may")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
