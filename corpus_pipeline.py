@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixtab.llm import decontam, jaccard_join, mixing, pii, quality
-from helixtab.llm.common import Scratch, table
+from helixtab.llm.common import Scratch, table, without
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -26,13 +26,13 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     of the one that stays are told apart by nothing and stay."""
     same = jaccard_join.similar(docs)
     gone = same.filter("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    return without(docs.select(*COLUMNS), "doc_id", gone)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark, with the same or other values, go."""
     found = decontam.contaminated_ids(docs, table(spark, sf_dir, "benchmark"))
-    return docs.select(*COLUMNS).join(found.withColumnRenamed("doc_id", "gone"), F.col("doc_id") == F.col("gone"), "left_anti")
+    return without(docs.select(*COLUMNS), "doc_id", found)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
