@@ -3,7 +3,8 @@ smoothing and threshold clustering.
 
 A line is one block of the page (a paragraph, heading, list item, table row ...) with the text and the number of tags that its
 events bring. Its ratio is text length / tags. The smoothed ratios are split by a threshold in two clusters; the content
-is every line of every article and main, and lines of the upper cluster outside; on a page without those it is every line. Boilerplate elements (menus, headers, footers, side bars, notices,
+is every line of every article and main, and lines of the upper cluster outside; on a page without those it is every line but runs of lines of the lower
+cluster that are all link, which are menus. Boilerplate elements (menus, headers, footers, side bars, notices,
 adverts, forms, scripts, styles, reader comments) are told by tag, role, class or id and bring no lines. A mark counts
 only as the head word of a class, and not on an element that holds an article, main or most of the text of a page without those.
 Content lines are returned, however short: nothing else is dropped or capped.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -30,7 +32,6 @@ from .common import only
 SKIP = frozenset("script style head nav header footer aside form noscript template iframe object svg math canvas video audio select button textarea dialog menu".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
-CONTAINER = frozenset("html body main article section div td blockquote".split())
 #: Words of a class, id or role that mark boilerplate.
 MARK = re.compile(r"(?:^|[\s_-])(?:ads?|ad(?:slot|box|unit|banner)s?|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|side-?bar|widget|cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscribe|share|social|comments?|commentlist|comment(?:s|section|thread)|discussion|disqus|replies|respond|related|recommend\w*|pagination|pager|complementary|contentinfo|search|login|signup|toolbar|tags?)(?:$|[\s_-])", re.I)
 #: Last words of a class that name its shape, and words that say that it is of something else.
@@ -40,6 +41,8 @@ CUT = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 #: Tags whose end may be left out, and those that end them.
 IMPLIED = {"p": BLOCK, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr",)), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr"))}
 SIGMA = 1.0
+#: Lines in a row that make a menu.
+MENU = 3
 
 
 def marked(value: str) -> bool:
@@ -55,39 +58,57 @@ def marked(value: str) -> bool:
     return False
 
 
+class Line:
+    """A block's text, its tags, the share of its characters in links, and whether it is inside an article or main."""
+
+    __slots__ = ("linked", "named", "tags", "text")
+
+    def __init__(self, text: str, tags: int, linked: int, named: bool):
+        self.text, self.tags, self.linked, self.named = text, tags, linked / max(1, len(text)), named
+
+
 class Lines(HTMLParser):
-    """Collects lines as [container path, text, tags]."""
+    """Collects lines. Every event takes constant time on average, however deep elements are nested."""
 
     def __init__(self, keep: set[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[str] = []
-        self.path: tuple[int, ...] = ()
-        self.paths: list[tuple[int, ...]] = []
-        self.names: dict[tuple[int, ...], str] = {}
+        self.inside: list[bool] = []  # for each open element whether it is in an article or main, itself included
+        self.blocks: list[int] = []  # places of open block elements in the stack
+        self.open: Counter[str] = Counter()
+        self.skipped = 0  # open elements of SKIP
         self.skip = 0  # depth of the stack at which a skipped element began, and 0 outside
         self.keep = keep  # marked elements, by number of start tag, that are content all the same
         self.begun = 0
-        self.mark = 0  # number of the marked element that is skipped, and 0 outside
-        self.lost: dict[int, int] = {}  # text length in marked elements
+        self.marks: list[tuple[int, int, int]] = []  # open marked elements that are skipped: depth, number, text before
+        self.passed = 0  # text length in skipped marked elements so far
+        self.lost: dict[int, int] = {}  # that of each marked element
         self.holds: set[int] = set()  # marked elements with an article or main
-        self.n = 0
-        self.lines: list[tuple[tuple[int, ...], str, int]] = []
+        self.named = False  # the page has an article or main
+        self.lines: list[Line] = []
         self.text: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = 0
 
     def flush(self) -> None:
         if self.text:
             if text := " ".join("".join(self.text).split()):
-                self.lines.append((self.path, text, self.tags))
+                self.lines.append(Line(text, self.tags, self.linked, bool(self.inside) and self.inside[-1]))
                 self.tags = 0
-            self.text = []
+            self.text, self.linked = [], 0
 
     def close_to(self, depth: int) -> None:
         while len(self.stack) > depth:
-            self.stack.pop()
-            self.path = self.paths.pop()
+            tag = self.stack.pop()
+            self.inside.pop()
+            self.open[tag] -= 1
+            self.skipped -= tag in SKIP
+            if self.blocks and self.blocks[-1] == len(self.stack):
+                self.blocks.pop()
+        while self.marks and self.marks[-1][0] > depth:
+            _, number, before = self.marks.pop()
+            self.lost[number] = self.passed - before
         if self.skip and len(self.stack) < self.skip:
-            self.skip = self.mark = 0
+            self.skip = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.begun += 1
@@ -99,33 +120,30 @@ class Lines(HTMLParser):
                 else:
                     self.text.append(" " if tag == "br" else "")
             return
-        if self.stack and not self.skip:
-            for k in range(len(self.stack) - 1, -1, -1):
-                open_tag = self.stack[k]
-                if open_tag in IMPLIED and tag in IMPLIED[open_tag]:
-                    self.flush()
-                    self.close_to(k)
-                    break
-                if open_tag in BLOCK:
-                    break
+        if self.blocks and not self.skip:
+            k = self.blocks[-1]
+            if self.stack[k] in IMPLIED and tag in IMPLIED[self.stack[k]]:
+                self.flush()
+                self.close_to(k)
         if not self.skip:
             self.tags += 1
             if tag in BLOCK or tag in SKIP:
                 self.flush()
+        own = tag in ("article", "main")
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
         self.stack.append(tag)
-        self.paths.append(self.path)
-        if self.skip:
-            if self.mark and tag in ("article", "main"):
-                self.holds.add(self.mark)
-            return
-        if tag in SKIP or any(k == "hidden" for k, _ in attrs):
-            self.skip = len(self.stack)
+        self.open[tag] += 1
+        self.skipped += tag in SKIP
+        self.inside.append(own or bool(self.inside) and self.inside[-1])
+        if own:
+            self.holds.update(number for _, number, _ in self.marks)
+            self.named |= not self.skip
+        if (self.skip and not self.marks) or tag in SKIP or any(k == "hidden" for k, _ in attrs):
+            self.skip = self.skip or len(self.stack)
         elif tag not in ("html", "body", "article", "main") and self.begun not in self.keep and any(v and k in ("class", "id", "role") and marked(v) for k, v in attrs):
-            self.skip, self.mark = len(self.stack), self.begun
-        elif tag in CONTAINER:
-            self.n += 1
-            self.path = (*self.path, self.n)
-            self.names[self.path] = tag
+            self.skip = self.skip or len(self.stack)
+            self.marks.append((len(self.stack), self.begun, self.passed))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -133,9 +151,11 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag not in self.stack:
+        if not self.open[tag]:
             return
-        k = len(self.stack) - 1 - self.stack[::-1].index(tag)
+        k = len(self.stack) - 1
+        while self.stack[k] != tag:
+            k -= 1
         if self.skip and k + 1 > self.skip:
             self.close_to(k)
             return
@@ -148,8 +168,10 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.skip:
             self.text.append(data)
-        elif self.mark and not SKIP & set(self.stack):
-            self.lost[self.mark] = self.lost.get(self.mark, 0) + len(" ".join(data.split()))
+            if self.open["a"]:
+                self.linked += len(" ".join(data.split()))
+        elif self.marks and not self.skipped:
+            self.passed += len(" ".join(data.split()))
 
 
 def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
@@ -182,28 +204,47 @@ def threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
+def menus(lines: list[Line], low: list[bool]) -> list[bool]:
+    """Lines of runs of MENU and more that are of the lower cluster and all link: menus without a mark."""
+    like = [x.linked >= 0.9 and b for x, b in zip(lines, low, strict=True)]
+    out, k = [False] * len(lines), 0
+    while k < len(lines):
+        end = k
+        while end < len(lines) and like[end]:
+            end += 1
+        if end - k >= MENU:
+            out[k:end] = [True] * (end - k)
+        k = max(end, k + 1)
+    return out
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
     keep: set[int] = set()
-    while True:
+    for _ in range(2):
         parser = Lines(keep)
         parser.feed(CUT.sub("", html))
         parser.close()
         parser.flush()
-        if not parser.holds and not any(name in ("article", "main") for name in parser.names.values()):
-            total = sum(len(text) for _, text, _ in parser.lines) + sum(parser.lost.values())
-            parser.holds = {k for k, n in parser.lost.items() if 2 * n > total}
-        if not parser.holds:
+        parser.close_to(0)
+        if keep:
+            break
+        keep = parser.holds
+        if not keep and not parser.named:
+            total = sum(len(x.text) for x in parser.lines) + parser.passed
+            keep = {k for k, n in parser.lost.items() if 2 * n > total}
+        if not keep:
             break
-        keep |= parser.holds
     lines = parser.lines
     if not lines:
         return ""
-    ratios = smooth([len(text) / max(1, tags) for _, text, tags in lines])
+    ratios = smooth([len(x.text) / max(1, x.tags) for x in lines])
     cut = threshold(ratios)
-    named = {p for p, name in parser.names.items() if name in ("article", "main")}
-    return "\n".join(text for (path, text, _), ratio in zip(lines, ratios, strict=True) if not named or ratio > cut or any(path[: len(p)] == p for p in named))
+    low = [r <= cut for r in ratios]
+    if any(x.named for x in lines):
+        return "\n".join(x.text for x, b in zip(lines, low, strict=True) if x.named or not b)
+    return "\n".join(x.text for x, m in zip(lines, menus(lines, low), strict=True) if not m)
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -415,3 +415,27 @@ def test_url_filter_without_corpus(spark):
     pages = spark.createDataFrame([(1, "http://abc.org/x"), (2, None)], "page_id long, url string")
     got = url_filter.judge(pages, spark.createDataFrame([], "text string")).collect()
     assert len(got) == 2 and {r["verdict"] for r in got} == {"allow"}
+
+
+def test_deep_and_long_pages():
+    """Time and memory follow the length of a page, not its depth."""
+    import time
+
+    began = time.time()
+    n = 50_000
+    assert html_extract.main_text("<div>" * n + "<p>Deep text.</p>" + "</div>" * n) == "Deep text."
+    assert html_extract.main_text("<b>" * n + "Some text." + "</x>" * n) == "Some text."
+    assert html_extract.main_text("<p>" + "<i>" * n + "text" + "</p>" * n) == "text"
+    assert html_extract.main_text("<div class=ad>" * 2000 + "<article>Inside.</article>" + "</div>" * 2000) == "Inside."
+    assert html_extract.main_text("".join(f"<p>line {k}</p>" for k in range(n))).count("\n") == n - 1
+    assert time.time() - began < 20
+
+
+@pytest.mark.parametrize("html,text", [
+    ("<div><ul><li><a href=a>Home</a><li><a href=b>News</a><li><a href=c>About us</a></ul></div><div><p>A long enough paragraph of the page's text.</p><p>And one more of the same kind here.</p></div>", "A long enough paragraph of the page's text.\nAnd one more of the same kind here."),
+    ("<p>See <a href=x>this</a> and <a href=y>that</a>.</p><p><a href=z>A single link stays.</a></p>", "See this and that.\nA single link stays."),
+    ("<article><p>Text.</p><div class='share-price'>It rose.</div><section id='related-work'><p>Others did it.</p></section><ul><li><a>one</a><li><a>two</a><li><a>three</a></ul></article>", "Text.\nIt rose.\nOthers did it.\none\ntwo\nthree"),
+    ("<div><p>if 3 &lt; 4 and 5 < 6 then</p><p>x</p></div>", "if 3 < 4 and 5 < 6 then\nx"),
+])
+def test_menus_without_marks(html, text):
+    assert html_extract.main_text(html) == text
