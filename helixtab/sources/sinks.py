@@ -34,6 +34,6 @@ def write_wide_stats(long: DataFrame, path: str, keys: list[str], files: list[st
 
 
 def write_tsv(df: DataFrame, path: str, decimals: dict[str, int] | None = None, whole: tuple[str, ...] = (), mode: str = "overwrite") -> None:
-    """Tab-separated with a header; `decimals` fixes places, `whole` cuts off fractions."""
+    """Tab-separated with a header, in files of even size, one where the table is small; `decimals` fixes places, `whole` cuts off fractions."""
     fixed = {c: F.format_string(f"%.{n}f", F.col(c)) for c, n in (decimals or {}).items()} | {c: F.col(c).cast("bigint") for c in whole}
-    df.withColumns(fixed).write.csv(path, sep="\t", header=True, mode=mode)
+    df.withColumns(fixed).hint("rebalance").write.csv(path, sep="\t", header=True, mode=mode)
