@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +30,31 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+_lock, _held = threading.Lock(), {}
+
+
+@contextlib.contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """CLEAN is on while any thread of the session is inside, and as it was afterwards."""
+    key = id(spark)
+    with _lock:
+        n, before = _held.get(key) or (0, spark.conf.get(CLEAN, None))
+        _held[key] = (n + 1, before)
+        if not n:
+            spark.conf.set(CLEAN, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            n, before = _held.pop(key)
+            if n > 1:
+                _held[key] = (n - 1, before)
+            elif before is None:
+                spark.conf.unset(CLEAN)
+            else:
+                spark.conf.set(CLEAN, before)
+
+
 class Scratch:
     """Tables written in the shared folder to cut lineage; drop() deletes those that nothing reads any more."""
 
@@ -36,13 +64,8 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
         path = f"{self.dir}/{self.n:03d}-{name}"
-        # the table replaces its lineage, so its shuffle files can go when it is written
-        before = self.spark.conf.get(CLEAN, None)
-        self.spark.conf.set(CLEAN, "true")
-        try:
+        with _cleaning(self.spark):  # the table replaces its lineage, so its shuffle files can go when it is written
             df.write.parquet(path)
-        finally:
-            self.spark.conf.unset(CLEAN) if before is None else self.spark.conf.set(CLEAN, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -137,11 +137,16 @@ def _short(rows: DataFrame, items: DataFrame, width: int) -> DataFrame | None:
 
 def passages(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most_slots: int = MOST_SLOTS) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) -> doc_id, item_id, diagonal, first, last, n_windows, slots, consistent."""
-    scratch = Scratch(docs.sparkSession)
+    scratch, used = Scratch(docs.sparkSession), []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        used.append(scratch.write(df, name))
+        return used[-1]
+
     rows = only(docs, doc_id="bigint", text="string").filter("doc_id is not null").withColumn("th", F.xxhash64("text"))
     given = only(benchmark, item_id="bigint", text="string").filter("item_id is not null")
-    items = scratch.write(with_words(given, "values", "words").select("item_id", "values", "words"), "items")
-    at = scratch.write(_benchmark(items, width, most_slots), "windows")
+    items = keep(with_words(given, "values", "words").select("item_id", "values", "words"), "items")
+    at = keep(_benchmark(items, width, most_slots), "windows")
     n_bytes = given.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     small = at.count() <= BROADCAST_WINDOWS and n_bytes <= BROADCAST_BYTES
     hits = _document_windows(rows, width).join(F.broadcast(at) if small else at, "h")
@@ -161,14 +166,14 @@ def passages(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most_sl
 
     none = F.array().cast("array<int>")
     found = runs(sure, F.col("at"), F.col("exact")).withColumn("full", F.lit(False)).unionByName(runs(full, F.array_except("many", "exact"), none).filter("n > 0").withColumn("full", F.lit(True)))
-    found = scratch.write(found, "found")
+    found = keep(found, "found")
     # texts of the documents with hits alone are read again, and their words written once: a bitmap of fixed size says which they may be
     wanted = with_bit(rows, "th", bitmap(found, "th")).filter("may")
-    wanted = scratch.write(with_words(wanted.select("doc_id", "th", "text"), "dv", "dw").select("doc_id", "th", "dv", "dw"), "wanted").dropDuplicates(["doc_id", "th"])
+    wanted = keep(with_words(wanted.select("doc_id", "th", "text"), "dv", "dw").select("doc_id", "th", "dv", "dw"), "wanted").dropDuplicates(["doc_id", "th"])
     both = found.join(wanted, ["doc_id", "th"]).join(F.broadcast(items) if small else items, "item_id")
     span = lambda c, start: F.slice(c, F.greatest(F.lit(1), start + 1), F.col("last") - F.col("first") + width)
     aligned = F.arrays_zip(span(F.col("dv"), F.col("first")).alias("d"), span(F.col("dw"), F.col("first")).alias("dt"), span(F.col("values"), F.col("first") - F.col("diagonal")).alias("b"), span(F.col("words"), F.col("first") - F.col("diagonal")).alias("bt"))
-    both = scratch.write(both.select("doc_id", "item_id", "diagonal", "first", "last", "n", "n_exact", "full", aligned.alias("aligned")), "aligned")
+    both = keep(both.select("doc_id", "item_id", "diagonal", "first", "last", "n", "n_exact", "full", aligned.alias("aligned")), "aligned")
     pairs = F.array_distinct(F.transform(F.filter("aligned", lambda x: (x["dt"] == x["bt"]) & x["bt"].rlike(SLOT)), lambda x: F.struct(x["d"].alias("d"), x["b"].alias("b"))))
     literals = F.size(F.array_distinct(F.transform(F.filter("aligned", lambda x: (x["dt"] == x["bt"]) & ~x["bt"].rlike(SLOT)), lambda x: x["bt"])))
     out = both.withColumns({"slots": pairs, "literals": literals})
@@ -179,18 +184,19 @@ def passages(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most_sl
         zero = F.lit(0)
         short = short.join(out.filter("consistent").select("doc_id", "item_id"), ["doc_id", "item_id"], "left_anti")
         out = out.unionByName(short.select("doc_id", "item_id", zero.alias("diagonal"), zero.alias("first"), zero.alias("last"), F.lit(1).cast("bigint").alias("n_windows"), F.array().cast("array<struct<d:string,b:string>>").alias("slots"), F.lit(True).alias("consistent")))
-    return out.distinct()
+    out = scratch.write(out.distinct(), "passages")
+    scratch.drop(*used)
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most_slots: int = MOST_SLOTS) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) -> doc_id, contaminated, n_windows, item_ids; one row per document."""
-    scratch = Scratch(docs.sparkSession)
     found = passages(docs, benchmark, width, most_slots).filter("consistent").groupBy("doc_id").agg(F.sum("n_windows").alias("n"), F.sort_array(F.collect_set("item_id")).alias("items"))
-    found = scratch.write(found, "passages").withColumnRenamed("doc_id", "d")
+    found = found.withColumnRenamed("doc_id", "d")
     out = only(docs, doc_id="bigint").join(found, F.col("doc_id") == F.col("d"), "left")
     return out.select("doc_id", F.col("d").isNotNull().alias("contaminated"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_windows"), F.coalesce("items", F.array().cast("array<bigint>")).alias("item_ids"))
 
 
 def contaminated_ids(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most_slots: int = MOST_SLOTS) -> DataFrame:
     """doc_id of the documents with a consistent passage, each once."""
-    return Scratch(docs.sparkSession).write(passages(docs, benchmark, width, most_slots).filter("consistent").select("doc_id").distinct(), "passages")
+    return passages(docs, benchmark, width, most_slots).filter("consistent").select("doc_id").distinct()

@@ -38,10 +38,11 @@ PATTERNS = {
     "secret": r"(?i)(?<![a-z])(?:token|api_?key|secret|password|passwd)\x20?[=:]\x20?[\"'][A-Za-z0-9+/=_-]{12,256}[\"']",
     "name": r"(?<!\p{L})(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20\p{Lu}\p{Ll}+(?:\x20\p{Lu}\p{Ll}+)?",
 }
-#: Gazetteers: fixed values.
-DOMAINS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info", "biz")
-FOR_WORDS = ("email", "e-mail", "mail", "contact", "write", "call", "phone", "tel", "telephone", "mobile", "fax", "ip", "host", "address", "server", "card", "visa", "credit", "payment", "account", "iban", "ssn", "id", "token", "key", "secret", "password", "name", "signed", "dear", "from", "to", "by")
-AGAINST_WORDS = ("version", "release", "section", "page", "chapter", "fig", "figure", "table", "isbn", "issn", "doi", "no", "number", "item", "order", "ref", "step")
+#: Gazetteers: fixed values. Words before a span, in English, French, German and Spanish.
+DOMAINS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info", "biz", "it", "nl", "ch", "at", "us", "ca")
+FOR_WORDS = ("email", "e-mail", "mail", "contact", "write", "call", "phone", "tel", "telephone", "mobile", "fax", "ip", "host", "address", "server", "card", "visa", "credit", "payment", "account", "iban", "ssn", "id", "token", "key", "secret", "password", "name", "signed", "dear", "from", "to", "by",
+    "courriel", "adresse", "téléphone", "portable", "carte", "compte", "mot", "clé", "serveur", "appelez", "écrivez", "telefon", "handy", "anschrift", "karte", "konto", "kennwort", "passwort", "schlüssel", "server", "correo", "dirección", "teléfono", "móvil", "tarjeta", "cuenta", "contraseña", "clave", "servidor", "llame", "escriba")
+AGAINST_WORDS = ("version", "release", "section", "page", "chapter", "fig", "figure", "table", "isbn", "issn", "doi", "no", "number", "item", "order", "ref", "step", "seite", "kapitel", "abschnitt", "nummer", "chapitre", "numéro", "página", "capítulo", "sección", "número")
 LABELERS = ("strict", "valid", "gazetteer", "context", "edges")
 #: Most characters before a span in which its context word is looked for.
 REACH = 40
