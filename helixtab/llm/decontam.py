@@ -82,18 +82,22 @@ def unmarked(marked_text: Column) -> Column:
     return F.translate(marked_text, NAME + NUMBER, "")
 
 
+def _window(hashes: Column, i: Column, width: int) -> Column:
+    return F.xxhash64(*(F.get(hashes, i + k) for k in range(width)))
+
+
 def windows(hashes: Column, width: int) -> Column:
     """array<bigint>: hash of each window, in order of position, from a named column of word hashes."""
     n = F.size(hashes)
-    each = lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(width)))
-    return F.when(n >= width, F.transform(F.sequence(F.lit(0), n - width), each)).when(n > 0, F.array(F.xxhash64(hashes, F.lit("short")))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n >= width, F.transform(F.sequence(F.lit(0), n - width), lambda i: _window(hashes, i, width))).when(n > 0, F.array(F.xxhash64(hashes, F.lit("short")))).otherwise(F.array().cast("array<bigint>"))
 
 
 def word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-SLOT = r"[\x01\x02\x03]"
+def has_slot(word: Column) -> Column:
+    return F.contains(word, F.lit(NAME)) | F.contains(word, F.lit(NUMBER)) | F.contains(word, F.lit(UNIT))
 
 
 def _benchmark(items: DataFrame, width: int, most_slots: int) -> DataFrame:
@@ -101,21 +105,24 @@ def _benchmark(items: DataFrame, width: int, most_slots: int) -> DataFrame:
     hashed = items.withColumn("plain", F.transform("values", lambda w: unmarked(w))).withColumns({"wh": word_hashes(F.col("words")), "ph": word_hashes(F.col("plain"))})
     each = F.arrays_zip(windows(F.col("wh"), width).alias("t"), windows(F.col("ph"), width).alias("l"))
     at = hashed.select("item_id", "words", F.posexplode(each).alias("item_pos", "h")).withColumn("own", F.slice("words", F.col("item_pos") + 1, F.lit(width)))
-    at = at.select("item_id", "item_pos", "h", F.size(F.filter("own", lambda w: w.rlike(SLOT))).alias("slots"), F.size(F.array_distinct(F.filter("own", lambda w: ~w.rlike(SLOT)))).alias("literals"))
+    at = at.select("item_id", "item_pos", "h", F.size(F.filter("own", has_slot)).alias("slots"), F.size(F.array_distinct(F.filter("own", lambda w: ~has_slot(w)))).alias("literals"))
     kind = F.when(F.col("slots") == 0, "plain").when(F.col("slots") <= most_slots, "few").when(F.col("literals") > 1, "many")
     by_template = at.select(F.col("h.t").alias("h"), "item_id", "item_pos", kind.alias("kind")).filter("kind is not null")
     return by_template.unionByName(at.filter("slots > 0").select(F.col("h.l").alias("h"), "item_id", "item_pos", F.lit("literal").alias("kind")))
 
 
 def _document_windows(rows: DataFrame, width: int) -> DataFrame:
-    """rows(doc_id, th, text) -> doc_id, th, pos, h: windows by template, and word for word where that differs. Each step is a column of
-    its own, so that nothing is evaluated for each use."""
+    """rows(doc_id, th, text) -> doc_id, th, pos, h: windows by template, and those with placeholders word for word too. Each step is a
+    column of its own, so that nothing is evaluated for each use."""
     own = rows.withColumn("_m", marked(F.col("text"))).withColumn("_t", template(F.col("_m")))
-    own = own.select("doc_id", "th", word_hashes(tokens(F.col("_t"))).alias("wh"), F.when(F.col("_t").rlike(SLOT), word_hashes(tokens(unmarked(F.col("_m"))))).alias("ph"))
-    own = own.select("doc_id", "th", windows(F.col("wh"), width).alias("t"), F.when(F.col("ph").isNotNull(), windows(F.col("ph"), width)).alias("l"))
+    own = own.select("doc_id", "th", tokens(F.col("_t")).alias("tw"), F.when(has_slot(F.col("_t")), word_hashes(tokens(unmarked(F.col("_m"))))).alias("ph"))
+    own = own.select("doc_id", "th", word_hashes(F.col("tw")).alias("wh"), "ph", F.when(F.col("ph").isNotNull(), F.array_compact(F.transform("tw", lambda w, i: F.when(has_slot(w), i)))).alias("places"))
     place = lambda c: F.transform(c, lambda h, i: F.struct(i.alias("pos"), h.alias("h")))
-    literal = F.filter(place("l"), lambda x: x["h"] != F.get("t", x["pos"]))
-    return own.select("doc_id", "th", F.inline(F.when(F.col("l").isNull(), place("t")).otherwise(F.concat(place("t"), literal))))
+    n = F.size("wh")
+    around = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(F.greatest(F.lit(0), p - width + 1), F.least(p, n - width)))))
+    literal = F.when(n >= width, F.transform(around, lambda i: F.struct(i.alias("pos"), _window(F.col("ph"), i, width).alias("h")))).otherwise(place(windows(F.col("ph"), width)))
+    by_template = place(windows(F.col("wh"), width))
+    return own.select("doc_id", "th", F.inline(F.when(F.col("ph").isNull(), by_template).otherwise(F.concat(by_template, literal))))
 
 
 def _short(rows: DataFrame, items: DataFrame, width: int) -> DataFrame | None:
@@ -152,6 +159,7 @@ def passages(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most_sl
     hits = _document_windows(rows, width).join(F.broadcast(at) if small else at, "h")
     of = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.col("pos"))).alias(kind)
     found = hits.groupBy("doc_id", "th", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(*map(of, ("plain", "few", "many", "literal")))
+    found = keep(found, "hits")  # two kinds of runs are made of them
     # word for word alone, or too full of placeholders to tell by template
     found = found.withColumn("exact", F.array_union("plain", F.array_except("literal", "few")))
     sure = found.withColumn("at", F.sort_array(F.array_union("exact", "few")))
@@ -174,8 +182,8 @@ def passages(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most_sl
     span = lambda c, start: F.slice(c, F.greatest(F.lit(1), start + 1), F.col("last") - F.col("first") + width)
     aligned = F.arrays_zip(span(F.col("dv"), F.col("first")).alias("d"), span(F.col("dw"), F.col("first")).alias("dt"), span(F.col("values"), F.col("first") - F.col("diagonal")).alias("b"), span(F.col("words"), F.col("first") - F.col("diagonal")).alias("bt"))
     both = keep(both.select("doc_id", "item_id", "diagonal", "first", "last", "n", "n_exact", "full", aligned.alias("aligned")), "aligned")
-    pairs = F.array_distinct(F.transform(F.filter("aligned", lambda x: (x["dt"] == x["bt"]) & x["bt"].rlike(SLOT)), lambda x: F.struct(x["d"].alias("d"), x["b"].alias("b"))))
-    literals = F.size(F.array_distinct(F.transform(F.filter("aligned", lambda x: (x["dt"] == x["bt"]) & ~x["bt"].rlike(SLOT)), lambda x: x["bt"])))
+    pairs = F.array_distinct(F.transform(F.filter("aligned", lambda x: (x["dt"] == x["bt"]) & has_slot(x["bt"])), lambda x: F.struct(x["d"].alias("d"), x["b"].alias("b"))))
+    literals = F.size(F.array_distinct(F.transform(F.filter("aligned", lambda x: (x["dt"] == x["bt"]) & ~has_slot(x["bt"])), lambda x: x["bt"])))
     out = both.withColumns({"slots": pairs, "literals": literals})
     one_to_one = (F.size(F.array_distinct(F.transform("slots", lambda s: s["d"]))) == F.size("slots")) & (F.size(F.array_distinct(F.transform("slots", lambda s: s["b"]))) == F.size("slots"))
     told = one_to_one & (~F.col("full") | (F.col("literals") >= LITERALS))
