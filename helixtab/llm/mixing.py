@@ -7,7 +7,7 @@ to the remaining budget.
 
 The order within a source is never one task's work: keys fall in `buckets` fixed ranges, the words of each (source, range)
 are summed with partial aggregation, and only the documents of the one range in which a source's budget ends are ordered
-row by row.
+row by row, in EDGE_PARTS parts whose sums are accumulated.
 
 Nulls: a null text has size 0, a null source is a source of its own and comes last. A null id has the key of the empty
 string. Documents of size 0 take nothing. Repeated rows are documents of their own, told apart in no way: equal (key, id, size) rows are
@@ -19,12 +19,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import with_prefix
 from .common import WORD, Scratch
 
 MAX_EPOCHS = 3
 WEIGHTS = (5.0, 2.0, 1.0)
 SEED = "mix-1"
 BUCKETS = 4096
+#: Parts of the one range in which a source's budget ends.
+EDGE_PARTS = 256
 #: Parts that each source's rows are dealt in when they meet its target.
 SALTS = 128
 #: Signs that prose has few of; their density lowers the quality weight.
@@ -82,8 +85,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: float
     keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
     rows = keyed.join(plan, F.col("source").eqNullSafe(F.col("p")) & (F.col("salt") == F.col("part"))).drop("p", "salt", "part")
     edge = rows.filter(F.col("bucket") == F.col("cut"))
-    order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = edge.withColumn("at", F.col("words_before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
+    # the range in which the budget ends is cut again, so that no task orders more than a part of it
+    part = F.floor((F.lit(1.0) - F.exp(-F.col("key") / 8.0)) * (buckets * EDGE_PARTS)).cast("bigint")
+    edge = with_prefix(edge, ["source"], [part], ["key", "doc_id", "size"], F.col("size"), "_sum").withColumn("at", F.col("words_before") + F.coalesce("_sum", F.lit(0))).drop("_sum")
     clear = rows.filter(F.col("cut").isNull() | (F.col("bucket") != F.col("cut"))).withColumn("at", F.when(F.col("bucket") < F.coalesce(F.col("cut"), F.when(F.col("rest") > 0, F.lit(buckets)).otherwise(F.lit(-1))), F.lit(-1.0)))
     extra = F.when(F.col("at") < 0, 1).when(F.col("at") + F.col("size") / 2.0 <= F.col("rest"), 1).otherwise(0)
     both = clear.select("*").unionByName(edge.withColumn("at", F.col("at").cast("double")))

@@ -439,3 +439,12 @@ def test_deep_and_long_pages():
 ])
 def test_menus_without_marks(html, text):
     assert html_extract.main_text(html) == text
+
+
+def test_quality_weights_have_effect(spark):
+    """Half of a source's words are drawn; documents of weight 1 come five times as soon as those of 0.2."""
+    rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit(10).alias("size"), F.when(F.col("id") % 2 == 0, 1.0).otherwise(0.2).alias("quality"))
+    other = spark.range(6000, 12000).select(F.col("id").alias("doc_id"), F.lit("b").alias("source"), F.lit(10).alias("size"), F.lit(1.0).alias("quality"))
+    taken = {(r["source"], r["good"]): (r["t"], r["n"]) for r in mixing.mix(rows.unionByName(other), weights=(1.0, 3.0)).groupBy("source", (F.col("doc_id") % 2 == 0).alias("good")).agg(F.sum(F.col("taken") / F.col("size")).alias("t"), F.count("*").alias("n")).collect()}
+    good, bad = (taken["a", k][0] / taken["a", k][1] for k in (True, False))
+    assert abs(good + bad - 1) < 0.01 and good > bad + 0.35
