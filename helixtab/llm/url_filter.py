@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, lower_ascii, only
+from .common import Scratch, lower_ascii, most_frequent, only
 
 #: (verdict, host, path): fixed by the contract of the query.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -52,13 +52,12 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def word_counts(texts: DataFrame, vocabulary: int = VOCABULARY) -> dict[str, int]:
-    """Counts of the `vocabulary` most frequent words, runs of letters in lower case, over all texts(text)."""
+    """Counts of the most frequent words, `vocabulary` at most and words of equal count all or none, over all texts(text). Words are runs of letters in lower case."""
     words = texts.select(F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+")).alias("w")).filter("w != ''")
     scratch = Scratch(texts.sparkSession)
-    # written before it is collected, so that the driver gets the words of the whole and not those of every task
-    top = scratch.write(words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(vocabulary), "words")
-    out = {r["w"]: r["n"] for r in top.collect()}
-    scratch.drop(top)
+    counts = scratch.write(words.groupBy("w").agg(F.count("*").alias("n")), "words")
+    out = {r["w"]: r["n"] for r in most_frequent(counts, vocabulary).collect()}
+    scratch.drop(counts)
     return out
 
 

@@ -448,3 +448,11 @@ def test_quality_weights_have_effect(spark):
     taken = {(r["source"], r["good"]): (r["t"], r["n"]) for r in mixing.mix(rows.unionByName(other), weights=(1.0, 3.0)).groupBy("source", (F.col("doc_id") % 2 == 0).alias("good")).agg(F.sum(F.col("taken") / F.col("size")).alias("t"), F.count("*").alias("n")).collect()}
     good, bad = (taken["a", k][0] / taken["a", k][1] for k in (True, False))
     assert abs(good + bad - 1) < 0.01 and good > bad + 0.35
+
+
+def test_most_frequent(spark):
+    from helixtab.llm.common import most_frequent
+
+    counts = spark.createDataFrame([(k, n) for k, n in enumerate([10**9, 10**6, 70_000, 9, 5, 5, 5, 1, 1])], "k int, n bigint")
+    got = {most: sorted(r["k"] for r in most_frequent(counts, most).collect()) for most in (0, 1, 4, 6, 7, 9)}
+    assert got == {0: [], 1: [0], 4: [0, 1, 2, 3], 6: [0, 1, 2, 3], 7: list(range(7)), 9: list(range(9))}
