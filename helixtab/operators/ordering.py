@@ -7,6 +7,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
+#: Rows of a range that ranges() aims at.
+ROWS = 1 << 18
 #: Width of a part in positions or lines.
 PART = 65_536
 
@@ -37,3 +41,30 @@ def number_rows(df: DataFrame, by: list[str], coarse: list[Column], fine: list,
 def part_of(position: str | Column) -> Column:
     c = F.col(position) if isinstance(position, str) else position
     return F.floor(c / PART).cast("bigint")
+
+
+def ranges(df: DataFrame, order: list[str], rows: int = ROWS) -> DataFrame:
+    """The rows in ranges of `order` whose edges Spark samples, about `rows` rows each however the values lie: adds `_part`, which ascends with the order, and `_row`, the place within the
+    part. `order` should tell rows apart (a key last), so that many rows at one position are split too; rows equal in all of it go to one part. The table is written to scratch space,
+    as another run of the plan may sample other edges."""
+    n = max(1, -(-df.count() // rows))
+    dealt = df.repartitionByRange(n, *order) if n > 1 else df.coalesce(1)
+    out = written(dealt.sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    return out.withColumns({"_part": F.shiftright("_id", 33), "_row": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_id")
+
+
+def number_ranges(ranged: DataFrame, by: list[str], out: str = "line_no", total: str | None = None) -> DataFrame:
+    """Adds the 0-based position of each row of ranges() in its group, whose columns are the first of the order; total: the rows of the group. A table of one row a part and group is
+    joined; no row moves for a window."""
+    parts = ranged.groupBy(*by, "_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    w = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = [F.sum("_n").over(Window.partitionBy(*by)).alias(total)] if total else []
+    parts = parts.select(*(F.col(c).alias(f"_b_{c}") for c in (*by, "_part")), (F.coalesce(F.sum("_n").over(w), F.lit(0)) - F.col("_first")).alias("_shift"), *whole)
+    on = [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in (*by, "_part")]
+    return ranged.join(parts, on).withColumn(out, F.col("_row") + F.col("_shift")).drop("_shift", *(f"_b_{c}" for c in (*by, "_part")))
+
+
+def with_range_prefix(df: DataFrame, by: list[str], order: list[str], value: Column, out: str, agg=F.sum, total: str | None = None, rows: int = ROWS) -> DataFrame:
+    """with_prefix() over parts of bounded rows, see ranges(), for positions of which nothing is known."""
+    ranged = ranges(df, [*by, *order], rows)
+    return with_prefix(ranged, by, [F.col("_part")], ["_row"], value, out, agg, total).drop("_part", "_row")

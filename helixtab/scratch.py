@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -21,3 +21,10 @@ def scratch_root(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession) -> str:
     return f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The table written to a folder of its own and read again: what a plan gives differently each time, such as ids by task or sampled ranges, is fixed thereby."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
