@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embed_dedup, html_extract, jaccard_join, lm_score, mixing, pii, quality, url_filter
+from . import chat, decontam, embed_dedup, fingerprints, html_extract, jaccard_join, lm_score, merkle, mixing, pii, quality, token_align, url_filter
 from .common import table
 
 
@@ -50,10 +50,23 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_embedding_dedup, op3_jaccard_join, op4_decontaminate, op5_source_mixing, op6_quality_classifier, op7_pii, op8_lm_score, op9_chat_format, op10_html_extract)}
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align(table(spark, sf_dir, "documents"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_embedding_dedup, op3_jaccard_join, op4_decontaminate, op5_source_mixing, op6_quality_classifier, op7_pii, op8_lm_score, op9_chat_format, op10_html_extract, op11_token_align, op12_fingerprints, op13_merkle_manifest)}
 ORACLES = {
     "op2_embedding_dedup": embed_dedup.ORACLE,
     "op3_jaccard_join": jaccard_join.ORACLE,
     "op5_source_mixing": mixing.ORACLE.replace("source_size, target,", "source_size, round(target, 6) as target,"),
     "op9_chat_format": chat.ORACLE,
+    "op13_merkle_manifest": merkle.ORACLE,
 }
