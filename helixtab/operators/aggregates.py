@@ -58,6 +58,15 @@ def composition(df: DataFrame, lengths: DataFrame, by: str = "sample_id") -> Dat
     return d.withColumns({f"{k}_percent": F.when(F.col("genome_length") > 0, F.col(f"{k}_bp") / F.col("genome_length") * 100).otherwise(F.lit(0.0)) for k in kinds})
 
 
+def composition_rollup(df: DataFrame, by: str = "sample_id") -> DataFrame:
+    """Features, bases and fragments per sample, class and superfamily with subtotals per class, per sample and of all, from one aggregation: `level` is the grouping id (0 a superfamily, 1 a
+    class, 3 a sample, 7 all), and columns that a subtotal runs over are null. Genes are of class `gene`, names without a class of `Unknown`."""
+    te, gene = te_info(F.col("feature_id")), F.startswith("feature_id", F.lit("gene"))
+    kind = lambda c: F.when(gene, "gene").otherwise(F.coalesce(te[c], F.lit("Unknown")))
+    d = with_name_parts(df).select(by, kind("class").alias("class"), kind("superfamily").alias("superfamily"), (F.col("end") - F.col("start")).alias("_n"), F.contains("feature_id", F.lit("_FRAG")).alias("_frag"))
+    return d.rollup(by, "class", "superfamily").agg(F.grouping_id().cast("bigint").alias("level"), F.count("*").alias("features"), F.sum("_n").alias("bases"), F.count_if("_frag").alias("fragments"))
+
+
 def indel_rates(report: DataFrame, lengths: DataFrame) -> DataFrame:
     """Insertion and deletion rates per base: report(generation, inserts, deletions) over lengths(generation, genome_length); null without a genome."""
     d = report.join(lengths, "generation", "left")

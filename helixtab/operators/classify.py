@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import is_gene, te_info_pattern, with_name_parts
+from ..functions.arrays import running
+from ..scratch import written
 from .ordering import part_of, with_prefix
 
 CATEGORIES = ("Intact gene", "Fragmented gene", "Intact TE", "SoloLTR", "Fragmented TE")
 RADIUS = 100
+#: Lines of a part in which nest groups are taken one after another, and parts that are composed at once.
+NEST_LINES = NEST_PARTS = 4096
 
 
 def classify_base(df: DataFrame, frag_first: bool = False) -> DataFrame:
@@ -72,30 +76,64 @@ def intact_distribution(df: DataFrame, radius: int = RADIUS) -> DataFrame:
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("sample_id")))
 
 
-def nest_groups(df: DataFrame) -> DataFrame:
+def _candidates(df: DataFrame, width: int) -> DataFrame:
+    """(sample_id, part, cands): lines that may be the middle of a group, in order, and whether genes flank them. Each part of the lines also sees the last row before it and the first after it."""
+    line, nested = F.col("line_no"), F.when(F.size("attrs") > 0, F.startswith(F.get("attrs", F.lit(0)), F.lit("NESTED_IN:"))).otherwise(False)
+    part = lambda c: F.floor(c / width).cast("bigint")
+    rows = df.select("sample_id", "line_no", "feature_id", "strand", "tsd", nested.alias("_nested"))
+    seen = rows.withColumn("part", F.explode(F.array_distinct(F.array(part(line), part(line - 1), part(line + 1)))))
+    w = Window.partitionBy("sample_id", "part").orderBy("line_no")
+    same = F.col("_nested")
+    for c in ("feature_id", "strand", "tsd"):
+        same &= F.lag(c).over(w) == F.lead(c).over(w)
+    seen = seen.withColumns({"_cand": same, "gene": is_gene(F.lag("feature_id").over(w))}).filter(F.col("_cand") & (F.col("part") == part(line)))
+    return seen.groupBy("sample_id", "part").agg(F.sort_array(F.collect_list(F.struct(F.col("line_no").alias("line"), "gene"))).alias("cands"))
+
+
+def _after(last: Column, x: Column) -> Column:
+    """The line taken last after candidate x."""
+    return F.when(x["line"] - last >= 3, x["line"]).otherwise(last)
+
+
+def _compose(a: Column, b: Column) -> Column:
+    """The table of b after that of a; a table is the distance, 1, 2 or 3 (and more), that each distance becomes."""
+    return F.transform(a, lambda d: F.element_at(b, d))
+
+
+def _entering(parts: DataFrame, width: int) -> DataFrame:
+    """parts(sample_id, part, f) -> (sample_id, part, d): the distance with which the scan comes to each part. Tables of parts are composed to those of `width` parts, which are scanned
+    first, and so on; what is scanned is bounded everywhere."""
+    groups = parts.groupBy("sample_id", F.floor(F.col("part") / width).cast("bigint").alias("_g")).agg(F.sort_array(F.collect_list(F.struct("part", "f"))).alias("ps"))
+    identity = F.array(F.lit(1), F.lit(2), F.lit(3))
+    if (parts.agg(F.max("part")).first()[0] or 0) >= width:
+        whole = written(groups.select("sample_id", F.col("_g").alias("part"), F.aggregate("ps", identity, lambda acc, p: _compose(acc, p["f"])).alias("f")))
+        groups = groups.join(_entering(whole, width).withColumnRenamed("part", "_g"), ["sample_id", "_g"])
+    else:
+        groups = groups.withColumn("d", F.lit(3))
+    ds = running(F.col("ps"), F.col("d"), lambda d, p: F.element_at(p["f"], d))
+    return groups.select("sample_id", F.explode(F.zip_with("ps", F.slice(ds, 1, F.size("ps")), lambda p, d: F.struct(p["part"].alias("part"), d.alias("d")))).alias("x")).select("sample_id", "x.*")
+
+
+def nest_groups(df: DataFrame, lines: int = NEST_LINES, parts_at_once: int = NEST_PARTS) -> DataFrame:
     """Adds `subtype` and `nest_group` (line number of the middle row). A row whose first attribute begins NESTED_IN: between two rows with equal feature id,
     strand and TSD makes a group of three; groups are taken from left to right and a row serves in one group only.
 
-    Candidates less than three lines apart are in conflict; only runs of such candidates, which are short, are folded in order."""
+    Taking is an automaton over the candidates whose state is the distance since the last one taken: 1, 2 or more. What a part of the lines does to it is a table of three; tables compose,
+    so the state at every part's beginning is a scan over parts, and each part is then gone through on its own. A run of candidates may be as long as the file."""
     df = with_name_parts(df)
-    # each part of the lines also sees the last row before it and the first after it
-    part = part_of("line_no")
-    seen = df.select("*", F.explode(F.array_distinct(F.array(part, part_of(F.col("line_no") - 1), part_of(F.col("line_no") + 1)))).alias("_part"))
-    w = Window.partitionBy("sample_id", "_part").orderBy("line_no")
-    same = F.lit(True)
-    for c in ("feature_id", "strand", "tsd"):
-        same &= F.lag(c).over(w) == F.lead(c).over(w)
-    first = F.when(F.size("attrs") > 0, F.startswith(F.get("attrs", F.lit(0)), F.lit("NESTED_IN:"))).otherwise(False)
-    seen = seen.withColumns({"_cand": F.coalesce(first & same, F.lit(False)), "_gene": is_gene(F.lag("feature_id").over(w))})
-    cand = seen.filter(F.col("_cand") & (F.col("_part") == part)).select("sample_id", "line_no", "_gene")
-    place = (["sample_id"], [part_of("line_no")], ["line_no"])
-    cand = with_prefix(cand, *place, F.col("line_no"), "_last", F.max)
-    begins = F.when(F.coalesce(F.col("line_no") - F.col("_last") >= 3, F.lit(True)), 1).otherwise(0)
-    cand = with_prefix(cand.withColumn("_new", begins), *place, F.col("_new"), "_sum")
-    cand = cand.select("sample_id", "line_no", "_gene", (F.coalesce("_sum", F.lit(0)) + F.col("_new")).alias("_run"))
-    runs = cand.groupBy("sample_id", "_run").agg(F.sort_array(F.collect_list(F.struct("line_no", "_gene"))).alias("r"))
-    taken = F.aggregate("r", F.array().cast("array<struct<line_no:bigint,_gene:boolean>>"), lambda acc, x: F.when((F.size(acc) == 0) | (x["line_no"] - F.element_at(acc, -1)["line_no"] >= 3), F.array_append(acc, x)).otherwise(acc))
-    picked = runs.select("sample_id", F.explode(taken).alias("g")).select("sample_id", F.col("g.line_no").alias("nest_group"), F.col("g._gene").alias("_g"))
+    begin = F.col("part") * lines
+    cands = written(_candidates(df, lines))
+    last = [F.aggregate("cands", begin - d, _after) for d in (1, 2, 3)]
+    out = [F.least(F.lit(3), begin + lines - x).cast("int") for x in last]
+    # a part without candidates leaves any distance at 3: what comes before a gap doesn't matter
+    near = F.coalesce(F.lag("part").over(Window.partitionBy("sample_id").orderBy("part")) == F.col("part") - 1, F.lit(False))
+    tables = written(cands.select("sample_id", "part", F.when(near, F.array(*out)).otherwise(F.array(out[2], out[2], out[2])).alias("f")))
+    came = cands.join(_entering(tables, parts_at_once), ["sample_id", "part"])
+    # a part behind a gap is entered from afar
+    came = came.join(tables.select("sample_id", (F.col("part") + 1).alias("part"), F.lit(True).alias("_near")), ["sample_id", "part"], "left").withColumn("d", F.when(F.col("_near"), F.col("d")).otherwise(3))
+    lasts = running(F.col("cands"), begin - F.col("d"), _after)
+    taken = F.filter(F.zip_with("cands", F.slice(lasts, 2, F.size("cands")), lambda c, x: F.struct(c["line"].alias("line"), c["gene"].alias("gene"), (x == c["line"]).alias("taken"))), lambda z: z["taken"])
+    picked = came.select("sample_id", F.explode(taken).alias("g")).select("sample_id", F.col("g.line").alias("nest_group"), F.col("g.gene").alias("_g"))
     parts = picked.select("sample_id", "nest_group", "_g", F.posexplode(F.array(*(F.col("nest_group") + d for d in (-1, 0, 1)))).alias("_part", "line_no"))
     names = F.when(F.col("_g"), F.array(*map(F.lit, ("CUT_PAIR_GENE_1", "NEST_TE_IN_GENE", "CUT_PAIR_GENE_2")))).otherwise(F.array(*map(F.lit, ("CUT_PAIR_TE_1", "NEST_TE_IN_TE", "CUT_PAIR_TE_2"))))
     parts = parts.select("sample_id", "line_no", "nest_group", F.get(names, F.col("_part")).alias("_sub"))

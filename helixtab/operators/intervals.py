@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import is_gene
-from .ordering import part_of, with_prefix
+from .ordering import ROWS, part_of, with_prefix, with_range_prefix
+
+#: Draws of a group that one row makes.
+DRAWS = 4096
 
 KEYS = ["sample_id", "chrom"]
 
@@ -61,18 +64,28 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, position: str =
     return both.select(*keys, "_row.*", F.coalesce(inside, F.lit(False)).alias("inside"))
 
 
-def sample_positions(intervals: DataFrame, n: int, seed: int, keys: list[str] = ["sample_id"]) -> DataFrame:  # noqa: B006
+def last_before(points: DataFrame, marks: DataFrame, keys: list[str], order: list[str], rows: int = ROWS) -> DataFrame:
+    """Adds `_mark` to points(keys, _at, order): the columns of the last mark(keys, _at, ...) at or before it, null where there is none. Both are one table in ranges of bounded rows
+    over which the greatest mark is carried, so neither many marks nor many points at one place meet each other."""
+    held = [c for c in marks.columns if c not in keys]
+    m = marks.select(*keys, "_at", F.lit(0).alias("_point"), F.struct("_at", *(c for c in held if c != "_at")).alias("_value"))
+    both = points.withColumn("_point", F.lit(1)).unionByName(m, allowMissingColumns=True)
+    return with_range_prefix(both, keys, ["_at", "_point", *order], F.col("_value"), "_mark", F.max, rows=rows).filter("_point = 1").drop("_point", "_value")
+
+
+def sample_positions(intervals: DataFrame, n: int, seed: int, keys: list[str] = ["sample_id"], rows: int = ROWS) -> DataFrame:  # noqa: B006
     """n positions per group, drawn with replacement over weighted intervals (chrom, start, end, weight): an interval by its weight, a position in it evenly.
-    Draws are integers from a linear congruence of their number, so that they are the same anywhere. Adds draw, position."""
-    edges = with_prefix(intervals, keys, [F.col("chrom"), part_of("start")], ["start"], F.col("weight"), "_from", total="_total").withColumn("_from", F.coalesce("_from", F.lit(0.0)))
-    spark = intervals.sparkSession
-    draws = spark.range(n).select(F.col("id").alias("draw"), uniform(F.col("id"), seed).alias("u"), uniform(F.col("id"), seed + 1).alias("v"))
-    # a grid of 64 cells over (0, 1) is the join key; an interval is in the cells that it covers
-    cells = 64
-    edges = edges.filter("weight > 0").withColumns({"_lo": F.col("_from") / F.col("_total"), "_hi": (F.col("_from") + F.col("weight")) / F.col("_total")})
-    edges = edges.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") * cells).cast("int"), F.least(F.lit(cells), F.floor(F.col("_hi") * cells)).cast("int"))))
-    hit = draws.withColumn("_cell", F.floor(F.col("u") * cells).cast("int")).join(edges, "_cell").filter((F.col("u") >= F.col("_lo")) & (F.col("u") < F.col("_hi")))
-    return hit.select(*keys, "chrom", "draw", (F.col("start") + F.floor(F.col("v") * (F.col("end") - F.col("start")))).cast("bigint").alias("position"))
+    Draws are integers from a linear congruence of their number, so that they are the same anywhere; a draw takes the last interval whose cumulative share begins at or before its uniform. Adds
+    draw, position."""
+    edges = with_prefix(intervals, keys, [F.col("chrom"), part_of("start")], ["start"], F.col("weight"), "_from", total="_total").filter("weight > 0")
+    low = F.coalesce("_from", F.lit(0.0))
+    edges = edges.select(*keys, (low / F.col("_total")).alias("_at"), ((low + F.col("weight")) / F.col("_total")).alias("_hi"), "chrom", "start", "end")
+    first = F.col("_first")
+    groups = intervals.filter("weight > 0").select(*keys).distinct().withColumn("_first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max(0, n - 1)).cast("bigint"), F.lit(DRAWS).cast("bigint"))))
+    draws = groups.select(*keys, F.explode(F.sequence(first, F.least(first + DRAWS, F.lit(n)) - 1)).alias("draw")) if n > 0 else groups.select(*keys, first.alias("draw")).limit(0)
+    hit = last_before(draws.withColumn("_at", uniform(F.col("draw"), seed)), edges, keys, ["draw"], rows).filter(F.col("_at") < F.col("_mark._hi"))
+    v, mark = uniform(F.col("draw"), seed + 1), F.col("_mark")
+    return hit.select(*keys, mark["chrom"].alias("chrom"), "draw", (mark["start"] + F.floor(v * (mark["end"] - mark["start"]))).cast("bigint").alias("position"))
 
 
 def uniform(c, seed: int):

@@ -43,10 +43,11 @@ def part_of(position: str | Column) -> Column:
     return F.floor(c / PART).cast("bigint")
 
 
-def ranges(df: DataFrame, order: list[str], rows: int = ROWS) -> DataFrame:
+def ranges(df: DataFrame, order: list[str], rows: int = ROWS, stored: bool = False) -> DataFrame:
     """The rows in ranges of `order` whose edges Spark samples, about `rows` rows each however the values lie: adds `_part`, which ascends with the order, and `_row`, the place within the
     part. `order` should tell rows apart (a key last), so that many rows at one position are split too; rows equal in all of it go to one part. The table is written to scratch space,
-    as another run of the plan may sample other edges."""
+    as another run of the plan may sample other edges. stored: df is a table, not a plan, and needs no copy before it is counted, sampled and dealt."""
+    df = df if stored else written(df)
     n = max(1, -(-df.count() // rows))
     dealt = df.repartitionByRange(n, *order) if n > 1 else df.coalesce(1)
     out = written(dealt.sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))

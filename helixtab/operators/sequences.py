@@ -28,6 +28,11 @@ def genome_length(seqs: DataFrame, by: list[str]) -> DataFrame:
     return seqs.groupBy(*by).agg(F.sum(F.length("seq")).alias("genome_length"))
 
 
+def tiled_length(tiled: DataFrame, by: list[str]) -> DataFrame:
+    """genome_length() of tiles."""
+    return tiled.groupBy(*by).agg(F.sum(F.length("bases")).alias("genome_length"))
+
+
 def length_by_superfamily(seqs: DataFrame) -> DataFrame:
     """Adds seq_len and category, `class/superfamily` or Unknown."""
     te = te_info(F.col("header"))

@@ -121,6 +121,13 @@ def composition(spark, d):
     return A.composition(features(spark, d), lengths(spark, d)).select("sample_id", "gene_count", "te_count", "intact_count", "frag_count", "gene_bp", "te_bp", F.round("te_percent", 6).alias("te_percent"))
 
 
+@query(f"""with p as ({PARTS}), k as (select sample_id, end_pos - start_pos as n, contains(fid, '_FRAG') as frag, case when fid like 'gene%' then 'gene' else {CLASS} end as class, case when fid like 'gene%' then 'gene' else {FAMILY} end as superfamily from p)
+select sample_id, class, superfamily, grouping_id(sample_id, class, superfamily)::bigint as level, count(*) as features, sum(n)::bigint as bases, count(*) filter (frag) as fragments from k
+group by grouping sets ((sample_id, class, superfamily), (sample_id, class), (sample_id), ())""")
+def composition_rollup(spark, d):
+    return A.composition_rollup(features(spark, d))
+
+
 @query("""with g as (select distinct event_id // 37 as generation from raw_features), n as (select generation, row_number() over (order by generation) - 1 as pos, count(*) over () as n from g)
 select generation from n where pos in (select round_even(i * ((n - 1) / (least(9, n) - 1)), 0)::bigint from (select max(n) as n from n), range(0, 9) t(i) where i < least(9, n))""")
 def select_generations(spark, d):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..functions import sql
 from ..operators import aggregates as A
 from ..operators import classify as C
 from ..operators import reports as R
@@ -232,8 +233,38 @@ def superfamily_matrix(spark, d):
 
 @query(classified() + "select sample_id, category, count(*) as n, sum(end_pos - start_pos)::bigint as bases from k group by all")
 def streaming_statistics(spark, d):
-    """Files of the features arrive in a folder and are counted by a streaming query, which ends when all are read."""
+    """Files of the features, several a sample, arrive in a folder and are counted one a batch by a streaming query, which ends when all are read."""
     root = new_folder(spark)
-    K.write_features(features(spark, d), f"{root}/in", whole=True)
-    incremental.statistics(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint", files_per_batch=2).awaitTermination()
+    K.write_features(features(spark, d), f"{root}/in", ranges=6)
+    incremental.statistics(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint", files_per_batch=1).awaitTermination()
     return spark.read.parquet(f"{root}/out/categories").select(F.col("sample_id").cast("string").alias("sample_id"), "category", "n", "bases")
+
+
+@query("""with s as (select 's' || (doc_id % 3) as sample_id, row_number() over (partition by doc_id % 3 order by doc_id) - 1 as record_no, header, seq from seqs)
+select sample_id, record_no, header as chrom, t.k as tile_no, substr(seq, t.k * 100 + 1, 100) as bases from s, lateral (select unnest(range(0, greatest(1, (length(seq) + 99) // 100))) as k) t""")
+def read_tiles(spark, d):
+    """Records read by line, in tiles of 100 bases."""
+    s = view(spark, d, "seqs").select(F.expr("concat('s', doc_id % 3)").alias("sample_id"), F.col("doc_id").alias("record_no"), "header", "seq")
+    K.write_sequences(s, path := new_folder(spark))
+    return T.read_tiles(spark, path, 100).select("sample_id", "record_no", "chrom", "tile_no", "bases")
+
+
+@query(classified() + """select sample_id, count(*) filter (category = 'Intact gene') as intact_gene, count(*) filter (category = 'Fragmented gene') as fragmented_gene,
+  count(*) filter (category = 'Intact TE') as intact_te, count(*) filter (category = 'SoloLTR') as solo_ltr, count(*) filter (category = 'Fragmented TE') as fragmented_te from k group by sample_id""")
+def sql_category_counts(spark, d):
+    """Category counts in SQL alone, over a view of files and a table function."""
+    K.write_features(features(spark, d), path := new_folder(spark))
+    sql.register(spark)
+    sql.views(spark, features=path)
+    return spark.sql("""SELECT sample_id, count_if(category = 'Intact gene') AS intact_gene, count_if(category = 'Fragmented gene') AS fragmented_gene, count_if(category = 'Intact TE') AS intact_te,
+      count_if(category = 'SoloLTR') AS solo_ltr, count_if(category = 'Fragmented TE') AS fragmented_te FROM classified_features(false, true, 100) GROUP BY sample_id""")
+
+
+@query(f"""with n as (select *, split_part(name, ';', 1) as fid from features where not starts_with(name, 'gene')) select sample_id, {CLASS} as class, {FAMILY} as superfamily, count(*) as n, min(fid || '_SOLO' || substr(name, length(fid) + 1)) as least_solo,
+  min(split_part(name, '#', 1) || '_FRAG' || substr(name, instr(name, '#'))) as least_frag, regexp_replace(regexp_replace(printf('%.1e', count(*) / 7.3::double), 'e([+-])0*(\\d)', 'e\\1\\2'), 'e\\+', 'e') as rate,
+  max(case when {CLASS} = 'LTR' then try_cast(nullif(regexp_extract(fid, '~LTRlen:(.*)$', 1), '') as int) end) as longest, min(reverse(translate(tsd, 'ACGTacgt', 'TGCAtgca'))) as least_rc from n group by all""")
+def sql_name_functions(spark, d):
+    """The functions over names in one SQL statement."""
+    sql.register(spark)
+    return spark.sql("""SELECT sample_id, te_class(feature_id(name)) AS class, te_superfamily(feature_id(name)) AS superfamily, count(*) AS n, min(add_solo_tag(name)) AS least_solo, min(add_frag_tag(name)) AS least_frag,
+      fmt_sci(count(*) / 7.3D) AS rate, max(te_ltr_len(feature_id(name))) AS longest, min(revcomp(tsd)) AS least_rc FROM {features} WHERE NOT is_gene(name) GROUP BY sample_id, te_class(feature_id(name)), te_superfamily(feature_id(name))""", features=features(spark, d))

@@ -8,17 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_lines(lines: DataFrame, path: str, order: list[str], mode: str = "overwrite", compression: str = "none", whole: bool = False) -> None:
-    """lines(sample_id, order..., value): ranges of (sample_id, order) are files of the sample's folder, whose names sort in that order. whole: one file a sample, written by one task."""
-    dealt = lines.repartition("sample_id") if whole else lines.repartitionByRange("sample_id", *order)
+def write_lines(lines: DataFrame, path: str, order: list[str], mode: str = "overwrite", compression: str = "none", whole: bool = False, ranges: int | None = None) -> None:
+    """lines(sample_id, order..., value): ranges of (sample_id, order) are files of the sample's folder, whose names sort in that order. whole: one file a sample, written by one task; ranges: how many
+    ranges there are."""
+    dealt = lines.repartition("sample_id") if whole else lines.repartitionByRange(*([ranges] if ranges else []), "sample_id", *order)
     dealt.sortWithinPartitions("sample_id", *order).select("sample_id", "value").write.partitionBy("sample_id").mode(mode).option("compression", compression).text(path)
 
 
-def write_features(df: DataFrame, path: str, tag: bool = False, mode: str = "overwrite", compression: str = "none", whole: bool = False) -> None:
+def write_features(df: DataFrame, path: str, tag: bool = False, mode: str = "overwrite", compression: str = "none", whole: bool = False, ranges: int | None = None) -> None:
     """BED of 6 columns, or 7 with the tag where there is one, in order of chromosome and start."""
     cells = [F.col("chrom"), F.col("start").cast("string"), F.col("end").cast("string"), F.col("name"), F.coalesce("tsd", F.lit("NA")), F.coalesce("strand", F.lit("+"))]
     value = F.concat_ws("\t", *cells, *([F.col("tag")] if tag else []))
-    write_lines(df.select("sample_id", "chrom", "start", value.alias("value")), path, ["chrom", "start"], mode, compression, whole)
+    write_lines(df.select("sample_id", "chrom", "start", value.alias("value")), path, ["chrom", "start"], mode, compression, whole, ranges)
 
 
 def write_sequences(seqs: DataFrame, path: str, width: int = 60, mode: str = "overwrite") -> None:

@@ -77,6 +77,65 @@ def read_sequences(spark: SparkSession, path, header: str = "token", upper: bool
     return out.select("sample_id", "generation", F.col("record_no").cast("bigint").alias("record_no"), "header", "description", "seq")
 
 
+def read_tiles(spark: SparkSession, path, size: int = 65_536, header: str = "token", upper: bool = False) -> DataFrame:
+    """FASTA straight to tiles of `size` bases: sample_id, generation, record_no, chrom (first token of the header, or the full line), description, tile_no, bases. Files are read by line and
+    cut anywhere; where a line lies in its record follows from the bases of the splits before (a table of one row a split), so a record of any length is never whole anywhere. A line
+    must fit in a row. Lines before a file's first header belong to none; a record without bases has one empty tile."""
+    raw = _raw(spark, path, "loose").select("_whole", "sample_id", "generation", "_file", "_block", "value")
+    runs = raw.mapInArrow(_runs, "_whole string, sample_id string, generation bigint, _file string, _block bigint, _seg bigint, _off bigint, _n bigint, description string, bases string")
+    segs = runs.groupBy("_whole", "_file", "_block", "_seg").agg(F.sum("_n").alias("_n"))
+    splits = segs.groupBy("_whole", "_file", "_block").agg(F.max("_seg").alias("_heads"), F.sum("_n").alias("_all"), F.max_by("_n", "_seg").alias("_tail"))
+    w = Window.partitionBy("_whole").orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_from", F.coalesce(F.sum("_all").over(w), F.lit(0)))
+    # where the record that a split begins within began, in bases of the whole
+    begun = F.max(F.when(F.col("_heads") > 0, F.col("_from") + F.col("_all") - F.col("_tail"))).over(w)
+    splits = splits.select(F.col("_file").alias("_f2"), F.col("_block").alias("_b2"), F.coalesce(F.sum("_heads").over(w), F.lit(0)).alias("_before"), (F.col("_from") - begun).alias("_carry"))
+    placed = runs.join(F.broadcast(splits), (F.col("_file") == F.col("_f2")) & (F.col("_block") == F.col("_b2")))
+    placed = placed.withColumns({"record_no": F.col("_before") + F.col("_seg") - 1, "_at": F.col("_off") + F.when(F.col("_seg") == 0, F.col("_carry")).otherwise(0)}).filter("record_no >= 0")
+    heads = placed.filter("description is not null").select("sample_id", "generation", "record_no", "description")
+    heads = heads.withColumn("chrom", F.element_at(F.split(F.trim("description"), r"\s+"), 1) if header == "token" else F.col("description"))
+    first, last = F.floor(F.col("_at") / size).cast("bigint"), F.floor((F.col("_at") + F.col("_n") - 1) / size).cast("bigint")
+    cut = placed.filter("_n > 0").select("sample_id", "record_no", "_at", "bases", F.explode(F.sequence(first, last)).alias("tile_no"))
+    low = F.greatest(F.lit(0), F.col("tile_no") * size - F.col("_at"))
+    high = (F.col("tile_no") + 1) * size - F.col("_at")
+    piece = F.struct((F.col("_at") + low).alias("at"), F.substr("bases", (low + 1).cast("int"), (high - low).cast("int")).alias("b"))
+    tiled = cut.groupBy("sample_id", "record_no", "tile_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(piece)), lambda p: p["b"]), "").alias("bases"))
+    out = heads.join(tiled, ["sample_id", "record_no"], "left")
+    bases = F.coalesce("bases", F.lit(""))
+    return out.select("sample_id", "generation", "record_no", "chrom", "description", F.coalesce("tile_no", F.lit(0)).cast("bigint").alias("tile_no"), (F.upper(bases) if upper else bases).alias("bases"))
+
+
+def _runs(batches):
+    """Lines of splits in order -> runs of bases and headers: the segment (0 before the split's first header), the place of a run in its segment, its length."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    keys, seg, off = None, 0, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        value = batch.column(5)
+        head = np.asarray(pc.starts_with(value, ">").to_numpy(zero_copy_only=False), bool)
+        bases = pc.replace_substring_regex(value, r"\s+", "")
+        at = [batch.column(k).to_pylist() for k in (3, 4)]
+        new = [k for k in range(batch.num_rows) if k == 0 or head[k] or head[k - 1] or at[0][k] != at[0][k - 1] or at[1][k] != at[1][k - 1]]
+        out = {name: [] for name in ("_seg", "_off", "_n", "description", "bases")}
+        for begin, end in zip(new, [*new[1:], batch.num_rows], strict=True):
+            if keys != (at[0][begin], at[1][begin]):
+                keys, seg, off = (at[0][begin], at[1][begin]), 0, 0
+            if head[begin]:
+                seg, off, text, line = seg + 1, 0, "", value[begin].as_py()[1:].rstrip("\r")
+            else:
+                text, line = "".join(bases.slice(begin, end - begin).to_pylist()), None
+            for name, x in zip(out, (seg, off, len(text), line, text), strict=True):
+                out[name].append(x)
+            off += len(text)
+        rows = batch.take(pa.array(new))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([*rows.columns[:5], *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], [*rows.schema.names[:5], *out])
+
+
 def attribute_map(c: Column) -> Column:
     """`k=v` or `k:v` pairs between semicolons; of a repeated key the last counts."""
     pairs = F.filter(F.split(c, ";"), lambda p: F.contains(p, F.lit("=")) | F.contains(p, F.lit(":")))
