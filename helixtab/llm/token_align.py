@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -94,10 +95,9 @@ def sides(path_a: str, path_b: str) -> tuple[Side, Side]:
     return Side(a.encode_ordinary, table_a), Side(lambda text: b.encode(text), table_b)
 
 
-def groups_of(windows: list[tuple[tuple[int, ...], tuple[int, ...]]], left: Side, right: Side) -> tuple[list[str], list[list[int]]]:
-    """Groups of each window, as text, and its linked pairs; a window is ids of A and of B with equally many bytes. All windows are aligned as one: each ends with a shared end."""
-    a, b = (np.array([x for w in windows for x in w[k]], np.int64) for k in (0, 1))
-    many_a, many_b = (np.array([len(w[k]) for w in windows], np.int64) for k in (0, 1))
+def groups_of(a: np.ndarray, many_a: np.ndarray, b: np.ndarray, many_b: np.ndarray, left: Side, right: Side) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Groups of each window, as text; the linked pairs of all, and how many each has. A window is the next many_a ids of a and many_b of b, which have equally many bytes. All windows are
+    aligned as one: each ends with a shared end."""
     end_a, end_b = np.cumsum(left.size[a]), np.cumsum(right.size[b])
     shared = np.intersect1d(end_a, end_b, assume_unique=True)
     group_a, group_b = np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)
@@ -107,10 +107,9 @@ def groups_of(windows: list[tuple[tuple[int, ...], tuple[int, ...]]], left: Side
     words[np.arange(len(a)) + np.r_[0, upto_b][group_a]] = 2 * a + np.isin(np.arange(len(a)), upto_a - 1)
     words[np.arange(len(b)) + upto_a[group_b]] = 2 * len(left.table) + 2 * b + np.isin(np.arange(len(b)), upto_b - 1)
     text = list(map(_marked(len(left.table), len(right.table)).__getitem__, words.tolist()))
-    pairs = (a[upto_a - 1] << SHIFT | b[upto_b - 1]).tolist()
     cuts = np.cumsum(many_a + many_b).tolist()
-    groups = (group_a[np.cumsum(many_a) - 1] + 1).tolist()
-    return ["".join(text[i:j])[:-1] for i, j in zip([0, *cuts], cuts)], [pairs[i:j] for i, j in zip([0, *groups], groups)]  # noqa: B905
+    many = np.diff(np.r_[0, group_a[np.cumsum(many_a) - 1] + 1])
+    return ["".join(text[i:j])[:-1] for i, j in zip([0, *cuts], cuts)], a[upto_a - 1] << SHIFT | b[upto_b - 1], many  # noqa: B905
 
 
 @lru_cache(1)
@@ -133,24 +132,34 @@ class Aligner:
         self.clear()
 
     def clear(self) -> None:
-        self.memo: dict[tuple, int] = {}
+        self.memo: dict[bytes, int] = {}
         self.texts: list[str] = []
-        self.pairs: list[list[int]] = []
-
-    def numbers(self, keys: list[tuple]) -> list[int]:
-        """The remembered number of each window; new ones are aligned."""
-        get, n = self.memo.get, len(self.texts)
-        out, new = [], []
-        for key in keys:
-            k = get(key)
-            if k is None:
-                k = self.memo[key] = n + len(new)
-                new.append(key)
-            out.append(k)
+        self.pairs, self.first, self.many = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)  # linked pairs of all windows, and where each window's are
+
+    def numbers(self, a: np.ndarray, first_a: np.ndarray, size_a: np.ndarray, b: np.ndarray, first_b: np.ndarray, size_b: np.ndarray) -> list[int]:
+        """The remembered number of each window; new ones are aligned. A window's key is its id tuples as bytes: the number of A's ids, those, and B's."""
+        size = 1 + size_a + size_b
+        begin = np.cumsum(size) - size
+        flat = np.empty(size.sum(), np.int32)
+        flat[begin] = size_a
+        for ids, first, many, skip in ((a, first_a, size_a, 1), (b, first_b, size_b, 1 + size_a)):
+            inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            flat[np.repeat(begin + skip, many) + inside] = ids[np.repeat(first, many) + inside]
+        data, edges = flat.tobytes(), (4 * np.r_[begin, len(flat)]).tolist()
+        memo, n, out, new = self.memo, len(self.texts), [], []
+        for k in range(len(size)):
+            key = data[edges[k] : edges[k + 1]]
+            found = memo.get(key)
+            if found is None:
+                found = memo[key] = n + len(new)
+                new.append(k)
+            out.append(found)
         if new:
-            texts, pairs = groups_of(new, self.left, self.right)
+            fa, sa, fb, sb = first_a[new], size_a[new], first_b[new], size_b[new]
+            texts, pairs, many = groups_of(_ragged(a, fa, sa), sa, _ragged(b, fb, sb), sb, self.left, self.right)
             self.texts += texts
-            self.pairs += pairs
+            self.first = np.r_[self.first, len(self.pairs) + np.cumsum(many) - many]
+            self.pairs, self.many = np.r_[self.pairs, pairs], np.r_[self.many, many]
         return out
 
     def tokens(self, text: str) -> tuple[list[int], list[int]] | None:
@@ -190,25 +199,27 @@ class Aligner:
         per_text = np.diff(np.r_[0, np.cumsum(last_a[ia[anchor]])])
         windows = self.windows(a, b, first_a, size_a, first_b, size_b)
         upto = np.r_[0, np.flatnonzero(per_text) + 1]
+        many = self.many[windows]
+        links, upto_link = _ragged(self.pairs, self.first[windows], many), np.r_[0, np.cumsum(many)][upto]
+        texts = list(map(self.texts.__getitem__, windows.tolist()))
         for n, k in enumerate(own):
-            mine = windows[upto[n] : upto[n + 1]]
-            pairs = [x for w in mine for x in self.pairs[w]]
-            out[k] = (int(many_a[n]), int(many_b[n]), ";".join([self.texts[w] for w in mine]), np.array(pairs, np.int64))
+            out[k] = (int(many_a[n]), int(many_b[n]), ";".join(texts[upto[n] : upto[n + 1]]), links[upto_link[n] : upto_link[n + 1]])
         return out
 
-    def windows(self, a: np.ndarray, b: np.ndarray, first_a: np.ndarray, size_a: np.ndarray, first_b: np.ndarray, size_b: np.ndarray) -> list[int]:
+    def windows(self, a: np.ndarray, b: np.ndarray, first_a: np.ndarray, size_a: np.ndarray, first_b: np.ndarray, size_b: np.ndarray) -> np.ndarray:
         """The remembered number of each window: equal ones are looked up once."""
         with np.errstate(over="ignore"):
             h = np.add.reduceat(mix(a.astype(np.uint64) + (np.arange(len(a)) - np.repeat(first_a, size_a)).astype(np.uint64) * np.uint64(1 << 20)), first_a)
             h ^= mix(np.add.reduceat(mix(b.astype(np.uint64) + (np.arange(len(b)) - np.repeat(first_b, size_b) + 1).astype(np.uint64) * np.uint64(1 << 40)), first_b))
-        _, at, of = np.unique(h, return_index=True, return_inverse=True)
+        of, kinds = pd.factorize(h)
+        at = np.empty(len(kinds), np.int64)
+        at[of[::-1]] = np.arange(len(h))[::-1]
         same = at[of]
         equal = np.array_equal(size_a, size_a[same]) and np.array_equal(size_b, size_b[same]) and np.array_equal(a, _ragged(a, first_a[same], size_a)) and np.array_equal(b, _ragged(b, first_b[same], size_b))
         if not equal:  # two windows have one hash: each by its ids
             at, of = np.arange(len(first_a)), np.arange(len(first_a))
-        la, lb = a.tolist(), b.tolist()
-        known = np.array(self.numbers([(tuple(la[i : i + n]), tuple(lb[j : j + m])) for i, n, j, m in zip(first_a[at].tolist(), size_a[at].tolist(), first_b[at].tolist(), size_b[at].tolist(), strict=True)]), np.int64)
-        return known[of].tolist()
+        known = np.array(self.numbers(a, first_a[at], size_a[at], b, first_b[at], size_b[at]), np.int64)
+        return known[of]
 
 
 def _pieces(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
