@@ -1,11 +1,12 @@
-"""Coordinates after deletions and insertions, in batches on original coordinates."""
+"""Coordinates after deletions and insertions: in batches on original coordinates, and insertions one after another on the coordinates that those before have left."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import part_of, with_prefix
+from ..scratch import written
+from .ordering import number_ranges, part_of, ranges, with_prefix
 
 KEYS = ["sample_id", "chrom"]
 
@@ -53,3 +54,76 @@ def inserted_features(features: DataFrame, events: DataFrame, keys: list[str] =
     hosts = e.join(f, [*keys, "_bin"]).filter("position > _s and position < _e").groupBy(*keys, "position").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "_host"))), lambda h: F.concat(F.lit(";NESTED_IN:"), h["_host"])), "").alias("_in"))
     out = _shift(events.join(hosts, [*keys, "position"], "left"), events, "position", "length", True, keys, "shift")
     return out.select(*keys, (F.col("position") + F.col("shift")).alias("start"), (F.col("position") + F.col("shift") + F.col("length")).alias("end"), F.concat("name", F.coalesce("_in", F.lit(""))).alias("name"))
+
+
+BIN = 4096
+
+
+def _cut(rows: DataFrame, gaps: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """rows(keys, row, start, end, tags, ...) after gaps(keys, position, length, seq, by) on the same coordinates: rows at or after a gap move, rows that a gap lies within are cut. Adds to
+    the tags (seq, by) of a piece those gaps that cut the row while it still held the piece: looking outwards from it, those earlier than all nearer ones. Also the pairs (keys, row, seq)."""
+    first, last = F.floor(F.col("start") / BIN).cast("bigint"), F.floor(F.col("end") / BIN).cast("bigint")
+    spans = rows.select(*keys, "row", "start", "end", F.explode(F.sequence(first, last)).alias("_bin"))
+    g = gaps.select(*keys, "position", "seq", "by", F.floor(F.col("position") / BIN).cast("bigint").alias("_bin"))
+    pairs = spans.join(g, [*keys, "_bin"]).filter("position > start and position < end").select(*keys, "row", "start", "position", "seq", "by")
+    cuts = pairs.groupBy(*keys, "row", "start").agg(F.sort_array(F.collect_list(F.struct("position", "seq", "by"))).alias("_cuts"))
+    whole = rows.join(cuts, [*keys, "row", "start"], "left").withColumn("_cuts", F.coalesce("_cuts", F.array().cast("array<struct<position:bigint,seq:bigint,by:string>>")))
+    points = F.concat(F.array(F.col("start").cast("bigint")), F.transform("_cuts", lambda c: c["position"]), F.array(F.col("end").cast("bigint")))
+
+    def earlier(outwards: Column) -> Column:
+        tag = lambda c: F.struct(c["seq"].alias("seq"), c["by"].alias("by"))
+        none = F.array().cast("array<struct<seq:bigint,by:string>>")
+        return F.aggregate(outwards, none, lambda acc, c: F.when((F.size(acc) == 0) | (c["seq"] < F.element_at(acc, -1)["seq"]), F.array_append(acc, tag(c))).otherwise(acc))
+
+    def piece(k: Column) -> Column:
+        left, right = F.reverse(F.slice("_cuts", F.lit(1), k)), F.slice("_cuts", k + 1, F.size("_cuts"))
+        return F.struct(F.get(points, k).alias("start"), F.get(points, k + 1).alias("end"), F.concat("tags", F.sort_array(F.concat(earlier(left), earlier(right)))).alias("tags"))
+
+    held = [c for c in rows.columns if c not in (*keys, "start", "end", "tags")]
+    pieces = whole.select(*keys, *held, F.explode(F.transform(F.sequence(F.lit(0), F.size("_cuts")), piece)).alias("_q")).select(*keys, *held, "_q.*")
+    moved = _shift(pieces, gaps, "start", "length", False, keys, "_move")
+    return moved.withColumns({"start": F.col("start") + F.col("_move"), "end": F.col("end") + F.col("_move")}).drop("_move"), pairs.select(*keys, "row", "seq")
+
+
+def _gaps(segments: DataFrame, keys: list[str]) -> DataFrame:
+    """Inserted segments(keys, row, start, end, by) as gaps on the coordinates before: (keys, position, length, seq, by), of segments at one place the earliest, which is the one that cuts."""
+    size = F.col("end") - F.col("start")
+    placed = with_prefix(segments, keys, [part_of("start")], ["start"], size, "_before")
+    placed = placed.withColumn("position", F.col("start") - F.coalesce("_before", F.lit(0)))
+    return placed.groupBy(*keys, "position").agg(F.sum(size).alias("length"), F.min("row").alias("seq"), F.min_by("by", "row").alias("by"))
+
+
+def insert_in_order(features: DataFrame, events: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """features(keys, line_no, name, start, end) and insertions events(keys, seq, position, length, name), each given on the coordinates that those with a smaller seq have left: all as if applied one after
+    another. Returns keys, line_no or seq, name, start, end: pieces of features, whose names have `;CUT_BY:` and the name of each insertion that cut them, in order of time; and of the
+    inserted ones, whose names first have `;NESTED_IN:` and the name of each feature or insertion that they went into, insertions first, then features by line. Names in marks are those given.
+
+    A run of insertions is a set of disjoint segments on the coordinates after it, and with their lengths taken off, a set of gaps on those before. Two runs compose: the segments of the first are cut
+    and moved by the gaps of the second. So runs of one, two, four ... insertions are built, all of a level in one pass, and the features are cut once by the gaps of the whole run: as many passes as the
+    logarithm of the insertions of a chromosome, and no order of time within them."""
+    ev = ranges(events.select(*keys, "seq", F.col("position").cast("bigint").alias("position"), F.col("length").cast("bigint").alias("length"), "name"), [*keys, "seq"])
+    ev = written(number_ranges(ev, keys, "row").drop("_part", "_row").filter("length > 0"))
+    none = F.array().cast("array<struct<seq:bigint,by:string>>")
+    segments = ev.select(*keys, "row", F.col("row").alias("node"), F.col("name").alias("by"), F.col("position").alias("start"), (F.col("position") + F.col("length")).alias("end"), none.alias("tags"))
+    segments = written(segments)
+    most, into = segments.agg(F.max("node")).first()[0] or 0, []
+    while most > 0:
+        pair = [*keys, "_pair"]
+        both = segments.withColumn("_pair", F.floor(F.col("node") / 2).cast("bigint"))
+        right = both.filter("node % 2 = 1")
+        left, hits = _cut(both.filter("node % 2 = 0"), _gaps(right, pair), pair)
+        into.append(written(hits.select(*keys, F.col("row").alias("host"), "seq")))
+        segments = written(left.unionByName(right).withColumn("node", F.col("_pair")).drop("_pair"))
+        most //= 2
+    f = features.select(*keys, F.col("line_no").alias("row"), F.col("name").alias("by"), "start", "end", none.alias("tags"))
+    cut, hits = _cut(f, _gaps(segments, keys), keys)
+    names = ev.select(*keys, F.col("row").alias("host"), F.col("name").alias("_host"))
+    hosts = hits.select(*keys, F.col("row").alias("host"), "seq").join(f.select(*keys, F.col("row").alias("host"), F.col("by").alias("_host")), [*keys, "host"]).select(*keys, "seq", F.lit(1).alias("_kind"), "host", "_host")
+    for table in into:
+        hosts = hosts.unionByName(table.join(names, [*keys, "host"]).select(*keys, "seq", F.lit(0).alias("_kind"), "host", "_host"))
+    mark = lambda c, text, field: F.array_join(F.transform(c, lambda x: F.concat(F.lit(text), x[field])), "")
+    hosts = hosts.groupBy(*keys, F.col("seq").alias("row")).agg(F.sort_array(F.collect_set(F.struct("_kind", "host", "_host"))).alias("_in"))
+    new = segments.join(hosts, [*keys, "row"], "left").join(ev.select(*keys, "row", F.col("seq").alias("_seq")), [*keys, "row"])
+    new = new.select(*keys, F.lit(None).cast("bigint").alias("line_no"), F.col("_seq").alias("seq"), F.concat("by", F.coalesce(mark("_in", ";NESTED_IN:", "_host"), F.lit("")), mark("tags", ";CUT_BY:", "by")).alias("name"), "start", "end")
+    old = cut.select(*keys, F.col("row").alias("line_no"), F.lit(None).cast("bigint").alias("seq"), F.concat("by", mark("tags", ";CUT_BY:", "by")).alias("name"), "start", "end")
+    return old.unionByName(new)

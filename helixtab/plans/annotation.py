@@ -298,6 +298,30 @@ def inserted_features(spark, d):
     return liftover.inserted_features(f.select("sample_id", "chrom", "line_no", "name", "start", "end"), ev).select("sample_id", "chrom", F.col("start").alias("start_pos"), "name")
 
 
+#: Insertions on moving coordinates, one step of the recursion each: rows are features and insertions, which wait until their turn.
+IN_ORDER = """with recursive ev as (select sample_id, chrom, event_id as seq, (start_pos * 7) % 1500000 as position, 100 + event_id % 400 as len, 'NEW' || (event_id % 23) as nm,
+  row_number() over (partition by sample_id, chrom order by event_id) as k, count(*) over (partition by sample_id, chrom) as m from features where event_id % 40 = 3),
+st as (select f.sample_id, f.chrom, 0::bigint as k, line_no, null::bigint as seq, 0::bigint as born, name as given, '' as tags, start_pos as s, end_pos as e from features f
+    union all select sample_id, chrom, 0, null, seq, k, nm, '', 0, 0 from ev
+  union all select st.sample_id, st.chrom, st.k + 1, line_no, st.seq, born, given, case when born < st.k + 1 and s < position and e > position then tags || ';CUT_BY:' || nm else tags end,
+    case when born > st.k + 1 then 0 when born = st.k + 1 then position when e <= position then s when s >= position then s + len when side = 0 then s else position + len end,
+    case when born > st.k + 1 then 0 when born = st.k + 1 then position + len when e <= position then e when s >= position then e + len when side = 0 then position else e + len end
+    from st join ev on ev.sample_id = st.sample_id and ev.chrom = st.chrom and ev.k = st.k + 1, (values (0), (1)) v(side) where side = 0 or (born < st.k + 1 and s < position and e > position)),
+h as (select ev.sample_id, ev.chrom, ev.seq, string_agg(';NESTED_IN:' || given, '' order by case when st.seq is null then 1 else 0 end, st.line_no, st.seq) as host
+  from ev join st on st.sample_id = ev.sample_id and st.chrom = ev.chrom and st.k = ev.k - 1 and st.born < ev.k and s < position and e > position group by all),
+z as (select sample_id, chrom, max(k) as m from ev group by all)
+select st.sample_id, st.chrom, line_no, st.seq, given || coalesce(host, '') || tags as name, s as start_pos, e as end_pos from st left join z using (sample_id, chrom) left join h on h.sample_id = st.sample_id and h.chrom = st.chrom and h.seq = st.seq
+where st.k = coalesce(m, 0)"""
+
+
+@query(IN_ORDER)
+def insert_in_order(spark, d):
+    f = features(spark, d)
+    ev = f.filter("event_id % 40 = 3").select("sample_id", "chrom", F.col("event_id").alias("seq"), (F.col("start") * 7 % 1_500_000).alias("position"), (100 + F.col("event_id") % 400).alias("length"), F.concat(F.lit("NEW"), (F.col("event_id") % 23).cast("string")).alias("name"))
+    out = liftover.insert_in_order(f.select("sample_id", "chrom", "line_no", "name", "start", "end"), ev)
+    return out.withColumnsRenamed({"start": "start_pos", "end": "end_pos"})
+
+
 # overlap
 
 MATCH = """with o as (select c.call_id, f.line_no, f.event_id, f.start_pos as fs, least(c.end_pos, f.end_pos) - greatest(c.start_pos, f.start_pos) as sh, c.end_pos - c.start_pos as cl, f.end_pos - f.start_pos as fl

@@ -37,10 +37,73 @@ def _numbered(raw: DataFrame, out: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path, style: str = "loose") -> DataFrame:
-    """sample_id, generation, file_name, line_no, value of each line."""
+    """sample_id, generation, file_name, line_no, value of each line. path may be such a table itself, as read_block_gzip() gives."""
+    if isinstance(path, DataFrame):
+        return path
     return _numbered(_raw(spark, path, style), "line_no").select("sample_id", "generation", "file_name", "line_no", "value")
 
 
+#: What each member of a block-gzipped file begins with, up to its size.
+MEMBER = bytes((31, 139, 8, 4, 0, 0, 0, 0, 0, 255, 6, 0, 66, 67, 2, 0))
+
+
+def read_block_gzip(spark: SparkSession, path, style: str = "loose") -> DataFrame:
+    """read_lines() of block-gzipped text, in as many tasks as the file has splits: the fixed beginning of a gzip member is the separator by which Spark cuts the raw bytes, each split
+    inflates the members that begin in it, and only the lines at its ends meet those of its neighbours. Names must not end in .gz, which Spark would inflate whole; a member that is cut
+    short or doesn't match its checksum is an error."""
+    raw = _raw(spark, path, style, lineSep=MEMBER.decode("latin-1"), encoding="ISO-8859-1").select("_whole", "sample_id", "generation", "file_name", "_file", "_block", F.col("value").cast("binary").alias("value"))
+    kinds = "_whole string, sample_id string, generation bigint, file_name string, _file string, _block bigint"
+    lines = raw.mapInArrow(_inflated, f"{kinds}, _line bigint, _end boolean, value string")
+    splits = lines.groupBy("_file", "_block").agg(F.max("_line").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select(F.col("_file").alias("_f2"), F.col("_block").alias("_b2"), before.alias("_shift"), F.sum("_n").over(Window.partitionBy("_file")).alias("_total"))
+    lines = lines.join(F.broadcast(splits), (F.col("_file") == F.col("_f2")) & (F.col("_block") == F.col("_b2"))).withColumn("line_no", F.col("_line") + F.col("_shift"))
+    group = ["_whole", "sample_id", "generation", "file_name", "_file", "line_no", "_total"]
+    ends = lines.filter("_end").groupBy(*group).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_block", "_line", "value"))), lambda x: x["value"]), "").alias("value"))
+    ends = ends.filter("not (line_no = _total and value = '')")
+    # lines of a folder's files run on
+    files = ends.groupBy("_whole", "_file").agg((F.max("_total") + F.max((F.col("line_no") == F.col("_total")).cast("bigint"))).alias("_n"))
+    files = files.select(F.col("_file").alias("_f2"), F.coalesce(F.sum("_n").over(Window.partitionBy("_whole").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    both = lines.filter("not _end").select(*group, "value").unionByName(ends).join(F.broadcast(files), F.col("_file") == F.col("_f2"))
+    return both.select("sample_id", "generation", "file_name", (F.col("line_no") + F.col("_before")).alias("line_no"), F.regexp_replace("value", r"\r$", "").alias("value"))
+
+
+def _inflated(batches):
+    """Members of splits in order -> lines with their number in the split; _end: the first and the last, which may go on in another split."""
+    import zlib
+
+    import pyarrow as pa
+
+    names = ["_whole", "sample_id", "generation", "file_name", "_file", "_block", "_line", "_end", "value"]
+    types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
+    split, line, rest = None, 0, b""
+
+    def made(first: int, texts: list[bytes], ends: list[bool]) -> pa.RecordBatch:
+        columns = [[v] * len(texts) for v in split] + [list(range(first, first + len(texts))), ends, [t.decode("utf-8", "replace") for t in texts]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    for batch in batches:
+        for *own, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if own != split:
+                if split:
+                    yield made(line, [rest], [True])
+                split, line, rest = own, 0, b""
+            if not piece:
+                continue
+            size = int.from_bytes(piece[:2], "little") + 1
+            if size != len(piece) + len(MEMBER):
+                raise ValueError(f"{own[4]}: a member of {size} bytes has {len(piece) + len(MEMBER)}")
+            data = zlib.decompress(piece[2:-8], -15)
+            if zlib.crc32(data) != int.from_bytes(piece[-8:-4], "little"):
+                raise ValueError(f"{own[4]}: a member doesn't match its checksum")
+            *texts, rest = (rest + data).split(b"\n")
+            if texts:
+                yield made(line, texts, [line + k == 0 for k in range(len(texts))])
+                line += len(texts)
+    if split:
+        yield made(line, [rest], [True])
+
+
 def _content(lines: DataFrame) -> DataFrame:
     """Lines that are neither blank nor comments, trimmed."""
     return lines.withColumn("value", F.regexp_replace("value", r"^\s+|\s+$", "")).filter((F.col("value") != "") & ~F.startswith("value", F.lit("#")))

@@ -232,3 +232,115 @@ def test_files_in_ranges(spark, tmp_path):
     sinks.write_features(df, str(tmp_path / "x"), ranges=4)
     assert len(list((tmp_path / "x" / "sample_id=s").glob("part-*"))) > 2
     assert T.read_features(spark, str(tmp_path / "x")).filter("line_no != start").count() == 0
+
+
+# densities, insertions in order of time, block gzip
+
+
+def test_a_million_distinct_values_equal_all_pairs(spark):
+    import math
+
+    import numpy as np
+
+    from helixtab.operators import density
+
+    n = 1_000_000
+    df = spark.range(n).select(F.lit("a").alias("g"), (F.pow(F.col("id") / n, F.lit(2.5)) * 5e5 + F.col("id") % 3 * 1e6).alias("x"))
+    x = np.array([r["x"] for r in df.select("x").toLocalIterator()]) if n < 1000 else (np.arange(n) / n) ** 2.5 * 5e5 + np.arange(n) % 3 * 1e6
+    places = [float(v) for v in np.r_[np.linspace(-4e5, 3e6, 60), x[::99_991]]]
+    at = spark.createDataFrame([("a", v) for v in places], "g string, at double")
+    got = {r["at"]: r["density"] for r in density.density_at(at, density.histogram(df, "x", ["g"]), ["g"]).collect()}
+    bw = n**-0.2 * x.std(ddof=1)
+    want = {v: np.exp(-0.5 * ((v - x) / bw) ** 2).sum() / (n * bw * math.sqrt(2 * math.pi)) for v in places}
+    top = max(want.values())
+    assert max(abs(got[v] - want[v]) for v in places) < 1e-12 * top < 1e-9
+
+
+def one_after_another(feats, events):
+    rows = [[(k, None), name, "", s, e] for k, name, s, e in feats]
+    for seq, at, size, name in sorted(events):
+        out, hosts = [], set()
+        for key, given, tags, s, e in rows:
+            if e <= at:
+                out.append([key, given, tags, s, e])
+            elif s >= at:
+                out.append([key, given, tags, s + size, e + size])
+            else:
+                hosts.add((key[1] is None, key, given))
+                out += [[key, given, f"{tags};CUT_BY:{name}", s, at], [key, given, f"{tags};CUT_BY:{name}", at + size, e + size]]
+        inside = "".join(f";NESTED_IN:{h[2]}" for h in sorted(hosts, key=lambda h: (h[0], h[1][0] or 0, h[1][1] or 0)))
+        rows = [*out, [(None, seq), name, inside, at, at + size]]
+    return sorted(str((*key, given + tags, s, e)) for key, given, tags, s, e in rows)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_insertions_in_order_equal_one_after_another(spark, seed):
+    """Also insertions into insertions, at their edges, several at one place, on chromosomes without features and without insertions."""
+    from helixtab.operators import liftover
+
+    rng, features, events, want = random.Random(seed), [], [], []
+    for c in range(10):
+        n = size = rng.choice([40, 300, 9000])
+        own = [(k, f"T{k}", a, a + rng.randrange(1, size // 3)) for k, a in enumerate(rng.randrange(size) for _ in range(rng.randrange(8)))]
+        new = []
+        for k in range(rng.choice([0, 1, 2, 5, 12, 33])):
+            at = rng.choice([rng.randrange(n + 1), rng.randrange(n // 4), new[-1][1] if new else 0, new[-1][1] + new[-1][2] if new else 3])
+            new.append((7 * k + rng.randrange(7), at, rng.randrange(1, 30), f"N{k}"))
+            n += new[-1][2]
+        features += [("s", f"c{c}", *f) for f in own]
+        events += [("s", f"c{c}", *e) for e in new]
+        want += [f"c{c}{r}" for r in one_after_another(own, new)]
+    f = spark.createDataFrame(features, "sample_id string, chrom string, line_no long, name string, start long, end long")
+    e = spark.createDataFrame(events, "sample_id string, chrom string, seq long, position long, length long, name string")
+    got = [r["chrom"] + str((r["line_no"], r["seq"], r["name"], r["start"], r["end"])) for r in liftover.insert_in_order(f, e).collect()]
+    assert sorted(got) == sorted(want)
+    assert liftover.insert_in_order(f, e.limit(0)).count() == len(features)
+
+
+def block_gzip(text, size):
+    import zlib
+
+    out = b""
+    for k in [*range(0, len(text), size), len(text)]:  # the last is the empty member that ends a file
+        z = zlib.compressobj(6, zlib.DEFLATED, -15)
+        data = text[k : k + size]
+        body = z.compress(data) + z.flush()
+        out += T.MEMBER + (len(T.MEMBER) + 2 + len(body) + 8 - 1).to_bytes(2, "little") + body + zlib.crc32(data).to_bytes(4, "little") + len(data).to_bytes(4, "little")
+    return out
+
+
+def test_block_gzip_in_several_tasks_equals_plain_text(spark, tmp_path):
+    import gzip
+
+    rng = random.Random(9)
+    for folder in ("plain", "packed"):
+        (tmp_path / folder).mkdir()
+    for name, n, end in (("gen1_final", 3000, "\n"), ("gen2_final", 40, ""), ("gen3_final", 1, "\r\n")):
+        text = ("\n".join(("# ü" if k % 97 == 5 else "" if k % 101 == 7 else bed(k, f"gene{rng.random()}").strip() + "x" * (k % 5 * 90)) for k in range(n)) + end).encode()
+        (tmp_path / "plain" / f"{name}.bed").write_bytes(text)
+        packed = block_gzip(text, 700)
+        assert gzip.decompress(packed) == text
+        (tmp_path / "packed" / f"{name}.bgz").write_bytes(packed)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = T.read_block_gzip(spark, str(tmp_path / "packed"))
+        assert spark.read.option("lineSep", "x").text(str(tmp_path / "packed" / "gen1_final.bgz")).rdd.getNumPartitions() > 5
+        rows = lambda df: sorted((r["sample_id"], r["generation"], r["line_no"], r["value"]) for r in df.collect())
+        assert rows(got) == rows(T.read_lines(spark, str(tmp_path / "plain")))
+        tell = lambda p: sorted(map(tuple, T.read_features(spark, p).collect()), key=str)
+        assert tell(got) == tell(str(tmp_path / "plain"))
+        whole = (tmp_path / "packed" / "gen2_final.bgz").read_bytes()
+        (tmp_path / "packed" / "gen2_final.bgz").write_bytes(whole[:-10])
+        with pytest.raises(Exception, match="member of"):
+            T.read_block_gzip(spark, str(tmp_path / "packed")).count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_strict_features(spark, tmp_path):
+    """Short rows are left out, or an error on demand."""
+    (tmp_path / "a.bed").write_text(bed(1, "gene1") + "too\tshort\n")
+    assert T.read_features(spark, str(tmp_path)).count() == 1
+    with pytest.raises(Exception, match="too few fields"):
+        T.read_features(spark, str(tmp_path), strict=True).count()
