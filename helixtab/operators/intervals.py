@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import is_gene
+from ..scratch import written
 from .ordering import ROWS, part_of, with_prefix, with_range_prefix
 
 #: Draws of a group that one row makes.
@@ -77,6 +78,7 @@ def sample_positions(intervals: DataFrame, n: int, seed: int, keys: list[str] =
     """n positions per group, drawn with replacement over weighted intervals (chrom, start, end, weight): an interval by its weight, a position in it evenly.
     Draws are integers from a linear congruence of their number, so that they are the same anywhere; a draw takes the last interval whose cumulative share begins at or before its uniform. Adds
     draw, position."""
+    intervals = written(intervals.select(*keys, "chrom", "start", "end", "weight"))  # read several times: a table, not a plan
     edges = with_prefix(intervals, keys, [F.col("chrom"), part_of("start")], ["start"], F.col("weight"), "_from", total="_total").filter("weight > 0")
     low = F.coalesce("_from", F.lit(0.0))
     edges = edges.select(*keys, (low / F.col("_total")).alias("_at"), ((low + F.col("weight")) / F.col("_total")).alias("_hi"), "chrom", "start", "end")
