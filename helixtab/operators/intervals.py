@@ -47,7 +47,7 @@ def gene_neighbourhoods(df: DataFrame, buffer: int, lengths: DataFrame | None =
 
 def weighted_intervals(df: DataFrame, lengths: DataFrame, buffer: int, bias: float, keys: list[str] = KEYS) -> DataFrame:
     """Each chromosome cut into open intervals (gene neighbourhoods; weight length * bias) and closed ones (the rest; weight length)."""
-    near = gene_neighbourhoods(df, buffer, lengths, keys)
+    near = written(gene_neighbourhoods(df, buffer, lengths, keys))  # read several times: a table, not a plan
     rest = complement_intervals(near, lengths, keys, merged_before=True)
     weigh = lambda d, kind, factor: d.withColumns({"kind": F.lit(kind), "weight": (F.col("end") - F.col("start")) * F.lit(float(factor))})
     return weigh(near, "open", bias).unionByName(weigh(rest, "closed", 1.0))

@@ -235,7 +235,7 @@ def superfamily_matrix(spark, d):
 def streaming_statistics(spark, d):
     """Files of the features, several a sample, arrive in a folder and are counted one a batch by a streaming query, which ends when all are read."""
     root = new_folder(spark)
-    K.write_features(features(spark, d), f"{root}/in", ranges=6)
+    K.write_features(features(spark, d), f"{root}/in", ranges=3)
     incremental.statistics(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint", files_per_batch=1).awaitTermination()
     return spark.read.parquet(f"{root}/out/categories").select(F.col("sample_id").cast("string").alias("sample_id"), "category", "n", "bases")
 

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.names import generation_of, te_info
 from ..operators.classify import RADIUS, classify
 from ..operators.ordering import number_rows, part_of
+from ..scratch import written
 from ..sources.text_files import sample_of
 
 GROUP = ["category", "class", "superfamily"]
@@ -62,17 +63,17 @@ class Ledger:
         return table.join(F.broadcast(samples), "sample", "left_semi")  # samples that one batch touched: at most its files
 
     def add(self, batch: DataFrame, number: int) -> None:
-        rows = _features(batch).persist()
+        numbered = _features(batch).persist()
+        files = numbered.groupBy("sample", "file").agg(F.count("*").alias("lines")).persist()  # a row a file of the batch
+        rows = numbered.join(F.broadcast(files), ["sample", "file"]).persist()
         try:
-            files = rows.groupBy("sample", "file").agg(F.count("*").alias("lines")).persist()
             self.put(files, "files", number)
-            rows = rows.join(files, ["sample", "file"])
             self.put(rows.filter(near_end("line", "lines", 2 * RADIUS)), "edges", number)
             inner = _classified(rows, F.col("file"), "line").filter(~near_end("line", "lines", RADIUS))
             self.put(_counted(inner, ["sample", "file"]), "inner", number)
-            files.unpersist()
         finally:
-            rows.unpersist()
+            for table in (rows, files, numbered):
+                table.unpersist()
 
     def counts(self, samples: DataFrame) -> DataFrame:
         """samples(sample) -> (sample, category, class, superfamily, n, bases) over all their files so far."""
@@ -81,6 +82,7 @@ class Ledger:
         files = files.withColumn("_before", F.coalesce(F.sum("lines").over(Window.partitionBy("sample").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         edges = self.read("edges", "sample string, file string, line bigint, chrom string, start bigint, end bigint, name string, tsd string, strand string, lines bigint, batch int", samples)
         edges = edges.join(files.select("sample", "file", "_before"), ["sample", "file"]).withColumn("_line", F.col("line") + F.col("_before"))
+        edges = written(edges)  # read several times: a table, not a plan
         ends = _counted(_classified(edges, F.col("sample"), "_line").filter(near_end("line", "lines", RADIUS)), ["sample"])
         inner = self.read("inner", "sample string, file string, category string, class string, superfamily string, n bigint, bases bigint, batch int", samples)
         both = ends.unionByName(inner.select(*ends.columns))
