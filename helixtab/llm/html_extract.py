@@ -2,12 +2,13 @@
 smoothing and threshold clustering.
 
 A line is one block of the page (a paragraph, heading, list item, table row ...) with the text and the number of tags that its
-events bring. Its ratio is text length / tags. The smoothed ratios are split by a threshold in two clusters; the content
-is every line of every article and main, and lines of the upper cluster outside; on a page without those it is every line but runs of lines of the lower
-cluster that are all link, which are menus. Boilerplate elements (menus, headers, footers, side bars, notices,
-adverts, forms, scripts, styles, reader comments) are told by tag, role, class or id and bring no lines. A mark counts
-only as the head word of a class, and not on an element that holds an article, main or most of the text of a page without those.
-Content lines are returned, however short: nothing else is dropped or capped.
+events bring. Its ratio is text length / tags. The smoothed ratios are split by a threshold in two clusters, and the lines of the upper one choose the content regions: an
+article or main is content with all its lines if one of its lines is in the upper cluster (if none of any is: all of them); lines of the upper cluster outside are content too. On a page without those the
+region runs from the first line of the upper cluster to the last, menus (short lines that are all link) and copyright statements at its ends aside, and on to both sides over everything but such lines.
+
+Marks correct this. Boilerplate elements (menus, headers, footers, side bars, notices, adverts, forms, reader comments) are told by tag, role, class or id and bring no lines; a mark counts
+only as the head word of a class. No tag and no mark drops an element that holds an article or main, or most of the text of a page without those; but of articles, those inside such an element give way to
+others. Scripts, styles and the like never bring lines. Content lines are returned, however short: nothing else is dropped or capped.
 
 Null html is the empty text; a page without content gives the empty text; a null page_id is kept; repeated rows are pages of
 their own; an empty table gives an empty result; extra columns are ignored. An unfinished tag at the end of a page cut short is
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import only
 
-#: Elements whose content is never main text (fixed values of HTML).
-SKIP = frozenset("script style head nav header footer aside form noscript template iframe object svg math canvas video audio select button textarea dialog menu".split())
+#: Elements whose content is never main text, of these those that stand inside lines, and elements that are boilerplate unless they hold the page's text (fixed values of HTML).
+SKIP = frozenset("script style head template iframe object svg canvas video audio select textarea".split())
+INLINE = SKIP - frozenset(("head", "template"))
+LIKELY = frozenset("nav header footer aside form noscript dialog menu".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Words of a class, id or role that mark boilerplate.
@@ -41,30 +44,32 @@ CUT = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 #: Tags whose end may be left out, and those that end them.
 IMPLIED = {"p": BLOCK, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr",)), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr"))}
 SIGMA = 1.0
-#: Lines in a row that make a menu.
-MENU = 3
+#: Marks that count on an article too, and words of a menu's line at most.
+COMMENT = re.compile(r"comments?|replies|reply|respond|discussion", re.I)
+MENU_WORDS = 4
+COPYRIGHT = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
 
 
-def marked(value: str) -> bool:
+def marked(value: str, mark: re.Pattern = MARK) -> bool:
     """Whether the head word of one of the classes marks boilerplate; the whole class may be a mark too."""
     for token in value.lower().split():
-        if not MARK.search(token):
+        if not mark.search(token):
             continue
         words = [w for w in re.split(r"[_-]+", token) if w]
         while len(words) > 1 and words[-1] in SHAPE:
             words.pop()
-        if MARK.fullmatch(token) or words and not OTHER & set(words) and (MARK.fullmatch(words[-1]) or MARK.fullmatch("-".join(words[-2:]))):
+        if mark.fullmatch(token) or words and not OTHER & set(words) and (mark.fullmatch(words[-1]) or mark.fullmatch("-".join(words[-2:]))):
             return True
     return False
 
 
 class Line:
-    """A block's text, its tags, the share of its characters in links, and whether it is inside an article or main."""
+    """A block's text, its tags, the share of its characters in links, the outermost article or main around it (0: none), and whether that is inside an element that is kept for what it holds."""
 
-    __slots__ = ("linked", "named", "tags", "text")
+    __slots__ = ("linked", "named", "tags", "text", "within")
 
-    def __init__(self, text: str, tags: int, linked: int, named: bool):
-        self.text, self.tags, self.linked, self.named = text, tags, linked / max(1, len(text)), named
+    def __init__(self, text: str, tags: int, linked: int, named: int, within: bool):
+        self.text, self.tags, self.linked, self.named, self.within = text, tags, linked / max(1, len(text)), named, within
 
 
 class Lines(HTMLParser):
@@ -73,7 +78,8 @@ class Lines(HTMLParser):
     def __init__(self, keep: set[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[str] = []
-        self.inside: list[bool] = []  # for each open element whether it is in an article or main, itself included
+        self.inside: list[int] = []  # for each open element the number of the outermost article or main around it, itself included, or 0
+        self.within: list[bool] = []  # for each open element whether one around it is kept for what it holds
         self.blocks: list[int] = []  # places of open block elements in the stack
         self.open: Counter[str] = Counter()
         self.skipped = 0  # open elements of SKIP
@@ -92,7 +98,7 @@ class Lines(HTMLParser):
     def flush(self) -> None:
         if self.text:
             if text := " ".join("".join(self.text).split()):
-                self.lines.append(Line(text, self.tags, self.linked, bool(self.inside) and self.inside[-1]))
+                self.lines.append(Line(text, self.tags, self.linked, self.inside[-1] if self.inside else 0, bool(self.within) and self.within[-1]))
                 self.tags = 0
             self.text, self.linked = [], 0
 
@@ -100,6 +106,7 @@ class Lines(HTMLParser):
         while len(self.stack) > depth:
             tag = self.stack.pop()
             self.inside.pop()
+            self.within.pop()
             self.open[tag] -= 1
             self.skipped -= tag in SKIP
             if self.blocks and self.blocks[-1] == len(self.stack):
@@ -127,7 +134,7 @@ class Lines(HTMLParser):
                 self.close_to(k)
         if not self.skip:
             self.tags += 1
-            if tag in BLOCK or tag in SKIP:
+            if tag not in INLINE and (tag in BLOCK or tag in SKIP or tag in LIKELY):
                 self.flush()
         own = tag in ("article", "main")
         if tag in BLOCK:
@@ -135,13 +142,17 @@ class Lines(HTMLParser):
         self.stack.append(tag)
         self.open[tag] += 1
         self.skipped += tag in SKIP
-        self.inside.append(own or bool(self.inside) and self.inside[-1])
-        if own:
+        around = self.inside[-1] if self.inside else 0
+        self.inside.append(around or (self.begun if own else 0))
+        self.within.append(self.begun in self.keep or (bool(self.within) and self.within[-1]))
+        named = [v for k, v in attrs if v and k in ("class", "id", "role")]
+        comment = own and any(marked(v, COMMENT) for v in named)
+        if own and not comment:
             self.holds.update(number for _, number, _ in self.marks)
             self.named |= not self.skip
-        if (self.skip and not self.marks) or tag in SKIP or any(k == "hidden" for k, _ in attrs):
+        if (self.skip and not self.marks) or tag in SKIP or (tag == "button" and not self.open["p"]) or any(k == "hidden" for k, _ in attrs):
             self.skip = self.skip or len(self.stack)
-        elif tag not in ("html", "body", "article", "main") and self.begun not in self.keep and any(v and k in ("class", "id", "role") and marked(v) for k, v in attrs):
+        elif self.begun not in self.keep and (comment or tag in LIKELY or (tag not in ("html", "body", "article", "main") and any(map(marked, named)))):
             self.skip = self.skip or len(self.stack)
             self.marks.append((len(self.stack), self.begun, self.passed))
 
@@ -161,7 +172,7 @@ class Lines(HTMLParser):
             return
         if not self.skip:
             self.tags += 1
-            if tag in BLOCK:
+            if tag in BLOCK or tag in LIKELY:
                 self.flush()
         self.close_to(k)
 
@@ -204,18 +215,21 @@ def threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
-def menus(lines: list[Line], low: list[bool]) -> list[bool]:
-    """Lines of runs of MENU and more that are of the lower cluster and all link: menus without a mark."""
-    like = [x.linked >= 0.9 and b for x, b in zip(lines, low, strict=True)]
-    out, k = [False] * len(lines), 0
-    while k < len(lines):
-        end = k
-        while end < len(lines) and like[end]:
-            end += 1
-        if end - k >= MENU:
-            out[k:end] = [True] * (end - k)
-        k = max(end, k + 1)
-    return out
+def outer(lines: list[Line]) -> list[bool]:
+    """Lines beside the region that don't belong to it: short ones that are all link, and copyright statements."""
+    return [(x.linked >= 0.9 and len(x.text.split()) <= MENU_WORDS) or (len(x.text) < 200 and bool(COPYRIGHT.match(x.text))) for x in lines]
+
+
+def content(lines: list[Line], dense: list[bool]) -> list[bool]:
+    """Which lines are content, given which are in the upper cluster."""
+    own = {x.named for x in lines if x.named}
+    if own:
+        firm = {x.named for x in lines if x.named and not x.within} or own
+        chosen = {x.named for x, d in zip(lines, dense, strict=True) if d} & firm or firm
+        return [x.named in chosen if x.named else d and x.linked < 0.9 for x, d in zip(lines, dense, strict=True)]
+    off = outer(lines)  # smoothing lifts the lines next to dense ones
+    firm = [k for k, d in enumerate(dense) if d and not off[k]]
+    return [bool(firm) and firm[0] <= k <= firm[-1] or not o for k, o in enumerate(off)]
 
 
 def main_text(html: str | None) -> str:
@@ -241,10 +255,7 @@ def main_text(html: str | None) -> str:
         return ""
     ratios = smooth([len(x.text) / max(1, x.tags) for x in lines])
     cut = threshold(ratios)
-    low = [r <= cut for r in ratios]
-    if any(x.named for x in lines):
-        return "\n".join(x.text for x, b in zip(lines, low, strict=True) if x.named or not b)
-    return "\n".join(x.text for x, m in zip(lines, menus(lines, low), strict=True) if not m)
+    return "\n".join(x.text for x, c in zip(lines, content(lines, [r > cut for r in ratios]), strict=True) if c)
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
