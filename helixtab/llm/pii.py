@@ -31,11 +31,11 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "contact": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:[\[(]dot[\])]|\.)\x20?[A-Za-z0-9-]{2,63}){1,8}",
+    "contact": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,}+\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:[\[(]dot[\])]|\.)\x20?[A-Za-z0-9-]{2,}+)++",
     "local": r"(?<![0-9+().-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])",
-    "secret": r"(?i)(?<![a-z])(?:token|api_?key|secret|password|passwd)\x20?[=:]\x20?[\"'][A-Za-z0-9+/=_-]{12,256}[\"']",
+    "secret": r"(?i)(?<![a-z])(?:token|api_?key|secret|password|passwd)\x20?[=:]\x20?[\"'][A-Za-z0-9+/=_-]{12,}+[\"']",
     "name": r"(?<!\p{L})(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20\p{Lu}\p{Ll}+(?:\x20\p{Lu}\p{Ll}+)?",
 }
 #: Gazetteers: fixed values. Words before a span, in English, French, German and Spanish.
