@@ -18,13 +18,12 @@ def log_sessions(lines: DataFrame, source: str = "source") -> DataFrame:
     """Records of a log (source, line_no, value). A line with the total of insertions opens one; the calculated deletions are the last given; actual ones add up; the line that names
     the generation closes it. Records without calculated deletions and unfinished ones are dropped. Opening and closing lines before a line are counted by one prefix sum over parts of the log,
     of lines that hold one of the four phrases; the lines of a record have as many closing lines before them as the one that opens it."""
-    got = lambda p, k=1: F.regexp_extract("value", p, k).try_cast("bigint")
-    phrases = ("Total TE insertions performed: ", "Calculated number of TE excisions: ", "Selected ", "Updated FASTA written to ")
-    some = F.contains("value", F.lit(phrases[0]))
-    for p in phrases[1:]:
-        some |= F.contains("value", F.lit(p))
+    phrases = {TOTAL: "Total TE insertions performed: ", CALCULATED: "Calculated number of TE excisions: ", SELECTED: "Selected ", CLOSED: "Updated FASTA written to "}
+    has = {p: F.contains("value", F.lit(phrase)) for p, phrase in phrases.items()}
+    # a pattern is tried on lines with its phrase alone
+    got = lambda p, k=1: F.when(has[p], F.regexp_extract("value", p, k).try_cast("bigint"))
+    some = has[TOTAL] | has[CALCULATED] | has[SELECTED] | has[CLOSED]
     e = lines.filter(some).select(source, "line_no", got(TOTAL).alias("inserts"), got(TOTAL, 2).alias("nested"), got(TOTAL, 3).alias("nonnested"), got(CALCULATED).alias("calc"), got(SELECTED).alias("removed"), got(CLOSED).alias("gen"))
-    e = e.filter("inserts is not null or calc is not null or removed is not null or gen is not null")
     opens, closes = F.when(F.col("inserts").isNotNull(), F.lit(1 << 32)).otherwise(0), F.when(F.col("gen").isNotNull(), 1).otherwise(0)
     e = with_prefix(e, [source], [part_of("line_no")], ["line_no"], opens + closes, "_c").withColumn("_c", F.coalesce("_c", F.lit(0)))
     e = e.withColumns({"session": F.shiftright("_c", 32) + F.when(F.col("inserts").isNotNull(), 1).otherwise(0), "_closed": F.col("_c").bitwiseAND(F.lit((1 << 32) - 1))}).filter("session > 0")
