@@ -17,12 +17,11 @@ KEYS = ["sample_id", "chrom"]
 
 def merge_intervals(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Disjoint intervals that cover the same positions; touching ones are merged. The running maximum of ends and the island numbers are accumulated part by
-    part, so a long chromosome isn't one task's work."""
-    df = df.select(*keys, F.col("start"), F.col("end"))
-    df = with_prefix(df, keys, [part_of("start")], ["start", "end"], F.col("end"), "_reach", F.max)
+    part, so a long chromosome isn't one task's work. Of intervals that begin at one position only the longest counts, so a part has as many rows as positions at most."""
+    df = df.groupBy(*keys, F.col("start").alias("start")).agg(F.max("end").alias("end"))
+    df = with_prefix(df, keys, [part_of("start")], ["start"], F.col("end"), "_reach", F.max)
     df = df.withColumn("_new", F.when(F.col("start") <= F.col("_reach"), 0).otherwise(1))
-    df = with_prefix(df, keys, [part_of("start")], ["start", "end"], F.col("_new"), "_before")
-    # rows equal in start and end are in one island whichever comes first: all but the first reach back
+    df = with_prefix(df, keys, [part_of("start")], ["start"], F.col("_new"), "_before")
     island = F.coalesce("_before", F.lit(0)) + F.col("_new")
     return df.groupBy(*keys, island.alias("_island")).agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
@@ -55,14 +54,17 @@ def weighted_intervals(df: DataFrame, lengths: DataFrame, buffer: int, bias: flo
 
 def points_in_intervals(points: DataFrame, intervals: DataFrame, position: str = "position", closed: bool = True, keys: list[str] = KEYS) -> DataFrame:
     """Adds `inside` to points: whether the position is in one of the disjoint intervals, ends included if closed, else half-open.
-    As intervals are disjoint, the last one that begins at or before a point decides: a prefix maximum over both, no range join."""
+    As intervals are disjoint, the last one that begins at or before a point decides: a prefix maximum over both, no range join. Distinct positions are looked up and come back to their
+    points, so a part has as many rows as positions at most, however many points lie on one."""
     name = [c for c in points.columns if c not in (*keys, position)]
-    p = points.select(*keys, F.col(position).alias("_at"), F.lit(1).alias("_point"), F.struct(position, *name).alias("_row"), F.lit(None).cast("bigint").alias("_end"))
+    p = points.select(*keys, F.col(position).cast("bigint").alias("_at")).distinct().withColumns({"_point": F.lit(1), "_end": F.lit(None).cast("bigint")})
     i = intervals.select(*keys, F.col("start").cast("bigint").alias("_at"), F.lit(0).alias("_point"), F.col("end").cast("bigint").alias("_end"))
     both = p.unionByName(i, allowMissingColumns=True)
     both = with_prefix(both, keys, [part_of("_at")], ["_at", "_point"], F.col("_end"), "_reach", F.max).filter("_point = 1")
     inside = F.col("_at") <= F.col("_reach") if closed else F.col("_at") < F.col("_reach")
-    return both.select(*keys, "_row.*", F.coalesce(inside, F.lit(False)).alias("inside"))
+    found = both.filter(inside).select(*(F.col(k).alias(f"_{k}") for k in keys), "_at")
+    on = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col(position) == F.col("_at")]
+    return points.join(found, on, "left").select(*keys, position, *name, F.col("_at").isNotNull().alias("inside"))
 
 
 def last_before(points: DataFrame, marks: DataFrame, keys: list[str], order: list[str], rows: int = ROWS) -> DataFrame:

@@ -12,12 +12,14 @@ KEYS = ["sample_id", "chrom"]
 
 
 def _shift(rows: DataFrame, events: DataFrame, at: str, size: str, before_first: bool, keys: list[str], out: str) -> DataFrame:
-    """Adds `out`: sum of event sizes at positions below rows' `at` (or at it, unless before_first). A prefix sum over rows and events together."""
-    held = [c for c in rows.columns if c not in keys]
-    r = rows.select(*keys, F.col(at).cast("bigint").alias("_at"), F.lit(0 if before_first else 1).alias("_o"), F.lit(0).cast("bigint").alias("_n"), F.struct(*held).alias("_row"))
-    e = events.select(*keys, F.col("position").cast("bigint").alias("_at"), F.lit(1 if before_first else 0).alias("_o"), F.col(size).cast("bigint").alias("_n"))
-    both = with_prefix(r.unionByName(e, allowMissingColumns=True), keys, [part_of("_at")], ["_at", "_o"], F.col("_n"), "_sum")
-    return both.filter("_row is not null").select(*keys, "_row.*", F.coalesce("_sum", F.lit(0)).cast("bigint").alias(out))
+    """Adds `out`: sum of event sizes at positions below rows' `at` (or at it, unless before_first). A prefix sum over the distinct positions of rows and events together, which comes back to
+    the rows, so that a part has as many rows as positions at most, however many rows begin at one."""
+    r = rows.select(*keys, F.col(at).cast("bigint").alias("_at")).distinct().withColumns({"_o": F.lit(0 if before_first else 1), "_n": F.lit(0).cast("bigint")})
+    e = events.groupBy(*keys, F.col("position").cast("bigint").alias("_at")).agg(F.sum(F.col(size).cast("bigint")).alias("_n")).withColumn("_o", F.lit(1 if before_first else 0))
+    both = with_prefix(r.unionByName(e), keys, [part_of("_at")], ["_at", "_o"], F.col("_n"), "_sum")
+    told = both.filter(F.col("_o") == (0 if before_first else 1)).select(*(F.col(k).alias(f"_{k}") for k in keys), "_at", "_sum").filter("_sum != 0")
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col(at).cast("bigint") == F.col("_at")]
+    return rows.join(told, on, "left").select(*rows.columns, F.coalesce("_sum", F.lit(0)).cast("bigint").alias(out))
 
 
 def lift_over(features: DataFrame, events: DataFrame, keys: list[str] = KEYS) -> DataFrame:

@@ -344,3 +344,26 @@ def test_strict_features(spark, tmp_path):
     assert T.read_features(spark, str(tmp_path)).count() == 1
     with pytest.raises(Exception, match="too few fields"):
         T.read_features(spark, str(tmp_path), strict=True).count()
+
+
+def test_everything_at_one_position(spark):
+    """Intervals, points, features and deletions of which most share a position."""
+    from helixtab.operators import liftover
+
+    rng = random.Random(4)
+    spans = [(7, 7 + rng.randrange(1, 50)) for _ in range(500)] + [(a, a + rng.randrange(1, 9)) for a in rng.sample(range(100_000), 60)]
+    df = spark.createDataFrame([("s", "c", a, b) for a, b in spans], "sample_id string, chrom string, start long, end long")
+    merged = []
+    for a, b in sorted(spans):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(b, merged[-1][1])
+        else:
+            merged.append([a, b])
+    assert sorted([r["start"], r["end"]] for r in I.merge_intervals(df).collect()) == merged
+    points = spark.createDataFrame([("s", "c", p, k) for k, p in enumerate([20] * 300 + rng.sample(range(100_000), 100) + [None])], "sample_id string, chrom string, position long, id long")
+    for closed in (True, False):
+        got = {r["id"]: r["inside"] for r in I.points_in_intervals(points, I.merge_intervals(df), closed=closed).collect()}
+        assert got == {r["id"]: r["position"] is not None and any(a <= r["position"] <= b - (not closed) for a, b in merged) for r in points.collect()}
+    events = spark.createDataFrame([("s", "c", p, 3) for p in [7] * 200 + [6, 50, 90_000]], "sample_id string, chrom string, position long, length long")
+    moved = liftover.lift_over(df, events)
+    assert sorted((r["start"], r["end"]) for r in moved.collect()) == sorted((a - 3 * sum(p < a for p in [7] * 200 + [6, 50, 90_000]), b - 3 * sum(p < a for p in [7] * 200 + [6, 50, 90_000])) for a, b in spans)
