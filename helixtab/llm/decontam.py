@@ -13,7 +13,8 @@ alike. So a question with other numbers or names is caught, and a different tabl
 * Windows with more than MOST_SLOTS placeholders say little: word for word they count in any passage; by template their runs count if
   they are consistent and hold LITERALS different plain words at least.
 * Items of fewer words than a window count where all their words stand in a row in a document (ITEM_WORDS words at least) or are a whole line or
-  sentence of it (fewer words), and by template where they are the whole document.
+  sentence of it (fewer words); and by template where they stand in a row in a document with consistent slots, if they hold SHORT_PLAIN different plain words at least: with fewer, any such
+  phrase of clean text would be one.
 
 Null texts are empty and match nothing. Rows with a null id are returned with no match; of rows that repeat an id each text is searched
 by itself, and all of them have what is found in any. Empty documents or an empty benchmark: no matches. Extra columns are ignored.
@@ -30,6 +31,8 @@ WINDOW = 8
 MOST_SLOTS = 3
 #: Different plain words that a run of windows full of placeholders must hold, and words of an item that is found inside a sentence.
 LITERALS, ITEM_WORDS = 5, 5
+#: Different plain words of a short item that is found by template inside a text.
+SHORT_PLAIN = 3
 #: The benchmark is broadcast up to this many windows and bytes of text, and joined by shuffle beyond.
 BROADCAST_WINDOWS, BROADCAST_BYTES = 500_000, 1 << 25
 NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
@@ -142,6 +145,29 @@ def _short(rows: DataFrame, items: DataFrame, width: int) -> DataFrame | None:
     return found.select("doc_id", "item_id").distinct()
 
 
+def _short_by_template(rows: DataFrame, items: DataFrame, width: int) -> DataFrame | None:
+    """doc_id and item_id where an item of fewer words than a window stands in a document with other values; None if there is no such item. Only windows around placeholders are
+    looked up, of the widths that such items have; their words come with them, so no document is read again."""
+    plain = F.size(F.array_distinct(F.filter("words", lambda w: ~has_slot(w))))
+    short = items.filter(F.size("words").between(1, width - 1) & F.exists("words", has_slot) & (plain >= SHORT_PLAIN)).select("item_id", F.size("words").alias("n"), F.xxhash64("words").alias("h"), "words", F.col("values").alias("b"))
+    lengths = sorted(r["n"] for r in short.select("n").distinct().collect())  # below the width of a window
+    if not lengths:
+        return None
+    named = with_words(rows.select("doc_id", "text"), "dv", "dw").filter(F.exists("dw", has_slot)).select("doc_id", "dv", "dw")
+    named = named.withColumn("places", F.array_compact(F.transform("dw", lambda w, i: F.when(has_slot(w), i))))
+
+    def around(n: int) -> Column:
+        starts = F.array_distinct(F.flatten(F.transform("places", lambda p: F.when(F.size("dw") >= n, F.sequence(F.greatest(F.lit(0), p - n + 1), F.greatest(F.greatest(F.lit(0), p - n + 1), F.least(p, F.size("dw") - n)))).otherwise(F.array().cast("array<int>")))))
+        starts = F.filter(starts, lambda i: i + n <= F.size("dw"))
+        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice("dw", i + 1, F.lit(n))).alias("h"), F.slice("dv", i + 1, F.lit(n)).alias("d")))
+
+    found = named.select("doc_id", F.inline(F.concat(*map(around, lengths)))).join(short, ["n", "h"])
+    pairs = F.array_distinct(F.transform(F.filter(F.arrays_zip("words", "d", "b"), lambda x: has_slot(x["words"])), lambda x: F.struct(x["d"].alias("d"), x["b"].alias("b"))))
+    found = found.select("doc_id", "item_id", pairs.alias("slots"))
+    one = lambda side: F.size(F.array_distinct(F.transform("slots", lambda s: s[side]))) == F.size("slots")
+    return found.filter(one("d") & one("b")).select("doc_id", "item_id").distinct()
+
+
 def passages(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most_slots: int = MOST_SLOTS) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) -> doc_id, item_id, diagonal, first, last, n_windows, slots, consistent."""
     scratch, used = Scratch(docs.sparkSession), []
@@ -188,8 +214,11 @@ def passages(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most_sl
     one_to_one = (F.size(F.array_distinct(F.transform("slots", lambda s: s["d"]))) == F.size("slots")) & (F.size(F.array_distinct(F.transform("slots", lambda s: s["b"]))) == F.size("slots"))
     told = one_to_one & (~F.col("full") | (F.col("literals") >= LITERALS))
     out = out.select("doc_id", "item_id", "diagonal", "first", "last", F.when(told, F.col("n")).otherwise(F.col("n_exact")).cast("bigint").alias("n_windows"), "slots", (told | (F.col("n_exact") > 0)).alias("consistent"))
-    if (short := _short(rows, items, width)) is not None:
-        zero = F.lit(0)
+    both_ways = [x for x in (_short(rows, items, width), _short_by_template(rows, items, width)) if x is not None]
+    if both_ways:
+        zero, short = F.lit(0), both_ways[0]
+        for more in both_ways[1:]:
+            short = short.unionByName(more).distinct()
         short = short.join(out.filter("consistent").select("doc_id", "item_id"), ["doc_id", "item_id"], "left_anti")
         out = out.unionByName(short.select("doc_id", "item_id", zero.alias("diagonal"), zero.alias("first"), zero.alias("last"), F.lit(1).cast("bigint").alias("n_windows"), F.array().cast("array<struct<d:string,b:string>>").alias("slots"), F.lit(True).alias("consistent")))
     out = scratch.write(out.distinct(), "passages")

@@ -203,3 +203,16 @@ def test_templates_and_slots_equal_plain_python(spark):
         seen += bool(want)
         assert got[k]["item_ids"] == want, (t, [items[i] for i in set(want) ^ set(got[k]["item_ids"])])
     assert 5 < seen
+
+
+def test_short_items_by_template_inside_texts(spark):
+    """A re-parameterised question of fewer words than a window is found inside a text, and only with consistent slots and enough plain words."""
+    prose = "some words of prose go on here and there without end. "
+    items = ["What is 15 times 9?", "Give 3 to 3 people, then 4 more", "pay 5", "Is 20 km more than 20 mi"]
+    texts = [
+        prose + "Well, what is 21 times 6? " + prose, "What is 21 times 6?", prose + "what is 21 plus 6? " + prose,
+        prose + "give 8 to 8 people, then 2 more " + prose, prose + "give 8 to 9 people, then 2 more " + prose, prose + "pay 7 now " + prose,
+        prose + "is 7 km more than 7 mi or not " + prose, prose + "is 7 km more than 8 mi or not " + prose, "21 times", "", None, prose + "at the end: what is 7 times 3",
+    ]
+    got = run(spark, texts, items)
+    assert {k: r["item_ids"] for k, r in got.items() if r["contaminated"]} == {0: [0], 1: [0], 3: [1], 6: [3], 11: [0]}
