@@ -58,6 +58,10 @@ PIECE = 1 << 18
 BROADCAST_TOKENS = 100_000
 
 
+#: First tokens whose rows are made at once.
+TOKENS = 1 << 18
+
+
 def _lists(values: list[np.ndarray]) -> pa.Array:
     offsets = np.zeros(len(values) + 1, np.int32)
     np.cumsum([len(v) for v in values], out=offsets[1:])
@@ -130,15 +134,20 @@ def _prefixes(shared):
         for b in batches:
             if not len(b):
                 continue
-            cid, n = np.asarray(b.column(0)), np.asarray(b.column(1))
-            tokens, sizes = _flat(b.column(2))
-            own = np.repeat(np.arange(len(b)), sizes)
-            pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            salts = counts[(tokens >> shift).astype(np.int64)] // HOT
-            mixed = mix(cid[own].view(np.uint64))
-            salt = np.where(salts > 0, 1 + (mixed % np.maximum(1, salts).astype(np.uint64)).astype(np.int64), 0)
-            # size and rest in one number: rows are many and short
-            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(salt, pa.int32()), pa.array(cid[own]), pa.array((n[own].astype(np.int64) << 32) | (n[own] - pos))], ["token", "salt", "cid", "sizes"])
+            every = np.r_[0, np.cumsum(np.asarray(pc.list_value_length(b.column(2)), np.int64))]
+            at = 0
+            while at < len(b):  # sets of TOKENS first tokens together, or one set: a batch of long texts has thousands of times more
+                end = max(at + 1, int(np.searchsorted(every, every[at] + TOKENS, side="right")) - 1)
+                part, at = b.slice(at, end - at), end
+                cid, n = np.asarray(part.column(0)), np.asarray(part.column(1))
+                tokens, sizes = _flat(part.column(2))
+                own = np.repeat(np.arange(len(part)), sizes)
+                pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                salts = counts[(tokens >> shift).astype(np.int64)] // HOT
+                mixed = mix(cid[own].view(np.uint64))
+                salt = np.where(salts > 0, 1 + (mixed % np.maximum(1, salts).astype(np.uint64)).astype(np.int64), 0)
+                # size and rest in one number: rows are many and short
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(salt, pa.int32()), pa.array(cid[own]), pa.array((n[own].astype(np.int64) << 32) | (n[own] - pos))], ["token", "salt", "cid", "sizes"])
 
     return run
 
@@ -374,15 +383,15 @@ def _links(rows: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratc
     return out
 
 
-def _blocks(shared: DataFrame, hot: DataFrame, num: int, den: int) -> DataFrame:
+def _blocks(shared: DataFrame, hot: DataFrame, num: int, den: int, small) -> DataFrame:
     """Rows of the tokens hot(token) with their block, for each pair of blocks (one, two) that they are in. Blocks are of one class of sizes: only
-    equal and neighbouring classes can link."""
+    equal and neighbouring classes can link. small: broadcasts tables of the hot tokens where these are few."""
     rows = shared.join(hot, "token").withColumn("s", F.floor(F.log(F.col("n")) / float(np.log(den / num) + 1e-9)).cast("bigint"))
     per = rows.groupBy("token", "s").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("bigint").alias("blocks"))
     beside = lambda d, name: per.select("token", (F.col("s") + d).alias("s"), F.col("blocks").alias(name))
     per = per.join(beside(1, "below"), ["token", "s"], "left").join(beside(-1, "above"), ["token", "s"], "left")
     # one row a hot token and class of sizes: no more than rows / BLOCK tokens
-    rows = rows.join(F.broadcast(per), ["token", "s"]).withColumn("block", F.col("s") * (1 << 20) + F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    rows = rows.join(small(per), ["token", "s"]).withColumn("block", F.col("s") * (1 << 20) + F.pmod(F.xxhash64("cid"), F.col("blocks")))
     others = lambda d, n: F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda k: (F.col("s") + d) * (1 << 20) + k)).otherwise(F.array().cast("array<bigint>"))
     every = F.concat(others(-1, F.coalesce("below", F.lit(0))), others(0, F.col("blocks")), others(1, F.coalesce("above", F.lit(0))))
     rows = rows.withColumn("other", F.explode(every))
@@ -413,7 +422,8 @@ def similar(docs: DataFrame, width: int = WIDTH, num: int = T_NUM, den: int = T_
     plain = (shared.join(small(hot), "token", "left_anti") if n_hot else shared).select("token", none.alias("one"), none.alias("two"), none.alias("block"), "cid", "n", "rest")
     used = [ids, classes, shared, hot]
     if n_hot:
-        cut = _blocks(shared, small(hot), num, den)
+        few = lambda df: F.broadcast(df) if n_hot <= BROADCAST_TOKENS // 64 else df  # noqa: E731  a token has some 60 classes of sizes at most
+        cut = _blocks(shared, small(hot), num, den, few)
         plain = plain.unionByName(cut.filter("one = two"))
     links = _links(plain.withColumn("comp", F.col("cid")), classes, known_ids, scratch, width, num, den)
     used.append(links)
