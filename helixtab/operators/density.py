@@ -9,6 +9,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
 
 def histogram(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return df.groupBy(*by, F.col(value).cast("double").alias("x")).agg(F.count("*").alias("n"))
@@ -69,7 +71,7 @@ def density_at(points: DataFrame, hist: DataFrame, by: list[str]) -> DataFrame:
 def kde(df: DataFrame, value: str, by: list[str], points: int = 512, cut: float = 3.0) -> DataFrame:
     """Density of each group on `points` evenly spaced values from its least - cut * bandwidth to its most + cut * bandwidth: by, k, at, density. Degenerate
     groups have one row without a curve."""
-    hist = histogram(df, value, by)
+    hist = written(histogram(df, value, by))  # read several times: a table, not a plan
     b = bandwidths(hist, by)
     step = (F.col("hi") - F.col("lo") + 2 * cut * F.col("bandwidth")) / (points - 1)
     grid = b.filter("not degenerate").select(*by, F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k"), (F.col("lo") - cut * F.col("bandwidth")).alias("_lo"), step.alias("_step"))

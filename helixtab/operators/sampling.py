@@ -100,7 +100,7 @@ def pick_members(draws: DataFrame, library: DataFrame, seed: int) -> DataFrame:
 def importance(df: DataFrame, guide: DataFrame, value: str) -> DataFrame:
     """Adds `importance`: density of the guide's values over that of the own values, at each row's value. Both densities are taken at distinct values."""
     one = lambda d: d.withColumn("_all", F.lit(0))
-    own, other = histogram(one(df), value, ["_all"]), histogram(one(guide), value, ["_all"])
+    own, other = (written(histogram(one(d), value, ["_all"])) for d in (df, guide))  # read several times: tables, not plans
     at = own.select("_all", F.col("x").alias("at"))
     w = density_at(at, own, ["_all"]).withColumnRenamed("density", "_own").join(density_at(at, other, ["_all"]).withColumnRenamed("density", "_guide"), ["_all", "at"])
     w = w.select(F.col("at").alias("_at"), (F.col("_guide") / (F.col("_own") + 1e-8)).alias("importance"))
