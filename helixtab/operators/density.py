@@ -46,11 +46,11 @@ def _shifts() -> str:
     return json.dumps(out)
 
 
-def density_at(points: DataFrame, hist: DataFrame, by: list[str]) -> DataFrame:
+def density_at(points: DataFrame, hist: DataFrame, by: list[str], widths: DataFrame | None = None) -> DataFrame:
     """points(by, at, ...) -> density of each group's values at each distinct point, null for degenerate groups. A fast Gauss transform: values are summed up as the moments of their box
     (a bandwidth wide), the moments of near boxes as a power series in each box of points, and a point reads the series of its box. The work is linear in values plus points; values and
-    points never meet."""
-    b = bandwidths(hist, by).select(*by, "total", "bandwidth", "degenerate")
+    points never meet. widths: bandwidths() of the histogram, where they are known already."""
+    b = (bandwidths(hist, by) if widths is None else widths).select(*by, "total", "bandwidth", "degenerate")
     scaled = lambda c: F.col(c) / F.nullif(F.col("bandwidth"), F.lit(0.0))
     offset = lambda c: (scaled(c) - F.col("_box") - 0.5) / math.sqrt(2)
     box = lambda c: F.floor(scaled(c)).cast("bigint")
@@ -72,10 +72,10 @@ def kde(df: DataFrame, value: str, by: list[str], points: int = 512, cut: float
     """Density of each group on `points` evenly spaced values from its least - cut * bandwidth to its most + cut * bandwidth: by, k, at, density. Degenerate
     groups have one row without a curve."""
     hist = written(histogram(df, value, by))  # read several times: a table, not a plan
-    b = bandwidths(hist, by)
+    b = written(bandwidths(hist, by))
     step = (F.col("hi") - F.col("lo") + 2 * cut * F.col("bandwidth")) / (points - 1)
     grid = b.filter("not degenerate").select(*by, F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k"), (F.col("lo") - cut * F.col("bandwidth")).alias("_lo"), step.alias("_step"))
     grid = grid.select(*by, "k", (F.col("_lo") + F.col("k") * F.col("_step")).alias("at"))
-    curve = density_at(grid, hist, by)
+    curve = density_at(grid, hist, by, b)
     none = b.filter("degenerate").select(*by, F.lit(None).cast("int").alias("k"), F.col("lo").alias("at"), F.lit(None).cast("double").alias("density"))
     return curve.select(*by, "k", "at", "density").unionByName(none)
