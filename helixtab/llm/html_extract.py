@@ -3,8 +3,8 @@ smoothing and threshold clustering.
 
 A line is one block of the page (a paragraph, heading, list item, table row ...) with the text and the number of tags that its
 events bring. Its ratio is text length / tags. The smoothed ratios are split by a threshold in two clusters, and the lines of the upper one choose the content regions: an
-article or main is content with all its lines if one of its lines is in the upper cluster (if none of any is: all of them); lines of the upper cluster outside are content too. On a page without those the
-region runs from the first line of the upper cluster to the last, menus (short lines that are all link) and copyright statements at its ends aside, and on to both sides over everything but such lines.
+article or main is content with all its lines if one of its lines is in the upper cluster or isn't all link (if none of any is: all of them); lines of the upper cluster outside are content too. On a page without those the
+region runs from the first line of the upper cluster to the last, menus (short lines in a row that are all link) and copyright statements at its ends aside, and on to both sides over everything but such lines.
 
 Marks correct this. Boilerplate elements (menus, headers, footers, side bars, notices, adverts, forms, reader comments) are told by tag, role, class or id and bring no lines; a mark counts
 only as the head word of a class. No tag and no mark drops an element that holds an article or main, or most of the text of a page without those; but of articles, those inside such an element give way to
@@ -36,7 +36,7 @@ LIKELY = frozenset("nav header footer aside form noscript dialog menu".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Words of a class, id or role that mark boilerplate.
-MARK = re.compile(r"(?:^|[\s_-])(?:ads?|ad(?:slot|box|unit|banner)s?|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|side-?bar|widget|cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscribe|share|social|comments?|commentlist|comment(?:s|section|thread)|discussion|disqus|replies|respond|related|recommend\w*|pagination|pager|complementary|contentinfo|search|login|signup|toolbar|tags?)(?:$|[\s_-])", re.I)
+MARK = re.compile(r"(?:^|[\s_-])(?:ads?|ad(?:slot|box|unit|banner)s?|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|side-?bar|widget|cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscribe|share|social|stories|comments?|commentlist|comment(?:s|section|thread)|discussion|disqus|replies|respond|related|recommend\w*|pagination|pager|complementary|contentinfo|search|login|signup|toolbar|tags?)(?:$|[\s_-])", re.I)
 #: Last words of a class that name its shape, and words that say that it is of something else.
 SHAPE = frozenset("area bar block box buttons container inner items links list panel section wrap wrapper".split())
 OTHER = frozenset("has no not with without".split())
@@ -216,8 +216,10 @@ def threshold(values: list[float]) -> float:
 
 
 def outer(lines: list[Line]) -> list[bool]:
-    """Lines beside the region that don't belong to it: short ones that are all link, and copyright statements."""
-    return [(x.linked >= 0.9 and len(x.text.split()) <= MENU_WORDS) or (len(x.text) < 200 and bool(COPYRIGHT.match(x.text))) for x in lines]
+    """Lines beside the region that don't belong to it: two and more short ones in a row that are all link, and copyright statements."""
+    like = [x.linked >= 0.9 and len(x.text.split()) <= MENU_WORDS for x in lines]
+    menu = [m and (k > 0 and like[k - 1] or k + 1 < len(like) and like[k + 1]) for k, m in enumerate(like)]
+    return [m or (len(x.text) < 200 and bool(COPYRIGHT.match(x.text))) for x, m in zip(lines, menu, strict=True)]
 
 
 def content(lines: list[Line], dense: list[bool]) -> list[bool]:
@@ -225,7 +227,7 @@ def content(lines: list[Line], dense: list[bool]) -> list[bool]:
     own = {x.named for x in lines if x.named}
     if own:
         firm = {x.named for x in lines if x.named and not x.within} or own
-        chosen = {x.named for x, d in zip(lines, dense, strict=True) if d} & firm or firm
+        chosen = {x.named for x, d in zip(lines, dense, strict=True) if d or x.linked < 0.9} & firm or firm
         return [x.named in chosen if x.named else d and x.linked < 0.9 for x, d in zip(lines, dense, strict=True)]
     off = outer(lines)  # smoothing lifts the lines next to dense ones
     firm = [k for k, d in enumerate(dense) if d and not off[k]]

@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -222,7 +222,7 @@ class Aligner:
         return known[of]
 
 
-def _pieces(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
+def _pieces(texts: Iterable[str | None]) -> Iterator[tuple[int, list[str]]]:
     """Rows in runs of about PIECE code points."""
     at, n, held = 0, 0, []
     for k, text in enumerate(texts):
@@ -242,7 +242,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, groups: bool = False) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, rid = Aligner(*sides(path_a, path_b)), TaskContext.get().partitionId() << 40
         for batch in batches:
-            for at, texts in _pieces(batch.column(1).to_pylist()):
+            for at, texts in _pieces(x.as_py() for x in batch.column(1)):
                 rows = aligner.align(texts)
                 counted = [np.unique(r[3], return_counts=True) for r in rows]
                 cuts = pa.array(np.cumsum([0, *(len(c[0]) for c in counted)]), pa.int32())

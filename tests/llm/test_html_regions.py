@@ -74,7 +74,8 @@ def plain(lines):
 
 def expected(lines):
     dense = plain(lines)
-    off = [(x.linked >= 0.9 and len(x.text.split()) <= 4) or (len(x.text) < 200 and x.text.lower().startswith(("©", "(c)", "copyright "))) for x in lines]
+    short = [False, *(x.linked >= 0.9 and len(x.text.split()) <= 4 for x in lines), False]
+    off = [(short[k + 1] and (short[k] or short[k + 2])) or (len(x.text) < 200 and x.text.lower().startswith(("©", "(c)", "copyright "))) for k, x in enumerate(lines)]
     at = np.flatnonzero(dense & ~np.array(off))
     return "\n".join(x.text for k, x in enumerate(lines) if (len(at) and at[0] <= k <= at[-1]) or not off[k])
 

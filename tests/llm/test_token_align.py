@@ -1,7 +1,6 @@
 import hashlib
 from collections import Counter
 
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,9 +75,8 @@ def test_table_equals_plain_counts(spark, frequent):
     rows = [(k, t) for k, t in enumerate(TEXTS)] + [(3, None), (None, "Hello again")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n_a", F.lit("clash")).repartition(3)
     got = [tuple(r) for r in T.align(docs, frequent=frequent).collect()]
-    key = lambda r: (r[0] is None, r)
-    assert sorted(got, key=lambda r: (r[0] is None, r[0] or 0, r[1:])) == sorted(expected([(-1 if k is None else k, t) for k, t in rows]) and [(None if r[0] == -1 else r[0], *r[1:]) for r in expected([(-1 if k is None else k, t) for k, t in rows])], key=lambda r: (r[0] is None, r[0] or 0, r[1:]))
-    assert key
+    want = [(None if r[0] == -1 else r[0], *r[1:]) for r in expected([(-1 if k is None else k, t) for k, t in rows])]
+    assert sorted(got, key=str) == sorted(want, key=str)
 
 
 def test_given_documents(spark, sf):
@@ -100,4 +98,3 @@ def test_missing_file(spark):
 
 def test_pieces():
     assert [(a, len(p)) for a, p in T._pieces(["x" * T.PIECE, None, "y", "z" * T.PIECE, "w"])] == [(0, 1), (1, 3), (4, 1)]
-    assert isinstance(pa.array([1]), pa.Array)
