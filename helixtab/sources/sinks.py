@@ -16,10 +16,12 @@ def write_lines(lines: DataFrame, path: str, order: list[str], mode: str = "over
 
 
 def write_features(df: DataFrame, path: str, tag: bool = False, mode: str = "overwrite", compression: str = "none", whole: bool = False, ranges: int | None = None) -> None:
-    """BED of 6 columns, or 7 with the tag where there is one, in order of chromosome and start."""
+    """BED of 6 columns, or 7 with the tag where there is one, in order of chromosome and start; features that begin at one place in order of line_no, if they have it, else of their text."""
     cells = [F.col("chrom"), F.col("start").cast("string"), F.col("end").cast("string"), F.col("name"), F.coalesce("tsd", F.lit("NA")), F.coalesce("strand", F.lit("+"))]
     value = F.concat_ws("\t", *cells, *([F.col("tag")] if tag else []))
-    write_lines(df.select("sample_id", "chrom", "start", value.alias("value")), path, ["chrom", "start"], mode, compression, whole, ranges)
+    last = "line_no" if "line_no" in df.columns else "value"
+    lines = df.withColumn("value", value).select("sample_id", "chrom", "start", *(["line_no"] if last == "line_no" else []), "value")
+    write_lines(lines, path, ["chrom", "start", last], mode, compression, whole, ranges)
 
 
 def write_sequences(seqs: DataFrame, path: str, width: int = 60, mode: str = "overwrite") -> None:

@@ -128,3 +128,17 @@ def test_incremental_statistics(spark, tmp_path):
     got = {(r["sample_id"], r["category"]): r["n"] for r in spark.read.parquet(f"{out}/categories").collect()}
     assert got == {("gen1_final", "Intact gene"): 1, ("gen1_final", "Fragmented TE"): 2, ("gen1_final", "Intact TE"): 1, ("gen2_final", "Intact gene"): 1, ("gen2_final", "Fragmented TE"): 1, ("gen2_final", "Intact TE"): 2}
     assert {r["generation"] for r in incremental.by_generation(spark.read.parquet(f"{out}/categories")).collect()} == {1, 2}
+
+
+def test_features_that_begin_at_one_place_keep_their_order(spark, tmp_path):
+    """Written from rows in any order; without line numbers, in order of their text."""
+    rows = [("a", "chr1", 7 if k < 900 else k, 1000 + k * 389 % 1009, f"gene{k * 71 % 997}", k) for k in range(1000)]
+    f = spark.createDataFrame(rows, "sample_id string, chrom string, start bigint, end bigint, name string, line_no bigint").withColumns({"tsd": F.lit("NA"), "strand": F.lit("+")})
+    f = f.repartition(7, F.xxhash64("name"))
+    sinks.write_features(f, str(tmp_path / "numbered"), ranges=3)
+    assert {r["line_no"]: r["name"] for r in S.read_features(spark, str(tmp_path / "numbered")).collect()} == {r[5]: r[4] for r in rows}
+    written = []
+    for name, parts in (("x", 3), ("y", 5)):
+        sinks.write_features(f.drop("line_no").repartition(parts), str(tmp_path / name), ranges=2)
+        written.append([r["name"] for r in S.read_features(spark, str(tmp_path / name)).orderBy("line_no").collect()])
+    assert written[0] == written[1]
