@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ["sample_id", "chrom"]
-#: Smallest width of a bin, as a power of two.
-LEAST = 10
+#: Least group of lengths, as a power of two; widths of bins in lengths of their group; comparisons held at once.
+LEAST, STRETCH, CELLS = 10, 16, 1 << 18
 
 
 def _level(start, end):
-    """Power of two of the bin width at which an interval covers at most two bins."""
+    """The group of an interval: the power of two that its length doesn't exceed."""
     return F.greatest(F.lit(LEAST), F.ceil(F.log2(F.greatest(F.lit(1), F.col(end) - F.col(start)))).cast("int"))
 
 
@@ -21,25 +24,58 @@ def reciprocal_overlap(calls: DataFrame, features: DataFrame, r: float, keys: li
     """(call_id, feature_no): for each call the first feature, by start and then order (feature_no), on the same chromosome that it overlaps by at least r of either length.
     Calls without a match are left out; with r = 0 the first feature on the chromosome matches.
 
-    Two intervals that overlap by a share r > 0 of both have lengths within a factor 1 / r, so binning both at widths near their own length is exact: each
-    interval is put in the (at most two) bins of its level, calls in those of every level a partner can have. Long and short features never meet."""
-    c = calls.select(*keys, F.col("call_id"), F.col("start").alias("cs"), F.col("end").alias("ce"))
-    f = features.select(*keys, F.col("feature_no"), F.col("start").alias("fs"), F.col("end").alias("fe"))
+    Two intervals that overlap by a share r > 0 of both have lengths within a factor 1 / r, so features are grouped by the power of two of their length, calls go to every group a partner can
+    be in, and long and short ones never meet. Within a group, bins are STRETCH lengths wide: a call is in that of its start, a feature in those where such calls can start. In a bin each call
+    looks through the features by start until one matches, so no pair is shuffled or sorted, however densely they lie; a call of a group has one row at most."""
+    c = calls.select(*keys, F.col("call_id"), F.col("start").cast("bigint").alias("cs"), F.col("end").cast("bigint").alias("ce"))
+    f = features.select(*keys, F.col("feature_no"), F.col("start").cast("bigint").alias("fs"), F.col("end").cast("bigint").alias("fe"))
     if r <= 0:
         first = f.groupBy(*keys).agg(F.min_by("feature_no", F.struct("fs", "feature_no")).alias("feature_no"))
         return c.join(first, keys).select("call_id", "feature_no")
     spread = math.ceil(math.log2(1 / r)) + 1
-
-    def bins(s: str, e: str):
-        width = F.pow(F.lit(2.0), F.col("level"))
-        return F.sequence(F.floor(F.col(s) / width).cast("bigint"), F.floor((F.col(e) - 1) / width).cast("bigint"))
-
-    f = f.filter("fe > fs").withColumn("level", _level("fs", "fe")).withColumn("bin", F.explode(bins("fs", "fe")))
-    c = c.filter("ce > cs").withColumn("_l", _level("cs", "ce")).withColumn("level", F.explode(F.sequence(F.greatest(F.lit(LEAST), F.col("_l") - spread), F.col("_l") + spread)))
-    c = c.withColumn("bin", F.explode(bins("cs", "ce"))).drop("_l")
-    shared = F.least("ce", "fe") - F.greatest("cs", "fs")
-    hit = c.join(f, [*keys, "level", "bin"]).filter((shared > 0) & (shared / (F.col("ce") - F.col("cs")) >= r) & (shared / (F.col("fe") - F.col("fs")) >= r))
-    return hit.groupBy("call_id").agg(F.min_by("feature_no", F.struct("fs", "feature_no")).alias("feature_no"))
+    width = F.pow(F.lit(2.0), F.col("level")) * STRETCH
+    bin_of = lambda at: F.floor(at / width).cast("bigint")
+    known = [F.col(k).isNotNull() for k in keys]
+    c, f = c.filter("ce > cs"), f.filter("fe > fs")
+    for k in known:
+        c, f = c.filter(k), f.filter(k)
+    reach = F.ceil((F.col("fe") - F.col("fs")) / F.lit(float(r))).cast("bigint") + 1
+    f = f.withColumn("level", _level("fs", "fe")).withColumn("bin", F.explode(F.sequence(bin_of(F.col("fs") - reach), bin_of(F.col("fe")))))
+    c = c.withColumn("_l", _level("cs", "ce")).withColumn("level", F.explode(F.sequence(F.greatest(F.lit(LEAST), F.col("_l") - spread), F.col("_l") + spread))).withColumn("bin", bin_of(F.col("cs")))
+    by, types = [*keys, "level", "bin"], {**dict(c.dtypes), **dict(f.dtypes)}
+    found = c.groupBy(*by).cogroup(f.groupBy(*by)).applyInArrow(lambda a, b: _first(a, b, r), f"call_id {types['call_id']}, fs bigint, feature_no {types['feature_no']}")
+    return found.groupBy("call_id").agg(F.min_by("feature_no", F.struct("fs", "feature_no")).alias("feature_no"))
+
+
+def _first(calls: pa.Table, features: pa.Table, r: float) -> pa.Table:
+    """call_id, fs, feature_no of calls(call_id, cs, ce) that overlap a feature(feature_no, fs, fe) by r of either: that with the least (fs, feature_no). Each looks at the features by start
+    from the first that can match, in steps that double, and stops at a match."""
+    if calls.num_rows and features.num_rows:
+        features = features.take(pc.sort_indices(features, [("fs", "ascending"), ("feature_no", "ascending")], null_placement="at_start"))
+    fs, fe = (features[k].to_numpy() for k in ("fs", "fe"))
+    cs, ce = (calls[k].to_numpy() for k in ("cs", "ce"))
+    length = ce - cs
+    # the shared part is at least r of the call, and the feature at most 1 / r of it; a place more on either side for rounding
+    at = np.searchsorted(fs, np.floor(cs - length * (1 / r - 1)).astype(np.int64) - 1)
+    end = np.searchsorted(fs, np.minimum(ce, np.ceil(ce - length * r).astype(np.int64) + 1), "right")
+    match, left, step = np.full(len(cs), -1), np.flatnonzero(at < end), 4
+    while len(left):
+        rest = []
+        for k in range(0, len(left), max(1, CELLS // step)):
+            own = left[k : k + max(1, CELLS // step)]
+            place = at[own, None] + np.arange(step)
+            inside = place < end[own, None]
+            place = np.minimum(place, len(fs) - 1)
+            shared = np.minimum(ce[own, None], fe[place]) - np.maximum(cs[own, None], fs[place])
+            hit = inside & (shared > 0) & (shared / length[own, None] >= r) & (shared / (fe[place] - fs[place]) >= r)
+            some = hit.any(1)
+            match[own[some]] = place[some, hit[some].argmax(1)]
+            at[own] += step
+            rest.append(own[~some & (at[own] < end[own])])
+        left, step = np.concatenate(rest), min(2 * step, 256)
+    got = np.flatnonzero(match >= 0)
+    told = features.take(pa.array(match[got]))
+    return pa.table({"call_id": calls["call_id"].take(pa.array(got)), "fs": told["fs"], "feature_no": told["feature_no"]})
 
 
 def overlap_summary(calls: DataFrame, features: DataFrame, matches: DataFrame, by: list[str]) -> DataFrame:

@@ -174,3 +174,24 @@ def test_weighted_sample_is_the_same_anywhere_and_fair(spark):
 def test_nothing_in_nothing_out(spark):
     empty = table(spark, [("a", "NA", "+")]).limit(0)
     assert C.classify(empty).count() == C.nest_groups(empty).count() == C.consolidate_adjacent(empty).count() == I.merge_intervals(empty).count() == 0
+
+
+def test_overlap_of_dense_intervals_is_that_of_all_pairs_without_a_table_of_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    span = lambda: (a := rng.randrange(-300, 20_000), a + rng.choice([0, 1, 7, 100, 1023, 1024, 1025, 2500, 40_000]) + rng.randrange(60))
+    features = [("s", rng.choice("cd"), k, *span()) for k in range(1500)] + [(None, "c", 1500, 0, 100), ("s", "c", 1501, None, 100), ("s", "c", 1502, 5000, 5600)]
+    calls = [("s", rng.choice("cd"), k, *span()) for k in range(600)] + [(None, "c", 600, 0, 100), ("s", "c", 601, None, 100), ("s", "c", 602, 5000, 5600)]
+    schema = "sample_id string, chrom string, {} long, start long, end long"
+    f, c = spark.createDataFrame(features, schema.format("feature_no")), spark.createDataFrame(calls, schema.format("call_id"))
+    for r in (0.3, 0.5, 0.9, 1.0):
+        want = {}
+        for s, chrom, k, a, b in calls:
+            shared = [(x, no, min(b, y) - max(a, x), y - x) for s2, c2, no, x, y in features if None not in (s, s2, a, x) and c2 == chrom]
+            fit = [(x, no) for x, no, n, size in shared if n > 0 and n / (b - a) >= r and n / size >= r]
+            if fit:
+                want[k] = min(fit)[1]
+        found = overlap.reciprocal_overlap(c, f, r)
+        assert {x["call_id"]: x["feature_no"] for x in found.collect()} == want and want
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
