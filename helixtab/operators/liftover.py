@@ -32,20 +32,54 @@ def apply_insertions(features: DataFrame, events: DataFrame, keys: list[str] = K
     """Features after a batch of insertions (position, length, name) given on original coordinates. Features at or after a point move right; one that spans points is
     cut at each of them, and every piece's name gets `;CUT_BY:` and the name of the insertions that cut it, in order of position. Adds `piece`.
     Positions are distinct per chromosome."""
-    # spanning pairs: equi-join on bins of the positions, so that no range join is needed
-    width = 4096
-    f = features.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / width).cast("bigint"), F.floor(F.col("end") / width).cast("bigint"))))
-    e = events.select(*keys, F.col("position").alias("_p"), F.col("name").alias("_by"), F.floor(F.col("position") / width).cast("bigint").alias("_bin"))
-    inside = f.join(e, [*keys, "_bin"]).filter("_p > start and _p < end")
-    cuts = inside.groupBy(*keys, "line_no").agg(F.sort_array(F.collect_list(F.struct("_p", "_by"))).alias("_cuts"))
-    whole = features.join(cuts, [*keys, "line_no"], "left").withColumn("_cuts", F.coalesce("_cuts", F.array().cast("array<struct<_p:bigint,_by:string>>")))
-    points = F.concat(F.array(F.col("start").cast("bigint")), F.transform("_cuts", lambda c: c["_p"]), F.array(F.col("end").cast("bigint")))
-    pieces = F.transform(F.sequence(F.lit(0), F.size("_cuts")), lambda k: F.struct(k.alias("piece"), F.get(points, k).alias("start"), F.get(points, k + 1).alias("end")))
-    named = F.concat(F.col("name"), F.array_join(F.transform("_cuts", lambda c: F.concat(F.lit(";CUT_BY:"), c["_by"])), ""))
+    points = events.groupBy(*keys, F.col("position").cast("bigint").alias("position")).agg(F.sum("length").cast("bigint").alias("length"), F.sort_array(F.collect_list("name")).alias("by"))
+    whole = _with_points(features, points, keys)
+    # a point of several insertions cuts as often
+    cuts = F.flatten(F.transform("_cuts", lambda c: F.transform(c["by"], lambda by: F.struct(c["position"].alias("position"), c["_sum"].alias("_sum"), by.alias("by")))))
+    whole = whole.withColumn("_cuts", cuts)
+    named = F.concat(F.col("name"), F.array_join(F.transform("_cuts", lambda c: F.concat(F.lit(";CUT_BY:"), c["by"])), ""))
     held = [c for c in features.columns if c not in (*keys, "start", "end", "name")]
-    cut = whole.select(*keys, *held, named.alias("name"), F.explode(pieces).alias("_q")).select(*keys, *held, "name", "_q.*")
-    moved = _shift(cut, events, "start", "length", False, keys, "shift")
-    return moved.withColumns({"start": F.col("start") + F.col("shift"), "end": F.col("end") + F.col("shift")})
+    cut = whole.select(*keys, *held, named.alias("name"), F.explode(_pieces(lambda k: k.alias("piece"))).alias("_q"))
+    return cut.select(*keys, *held, "name", "_q.piece", (F.col("_q.start") + F.col("_q.shift")).alias("start"), (F.col("_q.end") + F.col("_q.shift")).alias("end"), "_q.shift")
+
+
+#: Least width of a bin, as a power of two.
+LEAST = 10
+
+
+def _with_points(rows: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds to rows(keys, start, end, ...) `_cuts`, the points(keys, position, length, ...) strictly inside, in order, each with `_sum`, the lengths up to it, its own included; and `_move`, the
+    lengths of points up to the start. Positions are distinct per keys. A row is in one bin, at a width near its own length, and a bin has the points of two widths as an array: rows
+    are shuffled once, and neither pairs nor pieces are."""
+    e = points.withColumn("position", F.col("position").cast("bigint"))
+    e = with_prefix(e, keys, [part_of("position")], ["position"], F.col("length"), "_sum").withColumn("_sum", F.coalesce("_sum", F.lit(0)) + F.col("length"))
+    size = F.pow(F.lit(2.0), F.col("_level")).cast("bigint")
+    level = F.greatest(F.lit(LEAST), F.ceil(F.log2(F.greatest(F.lit(1), F.col("end") - F.col("start")) + 1))).cast("int")
+    rows = rows.withColumn("_level", level).withColumn("_bin", F.floor(F.col("start") / size).cast("bigint"))
+    at = [*keys, "_level", "_bin"]
+    bins = rows.select(*at).distinct()
+    carried = _shift(bins.withColumn("_low", F.col("_bin") * size), points, "_low", "length", True, keys, "_carry").drop("_low")
+    near = e.join(F.broadcast(bins.select("_level").distinct()))
+    own = F.floor(F.col("position") / size).cast("bigint")
+    near = near.withColumn("_bin", F.explode(F.array(own - 1, own)))
+    held = [c for c in points.columns if c not in (*keys, "position")]
+    near = near.groupBy(*at).agg(F.sort_array(F.collect_list(F.struct("position", "_sum", *held))).alias("_points"))
+    both = carried.join(near, at, "left").select(*(F.col(c).alias(f"_b{c}") for c in at), "_carry", "_points")
+    out = rows.join(both, [F.col(c).eqNullSafe(F.col(f"_b{c}")) for c in at], "left").drop(*(f"_b{c}" for c in at), "_level", "_bin")
+    none = F.array().cast(both.schema["_points"].dataType)
+    out = out.withColumn("_points", F.coalesce("_points", none))
+    before = F.filter("_points", lambda c: c["position"] <= F.col("start"))
+    inside = F.filter("_points", lambda c: (c["position"] > F.col("start")) & (c["position"] < F.col("end")))
+    return out.withColumns({"_move": F.coalesce(F.try_element_at(before, F.lit(-1))["_sum"], "_carry", F.lit(0)).cast("bigint"), "_cuts": inside}).drop("_points", "_carry")
+
+
+def _pieces(*more) -> Column:
+    """Of a row of _with_points(), an array of its pieces: what `more` gives for the number of each, start and end as they were, and shift."""
+    point = lambda k, last: F.when(k == F.size("_cuts"), F.col(last).cast("bigint")).otherwise(F.get("_cuts", k)["position"])
+    return F.transform(F.sequence(F.lit(0), F.size("_cuts")), lambda k: F.struct(
+        *(m(k) for m in more), F.when(k == 0, F.col("start").cast("bigint")).otherwise(F.get("_cuts", k - 1)["position"]).alias("start"), point(k, "end").alias("end"),
+        F.when(k == 0, F.col("_move")).otherwise(F.get("_cuts", k - 1)["_sum"]).alias("shift"),
+    ))
 
 
 def inserted_features(features: DataFrame, events: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -58,33 +92,24 @@ def inserted_features(features: DataFrame, events: DataFrame, keys: list[str] =
     return out.select(*keys, (F.col("position") + F.col("shift")).alias("start"), (F.col("position") + F.col("shift") + F.col("length")).alias("end"), F.concat("name", F.coalesce("_in", F.lit(""))).alias("name"))
 
 
-BIN = 4096
-
-
 def _cut(rows: DataFrame, gaps: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """rows(keys, row, start, end, tags, ...) after gaps(keys, position, length, seq, by) on the same coordinates: rows at or after a gap move, rows that a gap lies within are cut. Adds to
     the tags (seq, by) of a piece those gaps that cut the row while it still held the piece: looking outwards from it, those earlier than all nearer ones. Also the pairs (keys, row, seq)."""
-    first, last = F.floor(F.col("start") / BIN).cast("bigint"), F.floor(F.col("end") / BIN).cast("bigint")
-    spans = rows.select(*keys, "row", "start", "end", F.explode(F.sequence(first, last)).alias("_bin"))
-    g = gaps.select(*keys, "position", "seq", "by", F.floor(F.col("position") / BIN).cast("bigint").alias("_bin"))
-    pairs = spans.join(g, [*keys, "_bin"]).filter("position > start and position < end").select(*keys, "row", "start", "position", "seq", "by")
-    cuts = pairs.groupBy(*keys, "row", "start").agg(F.sort_array(F.collect_list(F.struct("position", "seq", "by"))).alias("_cuts"))
-    whole = rows.join(cuts, [*keys, "row", "start"], "left").withColumn("_cuts", F.coalesce("_cuts", F.array().cast("array<struct<position:bigint,seq:bigint,by:string>>")))
-    points = F.concat(F.array(F.col("start").cast("bigint")), F.transform("_cuts", lambda c: c["position"]), F.array(F.col("end").cast("bigint")))
+    whole = _with_points(rows, gaps, keys)
 
     def earlier(outwards: Column) -> Column:
         tag = lambda c: F.struct(c["seq"].alias("seq"), c["by"].alias("by"))
         none = F.array().cast("array<struct<seq:bigint,by:string>>")
         return F.aggregate(outwards, none, lambda acc, c: F.when((F.size(acc) == 0) | (c["seq"] < F.element_at(acc, -1)["seq"]), F.array_append(acc, tag(c))).otherwise(acc))
 
-    def piece(k: Column) -> Column:
+    def tags(k: Column) -> Column:
         left, right = F.reverse(F.slice("_cuts", F.lit(1), k)), F.slice("_cuts", k + 1, F.size("_cuts"))
-        return F.struct(F.get(points, k).alias("start"), F.get(points, k + 1).alias("end"), F.concat("tags", F.sort_array(F.concat(earlier(left), earlier(right)))).alias("tags"))
+        return F.concat("tags", F.sort_array(F.concat(earlier(left), earlier(right)))).alias("tags")
 
     held = [c for c in rows.columns if c not in (*keys, "start", "end", "tags")]
-    pieces = whole.select(*keys, *held, F.explode(F.transform(F.sequence(F.lit(0), F.size("_cuts")), piece)).alias("_q")).select(*keys, *held, "_q.*")
-    moved = _shift(pieces, gaps, "start", "length", False, keys, "_move")
-    return moved.withColumns({"start": F.col("start") + F.col("_move"), "end": F.col("end") + F.col("_move")}).drop("_move"), pairs.select(*keys, "row", "seq")
+    pieces = whole.select(*keys, *held, F.explode(_pieces(tags)).alias("_q"))
+    moved = pieces.select(*keys, *held, (F.col("_q.start") + F.col("_q.shift")).alias("start"), (F.col("_q.end") + F.col("_q.shift")).alias("end"), "_q.tags")
+    return moved, whole.select(*keys, "row", F.explode("_cuts").alias("_c")).select(*keys, "row", F.col("_c.seq").alias("seq"))
 
 
 def _gaps(segments: DataFrame, keys: list[str]) -> DataFrame:

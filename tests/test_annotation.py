@@ -195,3 +195,25 @@ def test_overlap_of_dense_intervals_is_that_of_all_pairs_without_a_table_of_pair
         found = overlap.reciprocal_overlap(c, f, r)
         assert {x["call_id"]: x["feature_no"] for x in found.collect()} == want and want
         assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pieces_of_insertions_are_those_of_all_pairs_and_never_shuffled(spark):
+    import random
+
+    rng = random.Random(6)
+    spans = [(k, a := rng.randrange(-2000, 9000), a + rng.choice([0, 1, 300, 1023, 1024, 1025, 5000])) for k in range(200)]
+    points = sorted(rng.sample(range(-1900, 9000), 150))
+    events = [("s", "c", p, rng.randrange(1, 90), f"N{p}") for p in points] + [("s", "c", points[7], 5, "A")]
+    want = []
+    for k, a, b in spans:
+        inside = sorted((p, n) for _, _, p, _, n in events if a < p < b)
+        at = [a, *(p for p, _ in inside), b]
+        for i, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True)):
+            shift = sum(e[3] for e in events if e[2] <= x)
+            want.append((k, i, f"f{k}" + "".join(f";CUT_BY:{n}" for _, n in inside), x + shift, y + shift))
+    f = spark.createDataFrame([("s", "c", k, f"f{k}", a, b) for k, a, b in spans], "sample_id string, chrom string, line_no long, name string, start long, end long")
+    out = liftover.apply_insertions(f, spark.createDataFrame(events, "sample_id string, chrom string, position long, length long, name string"))
+    assert sorted((r["line_no"], r["piece"], r["name"], r["start"], r["end"]) for r in out.collect()) == sorted(want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    above = next(k for k, line in enumerate(plan) if "Generate explode" in line)
+    assert not any("Join" in line for line in plan[:above])
