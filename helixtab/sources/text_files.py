@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.names import generation_of
 
 
@@ -204,8 +205,13 @@ def attribute_map(c: Column) -> Column:
     pairs = F.filter(F.split(c, ";"), lambda p: F.contains(p, F.lit("=")) | F.contains(p, F.lit(":")))
     sep = lambda p: F.when(F.contains(p, F.lit("=")), F.instr(p, "=")).otherwise(F.instr(p, ":"))
     entries = F.transform(pairs, lambda p: F.struct(F.trim(F.substr(p, F.lit(1), sep(p) - 1)).alias("k"), F.substr(p, sep(p) + 1).alias("v")))
-    keys = F.array_distinct(F.transform(entries, lambda e: e["k"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["k"] == k), -1)["v"]))
+
+    def last(entries: Column, keys: Column) -> Column:
+        values = F.transform(entries, lambda e: e["v"])
+        again = F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["k"] == k), -1)["v"])
+        return F.map_from_arrays(keys, F.when(F.size(keys) == F.size(entries), values).otherwise(again))
+
+    return let(entries, lambda es: let(F.array_distinct(F.transform(es, lambda e: e["k"])), lambda keys: last(es, keys)))
 
 
 def read_gff(spark: SparkSession, path) -> DataFrame:

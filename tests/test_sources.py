@@ -142,3 +142,8 @@ def test_features_that_begin_at_one_place_keep_their_order(spark, tmp_path):
         sinks.write_features(f.drop("line_no").repartition(parts), str(tmp_path / name), ranges=2)
         written.append([r["name"] for r in S.read_features(spark, str(tmp_path / name)).orderBy("line_no").collect()])
     assert written[0] == written[1]
+
+
+def test_of_repeated_attributes_the_last_counts(spark):
+    rows = spark.createDataFrame([("ID=a;Name=b=c;ID=d",), ("ID:a; Name=b",), ("",), (None,)], "a string")
+    assert [r[0] for r in rows.select(S.attribute_map(F.col("a"))).collect()] == [{"ID": "d", "Name": "b=c"}, {"ID": "a", "Name": "b"}, {}, None]
