@@ -107,8 +107,8 @@ from paf, (values ('query'), ('target')) a(anchor) group by all""")
 def read_paf(spark, d):
     value = "concat_ws('\\t', chrom, 1000, aln_start, 0, '+', concat('t', l_partkey % 4), 5, l_partkey + 7, 9, 10, 11, 60, 'NM:i:1', concat('cg:Z:', cigar))"
     path = put(spark, view(spark, d, "paf"), "concat('p', l_linenumber % 3)", "l_orderkey", value)
-    parts = [T.read_paf(spark, path, anchor).withColumn("anchor", F.lit(anchor)) for anchor in ("query", "target")]
-    return parts[0].unionByName(parts[1]).groupBy("sample_id", "anchor", "chrom").agg(F.count("*").alias("n"), F.sum("aln_start").alias("starts"), F.sum(F.length("cigar")).alias("cigars"))
+    out = T.read_paf(spark, path, "both")
+    return out.groupBy("sample_id", "anchor", "chrom").agg(F.count("*").alias("n"), F.sum("aln_start").alias("starts"), F.sum(F.length("cigar")).alias("cigars"))
 
 
 @query("select sample_id, row_number() over (partition by sample_id order by chrom) - 1 as idx, chrom, max(end_pos) as length from features group by sample_id, chrom")

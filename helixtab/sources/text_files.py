@@ -262,14 +262,18 @@ def read_calls(spark: SparkSession, path) -> DataFrame:
 
 
 def read_paf(spark: SparkSession, path, anchor: str = "query") -> DataFrame:
-    """PAF rows of at least 13 columns with a `cg:Z:` tag: chrom and aln_start of the query or the target, tags, cigar."""
+    """PAF rows of at least 13 columns with a `cg:Z:` tag: chrom and aln_start of the query or the target, tags, cigar. anchor both: a row for either, told by a last column, from one reading."""
     rows = _content(read_lines(spark, path)).withColumn("_f", F.split("value", "\t")).filter(F.size("_f") >= 13)
     at = lambda k: F.get("_f", F.lit(k))
-    chrom, start = (at(0), at(2)) if anchor == "query" else (at(5), at(7))
+    ends = {"query": (0, 2), "target": (5, 7)}
     tags = F.slice("_f", 13, F.size("_f"))
     cigar = F.get(F.filter(tags, lambda t: F.startswith(t, F.lit("cg:Z:"))), F.lit(0))
-    out = rows.select("sample_id", "line_no", chrom.alias("chrom"), start.try_cast("bigint").alias("aln_start"), at(4).alias("strand"), tags.alias("tags"), F.substr(cigar, F.lit(6)).alias("cigar"))
-    return out.filter("cigar is not null and aln_start is not null")
+    out = rows.select("sample_id", "line_no", at(4).alias("strand"), tags.alias("tags"), F.substr(cigar, F.lit(6)).alias("cigar"), *(at(k).alias(f"_{name}{i}") for name, ks in ends.items() for i, k in enumerate(ks)))
+    place = lambda name: F.struct(F.col(f"_{name}0").alias("chrom"), F.col(f"_{name}1").try_cast("bigint").alias("aln_start"), F.lit(name).alias("anchor"))
+    chosen = list(ends) if anchor == "both" else [anchor if anchor == "query" else "target"]
+    out = out.filter("cigar is not null").withColumn("_p", F.explode(F.array(*map(place, chosen))) if len(chosen) > 1 else place(chosen[0]))
+    out = out.select("sample_id", "line_no", "_p.chrom", "_p.aln_start", "strand", "tags", "cigar", *(["_p.anchor"] if len(chosen) > 1 else []))
+    return out.filter("aln_start is not null")
 
 
 def read_fai(spark: SparkSession, path) -> DataFrame:

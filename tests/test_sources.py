@@ -144,6 +144,15 @@ def test_features_that_begin_at_one_place_keep_their_order(spark, tmp_path):
     assert written[0] == written[1]
 
 
+def test_both_anchors_of_paf_rows_come_from_one_reading(spark, tmp_path):
+    put(tmp_path, "a.paf", "q\t9\t7\t8\t+\tt\t9\t3\t4\t5\t5\t60\tNM:i:1\tcg:Z:5M\nq\t9\tx\t8\t-\tu\t9\t6\t4\t5\t5\t60\tcg:Z:7M\nq\t9\t1\t8\t-\tu\t9\t6\t4\t5\t5\t60\tNM:i:0\n")
+    both = S.read_paf(spark, str(tmp_path), "both")
+    assert sorted((r["line_no"], r["anchor"], r["chrom"], r["aln_start"], r["cigar"]) for r in both.collect()) == [(0, "query", "q", 7, "5M"), (0, "target", "t", 3, "5M"), (1, "target", "u", 6, "7M")]
+    for anchor in ("query", "target"):
+        one = S.read_paf(spark, str(tmp_path), anchor)
+        assert sorted(map(str, one.collect())) == sorted(map(str, both.filter(F.col("anchor") == anchor).drop("anchor").collect()))
+
+
 def test_of_repeated_attributes_the_last_counts(spark):
     rows = spark.createDataFrame([("ID=a;Name=b=c;ID=d",), ("ID:a; Name=b",), ("",), (None,)], "a string")
     assert [r[0] for r in rows.select(S.attribute_map(F.col("a"))).collect()] == [{"ID": "d", "Name": "b=c"}, {"ID": "a", "Name": "b"}, {}, None]
