@@ -78,9 +78,12 @@ def library_qc(div: DataFrame, excluded: str | None = None) -> DataFrame:
     """Library entries that stay: dropped are length < 80, length < 100 with p > 0.10, names TE_00* with p > 0.10, p > 0.25, and classes that match `excluded`.
     div(name, class, length, p)."""
     p, n = F.col("p"), F.col("length")
-    bad = (n < 80) | ((n < 100) & (p > 0.10)) | (F.startswith("name", F.lit("TE_00")) & (p > 0.10)) | (p > 0.25)
+    bad = p > 0.25
     if excluded:
         bad |= F.coalesce(F.col("class").rlike(excluded), F.lit(False))
+    bad |= F.startswith("name", F.lit("TE_00")) & (p > 0.10)
+    # the length comes last and once: it may be that of a sequence made for it
+    bad |= n < F.when(p > 0.10, 100).otherwise(80)
     return div.filter(~bad)
 
 
