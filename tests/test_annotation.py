@@ -217,3 +217,13 @@ def test_pieces_of_insertions_are_those_of_all_pairs_and_never_shuffled(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
     above = next(k for k, line in enumerate(plan) if "Generate explode" in line)
     assert not any("Join" in line for line in plan[:above])
+
+
+def test_library_conditions_ask_for_the_length_once(spark):
+    rows = [(k, "TE_00" if k % 2 else "TE_1", "MITE" if k % 5 == 0 else None if k % 7 == 0 else "LTR", n, p) for k, (n, p) in enumerate((n, p) for n in (None, 79, 80, 99, 100) for p in (None, 0.1, 0.11, 0.25, 0.26) for _ in range(4))]
+    div = spark.createDataFrame(rows, "id int, name string, class string, n int, p double").withColumn("length", F.length(F.repeat(F.lit("x"), F.col("n"))))
+    kept = L.library_qc(div, "^MITE$")
+    good = lambda name, c, n, p: None not in (n, p) and c != "MITE" and n >= 80 and p <= 0.25 and not (p > 0.1 and (n < 100 or name == "TE_00"))
+    assert {r["id"] for r in kept.collect()} == {r[0] for r in rows if good(*r[1:])}
+    filters = [line for line in kept._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
+    assert sum(line.count("repeat(") for line in filters) == 1
