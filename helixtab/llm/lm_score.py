@@ -1,26 +1,29 @@
 """Language-model scores of texts: word counts as the base, and a causal self-attention model over subword ids.
 
+Texts are encoded once: their subword ids go to a scratch table, from which words are counted, the model is trained and texts are scored.
 Counting covers every training text: word counts, the number of tokens and subword counts are summed by Spark and grow with the
 corpus. The attention model (one causal head over windows of WINDOW subwords) is trained in numpy on every training text, once: in each of
-ROUNDS rounds, every task trains a model of its own on its texts of that round, and Spark averages the models, weighted by tokens; the driver
-sees at most MEANS of them. So the score depends slightly on how the table is split. The model predicts the class of the next subword, and the
-subword within its class has the smoothed share that the whole corpus gives it. Classes are made from the subword counts: frequent ids alone, rarer ones together.
+ROUNDS rounds, every task trains a model of its own on its texts of that round, and Spark averages what the tasks changed, weighted by tokens; the driver
+sees at most MEANS of these averages. So the score depends slightly on how the table is split. The model predicts the next subword itself: the probability of an id is a
+product along its way in a tree of all ids, at whose every node the attention's output decides between the children. Frequent ids are children of the root; the tree
+is made from the subword counts, and an untrained node gives the shares of the corpus. Every id has an input vector of its own.
 
 A text is scored in windows that overlap by CONTEXT: a window's first CONTEXT positions serve as context only, so that every token is
-scored exactly once; all windows of a chunk go through masked attention as one batch.
+scored exactly once; all windows of a batch go through masked attention together.
 
 The words with most counts (HOT of them, a table of fixed size) are known to every task; the rest of a text's words meet their
 counts in a join. Subword ids come from a public byte-pair vocabulary, whose path is a parameter; each distinct word is encoded once
-a task.
+a task. The ids of a word name it.
 
 Null text is the empty text: one token, the end. Rows with a null id are not learned from and count as held out. Repeated rows are
-scored each. Empty training data: every count is 0 and the score is that of uniform classes. Empty table: empty result.
+scored each. Empty training data: every count is 0 and the score is that of the untrained model. Empty table: empty result.
 Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import math
 import os
 import pickle
@@ -34,23 +37,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, most_frequent, only
-from .textnum import chunks, spans_hash, words
+from .textnum import chunks, mix, powers, spans_hash, words
 
 #: A byte-pair vocabulary as ranks, at the same path on the driver and every executor; the session's SETTING or score()'s parameter names another.
 VOCABULARY, SETTING = "/opt/tokenizers/byte_bpe_50k.tiktoken", "spark.helixtab.vocabulary"
 IDS, END = 50257, 50256
 WINDOW, CONTEXT = 32, 8
 STRIDE = WINDOW - CONTEXT
-DIM, CLASSES, ALONE, INPUTS = 16, 64, 40, 4096
+DIM, CLASSES, ALONE, FAN, INPUTS = 16, 32, 20, 16, IDS + 2
+#: Inner nodes below the root, at most; rows of one node that are multiplied at once.
+NODES, BLOCK = -(-IDS // (FAN - 1)) + CLASSES, 16
 #: Most frequent words known to every task, this many at most.
 HOT = 1 << 16
-BATCH, RATE, EPOCHS = 128, 4e-3, 1
-#: Windows of which gradients are computed at once.
-MICRO = 32
+BATCH, RATE = 256, 4e-3
+#: Windows whose ids below the root are scored at once.
+GROUP = 512
 #: Times that the tasks' models are averaged, tokens below which a task isn't split off, and averages that the driver sees a round.
 ROUNDS, TASK_TOKENS, MEANS = 4, 800_000, 16
-#: Distinct words a task holds at once.
-CACHE = 300_000
+#: Distinct words a process holds at once.
+CACHE = 500_000
+#: Tokens taken at once from stored ids, and a random 64-bit value for each id.
+TOKENS = 400_000
+KEY = np.random.Generator(np.random.PCG64(20250310)).integers(1, 2**63, IDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -70,6 +78,12 @@ def encoder(path: str):
     return tiktoken.Encoding("subwords", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), opens
 
 
+@lru_cache(1)
+def known_words(path: str) -> Words:
+    """The words that this process has met, over all of its tasks."""
+    return Words(path)
+
+
 class Words:
     """Subword ids of words, each distinct word encoded once."""
 
@@ -135,8 +149,36 @@ def subwords(table: Words, buf: np.ndarray, offsets: np.ndarray):
     return h, rows, inverse, ids, bounds
 
 
+def stored(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, subword ids, offsets of the texts and the end within the ids) of encoded texts, at most TOKENS or one text at once."""
+    column, n, at = column.cast(pa.large_binary()), len(column), 0
+    if not n:
+        return
+    _, off, data = column.buffers()
+    offsets = np.frombuffer(off, np.int64, n + 1, column.offset * 8) // 2
+    ids = np.frombuffer(data, np.uint16, offsets[-1])
+    while at < n:
+        end = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + TOKENS, side="right")) - 1))
+        yield at, end, ids[offsets[at] : offsets[end]].astype(np.int64), offsets[at : end + 1] - offsets[at]
+        at = end
+
+
+def word_keys(ids: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash and text of each word: a word runs from an id that begins with a blank to the next one or END."""
+    close = ids == END
+    units = np.flatnonzero(opens[ids] | close)
+    is_word = ~close[units]
+    starts, ends = units[is_word], units[1:][is_word[:-1]]  # the last unit is an END
+    up, down = powers(len(ids) + 1)
+    total = np.zeros(len(ids) + 1, np.uint64)
+    np.cumsum(KEY[ids] * up[: len(ids)], out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts]), (np.cumsum(~is_word) - ~is_word)[is_word]
+
+
 def classes(counts: np.ndarray) -> dict[str, np.ndarray]:
-    """Class, log share within the class and input row of every subword id, from counts over the corpus."""
+    """The tree of all subword ids, from counts over the corpus: class of an id at the root, its log share within the class, and its way from
+    the class downwards, as the (node, child) pairs at `begin`, `depth` of them. `share` has the log shares of each node's children; below the root, the tree is
+    Huffman's with FAN children. Also the input row of every id."""
     order = np.lexsort((np.arange(IDS), -counts))
     smooth = counts + 1.0
     of = np.empty(IDS, np.int64)
@@ -145,9 +187,33 @@ def classes(counts: np.ndarray) -> dict[str, np.ndarray]:
     mass = np.cumsum(smooth[rest])
     of[rest] = ALONE + np.minimum(CLASSES - ALONE - 1, (mass / mass[-1] * (CLASSES - ALONE)).astype(np.int64))
     sums = np.bincount(of, smooth, minlength=CLASSES)
-    row = np.full(IDS, INPUTS - 1, np.int64)
-    row[order[: INPUTS - 2]] = np.arange(INPUTS - 2)
-    return {"of": of, "within": np.log(smooth / sums[of]).astype(np.float32), "row": row}
+    parts, above, place = [], {}, {}  # children's masses of each node; (node, child) that a node, an id hangs from
+    for c in range(CLASSES):
+        heap = [(smooth[k], int(k), None) for k in np.flatnonzero(of == c)]
+        if len(heap) < 2:
+            continue
+        heap += [(0.0, IDS + k, None) for k in range(-(len(heap) - 1) % (FAN - 1))]  # so that every node is full; nothing comes here
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            node, children = len(parts), [heapq.heappop(heap) for _ in range(FAN)]
+            for child, (_, k, inner) in enumerate(children):
+                if inner is not None:
+                    above[inner] = (node, child)
+                else:
+                    place[k] = (node, child)
+            parts.append([m for m, _, _ in children])
+            heapq.heappush(heap, (sum(parts[-1]), IDS + FAN + node, node))
+    ways: list[list[tuple[int, int]]] = [[] for _ in range(IDS)]
+    for k, at in place.items():
+        while at and k < IDS:
+            ways[k].append(at)
+            at = above.get(at[0])
+    depth = np.array([len(w) for w in ways])
+    flat = np.array([at for w in ways for at in w], np.int64).reshape(-1, 2)
+    masses = np.array(parts, float).reshape(-1, FAN)
+    with np.errstate(divide="ignore"):
+        share = np.maximum(np.log(masses / masses.sum(1, keepdims=True)), -60).astype(np.float32)
+    return {"of": of, "within": np.log(smooth / sums[of]).astype(np.float32), "row": np.arange(IDS), "begin": np.cumsum(depth) - depth, "depth": depth, "node": flat[:, 0].astype(np.uint16), "child": flat[:, 1].astype(np.uint8), "share": share}
 
 
 def windows(ids: np.ndarray, bounds: np.ndarray, maps: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,130 +241,169 @@ def initial(maps: dict[str, np.ndarray], counts: np.ndarray, seed: int = 3) -> d
     rng = np.random.Generator(np.random.PCG64(seed))
     f = lambda *s: (rng.standard_normal(s) / math.sqrt(s[0])).astype(np.float32)
     mass = np.bincount(maps["of"], counts + 1.0, minlength=CLASSES)
-    return {"E": (0.5 * rng.standard_normal((INPUTS, DIM))).astype(np.float32), "P": 0.1 * f(WINDOW, DIM), "Q": f(DIM, DIM), "K": f(DIM, DIM), "V": 0.3 * f(DIM, DIM), "U": 0.3 * f(DIM, CLASSES), "b": np.log(mass / mass.sum()).astype(np.float32)}
+    p = {"E": (0.5 * rng.standard_normal((INPUTS, DIM))).astype(np.float32), "P": 0.1 * f(WINDOW, DIM), "Q": f(DIM, DIM), "K": f(DIM, DIM), "V": 0.3 * f(DIM, DIM), "U": 0.3 * f(DIM, CLASSES), "b": np.log(mass / mass.sum()).astype(np.float32)}
+    return p | {"W": np.zeros((NODES, DIM, FAN), np.float32)}  # within a class, the corpus' shares to begin with
 
 
 def forward(p: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Hidden states of the scored positions, and what the gradients need."""
-    e = p["E"][x]
+    """Hidden states of the scored positions, and what the gradients need. Keys and values are linear in the inputs, so both products go to the queries' side."""
+    e = p["E"].take(x, 0)
     e += p["P"]
-    flat = e.reshape(-1, DIM)
-    k, v = (flat @ p["K"]).reshape(e.shape), (flat @ p["V"]).reshape(e.shape)
     xq = np.ascontiguousarray(e[:, CONTEXT:])
-    q = (xq.reshape(-1, DIM) @ (p["Q"] / np.float32(math.sqrt(DIM)))).reshape(xq.shape)
-    a = q @ k.transpose(0, 2, 1)
+    q = (xq.reshape(-1, DIM) @ (p["Q"] @ p["K"].T / np.float32(math.sqrt(DIM)))).reshape(xq.shape)
+    a = q @ e.transpose(0, 2, 1)
     np.clip(a, -60, 60, out=a)
     np.exp(a, out=a)
     a *= MASK
     if first.any():
         a[first] *= FIRST
-    a /= a.sum(2, keepdims=True)
-    h = a @ v
+    s = a @ np.ones((WINDOW, 1), a.dtype)
+    c = a @ e
+    c /= s
+    h = (c.reshape(-1, DIM) @ p["V"]).reshape(c.shape)
     h += xq
-    return h, (e, xq, q, k, v, a)
-
-
-def gradients(p, x, first, target, valid) -> tuple[float, int, dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    """Sums over the tokens: loss, number, gradients but for E, and those of the rows of E that occur."""
-    h, (e, xq, q, k, v, a) = forward(p, x, first)
-    flat, ok, target = h.reshape(-1, DIM), valid.ravel(), target.ravel()
+    return h, (e, xq, q, a, s, c)
+
+
+def sums_by(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows; two columns are added at once as one complex number."""
+    return np.add.reduceat(values.view(np.result_type(values.dtype, np.complex64)), begin, axis=0).view(values.dtype)
+
+
+def inner(p, maps: dict[str, np.ndarray], h: np.ndarray, ids: np.ndarray, valid: np.ndarray | None = None, gradient: bool = True):
+    """Log probability of ids (tokens) below the root, given their classes and the hidden states h (tokens, DIM); 0 where not valid. With gradient also
+    that of the loss by h, and rows and gradients of W."""
+    n = maps["depth"][ids]
+    if valid is not None:
+        n *= valid
+    some = np.flatnonzero(n)
+    n, out, dh = n[some], np.zeros(len(ids)), np.zeros_like(h)
+    if not len(some):
+        return (out, dh, some, np.empty((0, DIM, FAN), h.dtype)) if gradient else out
+    ends = np.cumsum(n)
+    begin = ends - n
+    at = np.repeat(maps["begin"][ids[some]] - begin, n) + np.arange(ends[-1])
+    node = maps["node"][at]
+    # visits of a node fill blocks of BLOCK rows, each block is multiplied by its node's matrix
+    order = np.argsort(node, kind="stable")
+    runs = node[order]
+    start = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1]])
+    size = np.diff(np.r_[start, len(runs)])
+    blocks = -(-size // BLOCK)
+    block = np.cumsum(blocks) - blocks
+    slot = np.empty(len(node), np.int64)
+    slot[order] = np.arange(len(runs)) + np.repeat(block * BLOCK - start, size)
+    rows = runs[start].astype(np.int64)
+    of = np.repeat(rows, blocks)
+    held = np.zeros((len(of) * BLOCK, DIM), h.dtype)
+    held[slot] = h.take(np.repeat(some, n), 0)
+    held = held.reshape(-1, BLOCK, DIM)
+    w = p["W"].take(of, 0)
+    z = held @ w
+    z += maps["share"].take(of, 0)[:, None]
+    np.clip(z, -60, 60, out=z)
+    np.exp(z, out=z)
+    s = z @ np.ones((FAN, 1), z.dtype)
+    flat, own = z.ravel(), slot * FAN + maps["child"][at]
+    out[some] = np.add.reduceat(np.log(flat.take(own) / s.ravel().take(slot)), begin)
+    if not gradient:
+        return out
+    z /= s
+    flat[own] -= 1
+    back = (z @ w.transpose(0, 2, 1)).reshape(-1, DIM)
+    more = back.take(slot[begin], 0)
+    for level in range(1, int(n.max())):
+        deep = np.flatnonzero(n > level)
+        more[deep] += back.take(slot[begin[deep] + level], 0)
+    dh[some] = more
+    return out, dh, rows, sums_by((held.transpose(0, 2, 1) @ z).reshape(-1, DIM * FAN), block).reshape(-1, DIM, FAN)
+
+
+def gradients(p, x, first, target, valid, ids=None, maps=None) -> tuple[float, int, dict[str, np.ndarray], dict[str, tuple[np.ndarray, np.ndarray]]]:
+    """Sums over the tokens: loss, number, gradients but for E and W, and of these the rows that occur and their gradients. Without ids, the loss is that of the classes."""
+    h, (e, xq, q, a, s, c) = forward(p, x, first)
+    flat, at, target = h.reshape(-1, DIM), np.flatnonzero(valid.ravel()), target.ravel()
     z = flat @ p["U"]
     z += p["b"]
     np.clip(z, -60, 60, out=z)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    at = np.flatnonzero(ok)
-    n = len(at)
-    loss = -float(np.log(z[at, target[at]] + 1e-9).sum())
-    z[at, target[at]] -= 1
-    if n < len(ok):
-        z[~ok] = 0
-    g = {"U": flat.T @ z, "b": z.sum(0)}
-    dh = (z @ p["U"].T).reshape(h.shape)
-    da, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
-    da -= (da * a).sum(2, keepdims=True)
+    sums = z @ np.ones((CLASSES, 1), z.dtype)
+    own = z[at, target[at]]
+    loss = -float((np.log(own) - np.log(sums[at, 0])).sum())
+    z[at, target[at]] = own - sums[at, 0]
+    if len(at) < len(z):
+        z[~valid.ravel()] = 0
+    g, sparse = {"U": (flat / sums).T @ z, "b": (1 / sums[:, 0]) @ z}, {}
+    dh = z @ p["U"].T
+    dh /= sums
+    if ids is not None:
+        below, more, rows, dw = inner(p, maps, flat, ids.ravel(), valid.ravel())
+        loss -= float(below.sum())
+        dh += more
+        sparse["W"] = (rows, dw)
+    cf, xf = c.reshape(-1, DIM), xq.reshape(-1, DIM)
+    g["V"] = cf.T @ dh
+    dc = (dh @ p["V"].T).reshape(c.shape)
+    dc /= s
+    da = dc @ e.transpose(0, 2, 1)
+    da -= (np.einsum("ij,ij->i", dc.reshape(-1, DIM), cf)).reshape(s.shape)
     da *= a
-    dq, dk = da @ k, da.transpose(0, 2, 1) @ q
     scale = np.float32(1 / math.sqrt(DIM))
-    ef, dqf, dkf, dvf = e.reshape(-1, DIM), dq.reshape(-1, DIM), dk.reshape(-1, DIM), dv.reshape(-1, DIM)
-    g["Q"] = xq.reshape(-1, DIM).T @ dqf * scale
-    g["K"] = ef.T @ dkf
-    g["V"] = ef.T @ dvf
-    de = dkf @ p["K"].T
-    de += dvf @ p["V"].T
-    de = de.reshape(e.shape)
-    dh += (dqf @ (p["Q"].T * scale)).reshape(dh.shape)
-    de[:, CONTEXT:] += dh
+    dq = (da @ e).reshape(-1, DIM)
+    dm = xf.T @ dq * scale
+    g["Q"], g["K"] = dm @ p["K"], dm.T @ p["Q"]
+    de = da.transpose(0, 2, 1) @ q
+    de += a.transpose(0, 2, 1) @ dc
+    dh += dq @ (p["K"] @ p["Q"].T * scale)
+    de[:, CONTEXT:] += dh.reshape(c.shape)
     g["P"] = de.sum(0)
-    rows = x.ravel().astype(np.int16)
+    rows = x.ravel().astype(np.uint16)
     order = np.argsort(rows, kind="stable")
     rows = rows[order]
     begin = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-    return loss, n, g, rows[begin].astype(np.int64), np.add.reduceat(de.reshape(-1, DIM)[order], begin, axis=0)
+    sparse["E"] = (rows[begin].astype(np.int64), sums_by(de.reshape(-1, DIM).take(order, 0), begin))
+    return loss, len(at), g, sparse
 
 
-def train_step(p, x, first, target, valid):
-    """Mean loss per token and its gradients, MICRO windows at a time: their arrays stay in the cache."""
-    loss, n, g = 0.0, 0, {k: np.zeros_like(v) for k, v in p.items()}
-    for k in range(0, len(x), MICRO):
-        part = slice(k, k + MICRO)
-        one, m, own, rows, sums = gradients(p, x[part], first[part], target[part], valid[part])
-        loss, n = loss + one, n + m
-        for name, v in own.items():
-            g[name] += v
-        g["E"][rows] += sums
-    for name in g:  # the loss is a mean; the sums above hold no numbers that are small without need
-        g[name] /= np.float32(max(1, n))
-    return loss / max(1, n), g
-
-
-def train(ids: np.ndarray, bounds: np.ndarray, maps: dict[str, np.ndarray], counts: np.ndarray, seed: int = 5) -> tuple[dict[str, np.ndarray], float]:
-    """Adam over shuffled windows; parameters and the mean loss of the last tenth of the steps."""
-    p = initial(maps, counts)
-    if len(bounds) < 2:
-        return p, 0.0
-    x, score, first = windows(ids, bounds, maps)
-    valid, target = score >= 0, maps["of"][ids][np.maximum(0, score)]
-    rng = np.random.Generator(np.random.PCG64(seed))
-    m, s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    losses, step = [], 0
-    total = EPOCHS * max(1, -(-len(x) // BATCH))
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(x))
-        for a in range(0, len(x), BATCH):
-            b = order[a : a + BATCH]
-            loss, g = train_step(p, x[b], first[b], target[b], valid[b])
-            losses.append(loss)
-            step += 1
-            update(p, g, m, s, step, RATE * (1 - 0.9 * step / total))
-    return p, float(np.mean(losses[-max(1, len(losses) // 10) :]))
+def train_step(p, x, first, target, valid, ids=None, maps=None):
+    """Mean loss per token and its gradients; ids and maps as in gradients()."""
+    loss, n, g, sparse = gradients(p, x, first, target, valid, ids, maps)
+    for name, (rows, v) in sparse.items():
+        g[name] = np.zeros_like(p[name])
+        g[name][rows] = v
+    return loss / max(1, n), {k: g[k] / np.float32(max(1, n)) if k in g else np.zeros_like(p[k]) for k in p}
 
 
 def update(p, g, m, s, step: int, rate: float) -> None:
-    """One step of Adam, in place."""
+    """One step of Adam, in place; gradients are arrays, or rows and the gradients of these alone."""
     rate *= min(1, step / 20) / (1 - 0.9**step) * math.sqrt(1 - 0.98**step)
-    for k in p:
-        m[k] += 0.1 * (g[k] - m[k])
-        s[k] += 0.02 * (g[k] * g[k] - s[k])
-        p[k] -= np.float32(rate) * (m[k] / (np.sqrt(s[k]) + np.float32(1e-8))).astype(np.float32)
+    for k, v in g.items():
+        at, v = v if isinstance(v, tuple) else (slice(None), v)
+        one, two = m[k][at], s[k][at]
+        one += 0.1 * (v - one)
+        two += 0.02 * (v * v - two)
+        m[k][at], s[k][at] = one, two
+        p[k][at] -= np.float32(rate) * (one / (np.sqrt(two) + np.float32(1e-8)))
 
 
-def train_on(p: dict[str, np.ndarray], chunked: Iterator[tuple[np.ndarray, np.ndarray]], maps: dict[str, np.ndarray], rate: float, seed: int = 5) -> int:
-    """Adam over the windows of (ids, bounds), shuffled within a chunk, at most a chunk and a batch held at once; changes p, gives the number of tokens."""
+def train_on(p: dict[str, np.ndarray], chunked: Iterator[tuple[np.ndarray, np.ndarray]], maps: dict[str, np.ndarray], rate: float, seed: int = 5) -> tuple[int, list[float]]:
+    """Adam over the windows of (ids, bounds), shuffled within a chunk, at most a chunk and a batch held at once; changes p, gives the number of tokens and the mean loss of each step."""
     rng = np.random.Generator(np.random.PCG64(seed))
     m, s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    step, tokens, left = 0, 0, None
+    losses, tokens, left = [], 0, None
 
-    def learn(*rows: np.ndarray) -> None:
-        nonlocal step, tokens
-        step += 1
-        tokens += int(rows[3].sum())
-        update(p, train_step(p, *rows)[1], m, s, step, rate)
+    def learn(x: np.ndarray, first: np.ndarray, own: np.ndarray, valid: np.ndarray) -> None:
+        nonlocal tokens
+        loss, n, g, sparse = gradients(p, x, first, maps["of"][own], valid, own, maps)
+        scale = np.float32(1 / max(1, n))
+        losses.append(loss * scale)
+        tokens += n
+        update(p, {k: v * scale for k, v in g.items()} | {k: (rows, v * scale) for k, (rows, v) in sparse.items()}, m, s, len(losses), rate)
 
     for ids, bounds in chunked:
         x, score, first = windows(ids, bounds, maps)
         order = rng.permutation(len(x))
-        new = [v[order] for v in (x, first, maps["of"][ids][np.maximum(0, score)], score >= 0)]
+        new = [v[order] for v in (x, first, ids[np.maximum(0, score)], score >= 0)]
         rows = new if left is None else [np.concatenate(v) for v in zip(left, new, strict=True)]
         whole = len(rows[0]) // BATCH * BATCH
         for a in range(0, whole, BATCH):
@@ -306,69 +411,98 @@ def train_on(p: dict[str, np.ndarray], chunked: Iterator[tuple[np.ndarray, np.nd
         left = [v[whole:].copy() for v in rows]
     if left is not None and len(left[0]):
         learn(*left)
-    return tokens
+    return tokens, losses
+
+
+def train(ids: np.ndarray, bounds: np.ndarray, maps: dict[str, np.ndarray], counts: np.ndarray, seed: int = 5) -> tuple[dict[str, np.ndarray], float]:
+    """Parameters after one pass over shuffled windows, and the mean loss of the last tenth of the steps."""
+    p = initial(maps, counts)
+    if len(bounds) < 2:
+        return p, 0.0
+    _, losses = train_on(p, [(ids, bounds)], maps, RATE, seed)
+    return p, float(np.mean(losses[-max(1, len(losses) // 10) :]))
 
 
 def fit(learn: DataFrame, maps: dict[str, np.ndarray], counts: np.ndarray, path: str) -> tuple[dict[str, np.ndarray], int]:
-    """learn(doc_id, text) -> parameters, and the number of tokens that they were trained on: all of them, once."""
+    """learn(doc_id, text), or with ids as of encoded(), -> parameters, and the number of tokens that they were trained on: all of them, once."""
     context, p, seen = learn.sparkSession.sparkContext, initial(maps, counts), 0
+    if "ids" not in learn.columns:
+        learn = encoded(learn.withColumn("held_out", F.lit(False)), path)
     learn = learn.coalesce(max(1, int(counts.sum()) // TASK_TOKENS))
     fields = "slot int, task int, n bigint, p binary"
 
-    def row(slot: int, task: int, n: int, p: dict[str, np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([task], pa.int32()), pa.array([n]), pa.array([pickle.dumps(p)], pa.binary())], ["slot", "task", "n", "p"])
+    def row(slot: int, task: int, n: int, change: dict[str, np.ndarray]) -> pa.RecordBatch:
+        """Of what changed, the rows that aren't zero."""
+        some = {k: (at, v[at].astype(np.float32)) for k, v in change.items() for at in [np.flatnonzero(v.reshape(len(v), -1).any(1))]}
+        return pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([task], pa.int32()), pa.array([n]), pa.array([pickle.dumps(some)], pa.binary())], ["slot", "task", "n", "p"])
 
     for turn in range(ROUNDS):
         shared, rate = context.broadcast((p, maps)), RATE * (1 - 0.9 * turn / ROUNDS)
 
         def own(batches: Iterator[pa.RecordBatch], shared=shared, rate=rate) -> Iterator[pa.RecordBatch]:
             start, maps = shared.value
-            table, p, task = Words(path), {k: v.copy() for k, v in start.items()}, TaskContext.get().partitionId()
-            n = train_on(p, (subwords(table, buf, offsets)[3:] for b in batches for _, _, buf, offsets in chunks(b.column(0))), maps, rate)
+            p, task = {k: v.copy() for k, v in start.items()}, TaskContext.get().partitionId()
+            n, _ = train_on(p, (part[2:] for b in batches for part in stored(b.column(0))), maps, rate)
             if n:
-                yield row(task % MEANS, task, n, p)
+                yield row(task % MEANS, task, n, {k: v - start[k] for k, v in p.items()})
 
-        def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, sums = 0, {}
+        def mean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            total, sums = 0, {k: np.zeros(v.shape) for k, v in shared.value[0].items()}
             for b in batches:
                 for n, q in zip(b.column(2).to_pylist(), b.column(3), strict=True):
                     total += n
-                    for k, v in pickle.loads(q.as_py()).items():
-                        sums[k] = sums.get(k, 0.0) + n * v.astype(np.float64)
+                    for k, (at, v) in pickle.loads(q.as_py()).items():
+                        sums[k][at] += n * v.astype(np.float64)
             if total:
                 yield row(0, 0, total, {k: v / total for k, v in sums.items()})
 
-        part = learn.filter(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == turn).select("text")
+        part = learn.filter(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == turn).select("ids")
         models = part.mapInArrow(own, fields).repartition(MEANS, "slot").sortWithinPartitions("task")
         means = [(r["n"], pickle.loads(r["p"])) for r in models.mapInArrow(mean, fields).collect()]
-        if n := sum(k for k, _ in means):
-            p = {name: (sum(k * q[name] for k, q in means) / n).astype(np.float32) for name in p}
+        n = sum(k for k, _ in means)
+        p = {name: v.copy() for name, v in p.items()}
+        for k, change in means:
+            for name, (at, v) in change.items():
+                p[name][at] += np.float32(k / n) * v
         seen += n
     return p, seen
 
 
-def log_probability(p: dict[str, np.ndarray], maps: dict[str, np.ndarray], ids: np.ndarray, bounds: np.ndarray, batch: int = 64) -> np.ndarray:
+def log_probability(p: dict[str, np.ndarray], maps: dict[str, np.ndarray], ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Natural log probability of each text; every token is scored once."""
     x, score, first = windows(ids, bounds, maps)
-    of, token = maps["of"][ids], maps["within"][ids].astype(np.float64)
-    ones = np.ones(CLASSES, np.float32)
-    for a in range(0, len(x), batch):
-        h, _ = forward(p, x[a : a + batch], first[a : a + batch])
-        at = score[a : a + batch]
+    token, ones = np.zeros(len(ids)), np.ones(CLASSES, np.float32)
+    for a in range(0, len(x), GROUP):
+        h = np.concatenate([forward(p, x[b : b + BATCH], first[b : b + BATCH])[0] for b in range(a, min(a + GROUP, len(x)), BATCH)])
+        at = score[a : a + GROUP]
         keep = at >= 0
-        at = at[keep]
-        z = h[keep] @ p["U"]
+        at, h = at[keep], h[keep]
+        z = h @ p["U"]
         z += p["b"]
-        own = z[np.arange(len(at)), of[at]]
-        token[at] += own - np.log(np.exp(z, out=z) @ ones)
+        own = z[np.arange(len(at)), maps["of"][ids[at]]]
+        token[at] = own - np.log(np.exp(z, out=z) @ ones) + inner(p, maps, h, ids[at], gradient=False)
     return np.add.reduceat(token, bounds[:-1]) if len(bounds) > 1 else np.empty(0)
 
 
-def count(docs: DataFrame, path: str) -> DataFrame:
-    """docs(text) -> (kind, key, n): word hashes (0), subword ids (1) and, under key 0, texts (2)."""
+def encoded(docs: DataFrame, path: str) -> DataFrame:
+    """docs(doc_id, text, held_out) -> doc_id, held_out, ids: subword ids of the text and END, two bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, subs, texts = Words(path), np.zeros(IDS, np.int64), 0
+        table = known_words(path)
+        for b in batches:
+            for first, end, buf, offsets in chunks(b.column(1)):
+                *_, ids, bounds = subwords(table, buf, offsets)
+                lists = pa.LargeBinaryArray.from_buffers(pa.large_binary(), end - first, [None, pa.py_buffer(2 * bounds), pa.py_buffer(ids.astype(np.uint16))])
+                yield pa.RecordBatch.from_arrays([b.column(0)[first:end], b.column(2)[first:end], lists.cast(pa.binary())], ["doc_id", "held_out", "ids"])
+
+    return docs.select("doc_id", "text", "held_out").mapInArrow(run, "doc_id bigint, held_out boolean, ids binary")
+
+
+def count(texts: DataFrame, path: str) -> DataFrame:
+    """texts(ids) -> (kind, key, n): word hashes (0), subword ids (1) and, under key 0, texts (2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opens, subs, texts = encoder(path)[1], np.zeros(IDS, np.int64), 0
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merged() -> pa.RecordBatch:
@@ -377,25 +511,19 @@ def count(docs: DataFrame, path: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], ["kind", "key", "n"])
 
         for b in batches:
-            for first, end, buf, offsets in chunks(b.column(0)):
-                starts, ends, _ = words(buf, offsets)
-                h, at, n = np.unique(spans_hash(buf, starts, ends), return_index=True, return_counts=True)
-                held.append((h, n))
-                mine = table.rows(h, buf, starts[at], ends[at])
-                size = table.count[mine]
-                inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                subs += np.bincount(table.flat[np.repeat(table.first[mine], size) + inside], np.repeat(n, size), minlength=IDS).astype(np.int64)
+            for first, end, ids, _ in stored(b.column(0)):
+                held.append(np.unique(word_keys(ids, opens)[0], return_counts=True))
+                subs += np.bincount(ids, minlength=IDS)
                 texts += end - first
                 if sum(len(k) for k, _ in held) > 1_000_000:
                     yield merged()
                     held = []
         if held:
             yield merged()
-        subs[END] += texts
         at = np.flatnonzero(subs)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[np.ones(len(at), np.int32), 2], pa.int32()), pa.array(np.r_[at, 0]), pa.array(np.r_[subs[at], texts])], ["kind", "key", "n"])
 
-    return docs.select("text").mapInArrow(run, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return texts.select("ids").mapInArrow(run, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def score(docs: DataFrame, held_out_of: int = 7, held_out: int = 2, vocabulary: str | None = None) -> DataFrame:
@@ -405,7 +533,7 @@ def score(docs: DataFrame, held_out_of: int = 7, held_out: int = 2, vocabulary:
     encoder(vocabulary)
     scratch = Scratch(spark)
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % held_out_of == held_out, F.lit(True))
-    rows = only(docs, doc_id="bigint", text="string").withColumn("held_out", out)
+    rows = scratch.write(encoded(only(docs, doc_id="bigint", text="string").withColumn("held_out", out), vocabulary), "encoded")
     learn = rows.filter(~F.col("held_out"))
     counts = scratch.write(count(learn, vocabulary), "counts")
     told = counts.filter("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -425,10 +553,11 @@ def score(docs: DataFrame, held_out_of: int = 7, held_out: int = 2, vocabulary:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, maps, keys, logs, ends = shared.value
-        table, at, part = Words(vocabulary), 0, TaskContext.get().partitionId() << 40
+        opens, at, part = encoder(vocabulary)[1], 0, TaskContext.get().partitionId() << 40
         for b in batches:
-            for first, end, buf, offsets in chunks(b.column(1)):
-                h, rows_, inverse, ids, bounds = subwords(table, buf, offsets)
+            for first, end, ids, bounds in stored(b.column(1)):
+                keys_, rows_ = word_keys(ids, opens)
+                h, inverse = np.unique(keys_, return_inverse=True)
                 m = end - first
                 lm = log_probability(p, maps, ids, bounds) / math.log(10)
                 place = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
@@ -443,7 +572,7 @@ def score(docs: DataFrame, held_out_of: int = 7, held_out: int = 2, vocabulary:
                 yield pa.RecordBatch.from_arrays([pa.array(part + at + np.arange(m)), b.column(0)[first:end], b.column(2)[first:end], pa.array(tokens), pa.array(n_known), pa.array(base), pa.array(lm), lists], ["rk", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
                 at += m
 
-    scored = scratch.write(rows.select("doc_id", "text", "held_out").mapInArrow(run, "rk bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, rare array<bigint>"), "scored")
+    scored = scratch.write(rows.select("doc_id", "ids", "held_out").mapInArrow(run, "rk bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, rare array<bigint>"), "scored")
     rare = scored.select("rk", F.explode("rare").alias("key")).join(counts.filter("kind = 0").select("key", "n"), "key")
     more = rare.groupBy("rk").agg(F.count("*").alias("k"), F.sum(F.log10(F.col("n") + F.lit(1.0))).alias("s"))
     both = scored.drop("rare").join(more, "rk", "left")

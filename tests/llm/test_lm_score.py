@@ -150,3 +150,68 @@ def test_missing_vocabulary_is_told_before_any_job(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
     with pytest.raises(FileNotFoundError, match="spark.helixtab.vocabulary"):
         lm_score.score(docs, vocabulary="/nowhere/ranks.tiktoken")
+
+
+def test_context_tells_ids_of_a_class_apart():
+    """Two ids of one class and of equal shares, each after a word of its own: what the network has seen must decide between them."""
+    counts = np.ones(lm_score.IDS)
+    counts[:400] = 1000
+    of = lm_score.classes(counts)["of"]
+    c = np.bincount(of[100:400], minlength=lm_score.CLASSES).argmax()
+    x, y = 100 + np.flatnonzero(of[100:400] == c)[:2]
+    a, b = 1, 2
+    pairs = np.random.default_rng(4).integers(0, 2, 400_000)
+    ids = np.stack([np.where(pairs, a, b), np.where(pairs, x, y)], 1).ravel()
+    maps = lm_score.classes(counts)
+    p, _ = lm_score.train(ids, np.arange(0, len(ids) + 1, 60), maps, counts)
+    bounds = np.array([0, 2])
+    likes = {(u, v): lm_score.log_probability(p, maps, np.array([u, v]), bounds)[0] for u in (a, b) for v in (x, y)}
+    assert (likes[a, x] - likes[a, y]) - (likes[b, x] - likes[b, y]) > 1
+
+
+def random_tree():
+    rng = np.random.default_rng(5)
+    counts = np.floor(1e6 / np.arange(1, lm_score.IDS + 1) ** 1.2)
+    maps = lm_score.classes(counts)
+    p = lm_score.initial(maps, counts)
+    return maps, p | {"W": rng.standard_normal(p["W"].shape).astype(np.float32)}, rng
+
+
+def test_probabilities_of_all_ids_sum_to_one():
+    maps, p, rng = random_tree()
+    h = np.repeat(rng.standard_normal((1, lm_score.DIM)).astype(np.float32), lm_score.IDS, 0)
+    below = lm_score.inner(p, maps, h, np.arange(lm_score.IDS), gradient=False)
+    assert np.allclose(np.bincount(maps["of"], np.exp(below)), 1, atol=1e-3)
+    assert np.abs(below - maps["within"]).max() > 1
+
+
+def test_gradients_below_the_root():
+    maps, p, rng = random_tree()
+    p = {k: v.astype(np.float64) for k, v in p.items()}
+    h, ids = rng.standard_normal((300, lm_score.DIM)), rng.integers(0, 3000, 300)
+    valid = np.arange(300) % 7 > 0
+    out, dh, rows, dw = lm_score.inner(p, maps, h, ids, valid)
+    assert not out[~valid].any() and not dh[~valid].any()
+    loss = lambda q, g: -lm_score.inner(q, maps, g, ids, valid, gradient=False).sum()
+    for _ in range(5):
+        d, e = rng.standard_normal(h.shape), {"W": np.zeros_like(p["W"])}
+        e["W"][rows] = rng.standard_normal(dw.shape)
+        step = 1e-4
+        slope = (loss(p | {"W": p["W"] + step * e["W"]}, h + step * d) - loss(p | {"W": p["W"] - step * e["W"]}, h - step * d)) / (2 * step)
+        assert abs(slope - ((dh * d).sum() + (dw * e["W"][rows]).sum())) < 1e-2 * max(1, abs(slope))
+
+
+def test_stored_ids_are_those_of_the_texts(spark):
+    docs = spark.createDataFrame([(k, t, False) for k, t in enumerate(TEXTS)], "doc_id bigint, text string, held_out boolean")
+    got = {r["doc_id"]: np.frombuffer(r["ids"], np.uint16).tolist() for r in lm_score.encoded(docs, lm_score.VOCABULARY).collect()}
+    want = encoded(TEXTS)
+    assert got == {k: ids.tolist() for k, ids in enumerate(want)}
+    column = pa.array([np.array(x, np.uint16).tobytes() for x in want], pa.binary())
+    opens = lm_score.encoder(lm_score.VOCABULARY)[1]
+    for sliced in (column, column[2:]):
+        for first, end, ids, bounds in lm_score.stored(sliced):
+            keys, rows = lm_score.word_keys(ids, opens)
+            texts = TEXTS[len(column) - len(sliced) :][first:end]
+            each = [w for t in texts for w in words(t)]
+            assert np.bincount(rows, minlength=len(texts)).tolist() == [len(words(t)) for t in texts]
+            assert len(set(zip(keys.tolist(), each, strict=True))) == len(set(keys.tolist())) == len(set(each))
