@@ -573,6 +573,7 @@ def score(docs: DataFrame, held_out_of: int = 7, held_out: int = 2, vocabulary:
                 at += m
 
     scored = scratch.write(rows.select("doc_id", "ids", "held_out").mapInArrow(run, "rk bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, rare array<bigint>"), "scored")
+    scratch.drop(rows)
     rare = scored.select("rk", F.explode("rare").alias("key")).join(counts.filter("kind = 0").select("key", "n"), "key")
     more = rare.groupBy("rk").agg(F.count("*").alias("k"), F.sum(F.log10(F.col("n") + F.lit(1.0))).alias("s"))
     both = scored.drop("rare").join(more, "rk", "left")

@@ -215,3 +215,15 @@ def test_stored_ids_are_those_of_the_texts(spark):
             each = [w for t in texts for w in words(t)]
             assert np.bincount(rows, minlength=len(texts)).tolist() == [len(words(t)) for t in texts]
             assert len(set(zip(keys.tolist(), each, strict=True))) == len(set(keys.tolist())) == len(set(each))
+
+
+def test_encoded_texts_are_not_left_in_scratch(spark, monkeypatch, tmp_path):
+    import os
+
+    from helixtab.llm import common
+
+    monkeypatch.setattr(common, "scratch_root", lambda spark: f"file://{tmp_path}")
+    rows = [(10 * k, t) for k, t in enumerate(TEXTS)]
+    check(lm_score.score(spark.createDataFrame(rows, "doc_id bigint, text string")), rows)
+    left = [name for _, names, _ in os.walk(tmp_path) for name in names if "-" in name]
+    assert any("scored" in name for name in left) and not any("encoded" in name for name in left)
