@@ -47,8 +47,8 @@ STRIDE = WINDOW - CONTEXT
 DIM, CLASSES, ALONE, FAN, INPUTS = 16, 32, 20, 16, IDS + 2
 #: Inner nodes below the root, at most; rows of one node that are multiplied at once.
 NODES, BLOCK = -(-IDS // (FAN - 1)) + CLASSES, 16
-#: Most frequent words known to every task, this many at most.
-HOT = 1 << 16
+#: Most frequent words known to every task, this many at most: more mean fewer rows in a join, whatever is known the counts are the same.
+HOT = 1 << 18
 BATCH, RATE = 256, 4e-3
 #: Windows whose ids below the root are scored at once.
 GROUP = 512
@@ -93,15 +93,18 @@ class Words:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[int, int] = {}
+        self.known, self.row = np.empty(0, np.uint64), np.empty(0, np.int64)  # hashes in order, and the row of each
         self.first, self.count, self.flat, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32), 0
 
     def rows(self, hashes: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Row of each distinct word, of which `starts` and `ends` give one place."""
-        if len(self.index) + len(hashes) > CACHE:
+        """Row of each distinct word; `hashes` are in order, `starts` and `ends` give one place of each."""
+        if len(self.known) + len(hashes) > CACHE:
             self.clear()
-        get = self.index.get
-        out = np.fromiter((get(h, -1) for h in hashes.tolist()), np.int64, len(hashes))
+        place = np.searchsorted(self.known, hashes)
+        out = np.full(len(hashes), -1)
+        if len(self.known):
+            at = np.minimum(place, len(self.known) - 1)
+            out = np.where(self.known.take(at) == hashes, self.row.take(at), -1)
         new = np.flatnonzero(out < 0)
         if not len(new):
             return out
@@ -114,7 +117,7 @@ class Words:
             each = [self.encode((b" " + w).decode("utf-8", "replace")) for w in parts]
             ids = np.array([x for y in each for x in y], np.int32)
             begin = np.cumsum([0, *map(len, each)])[:-1]
-        row, size = len(self.index), len(new)
+        row, size = len(self.known), len(new)
         if row + size > len(self.first):
             self.first, self.count = np.resize(self.first, 2 * (row + size)), np.resize(self.count, 2 * (row + size))
         if self.n + len(ids) > len(self.flat):
@@ -124,7 +127,7 @@ class Words:
         self.flat[self.n : self.n + len(ids)] = ids
         self.n += len(ids)
         out[new] = np.arange(row, row + size)
-        self.index.update(zip(hashes[new].tolist(), range(row, row + size), strict=True))
+        self.known, self.row = np.insert(self.known, place[new], hashes[new]), np.insert(self.row, place[new], out[new])
         return out
 
 
@@ -222,13 +225,13 @@ def windows(ids: np.ndarray, bounds: np.ndarray, maps: dict[str, np.ndarray]) ->
     n = -(-length // STRIDE)
     text = np.repeat(np.arange(len(length)), n)
     k = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-    begin = bounds[:-1][text] + k * STRIDE
-    score = begin[:, None] + np.arange(STRIDE)
-    score = np.where(score < bounds[1:][text][:, None], score, -1)
-    see = begin[:, None] + np.arange(-CONTEXT - 1, STRIDE - 1)  # the input at a position is the token before
-    start = bounds[:-1][text][:, None]
-    rows = maps["row"][ids]
-    x = np.where(see >= start, rows[np.clip(see, 0, len(rows) - 1)], INPUTS - 2)  # begin of text
+    begin = (bounds[:-1][text] + k * STRIDE).astype(np.int32)
+    score = begin[:, None] + np.arange(STRIDE, dtype=np.int32)
+    last = np.flatnonzero(np.r_[text[1:] != text[:-1], np.ones(min(1, len(text)), bool)])  # the only windows that may end beyond their text
+    score[last] = np.where(score[last] < bounds[1:][text[last]][:, None], score[last], -1)
+    see = begin[:, None] + np.arange(-CONTEXT - 1, STRIDE - 1, dtype=np.int32)  # the input at a position is the token before
+    x, opening = maps["row"].astype(np.int32).take(ids).take(see, mode="clip"), np.flatnonzero(k == 0)
+    x[opening, : CONTEXT + 1] = INPUTS - 2  # begin of text
     return x, score, k == 0
 
 
@@ -257,7 +260,7 @@ def forward(p: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray) -> tuple
     a *= MASK
     if first.any():
         a[first] *= FIRST
-    s = a @ np.ones((WINDOW, 1), a.dtype)
+    s = (a.reshape(-1, WINDOW) @ np.ones(WINDOW, a.dtype)).reshape(*a.shape[:2], 1)
     c = a @ e
     c /= s
     h = (c.reshape(-1, DIM) @ p["V"]).reshape(c.shape)
@@ -265,6 +268,13 @@ def forward(p: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray) -> tuple
     return h, (e, xq, q, a, s, c)
 
 
+def runs_of(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
 def sums_by(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Sums of runs of rows; two columns are added at once as one complex number."""
     return np.add.reduceat(values.view(np.result_type(values.dtype, np.complex64)), begin, axis=0).view(values.dtype)
@@ -273,7 +283,7 @@ def sums_by(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
 def inner(p, maps: dict[str, np.ndarray], h: np.ndarray, ids: np.ndarray, valid: np.ndarray | None = None, gradient: bool = True):
     """Log probability of ids (tokens) below the root, given their classes and the hidden states h (tokens, DIM); 0 where not valid. With gradient also
     that of the loss by h, and rows and gradients of W."""
-    n = maps["depth"][ids]
+    n = maps["depth"].take(ids)
     if valid is not None:
         n *= valid
     some = np.flatnonzero(n)
@@ -282,39 +292,42 @@ def inner(p, maps: dict[str, np.ndarray], h: np.ndarray, ids: np.ndarray, valid:
         return (out, dh, some, np.empty((0, DIM, FAN), h.dtype)) if gradient else out
     ends = np.cumsum(n)
     begin = ends - n
-    at = np.repeat(maps["begin"][ids[some]] - begin, n) + np.arange(ends[-1])
-    node = maps["node"][at]
+    at = np.repeat(maps["begin"].take(ids.take(some)) - begin, n)
+    at += np.arange(ends[-1])
+    node = maps["node"].take(at)
     # visits of a node fill blocks of BLOCK rows, each block is multiplied by its node's matrix
     order = np.argsort(node, kind="stable")
-    runs = node[order]
-    start = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1]])
-    size = np.diff(np.r_[start, len(runs)])
+    runs = node.take(order)
+    start = runs_of(runs)
+    size = np.diff(start, append=len(runs))
     blocks = -(-size // BLOCK)
     block = np.cumsum(blocks) - blocks
     slot = np.empty(len(node), np.int64)
     slot[order] = np.arange(len(runs)) + np.repeat(block * BLOCK - start, size)
     rows = runs[start].astype(np.int64)
     of = np.repeat(rows, blocks)
-    held = np.zeros((len(of) * BLOCK, DIM), h.dtype)
-    held[slot] = h.take(np.repeat(some, n), 0)
-    held = held.reshape(-1, BLOCK, DIM)
+    source = np.full(len(of) * BLOCK, len(h))  # the row of zeros below fills the blocks
+    source[slot] = np.repeat(some, n)
+    held = np.concatenate([h, np.zeros((1, DIM), h.dtype)]).take(source, 0).reshape(-1, BLOCK, DIM)
     w = p["W"].take(of, 0)
     z = held @ w
     z += maps["share"].take(of, 0)[:, None]
     np.clip(z, -60, 60, out=z)
     np.exp(z, out=z)
-    s = z @ np.ones((FAN, 1), z.dtype)
-    flat, own = z.ravel(), slot * FAN + maps["child"][at]
-    out[some] = np.add.reduceat(np.log(flat.take(own) / s.ravel().take(slot)), begin)
+    s = (z.reshape(-1, FAN) @ np.ones(FAN, z.dtype)).reshape(-1, BLOCK, 1)
+    flat, own = z.ravel(), slot * FAN + maps["child"].take(at)
+    share = flat.take(own) / s.ravel().take(slot)
+    out[some] = np.add.reduceat(np.log(share), begin)
     if not gradient:
         return out
     z /= s
-    flat[own] -= 1
+    flat[own] = share - 1
     back = (z @ w.transpose(0, 2, 1)).reshape(-1, DIM)
-    more = back.take(slot[begin], 0)
+    more = back.take(slot.take(begin), 0)
+    deep = np.flatnonzero(n > 1)
     for level in range(1, int(n.max())):
-        deep = np.flatnonzero(n > level)
-        more[deep] += back.take(slot[begin[deep] + level], 0)
+        deep = deep[n.take(deep) > level]
+        more[deep] += back.take(slot.take(begin.take(deep) + level), 0)
     dh[some] = more
     return out, dh, rows, sums_by((held.transpose(0, 2, 1) @ z).reshape(-1, DIM * FAN), block).reshape(-1, DIM, FAN)
 
@@ -322,22 +335,23 @@ def inner(p, maps: dict[str, np.ndarray], h: np.ndarray, ids: np.ndarray, valid:
 def gradients(p, x, first, target, valid, ids=None, maps=None) -> tuple[float, int, dict[str, np.ndarray], dict[str, tuple[np.ndarray, np.ndarray]]]:
     """Sums over the tokens: loss, number, gradients but for E and W, and of these the rows that occur and their gradients. Without ids, the loss is that of the classes."""
     h, (e, xq, q, a, s, c) = forward(p, x, first)
-    flat, at, target = h.reshape(-1, DIM), np.flatnonzero(valid.ravel()), target.ravel()
+    flat, valid = h.reshape(-1, DIM), valid.ravel()
+    at = np.flatnonzero(valid)
     z = flat @ p["U"]
     z += p["b"]
     np.clip(z, -60, 60, out=z)
     np.exp(z, out=z)
-    sums = z @ np.ones((CLASSES, 1), z.dtype)
-    own = z[at, target[at]]
-    loss = -float((np.log(own) - np.log(sums[at, 0])).sum())
-    z[at, target[at]] = own - sums[at, 0]
+    z /= (z @ np.ones(CLASSES, z.dtype))[:, None]
+    place = at * CLASSES + target.ravel().take(at)
+    own = z.ravel().take(place)
+    loss = -float(np.log(own).sum())
+    z.ravel()[place] = own - 1
     if len(at) < len(z):
-        z[~valid.ravel()] = 0
-    g, sparse = {"U": (flat / sums).T @ z, "b": (1 / sums[:, 0]) @ z}, {}
+        z[~valid] = 0
+    g, sparse = {"U": flat.T @ z, "b": np.ones(len(z), z.dtype) @ z}, {}
     dh = z @ p["U"].T
-    dh /= sums
     if ids is not None:
-        below, more, rows, dw = inner(p, maps, flat, ids.ravel(), valid.ravel())
+        below, more, rows, dw = inner(p, maps, flat, ids.ravel(), valid)
         loss -= float(below.sum())
         dh += more
         sparse["W"] = (rows, dw)
@@ -346,7 +360,7 @@ def gradients(p, x, first, target, valid, ids=None, maps=None) -> tuple[float, i
     dc = (dh @ p["V"].T).reshape(c.shape)
     dc /= s
     da = dc @ e.transpose(0, 2, 1)
-    da -= (np.einsum("ij,ij->i", dc.reshape(-1, DIM), cf)).reshape(s.shape)
+    da -= ((dc.reshape(-1, DIM) * cf) @ np.ones(DIM, dc.dtype)).reshape(s.shape)
     da *= a
     scale = np.float32(1 / math.sqrt(DIM))
     dq = (da @ e).reshape(-1, DIM)
@@ -359,8 +373,8 @@ def gradients(p, x, first, target, valid, ids=None, maps=None) -> tuple[float, i
     g["P"] = de.sum(0)
     rows = x.ravel().astype(np.uint16)
     order = np.argsort(rows, kind="stable")
-    rows = rows[order]
-    begin = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+    rows = rows.take(order)
+    begin = runs_of(rows)
     sparse["E"] = (rows[begin].astype(np.int64), sums_by(de.reshape(-1, DIM).take(order, 0), begin))
     return loss, len(at), g, sparse
 
@@ -378,12 +392,22 @@ def update(p, g, m, s, step: int, rate: float) -> None:
     """One step of Adam, in place; gradients are arrays, or rows and the gradients of these alone."""
     rate *= min(1, step / 20) / (1 - 0.9**step) * math.sqrt(1 - 0.98**step)
     for k, v in g.items():
-        at, v = v if isinstance(v, tuple) else (slice(None), v)
-        one, two = m[k][at], s[k][at]
-        one += 0.1 * (v - one)
-        two += 0.02 * (v * v - two)
-        m[k][at], s[k][at] = one, two
-        p[k][at] -= np.float32(rate) * (one / (np.sqrt(two) + np.float32(1e-8)))
+        at, v = v if isinstance(v, tuple) else (None, v)
+        one, two, now = (d[k] if at is None else d[k].take(at, 0) for d in (m, s, p))
+        change = v - one
+        change *= 0.1
+        one += change
+        np.multiply(v, v, out=change)
+        change -= two
+        change *= 0.02
+        two += change
+        np.sqrt(two, out=change)
+        change += np.float32(1e-8)
+        np.divide(one, change, out=change)
+        change *= np.float32(rate)
+        now -= change
+        if at is not None:
+            m[k][at], s[k][at], p[k][at] = one, two, now
 
 
 def train_on(p: dict[str, np.ndarray], chunked: Iterator[tuple[np.ndarray, np.ndarray]], maps: dict[str, np.ndarray], rate: float, seed: int = 5) -> tuple[int, list[float]]:
@@ -394,7 +418,7 @@ def train_on(p: dict[str, np.ndarray], chunked: Iterator[tuple[np.ndarray, np.nd
 
     def learn(x: np.ndarray, first: np.ndarray, own: np.ndarray, valid: np.ndarray) -> None:
         nonlocal tokens
-        loss, n, g, sparse = gradients(p, x, first, maps["of"][own], valid, own, maps)
+        loss, n, g, sparse = gradients(p, x, first, maps["of"].take(own), valid, own, maps)
         scale = np.float32(1 / max(1, n))
         losses.append(loss * scale)
         tokens += n
@@ -403,7 +427,7 @@ def train_on(p: dict[str, np.ndarray], chunked: Iterator[tuple[np.ndarray, np.nd
     for ids, bounds in chunked:
         x, score, first = windows(ids, bounds, maps)
         order = rng.permutation(len(x))
-        new = [v[order] for v in (x, first, ids[np.maximum(0, score)], score >= 0)]
+        new = [v.take(order, 0) for v in (x, first, ids.take(score, mode="clip"), score >= 0)]
         rows = new if left is None else [np.concatenate(v) for v in zip(left, new, strict=True)]
         whole = len(rows[0]) // BATCH * BATCH
         for a in range(0, whole, BATCH):
@@ -474,13 +498,14 @@ def log_probability(p: dict[str, np.ndarray], maps: dict[str, np.ndarray], ids:
     token, ones = np.zeros(len(ids)), np.ones(CLASSES, np.float32)
     for a in range(0, len(x), GROUP):
         h = np.concatenate([forward(p, x[b : b + BATCH], first[b : b + BATCH])[0] for b in range(a, min(a + GROUP, len(x)), BATCH)])
-        at = score[a : a + GROUP]
-        keep = at >= 0
-        at, h = at[keep], h[keep]
+        at, h = score[a : a + GROUP].ravel(), h.reshape(-1, DIM)
+        if (keep := np.flatnonzero(at >= 0)).size < len(at):
+            at, h = at.take(keep), h.take(keep, 0)
+        now = ids.take(at)
         z = h @ p["U"]
         z += p["b"]
-        own = z[np.arange(len(at)), maps["of"][ids[at]]]
-        token[at] = own - np.log(np.exp(z, out=z) @ ones) + inner(p, maps, h, ids[at], gradient=False)
+        own = z.ravel().take(np.arange(len(at)) * CLASSES + maps["of"].take(now))
+        token[at] = own - np.log(np.exp(z, out=z) @ ones) + inner(p, maps, h, now, gradient=False)
     return np.add.reduceat(token, bounds[:-1]) if len(bounds) > 1 else np.empty(0)
 
 

@@ -227,3 +227,43 @@ def test_encoded_texts_are_not_left_in_scratch(spark, monkeypatch, tmp_path):
     check(lm_score.score(spark.createDataFrame(rows, "doc_id bigint, text string")), rows)
     left = [name for _, names, _ in os.walk(tmp_path) for name in names if "-" in name]
     assert any("scored" in name for name in left) and not any("encoded" in name for name in left)
+
+
+def test_windows_are_those_of_each_text_in_32_bits():
+    ids, bounds = np.random.default_rng(6).integers(0, lm_score.IDS, 200), np.array([0, 1, 25, 49, 50, 200])
+    x, score, first = lm_score.windows(ids, bounds, lm_score.classes(np.ones(lm_score.IDS)))
+    want = []
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        for k in range(a, b, lm_score.STRIDE):
+            see = [ids[t - 1] if t > a else lm_score.INPUTS - 2 for t in range(k - lm_score.CONTEXT, min(k + lm_score.STRIDE, b))]
+            want.append((see, [t if t < b else -1 for t in range(k, k + lm_score.STRIDE)], k == a))
+    assert len(x) == len(want)
+    for got_x, got_score, got_first, (see, scored, opening) in zip(x.tolist(), score.tolist(), first, want, strict=True):
+        assert got_x[: len(see)] == see and got_score == scored and got_first == opening
+    assert x.dtype == score.dtype == np.int32
+
+
+def test_met_words_are_kept_in_order(monkeypatch):
+    texts = [" ".join(f"w{k * 7919 % 400}x" for k in range(j, j + 60)) for j in range(0, 600, 20)]
+    want, encode = [], lm_score.encoder(lm_score.VOCABULARY)[0].encode_ordinary
+    for t in texts:
+        want.append([x for w in words(t) for x in encode(" " + w)] + [lm_score.END])
+    for most in (10**6, 100):  # the second forgets words between texts
+        monkeypatch.setattr(lm_score, "CACHE", most)
+        table = lm_score.Words(lm_score.VOCABULARY)
+        for t, ids in zip(texts, want, strict=True):
+            for _, _, buf, offsets in chunks(pa.array([t])):
+                assert lm_score.subwords(table, buf, offsets)[3].tolist() == ids
+            assert (np.diff(table.known.astype(object)) > 0).all() and len(table.known) == len(table.row)
+
+
+def test_update_is_adams_step():
+    rng = np.random.default_rng(7)
+    p, m, s = ({"W": rng.random((9, 3, 2)).astype(np.float32)} for _ in range(3))
+    rows, v = np.array([1, 4, 8]), rng.standard_normal((3, 3, 2)).astype(np.float32)
+    one, two = m["W"][rows] + 0.1 * (v - m["W"][rows]), s["W"][rows] + 0.02 * (v * v - s["W"][rows])
+    rate = 1e-2 * min(1, 30 / 20) / (1 - 0.9**30) * math.sqrt(1 - 0.98**30)
+    want = p["W"].copy()
+    want[rows] -= rate * one / (np.sqrt(two) + 1e-8)
+    lm_score.update(p, {"W": (rows, v.copy())}, m, s, 30, 1e-2)
+    assert np.allclose(p["W"], want, atol=1e-6) and np.allclose(m["W"][rows], one, atol=1e-6) and np.allclose(s["W"][rows], two, atol=1e-6)
